@@ -1,0 +1,59 @@
+"""A join that keeps one very common key from landing in one task."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_ROWS = 1_000_000
+MAX_HOT_KEYS = 1_000
+
+
+def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS,
+             max_hot: int = MAX_HOT_KEYS) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows and the number of parts each is to be split into.
+
+    Counts are combined before the shuffle. At most ``max_hot`` keys are returned, the most common
+    ones: the limit on rows doubles until they fit, and it is never more than rows / max_hot.
+    None when no key is hot.
+    """
+    sizes = df.groupBy(*on).agg(F.count("*").alias("__rows")).filter(F.col("__rows") > hot_rows)
+    doublings = F.floor(F.log2(F.col("__rows") / hot_rows)).cast("int").alias("doublings")
+    tally = {r.doublings: r["count"] for r in sizes.groupBy(doublings).count().collect()}
+    if not tally:
+        return None
+    floor = min(tally)
+    while sum(n for d, n in tally.items() if d >= floor) > max_hot:
+        floor += 1
+    limit = hot_rows * 2 ** floor
+    return sizes.filter(F.col("__rows") >= limit).select(
+        *on, F.ceil(F.col("__rows") / limit).cast("int").alias("__parts"))
+
+
+def join_to_unique(left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str],
+                   how: str = "left", hot_rows: int = HOT_ROWS,
+                   max_hot: int = MAX_HOT_KEYS) -> DataFrame:
+    """Join ``left`` to ``right``, which has one row per key, splitting the hot keys of ``left``.
+
+    Rows of a hot key are spread over parts by the hash of ``spread_by``; the one matching row on
+    the right is copied to each part. Keys compare null-safe. ``left`` is read twice.
+    """
+    hot = hot_keys(left, on, hot_rows, max_hot)
+    if hot is None:
+        return _null_safe(left, right, on, how)
+    hot = F.broadcast(hot)
+    parts = F.coalesce(F.col("__parts"), F.lit(1))
+    spread = _null_safe(left, hot, on, "left").withColumn(
+        "__part", F.pmod(F.xxhash64(*spread_by), parts).cast("int")).drop("__parts")
+    copied = _null_safe(right, hot, on, "left").withColumn(
+        "__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return _null_safe(spread, copied, [*on, "__part"], how).drop("__part")
+
+
+def _null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    other = right.select(*(F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in right.columns))
+    same = reduce(lambda a, b: a & b, (left[c].eqNullSafe(other[f"__r_{c}"]) for c in on))
+    joined = left.join(other, same, how)
+    return joined.drop(*(f"__r_{c}" for c in on))
