@@ -21,8 +21,8 @@ TOO_LONG_MESSAGES = ("context_length_exceeded", "maximum context length")
 HTML_MESSAGE = "<!DOCTYPE html>"
 
 # What Python's str.strip removes.
-_WHITE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0       "
-          "         　")
+_WHITE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"
+          + "".join(map(chr, range(0x2000, 0x200b))))
 
 OK, TOO_LONG, HTML, ERROR, MISSING, SKIPPED = "ok", "too_long", "html", "error", "missing", "skipped"
 
