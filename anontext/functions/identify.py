@@ -35,16 +35,17 @@ def check_identified(df: DataFrame, suffix: str = "", true_name: str = "comnam",
                      date_guess: str = "date_guess_raw", parsed_date: str = "date_guess",
                      threshold: int = NAME_THRESHOLD,
                      tolerance_days: int = DATE_TOLERANCE_DAYS, method: str = "lcs",
-                     escape_dots: bool = False) -> DataFrame:
+                     escape_dots: bool = False, similarity: Column | None = None) -> DataFrame:
     """Add the parsed date and, under ``suffix``, similarity, name, date and combined flags.
 
     A text is identified when the name reaches the threshold or the date is close enough; ticker
-    and industry guesses play no part.
+    and industry guesses play no part. A loop may pass the ``similarity`` column it built before.
     """
+    if similarity is None:
+        similarity = name_similarity(F.col(true_name), F.col(name_guess), method, escape_dots)
     scored = df.withColumns({
         parsed_date: parse_iso_date(F.col(date_guess)),
-        f"name_similarity{suffix}": name_similarity(F.col(true_name), F.col(name_guess), method,
-                                                    escape_dots),
+        f"name_similarity{suffix}": similarity,
     })
     flagged = scored.withColumns({
         f"name_guess_correct{suffix}":

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from anontext.functions.text import let
+
 # Legal-form tokens dropped as whole words. The two dotted ones are patterns: the
 # dot stands for any character unless ``escape_dots`` is asked for.
 LEGAL_FORMS = (
@@ -23,11 +25,6 @@ _LIMB = 62
 _ONES = (1 << _LIMB) - 1
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it many times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _legal_form_pattern(escape_dots: bool) -> str:
     dot = r"\." if escape_dots else r"[^\n]"
     words = "|".join(form.replace(".", dot) for form in LEGAL_FORMS)
@@ -51,12 +48,15 @@ def _drop_latin1(text: Column) -> Column:
 
 def _char_masks(chars: Column) -> Column:
     """MAP<char, BIGINT>: at which of the first 62 positions each character stands."""
-    seen = F.array_distinct(chars)
-    return F.map_from_arrays(seen, F.transform(seen, lambda c: F.aggregate(
-        F.transform(chars, lambda x, i: F.when(x == c, F.shiftleft(F.lit(1).cast("bigint"), 0)
-                                               * F.pow(F.lit(2.0), i).cast("bigint"))
-                    .otherwise(F.lit(0).cast("bigint"))),
-        F.lit(0).cast("bigint"), lambda acc, x: acc + x)))
+    zero = F.lit(0).cast("bigint")
+    bits = F.transform(chars, lambda c, i: F.struct(
+        c.alias("c"), F.call_function("shiftleft", F.lit(1).cast("bigint"), i).alias("bit")))
+
+    def masks(bits):
+        seen = F.array_distinct(bits["c"])
+        return F.map_from_arrays(seen, F.transform(seen, lambda c: F.aggregate(
+            bits, zero, lambda mask, b: mask + F.when(b["c"] == c, b["bit"]).otherwise(zero))))
+    return let(bits, masks)
 
 
 def lcs_length(a: Column, b: Column) -> Column:
@@ -71,7 +71,7 @@ def lcs_length(a: Column, b: Column) -> Column:
     def one_limb(masks: Column, other: Column) -> Column:
         def step(v, c):
             hit = v.bitwiseAND(F.coalesce(F.try_element_at(masks, c), zero))
-            return _let(hit, lambda u: (v + u).bitwiseOR(v - u).bitwiseAND(F.lit(_ONES)))
+            return let(hit, lambda u: (v + u).bitwiseOR(v - u).bitwiseAND(F.lit(_ONES)))
         left = F.aggregate(F.split(other, ""), F.lit(_ONES).cast("bigint"), step)
         return F.lit(_LIMB) - F.bit_count(left)
 
@@ -98,18 +98,18 @@ def lcs_length(a: Column, b: Column) -> Column:
 
             rest = F.aggregate(F.split(other, ""), start, step)
             return F.aggregate(rest, F.lit(0), lambda n, v: n + F.lit(_LIMB) - F.bit_count(v))
-        return _let(limbs, run)
+        return let(limbs, run)
 
     def by_length(pair: Column) -> Column:
         short, long = pair["short"], pair["long"]
         return F.when(
             F.length(short) <= _LIMB,
-            _let(F.split(short, ""),
-                 lambda chars: _let(_char_masks(chars), lambda m: one_limb(m, long))),
-        ).otherwise(_let(F.split(short, ""), lambda chars: many_limbs(chars, long)))
+            let(F.split(short, ""),
+                 lambda chars: let(_char_masks(chars), lambda m: one_limb(m, long))),
+        ).otherwise(let(F.split(short, ""), lambda chars: many_limbs(chars, long)))
 
     a_is_short = F.length(a) <= F.length(b)
-    return _let(F.struct(F.when(a_is_short, a).otherwise(b).alias("short"),
+    return let(F.struct(F.when(a_is_short, a).otherwise(b).alias("short"),
                          F.when(a_is_short, b).otherwise(a).alias("long")), by_length)
 
 
@@ -144,7 +144,7 @@ def cleaned_similarity(a: Column, b: Column, method: str = "lcs") -> Column:
                 .when(x == y, F.lit(100))
                 .when((x == "") | (y == ""), F.lit(0))
                 .otherwise(F.bround(F.lit(100.0) * share, 0).cast("int")))
-    return _let(F.struct(a.alias("x"), b.alias("y")), score)
+    return let(F.struct(a.alias("x"), b.alias("y")), score)
 
 
 def name_similarity(true_name: Column, guess: Column, method: str = "lcs",

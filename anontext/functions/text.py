@@ -16,6 +16,14 @@ BATCH_TOKENS_PER_WORD = 2
 SPACE = r"[\s\x1c-\x1f]"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``.
+
+    A lambda evaluates what it refers to anew for every element; a value bound this way is not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def clean_characters(text: Column) -> Column:
     """Drop newlines, single quotes, asterisks and backslashes."""
     return F.translate(text, REMOVED_CHARACTERS, "")

@@ -16,6 +16,7 @@ from pyspark.sql.utils import AnalysisException
 
 from anontext.functions.extract import guess_fields, normalise_answer
 from anontext.functions.identify import check_identified
+from anontext.functions.names import name_similarity
 from anontext.operators.responders import OK, Step
 from anontext.operators.templates import compile_prompt
 from anontext.schema import ARTICLES, STEP_FILE, STEP_TABLE, RunConfig
@@ -85,7 +86,22 @@ def _step_path(root: str, step_no: int) -> str:
     return f"{root}/step_no={step_no}"
 
 
-def attempt_step(texts: DataFrame, step: Step, config: RunConfig, rewriter, guesser) -> DataFrame:
+@dataclass(frozen=True)
+class AuditColumns:
+    """Expressions that are the same at every step, built once."""
+    fields: Column
+    similarity: Column
+
+    @staticmethod
+    def of(config: RunConfig) -> AuditColumns:
+        return AuditColumns(
+            guess_fields(normalise_answer(F.col("guess_response"))),
+            name_similarity(F.col("comnam"), F.col("name_guess"), config.similarity_method,
+                            config.escape_dots))
+
+
+def attempt_step(texts: DataFrame, step: Step, config: RunConfig, rewriter, guesser,
+                 audit: AuditColumns) -> DataFrame:
     """One pass over texts with columns of ``ARTICLES`` plus ``current_text``."""
     prompt = compile_prompt(step.template, texts.columns)
     asked = rewriter.score(texts, prompt, F.col("current_text"), "__rewrite", step)
@@ -98,14 +114,13 @@ def attempt_step(texts: DataFrame, step: Step, config: RunConfig, rewriter, gues
     asked = asked.withColumns({
         "guess_response": F.col("__guess.text"), "guess_status": F.col("__guess.status"),
         "guess_message": F.col("__guess.message"),
-        "__fields": guess_fields(normalise_answer(F.col("__guess.text"))),
-    })
+    }).withColumn("__fields", audit.fields)
     asked = asked.withColumns({
         "ticker_guess": F.col("__fields.ticker"), "name_guess": F.col("__fields.name"),
         "date_guess_raw": F.col("__fields.date"), "industry_guess": F.col("__fields.industry"),
     })
     audited = check_identified(asked, threshold=config.threshold, tolerance_days=config.tolerance_days,
-                               method=config.similarity_method, escape_dots=config.escape_dots)
+                               similarity=audit.similarity)
     identified = F.col("iort_guess_correct")
     if config.strict:
         answered = (F.col("text_status") == OK) & (F.col("guess_status") == OK)
@@ -125,6 +140,7 @@ def run_ladder(articles: DataFrame, config: RunConfig, rewriter, guesser) -> Lad
     root = (f"{config.output_path.rstrip('/')}/steps/run_id={config.run_id}" if keep
             else scratch_path(spark, config.run_id))
     steps = plan_steps(config)
+    audit = AuditColumns.of(config)
     counts: list[StepCount] = []
     if config.resume and keep:
         counts = _counts_so_far(spark, root, steps)
@@ -141,7 +157,8 @@ def run_ladder(articles: DataFrame, config: RunConfig, rewriter, guesser) -> Lad
                 before = spark.read.schema(STEP_FILE).parquet(path)
                 texts = before.select(*ARTICLES.names, F.col("text").alias("current_text"))
             chosen = rewriter[step.kind] if isinstance(rewriter, dict) else rewriter
-            counts.append(_write_step(attempt_step(texts, step, config, chosen, guesser), root, step))
+            attempt = attempt_step(texts, step, config, chosen, guesser, audit)
+            counts.append(_write_step(attempt, root, step))
             if keep:
                 _note_count(spark, root, counts[-1])
     return LadderRun(spark, config, root, counts)

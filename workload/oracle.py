@@ -5,6 +5,7 @@ from __future__ import annotations
 from anontext.operators import templates
 from anontext.operators.budget import EMPTY_ANSWER
 from workload import fixtures as fx
+from workload.queries import SPELLINGS
 
 
 def _quote(text: str) -> str:
@@ -239,6 +240,56 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id DE
   FROM words WHERE word_count * 2 <= 120000) WHERE n = 1"""
 
 
+# --- masking by rules: without look-around, so each pattern runs twice with its neighbours captured ---
+
+_L, _R = "(^|[^\\p{L}\\p{N}_])", "($|[^\\p{L}\\p{N}_])"
+
+
+def _mask(text: str, placeholder: str, pattern: str, options: str = "g") -> str:
+    whole = f"concat('{_L}(?:', {pattern}, '){_R}')"
+    for _ in range(2):
+        text = f"regexp_replace({text}, {whole}, '\\1{placeholder}\\2', '{options}')"
+    return text
+
+
+_M = ("(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?|"
+      "Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\\.?")
+_D = "[0-9]{1,2}(?:st|nd|rd|th)?"
+_T = "[A-Z]{1,5}(?:\\.[A-Z])?"
+_PATTERNS = (
+    ("link_x", "(?i:https?://|ftp://|www\\.)[^ \\t\\r\\n<>\"]*[^ \\t\\r\\n<>\".,;:!?)''\\]]"),
+    ("time_x", "[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?: ?[AaPp]\\.?[Mm]\\.?)?|[0-9]{1,2} ?[AaPp]\\.?[Mm]\\.?"),
+    ("date_x", "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|"
+     f"{_M} {_D}(?:,? [0-9]{{4}})?|{_D} {_M}(?:,? [0-9]{{4}})?|{_M} [0-9]{{4}}"),
+    ("year_x", "(?:FY ?)?(?:19|20)[0-9]{2}"),
+    ("ticker_x", f"SYMBOL(?:: ?| ){_T}|[$>] ?{_T}"),
+    ("number_x", "(?:[$€£] ?)?[0-9]+(?:[.,][0-9]+)*(?:(?: ?(?:%|percent|per cent|percentage points?|basis points?|bps|"
+     "thousand|million|billion|trillion|mn|bn|[kKmMbB]|dollars?|cents?|euros?|USD|EUR|GBP|shares?|units?|"
+     "km|kg|tons?|tonnes?|barrels?|miles?|years?|months?|weeks?|days?|hours?|minutes?))+)?"),
+)
+
+
+def _mask_patterns(text: str, source: str, keys: str) -> str:
+    """A chain of sub-queries, one pattern class each."""
+    query = f"SELECT {keys}, {text} AS t FROM {source}"
+    for placeholder, pattern in _PATTERNS:
+        query = f"SELECT {keys}, {_mask('t', placeholder, _quote(pattern).replace(chr(39) * 4, chr(39) * 2))} AS t FROM ({query})"
+    return query
+
+
+_CORE = "regexp_replace(lower(comnam), ' (?:inc|corp [(]new[)]|holdings ltd|co|technologies plc)$', '')"
+_OWN = _mask("body", "Company_1", f"concat('(?i:', replace({_CORE}, ' ', '[^\\p{{L}}\\p{{N}}_]+'), "
+             f"'(?:,? (?:{FORMS.replace('.', chr(92) + '.')})\\.?)*)')")
+_OWN_TICKER = f"""regexp_replace(regexp_replace(t,
+  concat('(?:SYMBOL(?:: ?| )|[$>] ?)', ticker, '{_R}'), 'ticker_x\\1', 'g'),
+  concat('{_L}', ticker, '{_R}'), '\\1ticker_x\\2', 'g')"""
+
+
+def _rule_mask(body: str) -> str:
+    own = f"SELECT doc_id, ticker, {_OWN} AS t FROM (SELECT doc_id, comnam, ticker, {body} AS body FROM articles)"
+    return f"SELECT doc_id, t AS masked FROM ({_mask_patterns(_OWN_TICKER, f'({own})', 'doc_id')})"
+
+
 def _request(extra: str) -> str:
     return (f"to_json(struct_pack(model := m, messages := [struct_pack(role := 'system', content := 'Guess.'), "
             f"struct_pack(role := 'user', content := comnam)], top_p := 1, frequency_penalty := 0, "
@@ -249,6 +300,15 @@ _MASK_PROMPT = ", ".join(
     _quote(p) if isinstance(p, str) else f"{_quote(p['prefix'])}, {p['column']}, {_quote(p['suffix'])}"
     for p in templates.MASK_TEMPLATE["template"])
 
+# The dictionary names stand in the lead and in the added sentence only; a rival of the same name
+# as the article's firm is that firm.
+ENTITY_MASK = _with(ARTICLES, ("rivals", fx.RIVALS), body="""
+SELECT doc_id, concat('Company_1', substr(body, length(core) + 1, instr(body, ' that ') + 5 - length(core)), 'industry_x',
+  substr(body, instr(body, ' that ') + 6 + length(industry)),
+  ' Its rival ', other, ' lost to ', other, ' Inc in industry_x.') AS masked
+FROM (SELECT *, CASE WHEN rival = lower(core) THEN 'Company_1' ELSE 'Company_2' END AS other
+  FROM (SELECT a.*, rival, substr(body, 1, instr(body, ' ($') - 1) AS core FROM articles a JOIN rivals USING (doc_id)))""")
+
 SQL = {
     "profile": _with(ARTICLES, body="""SELECT count(DISTINCT comnam) AS firms, count(DISTINCT ticker) AS tickers,
       count(DISTINCT industry) AS industries, min(pub_date) AS earliest, max(pub_date) AS latest FROM articles"""),
@@ -306,6 +366,14 @@ SQL = {
       CASE WHEN lang = 'fr' THEN 'error' ELSE 'ok' END AS status,
       CASE WHEN lang = 'fr' THEN 'no French' END AS message FROM documents""",
     "error_table": ERRORS,
+    "rule_mask": _with(ARTICLES, body=_rule_mask(SPELLINGS)),
+    "rule_mask_texts": f"""SELECT origin, doc_id, turn, t AS masked FROM ({_mask_patterns('text', """(
+      SELECT 'documents' AS origin, doc_id, 0::BIGINT AS turn, text FROM documents UNION ALL
+      SELECT 'conversations', conv_id, turn, text FROM conversations)""", 'origin, doc_id, turn')})""",
+    "ladder_with_rules": _with(ARTICLES, body=f"""SELECT doc_id, masked AS neutered_text,
+      'masking_step_0' AS neutered_at_step, 0 AS iort_guess_correct_neutered FROM ({_rule_mask('body')})"""),
+    "entity_mask": ENTITY_MASK,
+    "entity_mask_joined": ENTITY_MASK,
     "robustness_by_model": _with(ARTICLES, ("robust", ROBUST), body="""SELECT model, count(*) AS texts,
       round(100 * avg(cast(right_ AS INTEGER)), 3) AS identification_rate FROM robust GROUP BY model"""),
     "robustness_wide": _with(ARTICLES, ("robust", ROBUST), ("guessed_", f"""

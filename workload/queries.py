@@ -12,10 +12,12 @@ from anontext.functions.names import (clean_name, name_similarity, plain_name_si
 from anontext.functions.text import clean_characters, estimated_tokens, word_count
 from anontext.operators import templates
 from anontext.operators.budget import rolling_tokens, route_by_size, score_batch
+from anontext.operators.entities import mask_entities
 from anontext.operators.requests import build_requests, hosted_request
 from anontext.operators.responders import (ROBUSTNESS, CallableResponder, ContentReplayResponder,
                                            ExpressionResponder, ReplayResponder, Step, policy_for,
                                            request_digest)
+from anontext.operators.rulemask import core_words, mask_article, mask_patterns, rule_rewriter
 from anontext.operators.sampling import first_rows, stable_sample
 from anontext.plans import metrics
 from anontext.plans.ladder import ladder_results, plan_steps, run_ladder
@@ -268,6 +270,58 @@ def errors(spark, sf_dir):
     return out.errors
 
 
+# --- masking by rules ---
+
+# Sentences with every spelling the rules know, appended to each article.
+SPELLINGS = """concat(body, ' SYMBOL:', ticker, ' SYMBOL: ', ticker, ' SYMBOL ', ticker, ' $ ', ticker, ' > ', ticker,
+  ' >', ticker, ' and SYMBOL:ZZTOP, >QQ. See https://example.com/a?b=', cast(doc_id AS {STR}),
+  ' or www.example.org. At 10:', cast(10 + doc_id % 50 AS {STR}), ' am on March 5, 2019, 7 May 2018 and 3/4/2017,',
+  ' sales in FY2016 were $', cast(doc_id AS {STR}), '.50 million, up ', cast(doc_id % 7 AS {STR}), ' percent; ',
+  lower(comnam), ' sold 1,200 units.')"""
+
+
+def _spelled(spark, sf_dir):
+    return _articles(spark, sf_dir).withColumn("body", _sql(SPELLINGS))
+
+
+def rule_mask(spark, sf_dir):
+    return _spelled(spark, sf_dir).select("doc_id", mask_article(
+        F.col("body"), F.col("comnam"), F.col("ticker")).alias("masked"))
+
+
+def rule_mask_texts(spark, sf_dir):
+    """The pattern classes over all documents and conversations as they are."""
+    from_tables = fx.tables(spark, sf_dir, "documents", "conversations")
+    texts = from_tables["documents"].select(F.lit("documents").alias("origin"), "doc_id", F.lit(0).cast("bigint").alias("turn"), "text").unionByName(
+        from_tables["conversations"].select(F.lit("conversations").alias("origin"), F.col("conv_id").alias("doc_id"), "turn", "text"))
+    return texts.select("origin", "doc_id", "turn", mask_patterns(F.col("text")).alias("masked"))
+
+
+def ladder_with_rules(spark, sf_dir):
+    """The ladder with rules as the masker and a reader that only finds what was not masked."""
+    def guess(call):
+        named = F.when(F.contains(F.lower(call.user), F.lower(F.array_join(core_words(F.col("comnam")), " "))), F.col("comnam"))
+        day = F.date_format("pub_date", "yyyy-MM-dd")
+        dated = F.when(call.user.contains(day), day)
+        return F.concat(F.lit("Name Estimate: "), F.coalesce(named, F.lit("NA")),
+                        F.lit(", Date Estimate: "), F.coalesce(dated, F.lit("NA")))
+    config = RunConfig(run_id="rules", paraphrase=False, max_rounds=1)
+    ladder = run_ladder(_articles(spark, sf_dir), config, rule_rewriter(), ExpressionResponder(guess))
+    return ladder_results(ladder).select("doc_id", "neutered_text", "neutered_at_step", "iort_guess_correct_neutered")
+
+
+def _entity_mask(**limits):
+    def query(spark, sf_dir):
+        part = fx.tables(spark, sf_dir, "part")["part"]
+        dictionary = part.select(F.col("p_name").alias("surface"), F.lit("company").alias("kind"),
+                                 F.col("p_name").alias("entity")).unionByName(
+            part.select(F.col("p_type").alias("surface"), F.lit("industry").alias("kind"), F.lit("").alias("entity")))
+        texts = _articles(spark, sf_dir).join(fx.rivals(spark, sf_dir), "doc_id").withColumn(
+            "text", _sql("concat(body, ' Its rival ', rival, ' lost to ', upper(rival), ' Inc in ', lower(industry), '.')"))
+        return mask_entities(texts, dictionary, "text", "comnam", "masked", **limits).select("doc_id", "masked")
+    return query
+
+
 # --- robustness ---
 
 def _model_guesser():
@@ -419,6 +473,11 @@ QUERIES = {
     "replay_by_content": replay_by_content,
     "callable_responder": callable_responder,
     "error_table": errors,
+    "rule_mask": rule_mask,
+    "rule_mask_texts": rule_mask_texts,
+    "ladder_with_rules": ladder_with_rules,
+    "entity_mask": _entity_mask(),
+    "entity_mask_joined": _entity_mask(max_surfaces=0),
     "robustness_by_model": robustness_by_model,
     "robustness_wide": robustness_wide,
     "token_budget": token_budget,
