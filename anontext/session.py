@@ -32,8 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local master may fall back to a folder of this machine.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

@@ -1,0 +1,115 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from anontext.operators.responders import ROBUSTNESS, ExpressionResponder
+from anontext.plans.robustness import audit_models, guess_with_models, rate_by_model, wide_guesses
+from anontext.schema import conform_articles, parse_mixed_date, require_unique
+from anontext.session import shared_dir
+from anontext.sources.articles import ingest_csv, read_csv, write_csv
+from anontext.sources.results import combine_csv, combine_runs, write_stage
+
+HEADER = ",Body Text,COMNAM,Companies,SIC_Industry,Date\n"
+
+
+def _csv(folder, text, name="in.csv"):
+    with open(f"{folder}/{name}", "w") as f:
+        f.write(text)
+    return f"{folder}/{name}"
+
+
+def test_ingest_gives_stable_unique_ids(spark, folder):
+    path = _csv(folder, HEADER + '0,"line one\nsaid ""yes"", ok",Blue Bolt,BLBO,Retail,2024-01-05\n'
+                                 '1,,NA,,N/A,01/31/2024 10:30\n')
+    articles = ingest_csv(spark, path, f"{folder}/out")
+    rows = sorted(articles.collect(), key=lambda r: r.pub_date)
+    assert rows[0].body == 'line one\nsaid "yes", ok' and rows[0].pub_date == dt.datetime(2024, 1, 5)
+    assert (rows[1].body, rows[1].comnam, rows[1].ticker, rows[1].industry) == (None,) * 4
+    assert rows[1].pub_date == dt.datetime(2024, 1, 31, 10, 30)
+    assert len({r.doc_id for r in rows}) == 2
+    assert sorted(articles.collect()) == sorted(articles.collect())
+
+
+def test_row_numbers_left_by_a_writer_can_be_the_key(spark, folder):
+    path = _csv(folder, HEADER + "7,t,Blue Bolt,BLBO,Retail,2024-01-05\n")
+    assert ingest_csv(spark, path, f"{folder}/out", key="row").first().doc_id == 7
+
+
+def test_missing_columns_and_bad_dates_stop_early(spark, folder):
+    path = _csv(folder, "Body Text,COMNAM\nx,y\n")
+    with pytest.raises(ValueError, match="Companies"):
+        ingest_csv(spark, path, f"{folder}/out")
+    bad = spark.createDataFrame([(1, "t", "c", "k", "i", "soon")],
+                                "doc_id bigint, body string, comnam string, ticker string, industry string, pub_date string")
+    with pytest.raises(Exception, match="unreadable date"):
+        conform_articles(bad).collect()
+    assert conform_articles(bad, strict_dates=False).first().pub_date is None
+
+
+def test_repeated_keys_are_refused(spark):
+    with pytest.raises(ValueError, match="unique"):
+        require_unique(spark.createDataFrame([(1,), (1,)], "doc_id bigint"))
+
+
+@pytest.mark.parametrize("text, want", [
+    ("2024-01-05", dt.datetime(2024, 1, 5)), ("2024-01-05T10:11:12.5", dt.datetime(2024, 1, 5, 10, 11, 12, 500000)),
+    ("1/5/2024", dt.datetime(2024, 1, 5)), ("Jan 5, 2024", dt.datetime(2024, 1, 5)), ("5 January 2024", dt.datetime(2024, 1, 5)),
+    ("20240105", dt.datetime(2024, 1, 5)), ("whenever", None), (None, None)])
+def test_mixed_dates(spark, text, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(parse_mixed_date(F.col("t")).alias("d")).first().d == want
+
+
+def test_csv_keeps_quotes_breaks_and_blanks(spark, folder):
+    df = spark.createDataFrame([(1, ' a "b"\n\\c, ')], "doc_id bigint, body string")
+    write_csv(df, f"{folder}/x")
+    back = read_csv(spark, f"{folder}/x")
+    assert back.columns == ["doc_id", "Body Text"] and back.first()["Body Text"] == ' a "b"\n\\c, '
+
+
+def test_combining(spark, folder):
+    assert combine_runs(spark, folder, all_runs=True) is None and combine_csv(spark, []) is None
+    one = spark.createDataFrame([(1, "a")], "doc_id bigint, x string")
+    two = spark.createDataFrame([(2, "b")], "doc_id bigint, y string")
+    write_stage(one, folder, "one", "final")
+    write_stage(two, folder, "two", "final")
+    write_stage(two, folder, "two", "final")
+    every = combine_runs(spark, folder, all_runs=True)
+    assert sorted((r.run_id, r.doc_id, r.x, r.y) for r in every.collect()) == [("one", 1, "a", None), ("two", 2, None, "b")]
+    assert [r.doc_id for r in combine_runs(spark, folder, ["two"]).collect()] == [2]
+    with pytest.raises(ValueError):
+        combine_runs(spark, folder)
+
+
+def test_models_are_compared(spark):
+    texts = spark.createDataFrame([(1, "x", "Blue Bolt"), (2, "", "Blue Bolt"), (3, None, "Blue Bolt")],
+                                  "doc_id bigint, neutered_text string, comnam string").withColumn(
+        "pub_date", F.lit("2024-01-01").cast("timestamp_ntz"))
+    guesser = ExpressionResponder(lambda call: F.when(F.col("model") == "good", F.lit("Name Estimate: Blue Bolt Inc"))
+                                  .otherwise(F.lit(" ")), ROBUSTNESS)
+    guesses = guess_with_models(texts, ["good", "bad"], guesser)
+    rates = {r.model: (r.texts, r.identification_rate) for r in rate_by_model(audit_models(guesses)).collect()}
+    assert rates == {"good": (3, 33.333), "bad": (3, 0.0)}
+    wide = {r.doc_id: r for r in wide_guesses(guesses, ["good", "bad"]).collect()}
+    assert wide[1].name_guess_good == "Blue Bolt Inc" and wide[1].guess_response_bad is None
+    assert wide[2].guess_response_good is None and wide[2].name_guess_good == "NA"
+
+
+class _Session:
+    """Just enough of a session to ask for its settings."""
+
+    def __init__(self, master, folder):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = self
+        self.master, self.applicationId = master, "app"
+
+    def getConf(self):
+        return self.conf
+
+
+def test_shared_folder_comes_from_the_session(spark):
+    assert shared_dir(_Session("spark://host:7077", "/shared/place/")) == "/shared/place"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(_Session("yarn", None))
+    assert shared_dir(spark) == shared_dir(spark)
