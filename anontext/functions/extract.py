@@ -41,7 +41,7 @@ _INFINITY = "^(?i)[+-]?inf(?:inity)?$"
 
 def normalise_answer(answer: Column) -> Column:
     """Remove markdown marks, make every run of white space one space, trim."""
-    return F.trim(F.regexp_replace(F.translate(answer, "*`_", ""), f"(?U){SPACE}+", " "))
+    return F.trim(F.regexp_replace(F.translate(answer, "*`_", ""), f"{SPACE}+", " "))
 
 
 def blank_to_na(value: Column) -> Column:

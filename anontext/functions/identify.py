@@ -30,28 +30,32 @@ def date_guess_correct(true_date: Column, guess: Column,
     return F.when(gap <= F.make_dt_interval(days=F.lit(tolerance_days)), F.lit(1)).otherwise(F.lit(0))
 
 
+def identification_flags(similarity: Column, true_date: Column, parsed_date: Column,
+                         threshold: int = NAME_THRESHOLD,
+                         tolerance_days: int = DATE_TOLERANCE_DAYS) -> dict[str, Column]:
+    """Name right, date right, and either of them, each 1 or 0.
+
+    The name is right when the similarity reaches the threshold. Ticker and industry guesses play
+    no part.
+    """
+    by_name = F.when(similarity >= threshold, F.lit(1)).otherwise(F.lit(0))
+    by_date = date_guess_correct(true_date, parsed_date, tolerance_days)
+    return {"name_guess_correct": by_name, "date_guess_correct": by_date,
+            "iort_guess_correct": F.greatest(by_name, by_date)}
+
+
 def check_identified(df: DataFrame, suffix: str = "", true_name: str = "comnam",
                      true_date: str = "pub_date", name_guess: str = "name_guess",
                      date_guess: str = "date_guess_raw", parsed_date: str = "date_guess",
                      threshold: int = NAME_THRESHOLD,
                      tolerance_days: int = DATE_TOLERANCE_DAYS, method: str = "lcs",
-                     escape_dots: bool = False, similarity: Column | None = None) -> DataFrame:
-    """Add the parsed date and, under ``suffix``, similarity, name, date and combined flags.
-
-    A text is identified when the name reaches the threshold or the date is close enough; ticker
-    and industry guesses play no part. A loop may pass the ``similarity`` column it built before.
-    """
-    if similarity is None:
-        similarity = name_similarity(F.col(true_name), F.col(name_guess), method, escape_dots)
+                     escape_dots: bool = False) -> DataFrame:
+    """Add the parsed date and, under ``suffix``, similarity, name, date and combined flags."""
+    similarity = f"name_similarity{suffix}"
     scored = df.withColumns({
         parsed_date: parse_iso_date(F.col(date_guess)),
-        f"name_similarity{suffix}": similarity,
-    })
-    flagged = scored.withColumns({
-        f"name_guess_correct{suffix}":
-            F.when(F.col(f"name_similarity{suffix}") >= threshold, 1).otherwise(0),
-        f"date_guess_correct{suffix}":
-            date_guess_correct(F.col(true_date), F.col(parsed_date), tolerance_days),
+        similarity: name_similarity(F.col(true_name), F.col(name_guess), method, escape_dots),
     })
-    either = (F.col(f"name_guess_correct{suffix}") == 1) | (F.col(f"date_guess_correct{suffix}") == 1)
-    return flagged.withColumn(f"iort_guess_correct{suffix}", F.when(either, 1).otherwise(0))
+    flags = identification_flags(F.col(similarity), F.col(true_date), F.col(parsed_date), threshold,
+                                 tolerance_days)
+    return scored.withColumns({f"{name}{suffix}": flag for name, flag in flags.items()})

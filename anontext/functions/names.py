@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anontext.functions.text import let
+from anontext.functions.text import SPACE, SPACES, let
 
 # Legal-form tokens dropped as whole words. The two dotted ones are patterns: the
 # dot stands for any character unless ``escape_dots`` is asked for.
@@ -37,9 +37,9 @@ def clean_name(name: Column, escape_dots: bool = False) -> Column:
     """Lower-case, drop bracketed parts, punctuation, legal forms and all spaces, in that order."""
     keep = r"\p{L}\p{N}_"
     bare = F.regexp_replace(F.lower(name), r"\([^)]*\)", "")
-    bare = F.regexp_replace(bare, rf"(?U)[^{keep}\s\x1c-\x1f]", "")
+    bare = F.regexp_replace(bare, f"[^{keep}{SPACES}]", "")
     bare = F.regexp_replace(bare, _legal_form_pattern(escape_dots), "")
-    return F.regexp_replace(bare, r"(?U)[\s\x1c-\x1f]+", "")
+    return F.regexp_replace(bare, f"{SPACE}+", "")
 
 
 def _drop_latin1(text: Column) -> Column:

@@ -12,8 +12,9 @@ REMOVED_CHARACTERS = "\n'*\\"
 TOKENS_PER_WORD = 1.45
 BATCH_TOKENS_PER_WORD = 2
 
-# White space as Python sees it: the Unicode property plus the four information separators.
-SPACE = r"[\s\x1c-\x1f]"
+# White space as Python sees it, spelled out: cheaper to match than the Unicode property.
+SPACES = r"\s\x1c-\x1f\x85\xa0  -     　"
+SPACE = f"[{SPACES}]"
 
 
 def let(value: Column, body) -> Column:
@@ -31,9 +32,7 @@ def clean_characters(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of runs of non-space characters; 0 for empty or blank text, null for null."""
-    bare = F.trim(F.regexp_replace(text, f"(?U){SPACE}+", " "))
-    return F.when(bare == "", F.lit(0)).otherwise(
-        F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1)
+    return F.regexp_count(text, F.lit(f"[^{SPACES}]+"))
 
 
 def estimated_tokens(words: Column, per_word: float = TOKENS_PER_WORD) -> Column:

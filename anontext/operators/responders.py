@@ -99,9 +99,9 @@ class ExpressionResponder:
               step: Step | None = None) -> DataFrame:
         made = self.build(Call(system, user, step))
         text, error = made if isinstance(made, tuple) else (made, F.lit(None).cast("string"))
-        return (df.withColumns({"__text": text, "__error": error})
-                .withColumn(into, answer_struct(F.col("__text"), F.col("__error"), user, self.policy))
-                .drop("__text", "__error"))
+        answer = answer_struct(F.col("__text"), F.col("__error"), user, self.policy)
+        return (df.select("*", text.alias("__text"), error.alias("__error"))
+                .select(*(f"`{c}`" for c in df.columns), answer.alias(into)))
 
 
 @dataclass(frozen=True)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from anontext.functions.extract import guess_fields, normalise_answer
-from anontext.functions.identify import check_identified
+from anontext.functions.identify import identification_flags, parse_iso_date
 from anontext.functions.names import name_similarity
 from anontext.operators.responders import OK, Step
 from anontext.operators.templates import compile_prompt
@@ -91,13 +91,34 @@ class AuditColumns:
     """Expressions that are the same at every step, built once."""
     fields: Column
     similarity: Column
+    date: Column
+    attempt: list[Column]
 
     @staticmethod
     def of(config: RunConfig) -> AuditColumns:
+        fields, similarity, date = F.col("__fields"), F.col("name_similarity"), F.col("date_guess")
+        flags = identification_flags(similarity, F.col("pub_date"), date, config.threshold,
+                                     config.tolerance_days)
+        identified = flags.pop("iort_guess_correct")
+        if config.strict:
+            answered = (F.col("__rewrite.status") == OK) & (F.col("__guess.status") == OK)
+            identified = F.when(answered, identified).otherwise(F.lit(1))
         return AuditColumns(
-            guess_fields(normalise_answer(F.col("guess_response"))),
-            name_similarity(F.col("comnam"), F.col("name_guess"), config.similarity_method,
-                            config.escape_dots))
+            fields=guess_fields(normalise_answer(F.col("__guess.text"))),
+            similarity=name_similarity(F.col("comnam"), fields["name"], config.similarity_method,
+                                       config.escape_dots),
+            date=parse_iso_date(fields["date"]),
+            attempt=[
+                F.col("__rewrite.text").alias("text"), F.col("__rewrite.status").alias("text_status"),
+                F.col("__rewrite.message").alias("text_message"),
+                F.col("__guess.text").alias("guess_response"),
+                F.col("__guess.status").alias("guess_status"),
+                F.col("__guess.message").alias("guess_message"),
+                fields["ticker"].alias("ticker_guess"), fields["name"].alias("name_guess"),
+                fields["date"].alias("date_guess_raw"), date,
+                fields["industry"].alias("industry_guess"), similarity,
+                *(flag.alias(name) for name, flag in flags.items()), identified.alias("identified"),
+            ])
 
 
 def attempt_step(texts: DataFrame, step: Step, config: RunConfig, rewriter, guesser,
@@ -105,28 +126,12 @@ def attempt_step(texts: DataFrame, step: Step, config: RunConfig, rewriter, gues
     """One pass over texts with columns of ``ARTICLES`` plus ``current_text``."""
     prompt = compile_prompt(step.template, texts.columns)
     asked = rewriter.score(texts, prompt, F.col("current_text"), "__rewrite", step)
-    asked = asked.withColumns({
-        "text": F.col("__rewrite.text"), "text_status": F.col("__rewrite.status"),
-        "text_message": F.col("__rewrite.message"),
-    }).drop("__rewrite", "current_text")
     guess_prompt = compile_prompt(config.guess_prompt, texts.columns)
-    asked = guesser.score(asked, guess_prompt, F.col("text"), "__guess", step)
-    asked = asked.withColumns({
-        "guess_response": F.col("__guess.text"), "guess_status": F.col("__guess.status"),
-        "guess_message": F.col("__guess.message"),
-    }).withColumn("__fields", audit.fields)
-    asked = asked.withColumns({
-        "ticker_guess": F.col("__fields.ticker"), "name_guess": F.col("__fields.name"),
-        "date_guess_raw": F.col("__fields.date"), "industry_guess": F.col("__fields.industry"),
-    })
-    audited = check_identified(asked, threshold=config.threshold, tolerance_days=config.tolerance_days,
-                               similarity=audit.similarity)
-    identified = F.col("iort_guess_correct")
-    if config.strict:
-        answered = (F.col("text_status") == OK) & (F.col("guess_status") == OK)
-        identified = F.when(answered, identified).otherwise(F.lit(1))
-    extra = {"round": F.lit(step.round), "kind": F.lit(step.kind), "identified": identified}
-    return audited.withColumns(extra).select(*STEP_FILE.names, "identified")
+    asked = guesser.score(asked, guess_prompt, F.col("__rewrite.text"), "__guess", step)
+    return (asked.withColumn("__fields", audit.fields)
+            .select("*", audit.similarity.alias("name_similarity"), audit.date.alias("date_guess"))
+            .select(*ARTICLES.names, F.lit(step.round).alias("round"), F.lit(step.kind).alias("kind"),
+                    *audit.attempt))
 
 
 def run_ladder(articles: DataFrame, config: RunConfig, rewriter, guesser) -> LadderRun:

@@ -43,6 +43,10 @@ def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.articles(spark, sf_dir)
 
 
+def _spread_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spread(_articles(spark, sf_dir), fx.tables(spark, sf_dir, "documents")["documents"])
+
+
 def _sql(text: str) -> Column:
     return F.expr(fx.for_spark(text))
 
@@ -145,8 +149,7 @@ def scripted_scorer():
 
 
 def scripted_ladder(spark, sf_dir, **options):
-    documents = fx.tables(spark, sf_dir, "documents")["documents"]
-    texts = _spread(_articles(spark, sf_dir), documents)
+    texts = _spread_articles(spark, sf_dir)
     return run_ladder(texts, RunConfig(run_id="scripted", **options), scripted_rewriter(),
                       scripted_guesser())
 
@@ -188,7 +191,7 @@ def wide_attempts(spark, sf_dir):
 
 def sentiment_both(spark, sf_dir):
     config = RunConfig(run_id="scripted", max_rounds=1)
-    out = run(_articles(spark, sf_dir), config, scripted_rewriter(), scripted_guesser(),
+    out = run(_spread_articles(spark, sf_dir), config, scripted_rewriter(), scripted_guesser(),
               scripted_scorer())
     return out.results.select("doc_id", "iort_guess_correct_neutered", "direction_neut",
                               "magnitude_neut", "direction", "magnitude")
@@ -281,7 +284,7 @@ SPELLINGS = """concat(body, ' SYMBOL:', ticker, ' SYMBOL: ', ticker, ' SYMBOL ',
 
 
 def _spelled(spark, sf_dir):
-    return _articles(spark, sf_dir).withColumn("body", _sql(SPELLINGS))
+    return _spread_articles(spark, sf_dir).withColumn("body", _sql(SPELLINGS))
 
 
 def rule_mask(spark, sf_dir):
@@ -316,7 +319,7 @@ def _entity_mask(**limits):
         dictionary = part.select(F.col("p_name").alias("surface"), F.lit("company").alias("kind"),
                                  F.col("p_name").alias("entity")).unionByName(
             part.select(F.col("p_type").alias("surface"), F.lit("industry").alias("kind"), F.lit("").alias("entity")))
-        texts = _articles(spark, sf_dir).join(fx.rivals(spark, sf_dir), "doc_id").withColumn(
+        texts = _spread_articles(spark, sf_dir).join(fx.rivals(spark, sf_dir), "doc_id").withColumn(
             "text", _sql("concat(body, ' Its rival ', rival, ' lost to ', upper(rival), ' Inc in ', lower(industry), '.')"))
         return mask_entities(texts, dictionary, "text", "comnam", "masked", **limits).select("doc_id", "masked")
     return query
@@ -354,6 +357,7 @@ def robustness_wide(spark, sf_dir):
 
 def _batch_rows(spark, sf_dir):
     docs = fx.tables(spark, sf_dir, "documents")["documents"]
+    docs = _spread(docs, docs)
     words = word_count(F.col("text")) * F.when(F.col("doc_id") % 5 == 0, 60).otherwise(1)
     return docs.select("doc_id", F.col("source").alias("name"), "text",
                        F.when(F.col("doc_id") % 31 == 0, 0).otherwise(words).cast("int").alias("word_count"))
