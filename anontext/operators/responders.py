@@ -14,16 +14,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from anontext.functions.text import strip
 from anontext.operators.skew import join_to_unique
 
 # Parts of error messages that lose the answer (null) rather than empty it.
 TOO_LONG_MESSAGES = ("context_length_exceeded", "maximum context length")
 HTML_MESSAGE = "<!DOCTYPE html>"
 
-# What Python's str.strip removes.
-_WHITE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"
-          + "".join(map(chr, range(0x2000, 0x200b))))
-
 OK, TOO_LONG, HTML, ERROR, MISSING, SKIPPED = "ok", "too_long", "html", "error", "missing", "skipped"
 
 
@@ -63,10 +60,6 @@ def policy_for(provider: str) -> Policy:
     return LOCAL if provider.strip().lower() == "ollama" else HOSTED
 
 
-def strip(text: Column) -> Column:
-    return F.btrim(text, F.lit(_WHITE))
-
-
 def error_status(message: Column) -> Column:
     too_long = message.contains(TOO_LONG_MESSAGES[0]) | message.contains(TOO_LONG_MESSAGES[1])
     return (F.when(too_long, F.lit(TOO_LONG)).when(message.contains(HTML_MESSAGE), F.lit(HTML))
