@@ -173,20 +173,21 @@ def token_sorted(text: Column) -> Column:
 
 
 def similarity_by_pair(df: DataFrame, true_name: str, guess: str, into: str = "name_similarity",
-                       method: str = "lcs", escape_dots: bool = False,
-                       max_pairs: int = 200_000) -> DataFrame:
+                       method: str = "lcs", escape_dots: bool = False, max_pairs: int = 100_000,
+                       max_bytes: int = 16 << 20) -> DataFrame:
     """Add the similarity, computing each distinct pair once where there are few.
 
-    Counting stops just past ``max_pairs``. Up to that bound the pair table is small enough to
-    broadcast, so wide rows never move; beyond it the similarity is computed in place, row by
-    row, and nothing moves either. ``df`` is read twice: give a stored table.
+    Pairs are counted and measured up to just past ``max_pairs``. Within both limits the pair
+    table is broadcast, so wide rows never move; beyond them the similarity is computed in place,
+    row by row, and nothing moves either. ``df`` is read twice: give a stored table.
     """
     pairs = df.select(true_name, guess).distinct()
-    if pairs.limit(max_pairs + 1).count() > max_pairs:
-        return df.withColumn(into, name_similarity(F.col(true_name), F.col(guess), method, escape_dots))
-    scored = pairs.select(
-        F.col(true_name).alias("__t"), F.col(guess).alias("__g"),
-        name_similarity(F.col(true_name), F.col(guess), method, escape_dots).alias(into))
+    length = F.coalesce(F.octet_length(true_name), F.lit(0)) + F.coalesce(F.octet_length(guess), F.lit(0))
+    size = pairs.limit(max_pairs + 1).agg(F.count(F.lit(1)).alias("pairs"), F.sum(length).alias("bytes")).first()
+    score = name_similarity(F.col(true_name), F.col(guess), method, escape_dots)
+    if size["pairs"] > max_pairs or (size["bytes"] or 0) > max_bytes:
+        return df.withColumn(into, score)
+    scored = pairs.select(F.col(true_name).alias("__t"), F.col(guess).alias("__g"), score.alias(into))
     return df.join(F.broadcast(scored),
                    df[true_name].eqNullSafe(scored["__t"]) & df[guess].eqNullSafe(scored["__g"]),
                    "left").drop("__t", "__g")

@@ -95,14 +95,19 @@ def _build_masker():
 
 def mask_entities(df: DataFrame, dictionary: DataFrame, text: str, name: str, into: str,
                   key: str = "doc_id", max_surfaces: int = MAX_SURFACES,
-                  max_bytes: int = MAX_BYTES, hot_rows: int = 1_000_000) -> DataFrame:
-    """Add ``into``, the text with dictionary names masked. ``key`` is unique."""
+                  max_bytes: int = MAX_BYTES, hot_rows: int = 1_000_000,
+                  probe_share: float = 0.01) -> DataFrame:
+    """Add ``into``, the text with dictionary names masked. ``key`` is unique.
+
+    On the joined way, a random share of the texts tells which word groups are too common for one
+    task.
+    """
     surfaces = normalise_surfaces(dictionary)
     size = surfaces.agg(F.count(F.lit(1)).alias("rows"),
                         F.coalesce(F.sum(F.octet_length("surface")), F.lit(0)).alias("bytes")).first()
     if size["rows"] <= max_surfaces and size["bytes"] <= max_bytes:
         return _mask_in_place(df, surfaces, text, name, into)
-    return _mask_by_join(df, surfaces, text, name, into, key, hot_rows)
+    return _mask_by_join(df, surfaces, text, name, into, key, hot_rows, probe_share)
 
 
 def _mask_in_place(df: DataFrame, surfaces: DataFrame, text: str, name: str, into: str) -> DataFrame:
@@ -134,13 +139,18 @@ def _groups(text: Column, lengths: list[int]) -> Column:
 
 
 def _mask_by_join(df: DataFrame, surfaces: DataFrame, text: str, name: str, into: str, key: str,
-                  hot_rows: int) -> DataFrame:
+                  hot_rows: int, probe_share: float) -> DataFrame:
     lengths = sorted(r[0] for r in surfaces.select("n_words").distinct().collect())
     if not lengths:
         lengths = [1]
-    groups = df.select(key, F.explode(_groups(F.col(text), lengths)).alias("surface"))
-    # Only the few groups that are spellings survive, so what is regrouped by text is small.
-    held = join_to_unique(groups, surfaces.drop("n_words"), ["surface"], [key], "inner", hot_rows)
+
+    def grouped(texts: DataFrame) -> DataFrame:
+        return texts.select(key, F.explode(_groups(F.col(text), lengths)).alias("surface"))
+
+    # A text lists a group once, so even the commonest has at most one row per text. Only the few groups that are spellings survive, so what is regrouped by text is small.
+    probe = grouped(df.select(key, text).sample(probe_share, seed=1)) if probe_share < 1 else None
+    held = join_to_unique(grouped(df), surfaces.drop("n_words"), ["surface"], [key], "inner", hot_rows,
+                          probe=probe, probe_share=probe_share)
     per_text = held.groupBy(key).agg(F.collect_list(F.struct("surface", "kind", "entity")).alias("__held"))
     index, mask = _build_masker()
 

@@ -207,3 +207,21 @@ class CallableResponder:
         asked = df.withColumn("__made", call.asNondeterministic()(system, user_or_null))
         made = F.col("__made")
         return asked.withColumn(into, answer_struct(made["text"], made["error"], user, self.policy)).drop("__made")
+
+
+@dataclass(frozen=True)
+class WrappedResponder:
+    """Another responder with Column functions around it, such as ``clean_characters``.
+
+    ``prepare`` changes the user text on its way in and ``finish`` the answer on its way out.
+    """
+    inner: object
+    prepare: Callable[[Column], Column] | None = None
+    finish: Callable[[Column], Column] | None = None
+
+    def score(self, df: DataFrame, system: Column, user: Column, into: str,
+              step: Step | None = None) -> DataFrame:
+        scored = self.inner.score(df, system, self.prepare(user) if self.prepare else user, into, step)
+        if self.finish is None:
+            return scored
+        return scored.withColumn(into, F.col(into).withField("text", self.finish(F.col(into)["text"])))

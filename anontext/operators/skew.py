@@ -33,14 +33,17 @@ def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS,
 
 
 def join_to_unique(left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str],
-                   how: str = "left", hot_rows: int = HOT_ROWS,
-                   max_hot: int = MAX_HOT_KEYS) -> DataFrame:
+                   how: str = "left", hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT_KEYS,
+                   probe: DataFrame | None = None, probe_share: float = 1.0) -> DataFrame:
     """Join ``left`` to ``right``, which has one row per key, splitting the hot keys of ``left``.
 
     Rows of a hot key are spread over parts by the hash of ``spread_by``; the one matching row on
-    the right is copied to each part. Keys compare null-safe. ``left`` is read twice.
+    the right is copied to each part. Keys compare null-safe. Hot keys are counted on ``left``, or
+    on a ``probe`` that holds a random share of it: which keys are split changes where rows go and
+    never what comes out.
     """
-    hot = hot_keys(left, on, hot_rows, max_hot)
+    counted = left if probe is None else probe
+    hot = hot_keys(counted, on, max(1, int(hot_rows * probe_share)), max_hot)
     if hot is None:
         return _null_safe(left, right, on, how)
     hot = F.broadcast(hot)

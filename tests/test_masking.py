@@ -57,7 +57,8 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_surfaces": 0}, {"max_surfaces": 0, "hot_rows": 1}])
+@pytest.mark.parametrize("limits", [{}, {"max_surfaces": 0}, {"max_surfaces": 0, "hot_rows": 1, "probe_share": 1.0},
+                                    {"max_surfaces": 0, "hot_rows": 1, "probe_share": 0.5}])
 def test_entities_both_ways(spark, limits):
     dictionary = spark.createDataFrame(DICTIONARY, "surface string, kind string, entity string")
     texts = spark.createDataFrame([t[:3] for t in TEXTS], "doc_id bigint, comnam string, text string")
