@@ -419,6 +419,19 @@ SQL = {
         max_tokens := 16384, reset := true)))::varchar AS request FROM articles"""),
     "csv_round_trip": _with(ARTICLES, body="SELECT doc_id, body, comnam, ticker, industry, pub_date FROM articles"),
     "mixed_dates": _with(ARTICLES, body="SELECT doc_id, pub_date FROM articles"),
+    "batch_job": _with(*_finished("mp", 1), body="""
+      SELECT 'firms' AS fact, cast(count(DISTINCT comnam) AS DOUBLE) AS value FROM done
+      UNION ALL SELECT 'industries', count(DISTINCT industry) FROM done
+      UNION ALL SELECT 'identification_rate', round(100 * avg(identified), 3) FROM done
+      UNION ALL SELECT neutered_at_step, count(*) FROM done GROUP BY neutered_at_step
+      UNION ALL SELECT 'bullish', count(*) FILTER (length(body) % 2 = 1) FROM done"""),
+    "offline_requests": _with(ARTICLES, body=f"""SELECT doc_id, 1 AS step_no, to_json(struct_pack(
+      model := 'gpt-4o-mini', messages := [struct_pack(role := 'system', content := {_quote(templates.GUESS_PROMPT)}),
+        struct_pack(role := 'user', content := comnam)], top_p := 1, frequency_penalty := 0,
+      presence_penalty := 0, logprobs := false, temperature := 0, max_tokens := 16384))::varchar AS request
+      FROM articles"""),
+    "wrapped_responder": """SELECT doc_id, regexp_replace(replace(replace(replace(replace(
+      text, chr(10), ''), chr(39), ''), '*', ''), chr(92), ''), '\\s+$', '') AS text FROM documents""",
     "stable_sample": _with(ARTICLES, body="""SELECT doc_id, comnam, body FROM articles
       ORDER BY md5(concat('7:', doc_id)) LIMIT 50"""),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +18,13 @@ from anontext.operators.entities import mask_entities
 from anontext.operators.requests import build_requests, hosted_request
 from anontext.operators.responders import (ROBUSTNESS, CallableResponder, ContentReplayResponder,
                                            ExpressionResponder, ReplayResponder, Step, policy_for,
-                                           request_digest)
+                                           WrappedResponder, request_digest)
 from anontext.operators.rulemask import core_words, mask_article, mask_patterns, rule_rewriter
 from anontext.operators.sampling import first_rows, stable_sample
 from anontext.plans import metrics
+from anontext.plans.batch import run_batch
 from anontext.plans.ladder import ladder_results, plan_steps, run_ladder
+from anontext.plans.offline import guess_requests
 from anontext.plans.pipeline import run
 from anontext.plans.robustness import audit_models, guess_with_models, rate_by_model, wide_guesses
 from anontext.schema import RunConfig, conform_articles
@@ -441,6 +445,37 @@ def combined_csv(spark, sf_dir):
     return combine_csv(spark, [f"{path}/a", f"{path}/b"])
 
 
+def batch_job(spark, sf_dir):
+    """CSV in; profile, counts by step, rate and sentiment out, one fact per row."""
+    path = scratch_path(spark, "batch")
+    write_csv(_articles(spark, sf_dir), f"{path}/in")
+    report = run_batch(spark, f"{path}/in", RunConfig(run_id="batch", max_rounds=1, output_path=f"{path}/out"),
+                       scripted_rewriter(), scripted_guesser(), scripted_scorer(),
+                       csv_into=f"{path}/articles", key="doc_id")
+    facts = [report.profile.select(F.lit("firms").alias("fact"), F.col("firms").cast("double").alias("value")),
+             report.profile.select(F.lit("industries"), F.col("industries").cast("double")),
+             report.rate.select(F.lit("identification_rate"), "identification_rate"),
+             report.summary.select("neutered_at_step", F.col("texts").cast("double")),
+             report.output.results.agg(F.count_if(F.col("direction") == "1").cast("double").alias("n")).select(
+                 F.lit("bullish"), "n")]
+    return reduce(lambda a, b: a.union(b), facts)
+
+
+def offline_requests(spark, sf_dir):
+    """Guess requests of every article for a hosted model, as one JSON document each."""
+    config = RunConfig(provider="openai", model_name="gpt-4o-mini")
+    return guess_requests(_articles(spark, sf_dir), config, "comnam", plan_steps(config)[1])
+
+
+def wrapped_responder(spark, sf_dir):
+    """Texts cleaned on the way in, answers on the way out."""
+    echo = ExpressionResponder(lambda call: F.concat(F.lit("*'"), call.user))
+    docs = fx.tables(spark, sf_dir, "documents")["documents"]
+    scored = WrappedResponder(echo, clean_characters, clean_characters).score(
+        docs, F.lit(""), F.col("text"), "answer")
+    return scored.select("doc_id", F.col("answer.text").alias("text"))
+
+
 def random_sample(spark, sf_dir):
     return stable_sample(_articles(spark, sf_dir), 50, seed=7).select("doc_id", "comnam", "body")
 
@@ -495,4 +530,7 @@ QUERIES = {
     "csv_round_trip": csv_round_trip,
     "mixed_dates": mixed_dates,
     "stable_sample": random_sample,
+    "batch_job": batch_job,
+    "offline_requests": offline_requests,
+    "wrapped_responder": wrapped_responder,
 }
