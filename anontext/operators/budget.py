@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from anontext.functions.text import BATCH_TOKENS_PER_WORD, estimated_tokens
+from anontext.functions.text import BATCH_TOKENS_PER_WORD, estimated_tokens, let
 from anontext.operators.sampling import first_rows
 
 # Tokens one text may have, tokens per minute, and the answer for empty texts.
@@ -21,10 +21,15 @@ SEND, EMPTY, TOO_BIG = "send", "empty", "too_big"
 def route_by_size(df: DataFrame, words: str = "word_count",
                   text_tokens: int = TEXT_TOKENS) -> DataFrame:
     """Add a token estimate and a route: empty texts, texts past the limit, and those to send."""
-    tokens = estimated_tokens(F.col(words), BATCH_TOKENS_PER_WORD)
-    return df.withColumn("tokens", tokens).withColumn(
-        "route", F.when(F.col(words) == 0, EMPTY)
-        .when(F.col("tokens") > text_tokens, TOO_BIG).otherwise(SEND))
+    def sized(n: Column) -> Column:
+        tokens = estimated_tokens(n, BATCH_TOKENS_PER_WORD)
+        route = F.when(n == 0, EMPTY).when(tokens > text_tokens, TOO_BIG).otherwise(SEND)
+        return F.struct(tokens.alias("tokens"), route.alias("route"))
+
+    # The word count may be costly to derive; it is bound so that a filter on the route counts once.
+    return (df.withColumn("__size", let(F.col(words), sized))
+            .select("*", F.col("__size.tokens").alias("tokens"), F.col("__size.route").alias("route"))
+            .drop("__size"))
 
 
 def last_per_name(df: DataFrame, name: str, order: str) -> DataFrame:

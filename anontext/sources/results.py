@@ -8,7 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from anontext.sources.articles import read_csv
+from anontext.schema import SOURCE_COLUMNS
+from anontext.sources.articles import read_csv, write_csv
+
+# Names of result columns in exported files.
+EXPORT_NAMES = {
+    "neutered_text": "Body Text Neutered",
+    "ticker_guess_neutered": "Ticker_Guess_Neutered",
+    "name_guess_neutered": "Name_Guess_Neutered",
+    "date_guess_neutered": "Date_Guess_Neutered",
+    "industry_guess_neutered": "Industry_Guess_Neutered",
+    "sentiment_neut_response": "LLM_NEUT",
+    "direction_neut": "Direction_neut",
+    "magnitude_neut": "Magnitude_neut",
+    "direction": "Direction",
+    "magnitude": "Magnitude",
+}
 
 STAGES = ("neutered", "sent_neut", "final")
 
@@ -49,6 +64,17 @@ def combine_csv(spark: SparkSession, paths: list[str]) -> DataFrame | None:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
 
 
+def export_names(results: DataFrame) -> DataFrame:
+    """Results under the column names that exported files carry."""
+    names = {**{ours: theirs for theirs, ours in SOURCE_COLUMNS.items()}, **EXPORT_NAMES}
+    return results.select(*(F.col(c).alias(names.get(c, c)) for c in results.columns))
+
+
+def export_csv(results: DataFrame, path: str) -> None:
+    """A finished result table as CSV with a header."""
+    write_csv(export_names(results), path, source_names=False)
+
+
 def write_guesses(guesses: DataFrame, path: str) -> None:
     """Model guesses, one folder per model."""
     guesses.write.mode("overwrite").partitionBy("model").parquet(path)

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from anontext.operators.responders import ExpressionResponder, policy_for
+from anontext.operators.responders import CallableResponder, ExpressionResponder, ReplayResponder, policy_for
 from anontext.plans import metrics
 from anontext.plans.ladder import ladder_results, plan_steps, run_ladder
 from anontext.plans.pipeline import run
@@ -61,6 +61,26 @@ def test_modes(articles, masking, paraphrase, max_rounds):
     assert rate == round(100 * never / N, 3)
 
 
+def test_the_other_similarity_gives_the_same_ladder(articles):
+    _, lcs = _results(articles, max_rounds=1)
+    _, ratio = _results(articles, max_rounds=1, similarity_method="difflib")
+    assert {i: r.neutered_at_step for i, r in lcs.items()} == {i: r.neutered_at_step for i, r in ratio.items()}
+
+
+def test_a_ladder_of_callables_and_replays(articles, spark):
+    """A function rewrites, recorded answers guess; half the answers are missing and so pass."""
+    def make():
+        return lambda system, user: f"{len(system) > 50} {user}"
+
+    recorded = articles.filter("doc_id % 2 = 0").select(
+        "doc_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("step_no"),
+        F.concat(F.lit("Name Estimate: "), "comnam").alias("response"), F.lit(None).cast("string").alias("error"))
+    ladder = run_ladder(articles, RunConfig(max_rounds=0), CallableResponder(make), ReplayResponder(recorded))
+    rows = {r.doc_id: r for r in ladder_results(ladder).collect()}
+    assert rows[2].neutered_at_step == "never_neutered" and rows[2].neutered_text == "True True text 2"
+    assert rows[3].neutered_at_step == "masking_step_0" and rows[3].guess_status == "missing"
+
+
 def test_steps_stop_when_nothing_is_left(articles):
     ladder, _ = _results(articles.filter("doc_id % 6 < 2"))
     assert [(c.rows, c.identified) for c in ladder.counts] == [(8, 4), (4, 0)]

@@ -61,6 +61,16 @@ def test_lcs_length_against_brute_force(spark):
     assert df.filter(lcs_length(F.col("a"), F.col("b")) != F.col("want")).count() == 0
 
 
+def test_similarity_is_bounded_symmetric_and_whole_on_itself(spark):
+    rng = random.Random(11)
+    rows = [tuple("".join(rng.choice("abcde f.") for _ in range(rng.randint(0, 30))) for _ in range(2)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    bad = df.filter(~name_similarity(a, b).between(0, 100) | (name_similarity(a, b) != name_similarity(b, a))
+                    | (name_similarity(a, a) != 100))
+    assert bad.count() == 0
+
+
 def test_halves_round_to_even(spark):
     # 2*149/400 = 0.745
     a, b = "x" * 149 + "a" * 51, "x" * 149 + "b" * 51

@@ -8,7 +8,7 @@ from anontext.plans.robustness import audit_models, guess_with_models, rate_by_m
 from anontext.schema import conform_articles, parse_mixed_date, require_unique
 from anontext.session import shared_dir
 from anontext.sources.articles import ingest_csv, read_csv, write_csv
-from anontext.sources.results import combine_csv, combine_runs, write_stage
+from anontext.sources.results import combine_csv, combine_runs, export_csv, write_stage
 
 HEADER = ",Body Text,COMNAM,Companies,SIC_Industry,Date\n"
 
@@ -82,6 +82,15 @@ def test_combining(spark, folder):
         combine_runs(spark, folder)
 
 
+def test_export_uses_the_usual_column_names(spark, folder):
+    results = spark.createDataFrame([(1, "x", "y", "NA", 0.5)],
+                                    "doc_id bigint, comnam string, neutered_text string, direction string, magnitude double")
+    export_csv(results, f"{folder}/x")
+    back = read_csv(spark, f"{folder}/x")
+    assert back.columns == ["doc_id", "COMNAM", "Body Text Neutered", "Direction", "Magnitude"]
+    assert back.first()["Direction"] is None and read_csv(spark, f"{folder}/x", null_cells=False).first()["Direction"] == "NA"
+
+
 def test_models_are_compared(spark):
     texts = spark.createDataFrame([(1, "x", "Blue Bolt"), (2, "", "Blue Bolt"), (3, None, "Blue Bolt")],
                                   "doc_id bigint, neutered_text string, comnam string").withColumn(
