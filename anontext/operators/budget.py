@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, TimestampNTZType
 from pyspark.sql.window import Window
 
 from anontext.functions.text import BATCH_TOKENS_PER_WORD, estimated_tokens, let
@@ -79,8 +80,9 @@ def rolling_tokens(log: DataFrame, client: str = "client", ts: str = "ts", token
     """
     if bucket_us <= span_us:
         raise ValueError("a bucket must be longer than the span")
-    instant = log.groupBy(F.col(client).alias("client"), _micros(F.col(ts)).alias("us")).agg(
+    instant = log.groupBy(F.col(client).alias("client"), F.col(ts).alias("ts")).agg(
         F.count(F.lit(1)).alias("requests"), F.sum(F.col(tokens).cast("bigint")).alias("tokens"))
+    instant = instant.withColumn("us", _micros(F.col("ts"), log.schema[ts].dataType))
     bucket = F.floor(F.col("us") / bucket_us)
     gone = F.col("us") + F.lit(span_us + 1).cast("bigint")
     gone_bucket = F.floor(gone / bucket_us)
@@ -94,16 +96,19 @@ def rolling_tokens(log: DataFrame, client: str = "client", ts: str = "ts", token
     crosses = F.array(booking(bucket, F.col("us"), taken, True),
                       booking(gone_bucket, gone_bucket * F.lit(bucket_us).cast("bigint"), taken, False),
                       booking(gone_bucket, gone, given, False))
-    booked = instant.select("client", "us", "requests", "tokens",
+    booked = instant.select("client", "ts", "requests", "tokens",
                             F.inline(F.when(bucket == gone_bucket, stays).otherwise(crosses)))
     running = Window.partitionBy("client", "bucket").orderBy("at").rangeBetween(
         Window.unboundedPreceding, Window.currentRow)
     return (booked.withColumn("rolling_tokens", F.sum("change").over(running))
             .filter("real")
-            .select("client", F.timestamp_micros("us").cast(log.schema[ts].dataType).alias("ts"), "requests",
-                    "tokens", "rolling_tokens",
+            .select("client", "ts", "requests", "tokens", "rolling_tokens",
                     F.when(F.col("rolling_tokens") >= limit, 1).otherwise(0).alias("over_budget")))
 
 
-def _micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
+def _micros(ts: Column, kind: DataType) -> Column:
+    """Microseconds since 1970; of the wall clock, whatever the session's zone, for a local time."""
+    if not isinstance(kind, TimestampNTZType):
+        return F.unix_micros(ts)
+    minutes = F.unix_date(ts.cast("date")).cast("bigint") * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")

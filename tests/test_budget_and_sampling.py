@@ -31,6 +31,24 @@ def test_rolling_tokens_against_brute_force(spark):
         assert found == {k: (a, b, r, int(r >= 400)) for k, (a, b, r) in want.items()}
 
 
+def test_rolling_tokens_follow_the_wall_clock_in_any_zone(spark):
+    times = [dt.datetime(2024, 3, 10, h, m) for h in (1, 2, 3) for m in (0, 1, 59)]
+    log = spark.createDataFrame([(1, t, 1) for t in times], "client int, ts timestamp_ntz, tokens int")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        found = {r.ts: r.rolling_tokens for r in rolling_tokens(log).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert found == {t: sum(0 <= (t - u).total_seconds() <= 60 for u in times) for t in times}
+
+
+def test_rolling_tokens_of_absolute_times(spark):
+    log = spark.range(3).select(F.lit(1).alias("client"), F.timestamp_micros(F.col("id") * 60_000_000).alias("ts"),
+                                F.lit(5).alias("tokens"))
+    assert sorted(r.rolling_tokens for r in rolling_tokens(log).collect()) == [5, 10, 10]
+
+
 def test_rolling_tokens_groups_by_client_and_bucket(spark):
     log = spark.range(10).select(F.lit(1).alias("client"), F.timestamp_micros("id").alias("ts"), F.lit(1).alias("tokens"))
     plan = rolling_tokens(log)._jdf.queryExecution().executedPlan().toString()
