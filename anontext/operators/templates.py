@@ -32,11 +32,13 @@ GUESS_LAYOUT = ("**Ticker Estimate: TIKR**,**Name Estimate: NAME**,"
                 "**Industry Estimate: IND**,**Date Estimate: YYYY-MM-DD**")
 SENTIMENT_LAYOUT = "**Direction Estimate: DIRECTION**,**Magnitude Estimate: MAGNITUDE**"
 
+# The ways a ticker may be spelled in a text.
+TICKER_SPELLINGS = ("SYMBOL:TIKR", "$TIKR", ">TIKR", "$ TIKR", "SYMBOL TIKR", "SYMBOL: TIKR", "> TIKR")
+
 _REPLACEMENTS = (
     "Replace, never delete. Firms become Company_1, Company_2 and so on, the firm above first. "
-    "A ticker, however it is spelled (SYMBOL:TIKR, $TIKR, >TIKR, $ TIKR, SYMBOL TIKR, "
-    "SYMBOL: TIKR, > TIKR), becomes ticker_x. People become name_x, places location_x, industries "
-    "industry_x, sectors sector_x, products product_x, kinds of product product_type_x, lines of "
+    f"A ticker, however it is spelled ({', '.join(TICKER_SPELLINGS)}), becomes ticker_x. "
+    "People become name_x, places location_x, industries industry_x, sectors sector_x, products product_x, kinds of product product_type_x, lines of "
     "products product_line_x, services service_x, slogans slogan_x. Points in time become time_x, "
     "years year_x, dates date_x, web addresses link_x, and numbers and percentages, units "
     "included, become number_x. ")
