@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from anontext.llm import piece_codec
+from anontext.llm import balanced_shards, chat_rotation, piece_codec
 from anontext.llm.common import table
 
 
@@ -16,8 +16,20 @@ def op1_sentencepiece(spark, sf_dir):
     return piece_codec.piece_digests(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op3_chat_rotation(spark, sf_dir):
+    return chat_rotation.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op7_balanced_shards(spark, sf_dir):
+    return balanced_shards.balance(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_chat_rotation": op3_chat_rotation,
+    "op7_balanced_shards": op7_balanced_shards,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_chat_rotation": chat_rotation.SQL,
+}
