@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from anontext.llm import balanced_shards, chat_rotation, piece_codec
+from anontext.llm import balanced_shards, chat_rotation, fingerprint_dedup, piece_codec, stable_dedup
 from anontext.llm.common import table
 
 
@@ -20,14 +20,24 @@ def op3_chat_rotation(spark, sf_dir):
     return chat_rotation.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op6_fingerprint_dedup(spark, sf_dir):
+    return fingerprint_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_balanced_shards(spark, sf_dir):
     return balanced_shards.balance(table(spark, sf_dir, "documents"))
 
 
+def op9_stable_dedup(spark, sf_dir):
+    return stable_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_chat_rotation": op3_chat_rotation,
+    "op6_fingerprint_dedup": op6_fingerprint_dedup,
     "op7_balanced_shards": op7_balanced_shards,
+    "op9_stable_dedup": op9_stable_dedup,
 }
 
 SQL: dict[str, str] = {
