@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from anontext.llm import balanced_shards, chat_rotation, fingerprint_dedup, piece_codec, stable_dedup
+from anontext.llm import balanced_shards, best_fit, chat_rotation, fingerprint_dedup, piece_codec, stable_dedup
 from anontext.llm.common import table
 
 
@@ -32,12 +32,17 @@ def op9_stable_dedup(spark, sf_dir):
     return stable_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op10_best_fit(spark, sf_dir):
+    return best_fit.pack_documents(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_chat_rotation": op3_chat_rotation,
     "op6_fingerprint_dedup": op6_fingerprint_dedup,
     "op7_balanced_shards": op7_balanced_shards,
     "op9_stable_dedup": op9_stable_dedup,
+    "op10_best_fit": op10_best_fit,
 }
 
 SQL: dict[str, str] = {
