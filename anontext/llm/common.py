@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,28 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+
+
+def from_texts(df: DataFrame, keep: list[str], outputs: dict[str, str], start, text: str = "text") -> DataFrame:
+    """Add columns computed from whole texts, in one narrow stage of Arrow batches.
+
+    ``start()`` is called once per task and returns a function from a list of UTF-8 texts to a dictionary of
+    output columns. The kept columns pass through untouched, nulls and types included.
+    """
+    def run(batches):
+        work = start()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            made = work(batch.column("_bytes").to_pylist())
+            columns = [batch.column(c) for c in keep] + [pa.array(made[o], type=ARROW[t]) for o, t in outputs.items()]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *outputs])
+
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), *(f"`{o}` {t}" for o, t in outputs.items())])
+    return df.select(*[F.col(f"`{c}`") for c in keep], text_bytes(text).alias("_bytes")).mapInArrow(run, schema)
+
+
 def held_out(doc_id: str, remainder: int, folds: int = 5) -> Column:
     """Whether crc32 of the id's text leaves this remainder (null ids count as the empty text)."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % folds == remainder

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anontext.llm.common import components, stored, text_bytes
+from anontext.llm.common import components, from_texts, stored
 
 SEED = 42
 SEGMENTS = ((0, 21), (21, 43), (43, 64))
@@ -64,17 +64,13 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", lower: bool = True) -> DataFrame:
     """The columns of ``docs`` without the text, and ``_fp``."""
-    keep = [c for c in docs.columns if c != text]
+    def start():
+        def work(texts):
+            fp = [fingerprint((t.lower() if lower else t).split(), shingle) for t in texts]
+            return {"_fp": np.array(fp, "<u8").view("<i8")}
+        return work
 
-    def run(frames):
-        for frame in frames:
-            fp = [fingerprint((t.lower() if lower else t).split(), shingle) for t in frame["_text"]]
-            out = frame[keep].copy()
-            out["_fp"] = np.array(fp, "<u8").view("<i8")
-            yield out
-
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "_fp long"])
-    return docs.select(*keep, text_bytes(text).alias("_text")).mapInPandas(run, schema)
+    return from_texts(docs, [c for c in docs.columns if c != text], {"_fp": "long"}, start, text)
 
 
 def _find(parent: np.ndarray, i: int) -> int:

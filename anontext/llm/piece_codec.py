@@ -21,11 +21,10 @@ import struct
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anontext.llm.common import text_bytes
+from anontext.llm.common import from_texts
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
@@ -297,9 +296,11 @@ class PieceCodec:
         if (self.prefix or self.squeeze) and self.marked[ids[first]] and parts[first][:1] == b" ":
             parts[first] = parts[first][1:]
         raw = b"".join(parts)
+        inside = len(ids) - 1 - int(np.argmax(~self.is_control[ids][::-1])) + 1 - first > len(text)
         try:
-            raw.decode()
-            return raw
+            if not inside:
+                raw.decode()
+                return raw
         except UnicodeDecodeError:
             pass
         out, run, spelt = bytearray(), bytearray(), self.is_byte[ids].tolist()
@@ -330,34 +331,28 @@ def encode_texts(docs: DataFrame, model_path: str, outputs=("n_tokens", "ids", "
     """
     with open(model_path, "rb") as f:
         model = f.read()
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{o} {OUTPUTS[o]}" for o in outputs])
     spans = {"begins", "ends", "spans_sha256"} & set(outputs)
     decoded = {"decoded", "decoded_sha256"} & set(outputs)
 
-    def run(frames):
+    def row(codec, data):
+        ids, begins, ends = codec.encode(data, bool(spans))
+        made = {"n_tokens": len(ids), "ids": ids, "begins": begins, "ends": ends}
+        if "ids_sha256" in outputs:
+            made["ids_sha256"] = hashlib.sha256(ids.tobytes()).hexdigest()
+        if "spans_sha256" in outputs:
+            made["spans_sha256"] = hashlib.sha256(begins.tobytes() + ends.tobytes()).hexdigest()
+        if decoded:
+            text_out = codec.decode(ids)
+            made["decoded_sha256"] = hashlib.sha256(text_out).hexdigest()
+            if "decoded" in outputs:
+                made["decoded"] = text_out.decode()
+        return [made[o] for o in outputs]
+
+    def start():
         codec = _codec(model)
-        for frame in frames:
-            made = {o: [] for o in outputs}
-            for data in frame["_text"]:
-                ids, begins, ends = codec.encode(data, bool(spans))
-                row = {"n_tokens": len(ids), "ids": ids}
-                if "ids_sha256" in made:
-                    row["ids_sha256"] = hashlib.sha256(ids.tobytes()).hexdigest()
-                if spans:
-                    row |= {"begins": begins, "ends": ends}
-                    if "spans_sha256" in made:
-                        row["spans_sha256"] = hashlib.sha256(begins.tobytes() + ends.tobytes()).hexdigest()
-                if decoded:
-                    text_out = codec.decode(ids)
-                    if "decoded" in made:
-                        row["decoded"] = text_out.decode()
-                    if "decoded_sha256" in made:
-                        row["decoded_sha256"] = hashlib.sha256(text_out).hexdigest()
-                for o in outputs:
-                    made[o].append(row[o])
-            yield pd.DataFrame({**{c: frame[c] for c in keep}, **made})
-
-    return docs.select(*keep, text_bytes(text).alias("_text")).mapInPandas(run, schema)
+        return lambda texts: dict(zip(outputs, zip(*[row(codec, t) for t in texts], strict=True), strict=True))
+
+    return from_texts(docs, list(keep), {o: OUTPUTS[o] for o in outputs}, start, text)
 
 
 def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:

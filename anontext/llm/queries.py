@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from anontext.llm import balanced_shards, best_fit, chat_rotation, fingerprint_dedup, piece_codec, stable_dedup
-from anontext.llm.common import table
+from pyspark.sql import functions as F
+
+from anontext.llm import balanced_shards, best_fit, chat_rotation, fingerprint_dedup, piece_codec, stable_dedup, toxicity
+from anontext.llm.common import held_out, table
 
 
 def _tokenizer(name: str) -> str:
@@ -16,6 +18,14 @@ def op1_sentencepiece(spark, sf_dir):
     return piece_codec.piece_digests(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op2_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~held_out("doc_id", 0)))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", held_out("doc_id", 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_chat_rotation(spark, sf_dir):
     return chat_rotation.rotate(table(spark, sf_dir, "conversations"))
 
@@ -38,6 +48,7 @@ def op10_best_fit(spark, sf_dir):
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_toxicity": op2_toxicity,
     "op3_chat_rotation": op3_chat_rotation,
     "op6_fingerprint_dedup": op6_fingerprint_dedup,
     "op7_balanced_shards": op7_balanced_shards,
