@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from anontext.llm import balanced_shards, best_fit, chat_rotation, fingerprint_dedup, piece_codec, stable_dedup, toxicity
+from anontext.llm import balanced_shards, best_fit, chat_rotation, fingerprint_dedup, piece_codec, span_dedup, stable_dedup, toxicity
 from anontext.llm.common import held_out, table
 
 
@@ -38,6 +38,11 @@ def op7_balanced_shards(spark, sf_dir):
     return balanced_shards.balance(table(spark, sf_dir, "documents"))
 
 
+def op8_span_dedup(spark, sf_dir):
+    return span_dedup.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"], {
+        "n_words": "long", "n_removed": "long", "kept_sha256": "string"})
+
+
 def op9_stable_dedup(spark, sf_dir):
     return stable_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -52,10 +57,12 @@ QUERIES = {
     "op3_chat_rotation": op3_chat_rotation,
     "op6_fingerprint_dedup": op6_fingerprint_dedup,
     "op7_balanced_shards": op7_balanced_shards,
+    "op8_span_dedup": op8_span_dedup,
     "op9_stable_dedup": op9_stable_dedup,
     "op10_best_fit": op10_best_fit,
 }
 
 SQL: dict[str, str] = {
     "op3_chat_rotation": chat_rotation.SQL,
+    "op8_span_dedup": span_dedup.SQL,
 }
