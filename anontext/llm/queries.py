@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from anontext.llm import balanced_shards, best_fit, chat_rotation, fingerprint_dedup, piece_codec, span_dedup, stable_dedup, toxicity
+from anontext.llm import balanced_shards, best_fit, chat_rotation, fingerprint_dedup, hmm_score, piece_codec, span_dedup, stable_dedup, toxicity
 from anontext.llm.common import held_out, table
 
 
@@ -30,6 +30,11 @@ def op3_chat_rotation(spark, sf_dir):
     return chat_rotation.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op4_hmm_score(spark, sf_dir):
+    scored = hmm_score.score_texts(table(spark, sf_dir, "documents"), ~held_out("doc_id", 1))
+    return scored.select("doc_id", (~F.col("_train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_fingerprint_dedup(spark, sf_dir):
     return fingerprint_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_toxicity": op2_toxicity,
     "op3_chat_rotation": op3_chat_rotation,
+    "op4_hmm_score": op4_hmm_score,
     "op6_fingerprint_dedup": op6_fingerprint_dedup,
     "op7_balanced_shards": op7_balanced_shards,
     "op8_span_dedup": op8_span_dedup,
