@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from anontext.llm import balanced_shards, best_fit, chat_rotation, fingerprint_dedup, hmm_score, piece_codec, span_dedup, stable_dedup, toxicity
+from anontext.llm import balanced_shards, best_fit, chat_rotation, fingerprint_dedup, forest_search, hmm_score, piece_codec, span_dedup, stable_dedup, toxicity
 from anontext.llm.common import held_out, table
 
 
@@ -35,6 +35,10 @@ def op4_hmm_score(spark, sf_dir):
     return scored.select("doc_id", (~F.col("_train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op5_forest_search(spark, sf_dir):
+    return forest_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_fingerprint_dedup(spark, sf_dir):
     return fingerprint_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_chat_rotation": op3_chat_rotation,
     "op4_hmm_score": op4_hmm_score,
+    "op5_forest_search": op5_forest_search,
     "op6_fingerprint_dedup": op6_fingerprint_dedup,
     "op7_balanced_shards": op7_balanced_shards,
     "op8_span_dedup": op8_span_dedup,
