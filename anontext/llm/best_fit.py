@@ -18,12 +18,14 @@ gives an empty result. Other columns are dropped.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import Counter
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,16 @@ from anontext.llm.common import stored, text_bytes
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
+
+
+_UPPER = re.compile(b"[A-Z]").search
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
 
 
 class WordIds:
@@ -42,37 +53,66 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.spelt = byte_letters()
         self.new, self.old, self.limit = {}, {}, cache_words
+        self.stops = {k[0]: v for k, v in self._code([b",", b"."]).items()}
+
+    def _code(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Lower-case words of letters alone are one token group, which skips normalising and splitting."""
+        made, tokenize, spelt = {}, self.tokenizer.model.tokenize, self.spelt
+        for w in words:
+            text = w.decode()
+            if text.isalpha() and (text.isascii() or (text.islower() and is_normalized("NFC", text))) and not _UPPER(w):
+                if not text.isascii():
+                    text = w.decode("latin-1").translate(spelt)
+                ids = [t.id for t in tokenize(text)]
+            else:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            made[w] = np.array(ids, "<u4").tobytes()
+        return made
+
+    def _learn(self, missing: set[bytes]) -> None:
+        new, old, stops = self.new, self.old, self.stops
+        bare, ends = set(), []
+        for w in missing:
+            got = old.get(w)
+            if got is not None:
+                new[w] = got
+            elif w[-1] in stops and w[-2:-1].isalpha() and b"<|" not in w:
+                ends.append(w)
+                if w[:-1] not in new:
+                    bare.add(w[:-1])
+            else:
+                bare.add(w)
+        known = [w for w in bare if w in old]
+        for w in known:
+            new[w] = old[w]
+        bare.difference_update(known)
+        new.update(self._code(list(bare)))
+        for w in ends:
+            new[w] = new[w[:-1]] + stops[w[-1]]
 
     def encode(self, texts: list[bytes]):
-        """The ids of each text, four bytes each; the tokenizer drops white space, so words stand alone."""
+        """The ids of each text, four bytes each.
+
+        The tokenizer drops white space and folds case, so words stand alone and A-Z can be folded before;
+        one comma or full stop after an ASCII letter is a token by itself. Texts that may hold a special
+        token keep their case.
+        """
         for at in range(0, len(texts), 64):
-            words = [t.split() for t in texts[at:at + 64]]
-            wanted = set()
-            for w in words:
-                wanted.update(w)
-            known = {}
-            missing = []
-            for w in wanted:
-                got = self.new.get(w)
-                if got is None:
-                    got = self.old.get(w)
-                    if got is None:
-                        missing.append(w)
-                        continue
-                    self.new[w] = got
-                known[w] = got
-            for i in range(0, len(missing), 4096):
-                part = missing[i:i + 4096]
-                coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                for w, e in zip(part, coded, strict=True):
-                    known[w] = got = np.array(e.ids, "<u4").tobytes()
-                    if len(w) <= 64:
-                        self.new[w] = got
+            words = [(t if b"<|" in t else t.lower()).split() for t in texts[at:at + 64]]
+            get = self.new.get
+            rows = [list(map(get, w)) for w in words]
+            missing = set()
+            for w, row in zip(words, rows, strict=True):
+                if None in row:
+                    missing.update([x for x, r in zip(w, row, strict=True) if r is None])
+            if missing:
+                self._learn(missing)
+            for w, row in zip(words, rows, strict=True):
+                yield b"".join(map(self.new.__getitem__, w) if None in row else row)
             if len(self.new) > self.limit:
                 self.old, self.new = self.new, {}
-            for w in words:
-                yield b"".join(map(known.__getitem__, w))
 
 
 @lru_cache(maxsize=2)
@@ -87,26 +127,27 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one tokenizer file of a fixed size
     end = np.array([END_ID], "<u4").tobytes()
 
-    def run(frames):
+    def run(batches):
         coder = _word_ids(shared.value)
-        for frame in frames:
-            doc, number, start, length, crc = [], [], [], [], []
-            for d, ids in zip(frame["doc_id"], coder.encode(list(frame["_text"])), strict=True):
+        for batch in batches:
+            row, number, length, crc = [], [], [], []
+            for i, ids in enumerate(coder.encode(batch.column("_text").to_pylist())):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), capacity * 4)):
                     part = ids[at:at + capacity * 4]
-                    doc.append(d)
+                    row.append(i)
                     number.append(k)
-                    start.append(at // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
-            kind = "Int64" if frame["doc_id"].dtype.kind in "if" else None
-            yield pd.DataFrame({"doc_id": pd.array(doc, dtype=kind) if kind else doc, "piece": number, "start": start,
-                                "length": length, "ids_crc32": crc})
+            number = np.array(number, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(number.astype(np.int32)),
+                 pa.array(number * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    return docs.select("doc_id", text_bytes().alias("_text")).mapInPandas(run, schema)
+    return docs.select("doc_id", text_bytes().alias("_text")).mapInArrow(run, schema)
 
 
 def ranked(df: DataFrame, size: str, ident: str, label: str) -> DataFrame:
