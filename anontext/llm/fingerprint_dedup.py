@@ -148,13 +148,30 @@ def links(fps: DataFrame) -> DataFrame:
     return filed.mapInPandas(run, "a long, b long").distinct()
 
 
+def _linked(marked: DataFrame, first) -> DataFrame:
+    """Each distinct ``_fp`` with the smallest ``first`` among its rows, and the root of its group."""
+    distinct = stored(marked.groupBy("_fp").agg(F.min(first).alias("_first")), "fingerprints-distinct")
+    roots = components(links(distinct.select("_fp")), "fingerprints")
+    return distinct.join(roots.withColumnRenamed("id", "_fp"), "_fp", "left").withColumn("root", F.coalesce("root", "_fp"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """The rows of ``docs``, of each group of near-duplicates the one with the smallest id (nulls last) alone.
+
+    Rows are told apart by id and a hash of the text; rows equal in both are one document and leave one row.
+    """
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    marked = stored(fingerprints(docs.select("doc_id", mark.alias("_mark"), "text"), shingle), "fingerprints")
+    named = _linked(marked, F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_mark").alias("m")))
+    kept = named.groupBy("root").agg(F.min("_first").alias("k")).select(F.col("k.d").alias("_d"), F.col("k.m").alias("_m"))
+    rows = docs.withColumn("_mark", mark).join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m")))
+    return rows.dropDuplicates(["doc_id", "_mark"]).select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint, component_id for every row."""
     marked = stored(fingerprints(docs.select("doc_id", "text"), shingle), "fingerprints")
-    distinct = stored(marked.groupBy("_fp").agg(F.min("doc_id").alias("_first")), "fingerprints-distinct")
-    roots = components(links(distinct.select("_fp")), "fingerprints")
-    named = distinct.join(roots.withColumnRenamed("id", "_fp"), "_fp", "left").withColumn(
-        "root", F.coalesce("root", "_fp"))
+    named = _linked(marked, F.col("doc_id"))
     first = named.groupBy("root").agg(F.min("_first").alias("component_id"))
     named = named.join(first, "root").select("_fp", "component_id")
     out = marked.join(named, "_fp")

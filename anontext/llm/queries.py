@@ -8,14 +8,14 @@ from anontext.llm import balanced_shards, best_fit, chat_rotation, fingerprint_d
 from anontext.llm.common import held_out, table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op1_sentencepiece(spark, sf_dir):
-    return piece_codec.piece_digests(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return piece_codec.piece_digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op2_toxicity(spark, sf_dir):
@@ -57,7 +57,7 @@ def op9_stable_dedup(spark, sf_dir):
 
 
 def op10_best_fit(spark, sf_dir):
-    return best_fit.pack_documents(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return best_fit.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 QUERIES = {

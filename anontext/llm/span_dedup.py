@@ -363,7 +363,8 @@ def covered(count: int, spans: list[tuple[int, int]], window: int) -> np.ndarray
 
 
 def remove_repeats(docs: DataFrame, keep: list[str], outputs: dict[str, str], window: int = WINDOW) -> DataFrame:
-    """The kept columns and, of ``outputs``: n_words, n_removed, kept (the words left), kept_sha256, spans."""
+    """The kept columns and, of ``outputs``: n_words, n_removed, kept (the words left, joined by one space),
+    kept_sha256, and text (the kept words if any were removed, else the text as it was)."""
     from anontext.llm.common import ARROW
 
     rows = keyed(docs).select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], "_d", "_h", "_bytes")
@@ -385,6 +386,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], outputs: dict[str, str], wi
                     words = [w for w, x in zip(words, lost.tolist(), strict=True) if not x]
                 kept = b" ".join(words)
                 row = {"n_words": total, "n_removed": gone, "kept": kept.decode() if "kept" in made else None,
+                       "text": (kept if gone else data).decode() if "text" in made else None,
                        "kept_sha256": hashlib.sha256(kept).hexdigest() if "kept_sha256" in made else None}
                 for o in made:
                     made[o].append(row[o])
