@@ -32,19 +32,26 @@ def from_texts(df: DataFrame, keep: list[str], outputs: dict[str, str], start, t
     """Add columns computed from whole texts, in one narrow stage of Arrow batches.
 
     ``start()`` is called once per task and returns a function from a list of UTF-8 texts to a dictionary of
-    output columns. The kept columns pass through untouched, nulls and types included.
+    output columns. The kept columns pass through untouched, nulls and types included; an output may not have
+    the name of one of them.
     """
+    if clash := set(keep) & set(outputs):
+        raise ValueError(f"columns {sorted(clash)} are there already")
+    aliases = [f"k{i}" for i in range(len(keep))]
+
     def run(batches):
         work = start()
         for batch in batches:
             if not batch.num_rows:
                 continue
             made = work(batch.column("_bytes").to_pylist())
-            columns = [batch.column(c) for c in keep] + [pa.array(made[o], type=ARROW[t]) for o, t in outputs.items()]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *outputs])
+            columns = [batch.column(c) for c in aliases] + [pa.array(made[o], type=ARROW[t]) for o, t in outputs.items()]
+            yield pa.RecordBatch.from_arrays(columns, names=[*aliases, *(f"o{i}" for i in range(len(outputs)))])
 
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), *(f"`{o}` {t}" for o, t in outputs.items())])
-    return df.select(*[F.col(f"`{c}`") for c in keep], text_bytes(text).alias("_bytes")).mapInArrow(run, schema)
+    schema = ", ".join([*(f"{a} {df.schema[c].dataType.simpleString()}" for a, c in zip(aliases, keep, strict=True)),
+                        *(f"o{i} {t}" for i, t in enumerate(outputs.values()))])
+    source = df.select(*[F.col(f"`{c}`").alias(a) for a, c in zip(aliases, keep, strict=True)], text_bytes(text).alias("_bytes"))
+    return source.mapInArrow(run, schema).toDF(*keep, *outputs)
 
 
 def held_out(doc_id: str, remainder: int, folds: int = 5) -> Column:

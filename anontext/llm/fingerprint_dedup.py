@@ -164,8 +164,11 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     marked = stored(fingerprints(docs.select("doc_id", mark.alias("_mark"), "text"), shingle), "fingerprints")
     named = _linked(marked, F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_mark").alias("m")))
     kept = named.groupBy("root").agg(F.min("_first").alias("k")).select(F.col("k.d").alias("_d"), F.col("k.m").alias("_m"))
-    rows = docs.withColumn("_mark", mark).join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m")))
-    return rows.dropDuplicates(["doc_id", "_mark"]).select(*docs.columns)
+    names = [f"k{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, names, strict=True)],
+                       F.col("doc_id").alias("_id"), mark.alias("_mark"))
+    rows = rows.join(kept, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m")))
+    return rows.dropDuplicates(["_id", "_mark"]).select(*names).toDF(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:

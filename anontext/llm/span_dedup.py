@@ -347,10 +347,10 @@ def repeated_windows(docs: DataFrame, dealt: DataFrame, window: int = WINDOW) ->
     return weighed.withColumn("_place", place).where("_first IS NULL OR _place > 1").select("_d", "_h", "_from", "_n")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Add the document's place in the corpus order (_d, _h) and its bytes."""
+def place() -> list:
+    """A document's place in the corpus order (_d, _h) and its bytes."""
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    return docs.withColumn("_d", ident).withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_bytes", text_bytes())
+    return [ident.alias("_d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), text_bytes().alias("_bytes")]
 
 
 def covered(count: int, spans: list[tuple[int, int]], window: int) -> np.ndarray:
@@ -367,10 +367,10 @@ def remove_repeats(docs: DataFrame, keep: list[str], outputs: dict[str, str], wi
     kept_sha256, and text (the kept words if any were removed, else the text as it was)."""
     from anontext.llm.common import ARROW
 
-    rows = keyed(docs).select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], "_d", "_h", "_bytes")
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], *place())
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartition(n, "_d", "_h")
-    repeats = repeated_windows(keyed(docs), rows, window).groupBy("_d", "_h").agg(
+    repeats = repeated_windows(docs.select(*place()), rows, window).groupBy("_d", "_h").agg(
         F.collect_list(F.struct("_from", "_n")).alias("_spans"))
     joined = rows.join(repeats, ["_d", "_h"], "left")
 
