@@ -18,7 +18,7 @@ gives an empty result. Other columns are dropped.
 from __future__ import annotations
 
 import os
-import re
+import struct
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -36,9 +36,6 @@ END_ID = 0
 CACHE_WORDS = 400_000
 
 
-_UPPER = re.compile(b"[A-Z]").search
-
-
 def byte_letters() -> dict[int, str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -54,21 +51,23 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.spelt = byte_letters()
+        self.layouts = [struct.Struct(f"<{n}I").pack for n in range(64)]
         self.new, self.old, self.limit = {}, {}, cache_words
         self.stops = {k[0]: v for k, v in self._code([b",", b"."]).items()}
 
     def _code(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Lower-case words of letters alone are one token group, which skips normalising and splitting."""
-        made, tokenize, spelt = {}, self.tokenizer.model.tokenize, self.spelt
+        made, tokenize, spelt, layouts = {}, self.tokenizer.model.tokenize, self.spelt, self.layouts
         for w in words:
             text = w.decode()
-            if text.isalpha() and (text.isascii() or (text.islower() and is_normalized("NFC", text))) and not _UPPER(w):
-                if not text.isascii():
+            plain = text.isascii()
+            if text.isalpha() and text.islower() and (plain or is_normalized("NFC", text)):
+                if not plain:
                     text = w.decode("latin-1").translate(spelt)
                 ids = [t.id for t in tokenize(text)]
             else:
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            made[w] = np.array(ids, "<u4").tobytes()
+            made[w] = layouts[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
         return made
 
     def _learn(self, missing: set[bytes]) -> None:
@@ -109,8 +108,9 @@ class WordIds:
                     missing.update([x for x, r in zip(w, row, strict=True) if r is None])
             if missing:
                 self._learn(missing)
+            new = self.new
             for w, row in zip(words, rows, strict=True):
-                yield b"".join(map(self.new.__getitem__, w) if None in row else row)
+                yield b"".join([r or new[x] for x, r in zip(w, row, strict=True)] if None in row else row)
             if len(self.new) > self.limit:
                 self.old, self.new = self.new, {}
 
