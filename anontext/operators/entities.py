@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from anontext.functions.text import let
 from anontext.operators.rulemask import core_words
-from anontext.operators.skew import join_to_unique
 
 MAX_SURFACES = 200_000
 MAX_BYTES = 16 << 20
@@ -41,7 +40,7 @@ def normalise_surfaces(dictionary: DataFrame) -> DataFrame:
 
 def _build_masker():
     """The per-text helper; nested so that tasks receive it by value."""
-    word, gap = re.compile(r"\w+"), re.compile(r"[ \t\-&.,']{1,3}")
+    word, gap = re.compile(r"\w+"), re.compile(r"[\s\-&.,'\u2010-\u2015]+")
 
     def index(surfaces):
         """First word -> its spellings as (words, kind, entity), longest first."""
@@ -60,6 +59,9 @@ def _build_masker():
         words = [text[a:b].lower() for a, b in spans]
         own = None if own is None else list(own)
         own_first = own[0] if own else None
+        # Names of one entity share a number; a name without entity is its own. The article's firm is 1.
+        own_name = " ".join(own) if own else None
+        own_entity = next((e or own_name for w, k, e in by_first.get(own_first, ()) if k == "company" and w == own), own_name)
         numbers, pieces, done, i = {}, [], 0, 0
 
         def fits(wanted, at):
@@ -81,7 +83,8 @@ def _build_masker():
                 continue
             wanted, kind, entity = best
             if kind == "company":
-                number = 1 if entity is None or wanted == own else numbers.setdefault(entity, len(numbers) + 2)
+                entity = entity or " ".join(wanted)
+                number = 1 if wanted == own or entity == own_entity else numbers.setdefault(entity, len(numbers) + 2)
                 label = f"Company_{number}"
             else:
                 label = f"{kind}_x"
@@ -95,19 +98,18 @@ def _build_masker():
 
 def mask_entities(df: DataFrame, dictionary: DataFrame, text: str, name: str, into: str,
                   key: str = "doc_id", max_surfaces: int = MAX_SURFACES,
-                  max_bytes: int = MAX_BYTES, hot_rows: int = 1_000_000,
-                  probe_share: float = 0.01) -> DataFrame:
+                  max_bytes: int = MAX_BYTES) -> DataFrame:
     """Add ``into``, the text with dictionary names masked. ``key`` is unique.
 
-    On the joined way, a random share of the texts tells which word groups are too common for one
-    task.
+    Both ways give the same. On the joined one, word groups meet the dictionary in an inner join, whose
+    large partitions adaptive execution splits.
     """
     surfaces = normalise_surfaces(dictionary)
     size = surfaces.agg(F.count(F.lit(1)).alias("rows"),
-                        F.coalesce(F.sum(F.octet_length("surface")), F.lit(0)).alias("bytes")).first()
+                        F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "surface", "kind", "entity"))), F.lit(0)).alias("bytes")).first()
     if size["rows"] <= max_surfaces and size["bytes"] <= max_bytes:
         return _mask_in_place(df, surfaces, text, name, into)
-    return _mask_by_join(df, surfaces, text, name, into, key, hot_rows, probe_share)
+    return _mask_by_join(df, surfaces, text, name, into, key)
 
 
 def _mask_in_place(df: DataFrame, surfaces: DataFrame, text: str, name: str, into: str) -> DataFrame:
@@ -138,19 +140,18 @@ def _groups(text: Column, lengths: list[int]) -> Column:
     return let(F.regexp_extract_all(F.lower(text), F.lit(_WORDS), 0), listed)
 
 
-def _mask_by_join(df: DataFrame, surfaces: DataFrame, text: str, name: str, into: str, key: str,
-                  hot_rows: int, probe_share: float) -> DataFrame:
+def _mask_by_join(df: DataFrame, surfaces: DataFrame, text: str, name: str, into: str, key: str) -> DataFrame:
     lengths = sorted(r[0] for r in surfaces.select("n_words").distinct().collect())
     if not lengths:
         lengths = [1]
 
-    def grouped(texts: DataFrame) -> DataFrame:
-        return texts.select(key, F.explode(_groups(F.col(text), lengths)).alias("surface"))
-
-    # A text lists a group once, so even the commonest has at most one row per text. Only the few groups that are spellings survive, so what is regrouped by text is small.
-    probe = grouped(df.select(key, text).sample(probe_share, seed=1)) if probe_share < 1 else None
-    held = join_to_unique(grouped(df), surfaces.drop("n_words"), ["surface"], [key], "inner", hot_rows,
-                          probe=probe, probe_share=probe_share)
+    # A text lists a group once, and its own firm even when it does not name it. Only the few groups that are
+    # spellings survive, so what is regrouped by text is small.
+    own = F.array_join(core_words(F.col(name)), " ")
+    groups = F.array_union(F.coalesce(_groups(F.col(text), lengths), F.array().cast("array<string>")),
+                           F.when(own.isNotNull(), F.array(own)).otherwise(F.array().cast("array<string>")))
+    grouped = df.select(key, F.explode(groups).alias("surface"))
+    held = grouped.join(surfaces.drop("n_words"), "surface")
     per_text = held.groupBy(key).agg(F.collect_list(F.struct("surface", "kind", "entity")).alias("__held"))
     index, mask = _build_masker()
 

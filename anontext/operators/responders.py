@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anontext.functions.text import strip
-from anontext.operators.skew import join_to_unique
 
 # Parts of error messages that lose the answer (null) rather than empty it.
 TOO_LONG_MESSAGES = ("context_length_exceeded", "maximum context length")
@@ -26,11 +25,18 @@ OK, TOO_LONG, HTML, ERROR, MISSING, SKIPPED = "ok", "too_long", "html", "error",
 
 @dataclass(frozen=True)
 class Step:
-    """One position of the ladder: which pass, of which round, with which prompt."""
+    """One position of the ladder: which pass, of which round, with which prompt.
+
+    Sentiment has no position: its step is SENTIMENT_STEP, and ``target`` says of which text.
+    """
     step_no: int
     round: int
     kind: str
     template: object = None
+    target: str | None = None
+
+
+SENTIMENT_STEP = -1
 
 
 @dataclass(frozen=True)
@@ -60,6 +66,11 @@ def policy_for(provider: str) -> Policy:
     return LOCAL if provider.strip().lower() == "ollama" else HOSTED
 
 
+def is_recorded(responder) -> bool:
+    """Whether a missing answer may still arrive, because answers come from a table."""
+    return bool(getattr(responder, "recorded", False))
+
+
 def error_status(message: Column) -> Column:
     too_long = message.contains(TOO_LONG_MESSAGES[0]) | message.contains(TOO_LONG_MESSAGES[1])
     return (F.when(too_long, F.lit(TOO_LONG)).when(message.contains(HTML_MESSAGE), F.lit(HTML))
@@ -101,10 +112,10 @@ class ExpressionResponder:
 class ReplayResponder:
     """Join recorded answers back by key; this is how a run scored offline comes home.
 
-    ``answers`` has the key columns, an answer and, optionally, an error column. With
-    ``latest_by`` the newest of several answers to one key counts; without it the caller
-    vouches that keys are unique. A key column ``step_no`` is turned into a filter, so a table
-    partitioned by it is read one step at a time.
+    ``answers`` has the key columns, an answer and, optionally, an error column. One answer per key
+    counts: the newest by ``latest_by``, or else the greatest text. The columns ``step_no`` and
+    ``target`` are turned into filters, so a table partitioned by them is read one step at a time;
+    ``target`` ("neutered" or "raw") is looked at wherever the answers have it.
     """
     answers: DataFrame
     keys: tuple[str, ...] = ("doc_id", "step_no")
@@ -112,12 +123,15 @@ class ReplayResponder:
     error: str | None = "error"
     latest_by: str | None = None
     policy: Policy = HOSTED
+    recorded = True
 
     def score(self, df: DataFrame, system: Column, user: Column, into: str,
               step: Step | None = None) -> DataFrame:
-        answers, keys = self.answers, list(self.keys)
-        if step is not None and "step_no" in keys:
-            answers, keys = answers.filter(F.col("step_no") == step.step_no), [k for k in keys if k != "step_no"]
+        answers, keys = self.answers, [k for k in self.keys if step is None or k not in ("step_no", "target")]
+        if step is not None and "step_no" in self.keys and step.step_no != SENTIMENT_STEP:
+            answers = answers.filter(F.col("step_no") == step.step_no)
+        if step is not None and step.target is not None and "target" in answers.columns:
+            answers = answers.filter(F.col("target") == step.target)
         recorded = _recorded(answers, keys, self.answer, self.error, self.latest_by)
         joined = df.join(recorded, keys, "left")
         return _attach(joined, into, user, self.policy)
@@ -127,24 +141,22 @@ class ReplayResponder:
 class ContentReplayResponder:
     """Join recorded answers by a digest of system and user text, whoever asked.
 
-    Many copies of one text share a digest, so the common ones are split; ``row_key`` names the
-    columns that spread them.
+    Many copies of one text share a digest; adaptive execution splits such a partition of a left join.
     """
     answers: DataFrame
-    row_key: tuple[str, ...] = ("doc_id",)
     digest: str = "digest"
     answer: str = "response"
     error: str | None = "error"
     latest_by: str | None = None
     policy: Policy = HOSTED
-    hot_rows: int = 1_000_000
+    recorded = True
 
     def score(self, df: DataFrame, system: Column, user: Column, into: str,
               step: Step | None = None) -> DataFrame:
         recorded = _recorded(self.answers.withColumnRenamed(self.digest, "__digest"), ["__digest"],
                              self.answer, self.error, self.latest_by)
         asked = df.withColumn("__digest", request_digest(system, user))
-        joined = join_to_unique(asked, recorded, ["__digest"], list(self.row_key), "left", self.hot_rows)
+        joined = asked.join(recorded, "__digest", "left")
         return _attach(joined, into, user, self.policy).drop("__digest")
 
 
@@ -158,7 +170,7 @@ def _recorded(answers: DataFrame, keys: list[str], answer: str, error: str | Non
     message = F.col(error) if error else F.lit(None).cast("string")
     pair = F.struct(F.col(answer).alias("text"), message.alias("error"))
     if latest_by is None:
-        return answers.select(*keys, pair.alias("__recorded"))
+        return answers.groupBy(*keys).agg(F.max(pair).alias("__recorded"))
     return answers.groupBy(*keys).agg(F.max_by(pair, latest_by).alias("__recorded"))
 
 
@@ -181,7 +193,7 @@ class CallableResponder:
 
     def score(self, df: DataFrame, system: Column, user: Column, into: str,
               step: Step | None = None) -> DataFrame:
-        make = self.make
+        make, skip = self.make, self.policy.skip_blank
 
         @F.pandas_udf("text string, error string")
         def call(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -189,6 +201,10 @@ class CallableResponder:
             for systems, users in batches:
                 texts, errors = [], []
                 for one_system, one_user in zip(systems, users):
+                    if skip and not one_user:
+                        texts.append(None)
+                        errors.append(None)
+                        continue
                     try:
                         texts.append(respond(one_system, one_user))
                         errors.append(None)
@@ -199,12 +215,8 @@ class CallableResponder:
 
         if self.partitions:
             df = df.repartition(self.partitions)
-        if self.policy.skip_blank:
-            user_or_null = F.when(user != "", user)
-        else:
-            user_or_null = user
         # A model may answer differently each time; say so, lest the plan asks it twice.
-        asked = df.withColumn("__made", call.asNondeterministic()(system, user_or_null))
+        asked = df.withColumn("__made", call.asNondeterministic()(system, user))
         made = F.col("__made")
         return asked.withColumn(into, answer_struct(made["text"], made["error"], user, self.policy)).drop("__made")
 
@@ -219,6 +231,10 @@ class WrappedResponder:
     prepare: Callable[[Column], Column] | None = None
     finish: Callable[[Column], Column] | None = None
 
+    @property
+    def recorded(self) -> bool:
+        return is_recorded(self.inner)
+
     def score(self, df: DataFrame, system: Column, user: Column, into: str,
               step: Step | None = None) -> DataFrame:
         scored = self.inner.score(df, system, self.prepare(user) if self.prepare else user, into, step)

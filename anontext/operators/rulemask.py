@@ -21,7 +21,8 @@ _UNIT = ("%|percent|per cent|percentage points?|basis points?|bps|thousand|milli
          "km|kg|tons?|tonnes?|barrels?|miles?|years?|months?|weeks?|days?|hours?|minutes?")
 
 # Placeholder and pattern of each class, in the order they are applied. A pattern stands between
-# characters that are no letters, digits or underscores.
+# characters that are no letters, digits or underscores. Only single characters repeat without bound:
+# a repeated group would recurse as deep as a junk line is long.
 CLASSES = (
     ("link_x", "(?i:https?://|ftp://|www\\.)[^ \\t\\r\\n<>\"]*[^ \\t\\r\\n<>\".,;:!?)'\\]]"),
     ("time_x", "[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?: ?[AaPp]\\.?[Mm]\\.?)?|[0-9]{1,2} ?[AaPp]\\.?[Mm]\\.?"),
@@ -29,7 +30,7 @@ CLASSES = (
                f"{_MONTH} {_DAY}(?:,? [0-9]{{4}})?|{_DAY} {_MONTH}(?:,? [0-9]{{4}})?|{_MONTH} [0-9]{{4}}"),
     ("year_x", "(?:FY ?)?(?:19|20)[0-9]{2}"),
     ("ticker_x", f"SYMBOL(?:: ?| ){_TICKER}|[$>] ?{_TICKER}"),
-    ("number_x", "(?:[$€£] ?)?[0-9]+(?:[.,][0-9]+)*(?:(?: ?(?:" + _UNIT + "))+)?"),
+    ("number_x", "(?:[$€£] ?)?[0-9](?:[0-9.,]*[0-9])?(?: ?(?:" + _UNIT + ")){0,3}"),
 )
 
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -59,10 +60,13 @@ def mask_firm(text: Column, name: Column, ticker: Column) -> Column:
     """The article's own firm becomes Company_1 and its ticker, however spelled, ticker_x."""
     words = core_words(name)
     pattern = F.concat(F.lit(f"(?iu){_BEFORE}"), F.array_join(words, r"[^\p{L}\p{N}_]+"),
-                       F.lit(f"(?:,? (?:{_FORM})\\.?)*{_AFTER}"))
+                       F.lit(f"(?:,? (?:{_FORM})\\.?){{0,4}}{_AFTER}"))
     named = F.when(words.isNull(), text).otherwise(F.regexp_replace(text, pattern, F.lit("Company_1")))
-    letters = F.regexp_replace(ticker, "[^A-Za-z0-9]", "")
-    spelled = F.concat(F.lit(r"(?:SYMBOL(?:: ?| )|[$>] ?)?" + _BEFORE), letters, F.lit(_AFTER))
+    parts = F.filter(F.split(ticker, "[^A-Za-z0-9]+"), lambda p: p != "")
+    letters = F.array_join(parts, "")
+    # One letter alone is no telling spelling, so it needs its mark; BRK.B is masked with its dot or without.
+    mark = F.when(F.length(letters) > 1, F.lit(r"(?:SYMBOL(?:: ?| )|[$>] ?)?")).otherwise(F.lit(r"(?:SYMBOL(?:: ?| )|[$>] ?)"))
+    spelled = F.concat(mark, F.lit(_BEFORE), F.array_join(parts, "[./ -]?"), F.lit(_AFTER))
     return F.when(F.coalesce(letters, F.lit("")) == "", named).otherwise(
         F.regexp_replace(named, spelled, F.lit("ticker_x")))
 

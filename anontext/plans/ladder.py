@@ -3,11 +3,14 @@
 Every step is one map-only job. It reads the still-identified half of the step before it, adds
 one attempt per text and writes both halves apart, so no row is read twice, no step shuffles and
 the plan never grows. Since a responder may answer differently each time, its answers count only
-once they are written.
+once they are written. A recorded answer that is missing may still arrive: the ladder stops before a
+step whose answers are not all there, and names that step as pending.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -17,7 +20,7 @@ from pyspark.sql.utils import AnalysisException
 from anontext.functions.extract import guess_fields, normalise_answer
 from anontext.functions.identify import identification_flags, parse_iso_date
 from anontext.functions.names import name_similarity
-from anontext.operators.responders import OK, Step
+from anontext.operators.responders import MISSING, OK, Step, is_recorded
 from anontext.operators.templates import compile_prompt
 from anontext.schema import ARTICLES, STEP_FILE, STEP_TABLE, RunConfig
 from anontext.session import scratch_path, settings
@@ -57,6 +60,8 @@ class LadderRun:
     config: RunConfig
     root: str
     counts: list[StepCount]
+    pending: Step | None = None
+    missing: int = 0
 
     def _read(self, paths: list[str]) -> DataFrame:
         if not paths:
@@ -73,11 +78,14 @@ class LadderRun:
 
     @property
     def finished(self) -> DataFrame:
-        """The last attempt of every text: passed at some step, or left over after the last."""
+        """The last attempt of every text: passed at some step, or left over after the last.
+
+        While a step is pending, only the texts that have passed.
+        """
         done = [f"{_step_path(self.root, c.step.step_no)}/identified=0"
                 for c in self.counts if c.rows > c.identified]
         last = self.counts[-1] if self.counts else None
-        if last is not None and last.identified:
+        if last is not None and last.identified and self.pending is None:
             done.append(f"{_step_path(self.root, last.step.step_no)}/identified=1")
         return self._read(done)
 
@@ -125,13 +133,16 @@ def attempt_step(texts: DataFrame, step: Step, config: RunConfig, rewriter, gues
                  audit: AuditColumns) -> DataFrame:
     """One pass over texts with columns of ``ARTICLES`` plus ``current_text``."""
     prompt = compile_prompt(step.template, texts.columns)
+    open_rewrite = F.lit(is_recorded(rewriter)) & (F.col("__rewrite.status") == MISSING)
+    open_guess = (F.lit(is_recorded(guesser)) & (F.col("__guess.status") == MISSING)
+                  & F.col("__rewrite.text").isNotNull())
     asked = rewriter.score(texts, prompt, F.col("current_text"), "__rewrite", step)
     guess_prompt = compile_prompt(config.guess_prompt, texts.columns)
     asked = guesser.score(asked, guess_prompt, F.col("__rewrite.text"), "__guess", step)
     return (asked.withColumn("__fields", audit.fields)
             .select("*", audit.similarity.alias("name_similarity"), audit.date.alias("date_guess"))
             .select(*ARTICLES.names, F.lit(step.round).alias("round"), F.lit(step.kind).alias("kind"),
-                    *audit.attempt))
+                    *audit.attempt, (open_rewrite | open_guess).alias("__open")))
 
 
 def run_ladder(articles: DataFrame, config: RunConfig, rewriter, guesser) -> LadderRun:
@@ -147,8 +158,15 @@ def run_ladder(articles: DataFrame, config: RunConfig, rewriter, guesser) -> Lad
     steps = plan_steps(config)
     audit = AuditColumns.of(config)
     counts: list[StepCount] = []
-    if config.resume and keep:
-        counts = _counts_so_far(spark, root, steps)
+    token = uuid.uuid4().hex
+    if keep:
+        digest = _digest(articles, config)
+        if config.resume:
+            token, counts = _counts_so_far(spark, root, steps, token, digest)
+        if not counts:
+            # Notes of an earlier run carry another token and are not trusted.
+            _note(spark, f"{_notes_path(root)}/start", token=token, digest=digest)
+    pending, missing = None, 0
     # Both folders stay open in a task, which spares the sort that writing by folder else needs.
     with settings(spark, spark__sql__maxConcurrentOutputFileWriters="4"):
         for step in steps[len(counts):]:
@@ -163,40 +181,68 @@ def run_ladder(articles: DataFrame, config: RunConfig, rewriter, guesser) -> Lad
                 texts = before.select(*ARTICLES.names, F.col("text").alias("current_text"))
             chosen = rewriter[step.kind] if isinstance(rewriter, dict) else rewriter
             attempt = attempt_step(texts, step, config, chosen, guesser, audit)
-            counts.append(_write_step(attempt, root, step))
+            count, missing = _write_step(attempt, root, step)
+            if missing:
+                pending = step
+                break
+            if counts and count.rows != counts[-1].identified:
+                raise RuntimeError(f"step {step.step_no} gave {count.rows} rows for {counts[-1].identified} texts")
+            counts.append(count)
             if keep:
-                _note_count(spark, root, counts[-1])
-    return LadderRun(spark, config, root, counts)
+                _note(spark, f"{_notes_path(root)}/note={step.step_no}", token=token, rows=count.rows, still=count.identified)
+    return LadderRun(spark, config, root, counts, pending, missing)
 
 
-def _write_step(attempt: DataFrame, root: str, step: Step) -> StepCount:
+def _write_step(attempt: DataFrame, root: str, step: Step) -> tuple[StepCount, int]:
+    """Write one step; its counts, and how many texts still wait for an answer."""
     seen = Observation()
     counted = attempt.observe(seen, F.count(F.lit(1)).alias("rows"),
-                              F.coalesce(F.sum("identified"), F.lit(0)).alias("identified"))
+                              F.coalesce(F.sum("identified"), F.lit(0)).alias("identified"),
+                              F.count_if("__open").alias("missing")).drop("__open")
     counted.write.mode("overwrite").partitionBy("identified").parquet(_step_path(root, step.step_no))
-    return StepCount(step, int(seen.get["rows"]), int(seen.get["identified"]))
+    return StepCount(step, int(seen.get["rows"]), int(seen.get["identified"])), int(seen.get["missing"])
+
 
+def _digest(articles: DataFrame, config: RunConfig) -> str:
+    """Of what decides a run's steps: its configuration, without where and how it is kept, and its articles."""
+    told = {k: repr(v) for k, v in vars(config).items() if k not in ("output_path", "resume", "keep_attempts", "partitions")}
+    texts = articles.agg(F.count(F.lit(1)).alias("n"),
+                         F.sum(F.xxhash64(*ARTICLES.names).cast("decimal(38,0)")).alias("s")).first()
+    return hashlib.sha256(repr((sorted(told.items()), texts["n"], str(texts["s"]))).encode()).hexdigest()
 
-def _note_count(spark: SparkSession, root: str, count: StepCount) -> None:
-    """A one-row note per finished step, written after its data; a resumed run trusts only these."""
-    row = spark.range(1).select(F.lit(count.step.step_no).alias("step"), F.lit(count.rows).alias("rows"),
-                                F.lit(count.identified).alias("still"))
-    row.coalesce(1).write.mode("overwrite").parquet(f"{_notes_path(root)}/note={count.step.step_no}")
+
+def _note(spark: SparkSession, path: str, **values) -> None:
+    """A one-row note, written after the data it speaks of; a resumed run trusts only these."""
+    row = spark.range(1).select(*(F.lit(v).alias(k) for k, v in values.items()))
+    row.coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def _notes_path(root: str) -> str:
     return root.replace("/steps/run_id=", "/step_counts/run_id=")
 
 
-def _counts_so_far(spark: SparkSession, root: str, steps: list[Step]) -> list[StepCount]:
+def _read_note(spark: SparkSession, path: str):
+    try:
+        return spark.read.parquet(path).first()
+    except AnalysisException:  # no note: not begun, or not finished
+        return None
+
+
+def _counts_so_far(spark: SparkSession, root: str, steps: list[Step], token: str,
+                   digest: str) -> tuple[str, list[StepCount]]:
+    """The token of the run to resume and its finished steps; a new token when there is none."""
+    start = _read_note(spark, f"{_notes_path(root)}/start")
+    if start is None:
+        return token, []
+    if start["digest"] != digest:
+        raise ValueError("the run to resume had another configuration or other articles")
     counts: list[StepCount] = []
     for step in steps:
-        try:
-            note = spark.read.parquet(f"{_notes_path(root)}/note={step.step_no}").first()
-        except AnalysisException:  # no note: the step did not finish
+        note = _read_note(spark, f"{_notes_path(root)}/note={step.step_no}")
+        if note is None or note["token"] != start["token"]:
             break
         counts.append(StepCount(step, int(note["rows"]), int(note["still"])))
-    return counts
+    return start["token"], counts
 
 
 def step_name() -> Column:

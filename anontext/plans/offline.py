@@ -1,7 +1,8 @@
 """Scoring away from the cluster: write a step's requests, score them anywhere, replay the answers.
 
-A run that waits for answers is a ladder with ``ReplayResponder`` and ``resume``: each time the
-answers of one more step have arrived, write the requests of the next.
+A run that waits for answers is a ladder with ``ReplayResponder`` and ``resume``. It stops at the first
+step that has not all its answers (``LadderRun.pending``); once those of one more step have arrived, resume
+it and write the requests of the next.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from anontext.operators.requests import build_requests
 from anontext.operators.responders import Step
 from anontext.operators.templates import compile_prompt
+from anontext.plans.sentiment import NEUTERED, RAW
 from anontext.schema import RunConfig
 
 
@@ -34,6 +36,8 @@ def guess_requests(texts: DataFrame, config: RunConfig, text: str, step: Step |
     return made if step is None else made.withColumn("step_no", F.lit(step.step_no))
 
 
-def sentiment_requests(texts: DataFrame, config: RunConfig, text: str, **arguments) -> DataFrame:
-    """Requests for the direction and magnitude of each text."""
-    return _requests(texts, config.sentiment_prompt, text, config, **arguments)
+def sentiment_requests(texts: DataFrame, config: RunConfig, text: str, target: str | None = None,
+                       **arguments) -> DataFrame:
+    """Requests for the direction and magnitude of each text, keyed by document and target."""
+    made = _requests(texts, config.sentiment_prompt, text, config, **arguments)
+    return made.withColumn("target", F.lit(target or (RAW if text == "body" else NEUTERED)))

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from anontext.operators.responders import OK, SKIPPED
 from anontext.plans.ladder import LadderRun, ladder_results, run_ladder, untouched_results
-from anontext.plans.sentiment import add_sentiment
+from anontext.plans.sentiment import NEUTERED, RAW, add_sentiment
 from anontext.schema import RunConfig
 from anontext.session import scratch_path
 from anontext.sources.results import write_stage
 
 NEUTERED_RESPONSE = "sentiment_neut_response"
+ERRORS = "run_id string, doc_id long, step_no int, stage string, status string, message string"
 
 
 @dataclass(frozen=True)
@@ -53,12 +54,12 @@ def _with_sentiment(results: DataFrame, config: RunConfig, scorer, root: str) ->
         results = write_stage(results, root, config.run_id, "neutered")
     if config.rewrites and config.sentiment_on_neutered:
         results = add_sentiment(results, scorer, config.sentiment_prompt, "neutered_text",
-                                NEUTERED_RESPONSE, "direction_neut", "magnitude_neut")
+                                NEUTERED_RESPONSE, "direction_neut", "magnitude_neut", NEUTERED)
         if config.keep_attempts:
             results = write_stage(results, root, config.run_id, "sent_neut")
     if config.sentiment_on_raw:
         results = add_sentiment(results, scorer, config.sentiment_prompt, "body",
-                                config.extraction_name, "direction", "magnitude")
+                                config.extraction_name, "direction", "magnitude", RAW)
     return results
 
 
@@ -83,8 +84,10 @@ def error_table(run_id: str, attempts: DataFrame | None, results: DataFrame,
     scored = {stage: (f"{c}_status", f"{c}_message")
               for stage, c in (("sentiment_neut", NEUTERED_RESPONSE), ("sentiment_raw", config.extraction_name))
               if f"{c}_status" in results.columns}
-    if scored or not parts:
-        parts.append(bad(results, F.lit(None), scored or {"none": ("neutered_at_step", "neutered_at_step")}))
+    if scored:
+        parts.append(bad(results, F.lit(None), scored))
+    if not parts:
+        return results.sparkSession.createDataFrame([], ERRORS)
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part)

@@ -15,13 +15,18 @@ NULL_CELLS = (
 
 
 def read_csv(spark: SparkSession, path: str | list[str], null_cells: bool = True) -> DataFrame:
-    """CSV with a header as text columns, by header name; quoted cells may hold line breaks.
+    """CSV with a header as text columns; quoted cells may hold line breaks.
+
+    All files of one call have the same header; one with other columns, or in another order, stops the job
+    (``combine_csv`` joins such files by column name).
 
     An unnamed first column, left by writers that store their row numbers, is called ``row``.
     """
-    raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-           .csv(path))
+    reader = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+    raw = reader.csv(path)
+    if "_c0" not in raw.columns:  # a header with an unnamed column cannot be held against other files
+        raw = reader.option("enforceSchema", False).csv(path)
     if raw.columns[0] in ("_c0", "Unnamed: 0"):
         raw = raw.withColumnRenamed(raw.columns[0], "row")
     if null_cells:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from anontext.schema import SOURCE_COLUMNS
+from anontext.session import settings
 from anontext.sources.articles import read_csv, write_csv
 
 # Names of result columns in exported files.
@@ -46,16 +47,22 @@ def combine_runs(spark: SparkSession, root: str, run_ids: list[str] | None = Non
                  all_runs: bool = False, stage: str = "final") -> DataFrame | None:
     """The results of the named runs, or of all, as one table; columns a run lacks are null.
 
-    Runs are folders, so naming them prunes the scan. None when there is nothing to combine.
+    Only the folders of named runs are looked at, and one that is not there stops the job. None when all
+    runs are asked for and there are none. Ids stay text, such as 007.
     """
     if not all_runs and not run_ids:
         raise ValueError("name the runs or ask for all_runs")
-    try:
-        found = spark.read.option("mergeSchema", True).parquet(f"{root}/{stage}")
-    except AnalysisException:
-        return None
-    found = found.withColumn("run_id", F.col("run_id").cast("string"))
-    return found if all_runs else found.filter(F.col("run_id").isin(*run_ids))
+    base = f"{root}/{stage}"
+    paths = [base] if all_runs else [stage_path(root, r, stage) for r in dict.fromkeys(run_ids)]
+    with settings(spark, spark__sql__sources__partitionColumnTypeInference__enabled="false"):
+        try:
+            return spark.read.option("mergeSchema", True).option("basePath", base).parquet(*paths)
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
+            if all_runs:
+                return None
+            raise ValueError(f"a run to combine is not there: {problem.getMessage()}") from problem
 
 
 def combine_csv(spark: SparkSession, paths: list[str]) -> DataFrame | None:

@@ -67,18 +67,97 @@ def test_the_other_similarity_gives_the_same_ladder(articles):
     assert {i: r.neutered_at_step for i, r in lcs.items()} == {i: r.neutered_at_step for i, r in ratio.items()}
 
 
-def test_a_ladder_of_callables_and_replays(articles, spark):
-    """A function rewrites, recorded answers guess; half the answers are missing and so pass."""
-    def make():
-        return lambda system, user: f"{len(system) > 50} {user}"
+def _recorded(articles, steps, wrong=()):
+    """Guesses that name the firm, but for documents in ``wrong``."""
+    name = F.when(F.col("doc_id").isin(*wrong), F.lit("Quixotic Zephyr")).otherwise(F.col("comnam")) if wrong else F.col("comnam")
+    return articles.select("doc_id", F.explode(F.array(*(F.lit(s) for s in steps))).alias("step_no"),
+                           F.concat(F.lit("Name Estimate: "), name).alias("response"), F.lit(None).cast("string").alias("error"))
+
 
-    recorded = articles.filter("doc_id % 2 = 0").select(
-        "doc_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("step_no"),
-        F.concat(F.lit("Name Estimate: "), "comnam").alias("response"), F.lit(None).cast("string").alias("error"))
-    ladder = run_ladder(articles, RunConfig(max_rounds=0), CallableResponder(make), ReplayResponder(recorded))
+def _counting(spark, folder):
+    """A rewriter that notes every call in a file of its own."""
+    def make():
+        import os
+        import uuid
+
+        def respond(system, user):
+            with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+                f.write(user)
+            return f"{len(system) > 50} {user}"
+        return respond
+    return CallableResponder(make)
+
+
+def test_a_ladder_of_callables_and_replays(articles, spark, folder):
+    """A function rewrites, recorded answers guess; each text is asked about once per step."""
+    import os
+    ladder = run_ladder(articles, RunConfig(max_rounds=0), _counting(spark, folder),
+                        ReplayResponder(_recorded(articles, [0, 1], wrong=(3, 4))))
     rows = {r.doc_id: r for r in ladder_results(ladder).collect()}
     assert rows[2].neutered_at_step == "never_neutered" and rows[2].neutered_text == "True True text 2"
-    assert rows[3].neutered_at_step == "masking_step_0" and rows[3].guess_status == "missing"
+    assert rows[3].neutered_at_step == "masking_step_0" and ladder.pending is None
+    assert len(os.listdir(folder)) == N + (N - 2)
+
+
+def test_content_replay_runs_no_job_of_its_own(articles, spark, folder):
+    import os
+    from anontext.operators.responders import ContentReplayResponder
+    answers = spark.createDataFrame([("x", "y")], "digest string, response string")
+    ContentReplayResponder(answers, error=None).score(
+        _counting(spark, folder).score(articles, F.lit(""), F.col("body"), "a"), F.lit(""), F.col("a.text"), "b")
+    assert os.listdir(folder) == []
+
+
+def test_a_missing_answer_is_waited_for(articles, folder):
+    config = RunConfig(run_id="w", output_path=folder, resume=True, max_rounds=0)
+    half = _recorded(articles, [0], wrong=(3,)).filter("doc_id <> 5")
+    waiting = run_ladder(articles, config, REWRITER, ReplayResponder(half))
+    assert waiting.pending.step_no == 0 and waiting.missing == 1 and ladder_results(waiting).count() == 0
+    waiting = run_ladder(articles, config, REWRITER, ReplayResponder(_recorded(articles, [0], wrong=(3,))))
+    assert waiting.pending.step_no == 1 and [c.rows for c in waiting.counts] == [N]
+    assert [r.doc_id for r in ladder_results(waiting).collect()] == [3]  # none counts as passed, or as never passing
+    done = run_ladder(articles, config, REWRITER, ReplayResponder(_recorded(articles, [0, 1], wrong=(3,))))
+    assert done.pending is None and ladder_results(done).count() == N
+
+
+def test_repeated_recordings_give_one_row(articles):
+    twice = _recorded(articles, [0, 1]).unionByName(_recorded(articles, [0, 1]))
+    ladder = run_ladder(articles, RunConfig(max_rounds=0), REWRITER, ReplayResponder(twice))
+    assert ladder_results(ladder).count() == N
+
+
+def test_resume_does_not_mix_runs(articles, folder):
+    def rewriter(word, broken=None):
+        def build(call):
+            if call.step.step_no == broken:
+                raise RuntimeError("lost")
+            return F.concat(F.lit(f"{word}{call.step.step_no} "), call.user)
+        return ExpressionResponder(build, policy_for("ollama"))
+
+    fresh = RunConfig(run_id="m", output_path=folder, max_rounds=1)
+    again = RunConfig(run_id="m", output_path=folder, max_rounds=1, resume=True)
+    run_ladder(articles, fresh, rewriter("old"), GUESSER)
+    with pytest.raises(RuntimeError):
+        run_ladder(articles, fresh, rewriter("new", broken=1), GUESSER)
+    rows = {r.doc_id: r for r in ladder_results(run_ladder(articles, again, rewriter("new"), GUESSER)).collect()}
+    assert len(rows) == N and not any("old" in r.neutered_text for r in rows.values())
+    with pytest.raises(ValueError, match="another configuration"):
+        run_ladder(articles.filter("doc_id < 5"), again, rewriter("new"), GUESSER)
+    with pytest.raises(ValueError, match="another configuration"):
+        run_ladder(articles, RunConfig(run_id="m", output_path=folder, max_rounds=1, resume=True, threshold=80), rewriter("new"), GUESSER)
+
+
+def test_recorded_sentiment_tells_the_two_texts_apart(articles):
+    answers = articles.select("doc_id", F.explode(F.array(F.lit("neutered"), F.lit("raw"))).alias("target")).select(
+        "doc_id", "target", F.concat(F.lit("Direction Estimate: "), (F.col("target") == "raw").cast("int"),
+                                     F.lit(", Magnitude Estimate: 0.5")).alias("response"))
+    out = run(articles, RunConfig(max_rounds=0), REWRITER, GUESSER, ReplayResponder(answers, keys=("doc_id",), error=None))
+    assert {(r.direction_neut, r.direction) for r in out.results.collect()} == {("0", "1")}
+
+
+def test_raw_runs_have_no_errors(articles):
+    out = run(articles, RunConfig(masking=False, paraphrase=False, perform_sentiment=False))
+    assert out.errors.count() == 0 and out.errors.columns == ["run_id", "doc_id", "step_no", "stage", "status", "message"]
 
 
 def test_steps_stop_when_nothing_is_left(articles):

@@ -50,15 +50,14 @@ TEXTS = [
     (1, "Blue Bolt Inc", "Tin beat Red Rod Steel; RED  rod and Tin in New York, not York.",
      "Company_2 beat Company_3; Company_3 and Company_2 in location_x, not name_x."),
     (2, "Red Rod", "Red Rod met Tin. Red, rodeo", "Company_1 met Company_2. sector_x, rodeo"),
-    (3, "Blue Bolt", "blue bolt, the Widget Maker\nred\nrod", "Company_1, the product_type_x\nsector_x\nrod"),
+    (3, "Blue Bolt", "blue bolt, the Widget Maker\nred\nrod", "Company_1, the product_type_x\nCompany_2"),
     (4, "Blue Bolt", "nothing here", "nothing here"),
     (5, None, None, None),
     (6, "Blue Bolt", "", ""),
 ]
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_surfaces": 0}, {"max_surfaces": 0, "hot_rows": 1, "probe_share": 1.0},
-                                    {"max_surfaces": 0, "hot_rows": 1, "probe_share": 0.5}])
+@pytest.mark.parametrize("limits", [{}, {"max_surfaces": 0}])
 def test_entities_both_ways(spark, limits):
     dictionary = spark.createDataFrame(DICTIONARY, "surface string, kind string, entity string")
     texts = spark.createDataFrame([t[:3] for t in TEXTS], "doc_id bigint, comnam string, text string")

@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 from anontext.operators.responders import (LOCAL, ROBUSTNESS, CallableResponder, ContentReplayResponder,
                                            ExpressionResponder, ReplayResponder, Step, policy_for,
                                            request_digest)
-from anontext.operators.skew import hot_keys, join_to_unique
 
 CASES = [
     (1, " fine ", None, "fine", "ok"),
@@ -69,26 +68,11 @@ def test_callable_builds_once_per_partition_and_records_errors(spark):
     assert scored[3].a.status == "html" and "RuntimeError" not in scored[3].a.message
 
 
-def test_content_replay_splits_hot_texts(spark):
+def test_content_replay_answers_every_copy(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "copy").otherwise(
         F.col("id").cast("string")).alias("t"))
     answers = docs.select("t").distinct().select(request_digest(F.lit("s"), F.col("t")).alias("digest"),
                                                  F.concat(F.lit("re "), "t").alias("response"))
-    scored = ContentReplayResponder(answers, error=None, hot_rows=100).score(docs, F.lit("s"), F.col("t"), "a")
+    scored = ContentReplayResponder(answers, error=None).score(docs, F.lit("s"), F.col("t"), "a")
     assert scored.count() == 3000
     assert scored.filter(F.col("a.text") != F.concat(F.lit("re "), "t")).count() == 0
-
-
-def test_hot_keys_are_bounded(spark):
-    df = spark.range(10000).select(F.when(F.col("id") < 5000, -1).otherwise(F.col("id") % 100).alias("k"))
-    assert hot_keys(df, ["k"], hot_rows=6000) is None
-    hot = hot_keys(df, ["k"], hot_rows=40, max_hot=5).collect()
-    assert len(hot) == 1 and hot[0].k == -1 and hot[0]["__parts"] > 1
-
-
-def test_split_join_equals_plain_join(spark):
-    left = spark.range(2000).select("id", F.when(F.col("id") % 2 == 0, None).otherwise(F.col("id") % 50).alias("k"))
-    right = spark.createDataFrame([(None, "null")] + [(i, str(i)) for i in range(0, 40)], "k bigint, v string")
-    plain = left.join(right.withColumnRenamed("k", "r"), F.col("k").eqNullSafe(F.col("r")), "left").drop("r")
-    split = join_to_unique(left, right, ["k"], ["id"], "left", hot_rows=30)
-    assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect()))

@@ -183,9 +183,9 @@ def _sentiment_of(text: str, suffix: str) -> str:
 
 
 def _wide() -> str:
-    """Steps of a ladder of two rounds with the answers of each, side by side."""
+    """Steps of a whole ladder with the answers of each, side by side."""
     columns = []
-    for s in range(6):
+    for s in range(18):
         name = f"{'masking_step' if s % 2 == 0 else 'paraphrasing_step'}_{s // 2}"
         answer = fx.guess_answer(str(s))
         here, right = f"{s} <= k", f"{s} < k"
@@ -215,7 +215,7 @@ FROM articles""")
 ERRORS = f"""
 WITH steps AS (
   SELECT doc_id, s, doc_id % 13 AS r, doc_id % 17 AS g, {fx.K} AS k
-  FROM documents, (SELECT unnest(range(0, 4)) AS s)),
+  FROM documents, (SELECT unnest(range(0, 18)) AS s)),
 here AS (
   SELECT * FROM steps WHERE list_bool_and(list_concat([true],
     list_transform(range(0, s), lambda t: r <= t OR g = t OR t < k)))),
@@ -263,9 +263,9 @@ _PATTERNS = (
      f"{_M} {_D}(?:,? [0-9]{{4}})?|{_D} {_M}(?:,? [0-9]{{4}})?|{_M} [0-9]{{4}}"),
     ("year_x", "(?:FY ?)?(?:19|20)[0-9]{2}"),
     ("ticker_x", f"SYMBOL(?:: ?| ){_T}|[$>] ?{_T}"),
-    ("number_x", "(?:[$€£] ?)?[0-9]+(?:[.,][0-9]+)*(?:(?: ?(?:%|percent|per cent|percentage points?|basis points?|bps|"
+    ("number_x", "(?:[$€£] ?)?[0-9](?:[0-9.,]*[0-9])?(?: ?(?:%|percent|per cent|percentage points?|basis points?|bps|"
      "thousand|million|billion|trillion|mn|bn|[kKmMbB]|dollars?|cents?|euros?|USD|EUR|GBP|shares?|units?|"
-     "km|kg|tons?|tonnes?|barrels?|miles?|years?|months?|weeks?|days?|hours?|minutes?))+)?"),
+     "km|kg|tons?|tonnes?|barrels?|miles?|years?|months?|weeks?|days?|hours?|minutes?)){0,3}"),
 )
 
 
@@ -279,7 +279,7 @@ def _mask_patterns(text: str, source: str, keys: str) -> str:
 
 _CORE = "regexp_replace(lower(comnam), ' (?:inc|corp [(]new[)]|holdings ltd|co|technologies plc)$', '')"
 _OWN = _mask("body", "Company_1", f"concat('(?i:', replace({_CORE}, ' ', '[^\\p{{L}}\\p{{N}}_]+'), "
-             f"'(?:,? (?:{FORMS.replace('.', chr(92) + '.')})\\.?)*)')")
+             f"'(?:,? (?:{FORMS.replace('.', chr(92) + '.')})\\.?){{0,4}})')")
 _OWN_TICKER = f"""regexp_replace(regexp_replace(t,
   concat('(?:SYMBOL(?:: ?| )|[$>] ?)', ticker, '{_R}'), 'ticker_x\\1', 'g'),
   concat('{_L}', ticker, '{_R}'), '\\1ticker_x\\2', 'g')"""
@@ -292,7 +292,7 @@ def _rule_mask(body: str) -> str:
 
 def _request(extra: str) -> str:
     return (f"to_json(struct_pack(model := m, messages := [struct_pack(role := 'system', content := 'Guess.'), "
-            f"struct_pack(role := 'user', content := comnam)], top_p := 1, frequency_penalty := 0, "
+            f"struct_pack(role := 'user', content := body)], top_p := 1, frequency_penalty := 0, "
             f"presence_penalty := 0, logprobs := false, {extra}))::varchar")
 
 
@@ -348,13 +348,13 @@ SQL = {
     "identification_rate": _with(*_finished("mp", 8),
                                  body="SELECT round(100 * avg(identified), 3) AS identification_rate FROM done"),
     "wide_attempts": _wide(),
-    "sentiment_both": _with(*_finished("mp", 1), body=f"""SELECT doc_id, identified AS iort_guess_correct_neutered,
+    "sentiment_both": _with(*_finished("mp", 8), body=f"""SELECT doc_id, identified AS iort_guess_correct_neutered,
       {_sentiment_of('neutered_text', '_neut')}, {_sentiment_of('body', '')} FROM done"""),
-    "combine_runs": _with(*_finished("mp", 0), body=f"""
-      SELECT 'first' AS run_id, doc_id, neutered_at_step, identified AS iort_guess_correct_neutered,
+    "combine_runs": _with(*_finished("mp", 8), body=f"""
+      SELECT '007' AS run_id, doc_id, neutered_at_step, identified AS iort_guess_correct_neutered,
         {_sentiment_of('body', '')} FROM done
       UNION ALL BY NAME
-      SELECT 'second' AS run_id, doc_id, neutered_at_step, identified AS iort_guess_correct_neutered FROM done"""),
+      SELECT '7' AS run_id, doc_id, neutered_at_step, identified AS iort_guess_correct_neutered FROM done"""),
     "combine_csv": _with(ARTICLES, body="""
       SELECT cast(doc_id AS varchar) AS doc_id, ticker FROM articles WHERE doc_id % 2 = 0
       UNION ALL BY NAME SELECT industry, cast(doc_id AS varchar) AS doc_id FROM articles WHERE doc_id % 2 = 1"""),
@@ -362,7 +362,7 @@ SQL = {
     "replay_by_content": """SELECT doc_id, concat('seen first in ', min(doc_id) OVER (PARTITION BY text)) AS text
       FROM documents""",
     "callable_responder": """SELECT doc_id,
-      CASE WHEN lang = 'fr' THEN '' ELSE regexp_replace(concat(length(text), ' ', substr(text, 1, 12)), '\\s+$', '') END AS text,
+      CASE WHEN lang = 'fr' THEN '' ELSE concat(length(text), ' ', md5(text)) END AS text,
       CASE WHEN lang = 'fr' THEN 'error' ELSE 'ok' END AS status,
       CASE WHEN lang = 'fr' THEN 'no French' END AS message FROM documents""",
     "error_table": ERRORS,
@@ -414,12 +414,12 @@ SQL = {
         ELSE {_request('temperature := 0, max_tokens := 16384')} END AS request FROM named"""),
     "request_payload_local": _with(ARTICLES, body=f"""SELECT doc_id, to_json(struct_pack(model := 'gemma3:4b',
       messages := [struct_pack(role := 'system', content := concat({_MASK_PROMPT})),
-        struct_pack(role := 'user', content := ticker)],
+        struct_pack(role := 'user', content := body)],
       options := struct_pack(temperature := 0, top_p := 1, presence_penalty := 0, frequency_penalty := 0,
         max_tokens := 16384, reset := true)))::varchar AS request FROM articles"""),
     "csv_round_trip": _with(ARTICLES, body="SELECT doc_id, body, comnam, ticker, industry, pub_date FROM articles"),
     "mixed_dates": _with(ARTICLES, body="SELECT doc_id, pub_date FROM articles"),
-    "batch_job": _with(*_finished("mp", 1), body="""
+    "batch_job": _with(*_finished("mp", 8), body="""
       SELECT 'firms' AS fact, cast(count(DISTINCT comnam) AS DOUBLE) AS value FROM done
       UNION ALL SELECT 'industries', count(DISTINCT industry) FROM done
       UNION ALL SELECT 'identification_rate', round(100 * avg(identified), 3) FROM done
@@ -427,7 +427,7 @@ SQL = {
       UNION ALL SELECT 'bullish', count(*) FILTER (length(body) % 2 = 1) FROM done"""),
     "offline_requests": _with(ARTICLES, body=f"""SELECT doc_id, 1 AS step_no, to_json(struct_pack(
       model := 'gpt-4o-mini', messages := [struct_pack(role := 'system', content := {_quote(templates.GUESS_PROMPT)}),
-        struct_pack(role := 'user', content := comnam)], top_p := 1, frequency_penalty := 0,
+        struct_pack(role := 'user', content := body)], top_p := 1, frequency_penalty := 0,
       presence_penalty := 0, logprobs := false, temperature := 0, max_tokens := 16384))::varchar AS request
       FROM articles"""),
     "wrapped_responder": """SELECT doc_id, regexp_replace(replace(replace(replace(replace(

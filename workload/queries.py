@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -110,11 +111,6 @@ def name_similarities_by_pair(spark, sf_dir):
         "doc_id", "similarity")
 
 
-def name_similarities_difflib(spark, sf_dir):
-    return _name_pairs(spark, sf_dir).select(
-        "doc_id", name_similarity(F.col("comnam"), F.col("guess"), method="difflib").alias("similarity"))
-
-
 def date_match(spark, sf_dir):
     guesses = fx.derived(spark, sf_dir, fx.DATE_GUESSES)
     return (guesses.withColumn("parsed", parse_iso_date(F.col("guess")))
@@ -189,12 +185,12 @@ def identification_rate(spark, sf_dir):
 
 
 def wide_attempts(spark, sf_dir):
-    ladder = scripted_ladder(spark, sf_dir, max_rounds=2)
+    ladder = scripted_ladder(spark, sf_dir)
     return metrics.wide_attempts(ladder.attempts, plan_steps(ladder.config))
 
 
 def sentiment_both(spark, sf_dir):
-    config = RunConfig(run_id="scripted", max_rounds=1)
+    config = RunConfig(run_id="scripted")
     out = run(_spread_articles(spark, sf_dir), config, scripted_rewriter(), scripted_guesser(),
               scripted_scorer())
     return out.results.select("doc_id", "iort_guess_correct_neutered", "direction_neut",
@@ -205,10 +201,10 @@ def combined_runs(spark, sf_dir):
     """Two runs below one folder, one without sentiment, read back as one table."""
     root = scratch_path(spark, "combine")
     texts = _articles(spark, sf_dir)
-    for run_id, sentiment in (("first", True), ("second", False)):
-        config = RunConfig(run_id=run_id, output_path=root, max_rounds=0, perform_sentiment=sentiment)
+    for run_id, sentiment in (("007", True), ("7", False)):
+        config = RunConfig(run_id=run_id, output_path=root, perform_sentiment=sentiment)
         run(texts, config, scripted_rewriter(), scripted_guesser(), scripted_scorer())
-    both = combine_runs(spark, root, ["first", "second"])
+    both = combine_runs(spark, root, ["007", "7"])
     return both.select("run_id", "doc_id", "neutered_at_step", "iort_guess_correct_neutered",
                        "direction", "magnitude")
 
@@ -246,12 +242,12 @@ def replay_by_content(spark, sf_dir):
 
 
 def callable_responder(spark, sf_dir):
-    """A function per text: it names the first word, and fails on French texts."""
+    """A function per text: its length and digest, and a failure on French texts."""
     def make():
         def respond(system: str, user: str) -> str:
             if system == "fr":
                 raise ValueError("no French")
-            return f" {len(user)} {user[:12]} "
+            return f" {len(user)} {hashlib.md5(user.encode()).hexdigest()} "
         return respond
     docs = fx.tables(spark, sf_dir, "documents")["documents"]
     responder = CallableResponder(make, partitions=spark.sparkContext.defaultParallelism
@@ -272,7 +268,7 @@ def errors(spark, sf_dir):
         bad = F.col("doc_id") % 17 == call.step.step_no
         return F.when(~bad, _sql(fx.guess_answer(str(call.step.step_no)))), F.when(bad, F.lit("refused"))
 
-    config = RunConfig(run_id="failing", max_rounds=1, perform_sentiment=False, strict=True)
+    config = RunConfig(run_id="failing", perform_sentiment=False, strict=True)
     out = run(_articles(spark, sf_dir), config, ExpressionResponder(rewrite), ExpressionResponder(guess))
     return out.errors
 
@@ -312,7 +308,7 @@ def ladder_with_rules(spark, sf_dir):
         dated = F.when(call.user.contains(day), day)
         return F.concat(F.lit("Name Estimate: "), F.coalesce(named, F.lit("NA")),
                         F.lit(", Date Estimate: "), F.coalesce(dated, F.lit("NA")))
-    config = RunConfig(run_id="rules", paraphrase=False, max_rounds=1)
+    config = RunConfig(run_id="rules", paraphrase=False)
     ladder = run_ladder(_articles(spark, sf_dir), config, rule_rewriter(), ExpressionResponder(guess))
     return ladder_results(ladder).select("doc_id", "neutered_text", "neutered_at_step", "iort_guess_correct_neutered")
 
@@ -409,12 +405,12 @@ def token_use(spark, sf_dir):
 def request_payload(spark, sf_dir):
     texts = _articles(spark, sf_dir)
     model = F.when(F.col("doc_id") % 2 == 0, "gpt-5-nano-2025-08-07").otherwise("gpt-4o-mini")
-    return texts.select("doc_id", hosted_request(F.lit("Guess."), F.col("comnam"), model).alias("request"))
+    return texts.select("doc_id", hosted_request(F.lit("Guess."), F.col("body"), model).alias("request"))
 
 
 def request_payload_local(spark, sf_dir):
     prompt = templates.compile_prompt(templates.MASK_TEMPLATE, ["comnam", "ticker", "industry"])
-    return build_requests(_articles(spark, sf_dir), prompt, F.col("ticker"), "gemma3:4b", "ollama")
+    return build_requests(_articles(spark, sf_dir), prompt, F.col("body"), "gemma3:4b", "ollama")
 
 
 # --- sources ---
@@ -449,7 +445,7 @@ def batch_job(spark, sf_dir):
     """CSV in; profile, counts by step, rate and sentiment out, one fact per row."""
     path = scratch_path(spark, "batch")
     write_csv(_articles(spark, sf_dir), f"{path}/in")
-    report = run_batch(spark, f"{path}/in", RunConfig(run_id="batch", max_rounds=1, output_path=f"{path}/out"),
+    report = run_batch(spark, f"{path}/in", RunConfig(run_id="batch", output_path=f"{path}/out"),
                        scripted_rewriter(), scripted_guesser(), scripted_scorer(),
                        csv_into=f"{path}/articles", key="doc_id")
     facts = [report.profile.select(F.lit("firms").alias("fact"), F.col("firms").cast("double").alias("value")),
@@ -464,7 +460,7 @@ def batch_job(spark, sf_dir):
 def offline_requests(spark, sf_dir):
     """Guess requests of every article for a hosted model, as one JSON document each."""
     config = RunConfig(provider="openai", model_name="gpt-4o-mini")
-    return guess_requests(_articles(spark, sf_dir), config, "comnam", plan_steps(config)[1])
+    return guess_requests(_articles(spark, sf_dir), config, "body", plan_steps(config)[1])
 
 
 def wrapped_responder(spark, sf_dir):
@@ -492,7 +488,6 @@ QUERIES = {
     "clean_name": clean_names,
     "name_similarity": name_similarities,
     "name_similarity_by_pair": name_similarities_by_pair,
-    "name_similarity_difflib": name_similarities_difflib,
     "date_match": date_match,
     "check_identified": identified,
     "ladder_full": _ladder(),
