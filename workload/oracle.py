@@ -309,7 +309,34 @@ SELECT doc_id, concat('Company_1', substr(body, length(core) + 1, instr(body, '
 FROM (SELECT *, CASE WHEN rival = lower(core) THEN 'Company_1' ELSE 'Company_2' END AS other
   FROM (SELECT a.*, rival, substr(body, 1, instr(body, ' ($') - 1) AS core FROM articles a JOIN rivals USING (doc_id)))""")
 
+
+def _template_prompt(template: dict) -> str:
+    return "concat(" + ", ".join(_quote(p) if isinstance(p, str) else f"{_quote(p['prefix'])}, {p['column']}, {_quote(p['suffix'])}"
+                                 for p in template["template"]) + ")"
+
+
+ROW_PROMPTS = _with(ARTICLES, ("steps", f"""SELECT *, cast(s AS INTEGER) AS step_no
+  FROM (SELECT *, unnest(range(0, 18)) AS s FROM articles) WHERE s <= {fx.K}"""), body=f"""
+SELECT doc_id, step_no, md5(CASE step_no WHEN 0 THEN {_template_prompt(templates.MASK_TEMPLATE)}
+  WHEN 1 THEN {_template_prompt(templates.PARA_TEMPLATE)}
+  ELSE CASE WHEN step_no % 2 = 0 THEN {_template_prompt(templates.MASK_TEMPLATE_ITER)}
+    ELSE {_template_prompt(templates.PARA_TEMPLATE_ITER)} END END) AS text FROM steps""")
+
 SQL = {
+    "ladder_replay": _ladder("mp"),
+    "ladder_replay_paused": _with(*_finished("mp", 8), body="""SELECT doc_id, neutered_text, neutered_at_step,
+      4 AS pending FROM done WHERE s <= 3"""),
+    "sentiment_replay": _with(ARTICLES, body="""SELECT doc_id, cast(doc_id % 5 AS varchar) AS direction_neut,
+      cast(concat('0.', doc_id % 5) AS DOUBLE) AS magnitude_neut, cast(doc_id % 3 AS varchar) AS direction,
+      cast(concat('0.', doc_id % 3) AS DOUBLE) AS magnitude FROM articles"""),
+    "sentiment_requests": _with(ARTICLES, body=f"""SELECT doc_id, 'raw' AS target, to_json(struct_pack(
+      model := 'gpt-4o-mini', messages := [struct_pack(role := 'system', content := {_quote(templates.SENTIMENT_PROMPT)}),
+        struct_pack(role := 'user', content := body)], top_p := 1, frequency_penalty := 0,
+      presence_penalty := 0, logprobs := false, temperature := 0, max_tokens := 16384))::varchar AS request
+      FROM articles"""),
+    "row_prompts": ROW_PROMPTS,
+    "token_sort": """SELECT doc_id, md5(array_to_string(list_sort(list_filter(string_split(
+      regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g'), ' '), lambda w: w <> '')), ' ')) AS sorted_md5 FROM documents""",
     "profile": _with(ARTICLES, body="""SELECT count(DISTINCT comnam) AS firms, count(DISTINCT ticker) AS tickers,
       count(DISTINCT industry) AS industries, min(pub_date) AS earliest, max(pub_date) AS latest FROM articles"""),
     "clean_chars": """SELECT doc_id, replace(replace(replace(replace(text, chr(10), ''), '''', ''), '*', ''), chr(92), '')

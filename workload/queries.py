@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from anontext.functions.extract import extract_guess, extract_sentiment
 from anontext.functions.identify import check_identified, date_guess_correct, parse_iso_date
 from anontext.functions.names import (clean_name, name_similarity, plain_name_similarity,
-                                      similarity_by_pair)
+                                      similarity_by_pair, token_sorted)
 from anontext.functions.text import clean_characters, estimated_tokens, word_count
 from anontext.operators import templates
 from anontext.operators.budget import rolling_tokens, route_by_size, score_batch
@@ -25,7 +25,7 @@ from anontext.operators.sampling import first_rows, stable_sample
 from anontext.plans import metrics
 from anontext.plans.batch import run_batch
 from anontext.plans.ladder import ladder_results, plan_steps, run_ladder
-from anontext.plans.offline import guess_requests
+from anontext.plans.offline import guess_requests, sentiment_requests
 from anontext.plans.pipeline import run
 from anontext.plans.robustness import audit_models, guess_with_models, rate_by_model, wide_guesses
 from anontext.schema import RunConfig, conform_articles
@@ -257,6 +257,62 @@ def callable_responder(spark, sf_dir):
                          F.col("answer.status").alias("status"), F.col("answer.message").alias("message"))
 
 
+def _recordings(spark, sf_dir, last_step=None):
+    """The scripted ladder's own rewrites and guesses as recordings, each of them twice."""
+    attempts = scripted_ladder(spark, sf_dir).attempts
+    if last_step is not None:
+        attempts = attempts.filter(F.col("step_no") <= last_step)
+    twice = attempts.unionByName(attempts)
+    none = F.lit(None).cast("string").alias("error")
+    return (twice.select("doc_id", "step_no", F.col("text").alias("response"), none),
+            twice.select("doc_id", "step_no", F.col("guess_response").alias("response"), none))
+
+
+def _replayed(spark, sf_dir, last_step=None):
+    rewrites, guesses = _recordings(spark, sf_dir, last_step)
+    return run_ladder(_spread_articles(spark, sf_dir), RunConfig(run_id="replayed"),
+                      ReplayResponder(rewrites, policy=policy_for("ollama")), ReplayResponder(guesses))
+
+
+def ladder_replay(spark, sf_dir):
+    """All steps from recordings, which hold every answer twice."""
+    return ladder_results(_replayed(spark, sf_dir)).drop("run_id", "body", "text_status", "guess_status")
+
+
+def ladder_replay_paused(spark, sf_dir):
+    """Answers up to step 3 only: the texts that passed by then, and nothing about the others."""
+    ladder = _replayed(spark, sf_dir, last_step=3)
+    return ladder_results(ladder).select("doc_id", "neutered_text", "neutered_at_step", F.lit(ladder.pending.step_no).alias("pending"))
+
+
+def sentiment_replay(spark, sf_dir):
+    """Recorded sentiment that differs between the neutered and the raw text."""
+    both = _articles(spark, sf_dir).select("doc_id", F.explode(F.array(F.lit("neutered"), F.lit("raw"))).alias("target"))
+    n = F.when(F.col("target") == "raw", F.col("doc_id") % 3).otherwise(F.col("doc_id") % 5).cast("string")
+    answers = both.select("doc_id", "target", F.concat(F.lit("Direction Estimate: "), n, F.lit(", Magnitude Estimate: 0."), n).alias("response"))
+    out = run(_spread_articles(spark, sf_dir), RunConfig(run_id="recorded", max_rounds=0), scripted_rewriter(), scripted_guesser(),
+              ReplayResponder(answers, keys=("doc_id",), error=None))
+    return out.results.select("doc_id", "direction_neut", "magnitude_neut", "direction", "magnitude")
+
+
+def offline_sentiment(spark, sf_dir):
+    """Sentiment requests of every whole article for a hosted model."""
+    config = RunConfig(provider="openai", model_name="gpt-4o-mini")
+    return sentiment_requests(_articles(spark, sf_dir), config, "body")
+
+
+def row_prompts(spark, sf_dir):
+    """A rewriter that answers with a digest of the prompt it was given: the template of every step and row."""
+    digest = ExpressionResponder(lambda call: F.md5(call.system))
+    ladder = run_ladder(_spread_articles(spark, sf_dir), RunConfig(run_id="prompts"), digest, scripted_guesser())
+    return ladder.attempts.select("doc_id", "step_no", "text")
+
+
+def sorted_tokens(spark, sf_dir):
+    docs = fx.tables(spark, sf_dir, "documents")["documents"]
+    return docs.select("doc_id", F.md5(token_sorted(F.col("text"))).alias("sorted_md5"))
+
+
 def errors(spark, sf_dir):
     """The error table of a run whose answers fail now and then."""
     def rewrite(call):
@@ -507,6 +563,12 @@ QUERIES = {
     "replay_by_content": replay_by_content,
     "callable_responder": callable_responder,
     "error_table": errors,
+    "ladder_replay": ladder_replay,
+    "ladder_replay_paused": ladder_replay_paused,
+    "sentiment_replay": sentiment_replay,
+    "sentiment_requests": offline_sentiment,
+    "row_prompts": row_prompts,
+    "token_sort": sorted_tokens,
     "rule_mask": rule_mask,
     "rule_mask_texts": rule_mask_texts,
     "ladder_with_rules": ladder_with_rules,
