@@ -81,10 +81,21 @@ SENTIMENT_PROMPT = (
     f"(highly). Answer in exactly this layout and add nothing: {SENTIMENT_LAYOUT}")
 
 
+# Required input columns and their names here; templates may use either.
+SOURCE_COLUMNS = {
+    "Body Text": "body",
+    "COMNAM": "comnam",
+    "Companies": "ticker",
+    "SIC_Industry": "industry",
+    "Date": "pub_date",
+}
+
+
 def compile_prompt(template: str | dict, columns: list[str], null_text: str = NULL_CELL) -> Column:
     """A string or a ``{"template": [...]}`` of literals and column parts, as one Column.
 
-    A part naming an unknown column, and a part of neither form, is left out with a warning.
+    Source names of columns stand for their names here where only those are there. A part naming an unknown
+    column, and a part of neither form, is left out with a warning.
     """
     if isinstance(template, str):
         return F.lit(template)
@@ -97,10 +108,10 @@ def compile_prompt(template: str | dict, columns: list[str], null_text: str = NU
             literal += part
         elif not isinstance(part, dict) or "column" not in part:
             warnings.warn(f"prompt part {part!r} is neither text nor a column", stacklevel=2)
-        elif part["column"] not in columns:
+        elif (name := part["column"] if part["column"] in columns else SOURCE_COLUMNS.get(part["column"])) not in columns:
             warnings.warn(f"prompt column {part['column']!r} not found", stacklevel=2)
         else:
-            cell = F.col(part["column"]).cast("string")
+            cell = F.col(f"`{name}`").cast("string")
             if literal + part.get("prefix", ""):
                 pieces.append(F.lit(literal + part.get("prefix", "")))
             pieces.append(F.when(cell == "", F.lit(EMPTY_CELL)).otherwise(

@@ -12,14 +12,7 @@ from pyspark.sql import types as T
 from anontext.functions.identify import DATE_TOLERANCE_DAYS, NAME_THRESHOLD
 from anontext.operators import templates
 
-# Required input columns and their names here.
-SOURCE_COLUMNS = {
-    "Body Text": "body",
-    "COMNAM": "comnam",
-    "Companies": "ticker",
-    "SIC_Industry": "industry",
-    "Date": "pub_date",
-}
+SOURCE_COLUMNS = templates.SOURCE_COLUMNS
 
 ARTICLES = T.StructType([
     T.StructField("doc_id", T.LongType()),

@@ -43,6 +43,29 @@ def test_core_words(spark):
         ["blue", "bolt"], ["group", "holdings"], None]
 
 
+@pytest.mark.parametrize("junk", ["1," * 100_000 + "1", "5" + " m" * 100_000, "Blue Bolt" + ", Inc." * 50_000, "1." * 100_000,
+                                  "$" * 100_000, "www." + "a" * 200_000, "9:30" * 50_000])
+def test_long_junk_is_no_danger(spark, junk):
+    df = spark.createDataFrame([(junk + " end 7", "Blue Bolt Inc", "BLBO")], "t string, n string, k string")
+    assert df.select(mask_article(F.col("t"), F.col("n"), F.col("k")).alias("m")).first().m.endswith(" end number_x")
+
+
+@pytest.mark.parametrize("ticker, text, want", [
+    ("A", "A company, SYMBOL:A rose", "A company, ticker_x rose"), ("BRK.B", "BRK.B and BRKB and $BRK.B", "ticker_x and ticker_x and ticker_x")])
+def test_own_ticker(spark, ticker, text, want):
+    df = spark.createDataFrame([(text, "Zed", ticker)], "t string, n string, k string")
+    assert df.select(mask_article(F.col("t"), F.col("n"), F.col("k")).alias("m")).first().m == want
+
+
+def test_own_firm_by_entity_and_rivals_without(spark):
+    dictionary = spark.createDataFrame([("ibm", "company", "e1"), ("big blue", "company", "e1"), ("sap", "company", None),
+                                        ("oracle", "company", "e2")], "surface string, kind string, entity string")
+    texts = spark.createDataFrame([(1, "IBM", "Big\u00a0Blue and SAP fought Oracle\u2013and IBM")], "doc_id bigint, comnam string, text string")
+    for limits in ({}, {"max_surfaces": 0}):
+        got = mask_entities(texts, dictionary, "text", "comnam", "masked", **limits).first().masked
+        assert got == "Company_1 and Company_2 fought Company_3\u2013and Company_1"
+
+
 DICTIONARY = [("Red Rod", "company", "red"), ("Red Rod Steel", "company", "red"), ("Tin", "company", "tin"),
               ("New York", "location", None), ("york", "name", None), ("  widget-maker ", "product_type", None),
               ("red", "sector", None)]

@@ -19,6 +19,11 @@ def test_cells_of_a_template(spark):
     assert _prompt(spark, template) == "A <Blue Bolt>N/Anan. Z"
 
 
+def test_source_names_stand_for_ours(spark):
+    template = {"template": [{"column": "COMNAM"}, {"column": "Companies"}, {"column": "SIC_Industry", "prefix": " "}]}
+    assert _prompt(spark, template) == "Blue BoltN/A nan"
+
+
 def test_unknown_parts_are_left_out_with_a_warning(spark):
     template = {"template": ["A", {"column": "nope", "prefix": "<", "suffix": ">"}, 7, "Z"]}
     with warnings.catch_warnings(record=True) as seen:

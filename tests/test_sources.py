@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from anontext.operators.responders import ROBUSTNESS, ExpressionResponder
 from anontext.plans.robustness import audit_models, guess_with_models, rate_by_model, wide_guesses
 from anontext.schema import conform_articles, parse_mixed_date, require_unique
-from anontext.session import shared_dir
+from anontext.session import settings, shared_dir
 from anontext.sources.articles import ingest_csv, read_csv, write_csv
 from anontext.sources.results import combine_csv, combine_runs, export_csv, write_stage
 
@@ -55,12 +55,43 @@ def test_repeated_keys_are_refused(spark):
 @pytest.mark.parametrize("text, want", [
     ("2024-01-05", dt.datetime(2024, 1, 5)), ("2024-01-05T10:11:12.5", dt.datetime(2024, 1, 5, 10, 11, 12, 500000)),
     ("1/5/2024", dt.datetime(2024, 1, 5)), ("Jan 5, 2024", dt.datetime(2024, 1, 5)), ("5 January 2024", dt.datetime(2024, 1, 5)),
-    ("20240105", dt.datetime(2024, 1, 5)), ("whenever", None), (None, None)])
+    ("20240105", dt.datetime(2024, 1, 5)), ("2024-01-05T10:00:00Z", dt.datetime(2024, 1, 5, 10)),
+    ("2024-01-05T10:00:00+02:00", dt.datetime(2024, 1, 5, 8)), ("2024-01-05T10:00", dt.datetime(2024, 1, 5, 10)),
+    ("1/5/2024 3:30 PM", dt.datetime(2024, 1, 5, 15, 30)), ("Jan 5 2024", dt.datetime(2024, 1, 5)),
+    ("2024.01.05", dt.datetime(2024, 1, 5)), ("20240105 10:00:00", dt.datetime(2024, 1, 5, 10)),
+    ("Friday, January 5, 2024", dt.datetime(2024, 1, 5)), ("January 5, 2024 10:00", dt.datetime(2024, 1, 5, 10)),
+    ("01/05/24", dt.datetime(2024, 1, 5)), ("whenever", None), (None, None)])
 def test_mixed_dates(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(parse_mixed_date(F.col("t")).alias("d")).first().d == want
 
 
+def test_dates_keep_their_hour_where_the_session_has_none(spark):
+    with settings(spark, spark__sql__session__timeZone="America/New_York"):
+        df = spark.createDataFrame([("2024-03-10 02:30:00",)], "t string")
+        assert df.select(parse_mixed_date(F.col("t")).cast("string").alias("d")).first().d == "2024-03-10 02:30:00"
+
+
+def test_files_with_another_column_order_stop_the_load(spark, folder):
+    import os
+    os.mkdir(f"{folder}/two")
+    for name, text in (("a", "x,y\n1,2\n3,4\n"), ("b", "y,x\n5,6\n")):
+        with open(f"{folder}/two/{name}.csv", "w") as f:
+            f.write(text)
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, f"{folder}/two").collect()
+
+
+def test_run_ids_stay_text(spark, folder):
+    one = spark.createDataFrame([(1, "a")], "doc_id bigint, x string")
+    for run_id in ("007", "7"):
+        write_stage(one, folder, run_id, "final")
+    assert [r.run_id for r in combine_runs(spark, folder, ["007"]).collect()] == ["007"]
+    assert sorted(r.run_id for r in combine_runs(spark, folder, all_runs=True).collect()) == ["007", "7"]
+    with pytest.raises(ValueError, match="nope"):
+        combine_runs(spark, folder, ["7", "nope"])
+
+
 def test_csv_keeps_quotes_breaks_and_blanks(spark, folder):
     df = spark.createDataFrame([(1, ' a "b"\n\\c, ')], "doc_id bigint, body string")
     write_csv(df, f"{folder}/x")
