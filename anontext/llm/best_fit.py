@@ -21,7 +21,6 @@ import os
 import struct
 import zlib
 from collections import Counter
-from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from anontext.llm.common import stored, text_bytes
+from anontext.llm.common import small_batches, stored, text_bytes, worker_cache
 
 CAPACITY = 2048
 END_ID = 0
@@ -115,20 +114,16 @@ class WordIds:
                 self.old, self.new = self.new, {}
 
 
-@lru_cache(maxsize=2)
-def _word_ids(tokenizer_json: str) -> WordIds:
-    return WordIds(tokenizer_json)
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every document's ids and the end id, cut where too long."""
     with open(tokenizer_path, encoding="utf-8") as f:
         model = f.read()
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one tokenizer file of a fixed size
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
-        coder = _word_ids(shared.value)
+        coder = worker_cache("best fit", lambda: WordIds(shared.value), shared.value)
         for batch in batches:
             row, number, length, crc = [], [], [], []
             for i, ids in enumerate(coder.encode(batch.column("_text").to_pylist())):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anontext.session import scratch_path
+from anontext.session import scratch_path, settings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,10 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: a lost executor costs a task, not the lineage."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a table to the shared folder and read it back: a lost executor costs a task, not the lineage.
+
+    The shuffle files behind it are dropped once it is written, since nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Hold Arrow batches to 8 MB in this session: texts are long, and both sides keep a batch in memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name)).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(name, str(most))
 
 
 def text_bytes(name: str = "text") -> Column:
@@ -25,6 +40,18 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
+_KEPT: dict = {}
+
+
+def worker_cache(name: str, make, of=None):
+    """What a Python worker keeps from task to task: one operator's tables at a time, remade when ``of`` changes."""
+    if _KEPT.get("name") != name or _KEPT["of"] != of:
+        _KEPT.clear()
+        gc.collect()
+        _KEPT.update(name=name, of=of, value=make())
+    return _KEPT["value"]
+
+
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 
 
@@ -48,6 +75,7 @@ def from_texts(df: DataFrame, keep: list[str], outputs: dict[str, str], start, t
             columns = [batch.column(c) for c in aliases] + [pa.array(made[o], type=ARROW[t]) for o, t in outputs.items()]
             yield pa.RecordBatch.from_arrays(columns, names=[*aliases, *(f"o{i}" for i in range(len(outputs)))])
 
+    small_batches(df.sparkSession)
     schema = ", ".join([*(f"{a} {df.schema[c].dataType.simpleString()}" for a, c in zip(aliases, keep, strict=True)),
                         *(f"o{i} {t}" for i, t in enumerate(outputs.values()))])
     source = df.select(*[F.col(f"`{c}`").alias(a) for a, c in zip(aliases, keep, strict=True)], text_bytes(text).alias("_bytes"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anontext.llm.common import components, from_texts, stored
+from anontext.llm.common import components, from_texts, stored, worker_cache
 
 SEED = 42
 SEGMENTS = ((0, 21), (21, 43), (43, 64))
@@ -65,6 +65,8 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", lower: bool = True) -> DataFrame:
     """The columns of ``docs`` without the text, and ``_fp``."""
     def start():
+        worker_cache("fingerprints", dict)
+
         def work(texts):
             fp = [fingerprint((t.lower() if lower else t).split(), shingle) for t in texts]
             return {"_fp": np.array(fp, "<u8").view("<i8")}

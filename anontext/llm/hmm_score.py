@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from anontext.llm.common import stored, text_bytes
+from anontext.llm.common import small_batches, stored, text_bytes
 
 STATES, FREQUENT, SHARED, ONCE = 8, 4096, 1024, 256
 ROUNDS = 4
@@ -36,6 +36,7 @@ END = b""  # no word is empty
 
 def numbered(docs: DataFrame, train: Column) -> DataFrame:
     """Rows of texts as numbers (ids) and of each chunk's words (word, local number, training count)."""
+    small_batches(docs.sparkSession)
     source = docs.select("doc_id", train.alias("_train"), text_bytes().alias("_bytes"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = ["doc_id", "_train", "_chunk", "_ids", "_n", "_word", "_local", "_seen"]

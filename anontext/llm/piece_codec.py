@@ -18,13 +18,12 @@ import hashlib
 import heapq
 import re
 import struct
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anontext.llm.common import from_texts
+from anontext.llm.common import from_texts, worker_cache
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
@@ -318,11 +317,6 @@ class PieceCodec:
         return bytes(out)
 
 
-@lru_cache(maxsize=2)
-def _codec(model: bytes) -> PieceCodec:
-    return PieceCodec(model)
-
-
 def encode_texts(docs: DataFrame, model_path: str, outputs=("n_tokens", "ids", "begins", "ends"), keep=("doc_id",),
                  text: str = "text") -> DataFrame:
     """Encode and decode every text; one narrow stage, no shuffle. ``outputs`` names columns of OUTPUTS.
@@ -349,7 +343,7 @@ def encode_texts(docs: DataFrame, model_path: str, outputs=("n_tokens", "ids", "
         return [made[o] for o in outputs]
 
     def start():
-        codec = _codec(model)
+        codec = worker_cache("pieces", lambda: PieceCodec(model), model)
         return lambda texts: dict(zip(outputs, zip(*[row(codec, t) for t in texts], strict=True), strict=True))
 
     return from_texts(docs, list(keep), {o: OUTPUTS[o] for o in outputs}, start, text)

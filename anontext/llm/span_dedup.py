@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from anontext.llm.common import stored, text_bytes
+from anontext.llm.common import small_batches, stored, text_bytes, worker_cache
 
 WINDOW, ANCHOR = 20, 5
 HOT = 2_000
 SALTS = 64
 SHARD_WORDS = 4_000
-SLICE = 1 << 20
+SLICE = 1 << 18
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -219,12 +219,14 @@ def judge(groups: list[list[tuple]], window: int = WINDOW):
 def repeated_windows(docs: DataFrame, dealt: DataFrame, window: int = WINDOW) -> DataFrame:
     """(_d, _h, _from, _n): runs of windows that start earlier in the corpus.
 
-    Both have _d, _h and _bytes; ``docs`` is scanned in place, ``dealt`` is partitioned by _d and _h.
+    ``docs`` has _d, _h, _bytes and is scanned in place; ``dealt`` has _d, _h, _bytes and is partitioned by those two.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def scan(batches):
+        worker_cache("spans", dict)
         for batch in batches:
             texts, at = batch.column("_bytes").to_pylist(), 0
             while at < len(texts):
@@ -239,9 +241,11 @@ def repeated_windows(docs: DataFrame, dealt: DataFrame, window: int = WINDOW) ->
                      pa.array(count.astype(np.int32)), pa.array(anchor)], names=["_d", "_h", "_from", "_n", "_anchor"])
                 at = to
 
-    found = stored(docs.select("_d", "_h", "_bytes").mapInArrow(scan, "_d long, _h long, _from int, _n int, _anchor long"), "spans-anchors")
-    often = found.groupBy("_anchor").agg(F.count("*").alias("_count")).where("_count > 1").select(
-        "_anchor", (F.col("_count") > HOT).alias("_hot"))
+    # Scanned twice, to count and to look up, which is cheaper than keeping a row for every seventh word.
+    found = docs.select("_d", "_h", "_bytes").mapInArrow(scan, "_d long, _h int, _from int, _n int, _anchor long")
+    # Stored, so that both sides of the join are dealt for it alone and Spark can split a common anchor's rows.
+    often = stored(found.groupBy("_anchor").agg(F.count("*").alias("_count")).where("_count > 1").select(
+        "_anchor", (F.col("_count") > HOT).alias("_hot")), "spans-often")
     marks = found.join(often, "_anchor").groupBy("_d", "_h").agg(
         F.collect_set(F.struct("_from", "_n", "_anchor", "_hot")).alias("_marks"))
     marks = stored(marks, "spans-marks")
@@ -249,7 +253,7 @@ def repeated_windows(docs: DataFrame, dealt: DataFrame, window: int = WINDOW) ->
     def cut(batches):
         for batch in batches:
             d, h = batch.column("_d").to_pylist(), batch.column("_h").to_pylist()
-            rows: list[list] = [[] for _ in range(8)]
+            rows: list[list] = [[] for _ in range(7)]
             for i, (text, own) in enumerate(zip(batch.column("_bytes").to_pylist(), batch.column("_marks").to_pylist(), strict=True)):
                 words = text.split()
                 for mark in own:
@@ -258,28 +262,27 @@ def repeated_windows(docs: DataFrame, dealt: DataFrame, window: int = WINDOW) ->
                     for at in steps:
                         size = 1 if mark["_hot"] else k
                         piece = b" ".join(words[at:at + size + window - 1])
-                        digest = hashlib.blake2b(piece, digest_size=16).digest()
                         route = mark["_anchor"]
                         if mark["_hot"]:
-                            salt = (d[i] * 31 + h[i]) % SALTS
-                            route = int.from_bytes(hashlib.blake2b(digest, digest_size=8, salt=bytes([salt])).digest(), "little", signed=True)
-                        for column, value in zip(rows, (d[i], h[i], at, size, mark["_hot"], route, digest, piece), strict=True):
+                            salt = bytes([(d[i] * 31 + h[i]) % SALTS])
+                            route = int.from_bytes(hashlib.blake2b(piece, digest_size=8, salt=salt).digest(), "little", signed=True)
+                        for column, value in zip(rows, (d[i], h[i], at, size, mark["_hot"], route, piece), strict=True):
                             column.append(value)
-                if len(rows[0]) > 20_000:
+                if len(rows[0]) > 5_000:
                     yield batch_of(rows)
-                    rows = [[] for _ in range(8)]
+                    rows = [[] for _ in range(7)]
             if rows[0]:
                 yield batch_of(rows)
 
-    names = ["_d", "_h", "_from", "_n", "_hot", "_route", "_digest", "_piece"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["_d", "_h", "_from", "_n", "_hot", "_route", "_piece"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(r, type=k) for r, k in zip(rows, kinds, strict=True)], names=names)
 
     # Every column goes along, so that the plan has one exchange of texts, here and where spans are removed.
-    items = dealt.join(marks, ["_d", "_h"]).mapInArrow(cut, "_d long, _h long, _from int, _n int, _hot boolean, _route long, _digest binary, _piece binary")
-    items = items.repartition(n, "_route").sortWithinPartitions("_route", "_digest", "_d", "_h", "_from")
+    items = dealt.join(marks, ["_d", "_h"]).mapInArrow(cut, "_d long, _h int, _from int, _n int, _hot boolean, _route long, _piece binary")
+    items = items.repartition(n, "_route").sortWithinPartitions("_route", "_piece", "_d", "_h", "_from")
 
     out_names = ["_d", "_h", "_from", "_n", "_first"]
 
@@ -294,12 +297,12 @@ def repeated_windows(docs: DataFrame, dealt: DataFrame, window: int = WINDOW) ->
         def flush():
             nonlocal rows
             made = pa.RecordBatch.from_arrays(
-                [pa.array(r, type=k) for r, k in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
+                [pa.array(r, type=k) for r, k in zip(rows, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
                 names=out_names)
             rows = [[] for _ in range(5)]
             return made
 
-        route = digest = place = None
+        route = held = place = None
         group: list[tuple] = []
         shard: list[list[tuple]] = []
         words = 0
@@ -321,25 +324,25 @@ def repeated_windows(docs: DataFrame, dealt: DataFrame, window: int = WINDOW) ->
             shard, words = [], 0
 
         for batch in batches:
-            for d, h, s, k, hot, r, g, piece in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
+            for d, h, s, k, hot, r, piece in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
                 if r != route:
                     close()
-                    route, digest, place = r, None, None
-                if g != digest:
-                    digest, place = g, (d, h, s)
+                    route, held, place = r, None, None
+                if piece != held:
+                    held, place = piece, (d, h, s)
                     if hot:
-                        put(d, h, s, k, g)
+                        put(d, h, s, k, hashlib.blake2b(piece, digest_size=16).digest())
                     else:
                         group.append((d, h, s, piece))
                 elif (d, h, s) != place:
                     put(d, h, s, k)
-            if len(rows[0]) > 20_000:
+            if len(rows[0]) > 5_000:
                 yield flush()
         close()
         settle()
         yield flush()
 
-    weighed = items.mapInArrow(weigh, "_d long, _h long, _from int, _n int, _first binary")
+    weighed = items.mapInArrow(weigh, "_d long, _h int, _from int, _n int, _first binary")
     # The first of a hot window in each salt: at most SALTS rows a window, of which one is the first of all.
     alone = F.col("_first").isNull()
     own = ["_first", *(F.when(alone, F.col(c)) for c in ("_d", "_h", "_from"))]
@@ -350,7 +353,7 @@ def repeated_windows(docs: DataFrame, dealt: DataFrame, window: int = WINDOW) ->
 def place() -> list:
     """A document's place in the corpus order (_d, _h) and its bytes."""
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    return [ident.alias("_d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), text_bytes().alias("_bytes")]
+    return [ident.alias("_d"), F.hash(F.coalesce("text", F.lit("")), F.lit(1)).alias("_h"), text_bytes().alias("_bytes")]
 
 
 def covered(count: int, spans: list[tuple[int, int]], window: int) -> np.ndarray:
@@ -367,6 +370,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], outputs: dict[str, str], wi
     kept_sha256, and text (the kept words if any were removed, else the text as it was)."""
     from anontext.llm.common import ARROW
 
+    kinds = [f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], *place())
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartition(n, "_d", "_h")
@@ -394,7 +398,6 @@ def remove_repeats(docs: DataFrame, keep: list[str], outputs: dict[str, str], wi
                 [batch.column(f"k{i}") for i in range(len(keep))] + [pa.array(made[o], type=ARROW[t]) for o, t in outputs.items()],
                 names=[*[f"k{i}" for i in range(len(keep))], *outputs])
 
-    kinds = [f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
     schema = ", ".join([*kinds, *(f"`{o}` {t}" for o, t in outputs.items())])
     out = joined.mapInArrow(run, schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *outputs)
