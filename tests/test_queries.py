@@ -4,6 +4,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from tests.compare import connect, difference
+from workload.oracle import SQL
+from workload.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -13,19 +15,14 @@ def con():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = queries()[name](spark, SMALL)
-    sql = oracle_sql().get(name)
-    if sql is None:
-        assert df.count() > 0
-    else:
-        assert difference(df, con, sql) is None
+    assert difference(QUERIES[name](spark, SMALL), con, SQL[name]) is None
 
 
 def test_entry(spark):
     assert entry(spark).count() > 0
 
 
-def test_only_the_python_ratio_has_no_sql():
-    assert set(queries()) - set(oracle_sql()) == {"name_similarity_difflib"}
+def test_all_have_sql_and_are_registered():
+    assert set(QUERIES) == set(SQL) and set(QUERIES) <= set(queries()) and set(SQL) <= set(oracle_sql())
