@@ -24,13 +24,18 @@ _UNIT = ("%|percent|per cent|percentage points?|basis points?|bps|thousand|milli
 # characters that are no letters, digits or underscores. Only single characters repeat without bound:
 # a repeated group would recurse as deep as a junk line is long.
 CLASSES = (
-    ("link_x", "(?i:https?://|ftp://|www\\.)[^ \\t\\r\\n<>\"]*[^ \\t\\r\\n<>\".,;:!?)'\\]]"),
+    ("link_x", "(?i:https?://|ftp://|www\\.)[^ \\t\\r\\n<>\"]*[^ \\t\\r\\n<>\".,;:!?)'\\]]"
+     "|[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\\.[A-Za-z]{2,10}){1,3}|[A-Za-z0-9-]+\\.(?:com|org|net|gov|edu)"),
     ("time_x", "[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?: ?[AaPp]\\.?[Mm]\\.?)?|[0-9]{1,2} ?[AaPp]\\.?[Mm]\\.?"),
-    ("date_x", "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|"
-               f"{_MONTH} {_DAY}(?:,? [0-9]{{4}})?|{_DAY} {_MONTH}(?:,? [0-9]{{4}})?|{_MONTH} [0-9]{{4}}"),
-    ("year_x", "(?:FY ?)?(?:19|20)[0-9]{2}"),
+    ("date_x", "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
+               "(?:T[0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\\.[0-9]{1,9})?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?"
+               "|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|"
+               f"{_MONTH} {_DAY}(?:,? [0-9]{{4}})?|{_DAY} {_MONTH}(?:,? [0-9]{{4}})?|{_MONTH} [0-9]{{4}}"
+               "|(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day|Q[1-4](?: ?[0-9]{4})?|[1-4]Q ?(?:[0-9]{4}|[0-9]{2})"
+               "|(?:January|February|March|April|June|July|August|September|October|November|December)"),
+    ("year_x", "(?:FY ?)?(?:19|20)[0-9]{2}[sE]?|FY ?[0-9]{2}"),
     ("ticker_x", f"SYMBOL(?:: ?| ){_TICKER}|[$>] ?{_TICKER}"),
-    ("number_x", "(?:[$€£] ?)?[0-9](?:[0-9.,]*[0-9])?(?: ?(?:" + _UNIT + ")){0,3}"),
+    ("number_x", "[0-9]{1,9}(?:st|nd|rd|th)|(?:[$€£] ?)?[0-9](?:[0-9.,]*[0-9])?(?: ?(?:" + _UNIT + ")){0,3}"),
 )
 
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"

@@ -50,6 +50,14 @@ def test_long_junk_is_no_danger(spark, junk):
     assert df.select(mask_article(F.col("t"), F.col("n"), F.col("k")).alias("m")).first().m.endswith(" end number_x")
 
 
+@pytest.mark.parametrize("text, want", [
+    ("the 1990s", "the year_x"), ("Q3 and 3Q23", "date_x and date_x"), ("FY23, 2023E", "year_x, year_x"), ("the 5th", "the number_x"),
+    ("on Monday in January", "on date_x in date_x"), ("a.b@c.com or example.com", "link_x or link_x"),
+    ("at 2024-01-05T10:00:00Z", "at date_x"), ("10 m m m m", "number_x m")])
+def test_more_classes(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(mask_patterns(F.col("t")).alias("m")).first().m == want
+
+
 @pytest.mark.parametrize("ticker, text, want", [
     ("A", "A company, SYMBOL:A rose", "A company, ticker_x rose"), ("BRK.B", "BRK.B and BRKB and $BRK.B", "ticker_x and ticker_x and ticker_x")])
 def test_own_ticker(spark, ticker, text, want):

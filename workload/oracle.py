@@ -257,13 +257,16 @@ _M = ("(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?
 _D = "[0-9]{1,2}(?:st|nd|rd|th)?"
 _T = "[A-Z]{1,5}(?:\\.[A-Z])?"
 _PATTERNS = (
-    ("link_x", "(?i:https?://|ftp://|www\\.)[^ \\t\\r\\n<>\"]*[^ \\t\\r\\n<>\".,;:!?)''\\]]"),
+    ("link_x", "(?i:https?://|ftp://|www\\.)[^ \\t\\r\\n<>\"]*[^ \\t\\r\\n<>\".,;:!?)''\\]]"
+     "|[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\\.[A-Za-z]{2,10}){1,3}|[A-Za-z0-9-]+\\.(?:com|org|net|gov|edu)"),
     ("time_x", "[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?: ?[AaPp]\\.?[Mm]\\.?)?|[0-9]{1,2} ?[AaPp]\\.?[Mm]\\.?"),
-    ("date_x", "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|"
-     f"{_M} {_D}(?:,? [0-9]{{4}})?|{_D} {_M}(?:,? [0-9]{{4}})?|{_M} [0-9]{{4}}"),
-    ("year_x", "(?:FY ?)?(?:19|20)[0-9]{2}"),
+    ("date_x", "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?:T[0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\\.[0-9]{1,9})?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|"
+     f"{_M} {_D}(?:,? [0-9]{{4}})?|{_D} {_M}(?:,? [0-9]{{4}})?|{_M} [0-9]{{4}}"
+     "|(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day|Q[1-4](?: ?[0-9]{4})?|[1-4]Q ?(?:[0-9]{4}|[0-9]{2})"
+  "|(?:January|February|March|April|June|July|August|September|October|November|December)"),
+    ("year_x", "(?:FY ?)?(?:19|20)[0-9]{2}[sE]?|FY ?[0-9]{2}"),
     ("ticker_x", f"SYMBOL(?:: ?| ){_T}|[$>] ?{_T}"),
-    ("number_x", "(?:[$€£] ?)?[0-9](?:[0-9.,]*[0-9])?(?: ?(?:%|percent|per cent|percentage points?|basis points?|bps|"
+    ("number_x", "[0-9]{1,9}(?:st|nd|rd|th)|(?:[$€£] ?)?[0-9](?:[0-9.,]*[0-9])?(?: ?(?:%|percent|per cent|percentage points?|basis points?|bps|"
      "thousand|million|billion|trillion|mn|bn|[kKmMbB]|dollars?|cents?|euros?|USD|EUR|GBP|shares?|units?|"
      "km|kg|tons?|tonnes?|barrels?|miles?|years?|months?|weeks?|days?|hours?|minutes?)){0,3}"),
 )

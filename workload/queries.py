@@ -336,7 +336,8 @@ SPELLINGS = """concat(body, ' SYMBOL:', ticker, ' SYMBOL: ', ticker, ' SYMBOL ',
   ' >', ticker, ' and SYMBOL:ZZTOP, >QQ. See https://example.com/a?b=', cast(doc_id AS {STR}),
   ' or www.example.org. At 10:', cast(10 + doc_id % 50 AS {STR}), ' am on March 5, 2019, 7 May 2018 and 3/4/2017,',
   ' sales in FY2016 were $', cast(doc_id AS {STR}), '.50 million, up ', cast(doc_id % 7 AS {STR}), ' percent; ',
-  lower(comnam), ' sold 1,200 units.')"""
+  lower(comnam), ' sold 1,200 units. In the 1990s, Q3, Q1 2020, 3Q23, FY23 and 2023E, on Monday in January, the 5th mail to a.b@c.com',
+  ' at example.com at 2024-01-05T10:00:00Z or 2024-01-05T10:00:00.5+01:00 and 1,,2..3 m m m m.')"""
 
 
 def _spelled(spark, sf_dir):
