@@ -25,7 +25,7 @@ _UNIT = ("%|percent|per cent|percentage points?|basis points?|bps|thousand|milli
 # a repeated group would recurse as deep as a junk line is long.
 CLASSES = (
     ("link_x", "(?i:https?://|ftp://|www\\.)[^ \\t\\r\\n<>\"]*[^ \\t\\r\\n<>\".,;:!?)'\\]]"
-     "|[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\\.[A-Za-z]{2,10}){1,3}|[A-Za-z0-9-]+\\.(?:com|org|net|gov|edu)"),
+     "|[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\\.[A-Za-z]{2,10}){1,3}|[A-Za-z0-9-]{1,63}\\.(?:com|org|net|gov|edu)"),
     ("time_x", "[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?: ?[AaPp]\\.?[Mm]\\.?)?|[0-9]{1,2} ?[AaPp]\\.?[Mm]\\.?"),
     ("date_x", "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
                "(?:T[0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\\.[0-9]{1,9})?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?"
