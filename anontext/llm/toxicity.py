@@ -20,11 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anontext.llm.common import from_texts, text_bytes
+from anontext.llm.common import from_texts, text_bytes, worker_cache
 
 WINDOW, STRIDE = 40, 32
 WORDS, GRAMS, DIM, HIDDEN, ATTEND = 1 << 14, 1 << 15, 12, 12, 8
 CACHE_WORDS = 300_000
+PORTION = 4096  # words taken at a time, which bounds memory
 STEPS, BATCH, RATE = 700, 64, 0.01
 STRIP = b".,;:!?\"'()[]*|-"
 
@@ -41,6 +42,11 @@ def _mix(h: np.ndarray, bits: int) -> np.ndarray:
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed word numbers, hashed character n-grams of all words in a row, and where each word's begin."""
+    if len(words) > PORTION:
+        parts = [features(words[at:at + PORTION]) for at in range(0, len(words), PORTION)]
+        before = np.concatenate([[0], np.cumsum([len(p[1]) for p in parts])[:-1]])
+        return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]),
+                np.concatenate([p[2] + b for p, b in zip(parts, before, strict=True)]))
     bare = [b"<" + (w.strip(STRIP) or w) + b">" for w in words]
     size = np.fromiter(map(len, bare), np.int64, len(bare))
     flat = np.frombuffer(b"".join(bare), np.uint8).astype(np.uint64) + np.uint64(1)
@@ -65,7 +71,7 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 owner.append(own[fits])
     grams, owner = np.concatenate(grams), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
-    return word, grams[order], np.searchsorted(owner[order], np.arange(len(bare)))
+    return word, grams[order].astype(np.int32), np.searchsorted(owner[order], np.arange(len(bare)))
 
 
 def _sigmoid(x):
@@ -88,7 +94,11 @@ class Network:
     def embed(self, found) -> np.ndarray:
         word, grams, start = found
         ends = np.append(start[1:], len(grams))
-        mean = np.add.reduceat(self.p["gram"][grams], start) / (ends - start)[:, None].astype(np.float32)
+        mean = np.empty((len(word), DIM), self.p["gram"].dtype)
+        for at in range(0, len(word), PORTION):
+            own, n = start[at:at + PORTION], ends[at:at + PORTION] - start[at:at + PORTION]
+            some = self.p["gram"][grams[own[0]:own[-1] + n[-1]]]
+            mean[at:at + PORTION] = np.add.reduceat(some, own - own[0]) / n[:, None].astype(np.float32)
         return np.concatenate([self.p["word"][word], mean], axis=1)
 
     def project(self, x: np.ndarray) -> np.ndarray:
@@ -301,7 +311,7 @@ class Scorer:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 2500,
+def sample(docs: DataFrame, labels: DataFrame, max_toxic: int = 1200, max_clean: int = 1800,
            max_bytes: int = 20_000) -> pd.DataFrame:
     """A bounded sample of labelled rows: ids by hash from the labels alone, then their texts."""
     ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("_y"))
@@ -330,7 +340,7 @@ def score(docs: DataFrame, model, keep: list[str] | None = None, name: str = "sc
     shared = docs.sparkSession.sparkContext.broadcast(model)  # about 3 MB, of a fixed size
 
     def start():
-        scorer = Scorer(shared.value)
+        scorer = worker_cache("toxicity", lambda: Scorer(shared.value), shared.value)
         return lambda texts: {name: scorer(texts)}
 
     return from_texts(docs, keep, {name: "double"}, start)
