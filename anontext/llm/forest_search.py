@@ -6,9 +6,10 @@ every row is filed in its leaf of every tree. A query walks all trees through on
 nearest split first, until it has seen ``share`` times as many leaves as one tree has; it then meets the rows of those
 leaves, and what it finds is ranked by exact inner products in double precision.
 
-Leaves that hold more than PART rows are cut into parts by hash of the row; the query meets every part, so no
-group outgrows its bound and none is left out. Each group sends a query's best ``k`` on, and those of one query
-are merged by row. The forest has a fixed largest size, whatever the table.
+Leaves that hold more than PART rows, or are asked for more than PART times, are cut into parts by hash; every
+part of the rows meets every part of the queries, so no group outgrows its bound and none is left out. Each group sends a query's best ``k`` on, and those of one query
+are merged by row. The forest has a fixed largest size, whatever the table: at most DEEPEST levels, so that what
+groups send on grows in step with the queries.
 
 Vectors that are null, empty, zero or hold null or non-finite parts take no part, nor do those whose length is
 not the sample's most frequent. Repeated rows are rows of their own; a query leaves out its own row alone. Rows
@@ -30,7 +31,7 @@ from anontext.llm.common import stored
 from anontext.llm.stable_dedup import packed, usable
 
 TREES, SHARE, NEAREST = 16, 1.2, 20
-SAMPLE, LEAF, DEEPEST, PART = 20_000, 200, 12, 4_096
+SAMPLE, LEAF, DEEPEST, PART = 20_000, 200, 5, 16_384
 
 
 class Forest:
@@ -127,17 +128,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, trees: int =
             if not len(frame):
                 continue
             raw = packed(frame["embedding"])
-            leaf = shared.value.leaves(_matrix(raw))
-            yield pd.DataFrame({"_tree": np.tile(np.arange(trees, dtype=np.int32), len(frame)), "_leaf": leaf.ravel(),
+            at = shared.value.leaves(_matrix(raw))
+            yield pd.DataFrame({"_tree": np.tile(np.arange(trees, dtype=np.int32), len(frame)), "_leaf": at.ravel(),
                                 "_row": np.repeat(frame["_row"].to_numpy(), trees)})
 
     filed = stored(rows.select("_row", "embedding").mapInPandas(file, "_tree int, _leaf int, _row long"), "forest-leaves")
-    parts = filed.groupBy("_tree", "_leaf").agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts"))  # trees x leaves rows
-    filed = filed.join(F.broadcast(parts), ["_tree", "_leaf"]).withColumn(
-        "_part", F.pmod(F.xxhash64("_row"), F.col("_parts")).cast("int"))
-    index = filed.join(rows.select("_row", "_id", "embedding"), "_row").select(
-        "_tree", "_leaf", "_part", "_row", "_id", "embedding")
-
     def ask(frames):
         for frame in frames:
             for at in range(0, len(frame), 256):
@@ -148,10 +143,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, trees: int =
                 yield pd.DataFrame({"_tree": flat[:, 0], "_leaf": flat[:, 1], "_asker": np.repeat(own["_row"].to_numpy(), n)})
 
     asked = stored(rows.where("_query").select("_row", "embedding").mapInPandas(ask, "_tree int, _leaf int, _asker long"), "forest-walks")
-    asked = asked.join(F.broadcast(parts), ["_tree", "_leaf"]).withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    asked = asked.join(rows.select(F.col("_row").alias("_asker"), F.col("_id").alias("_asker_id"), F.col("embedding").alias("_wanted")),
-                       "_asker").select("_tree", "_leaf", "_part", "_asker", "_asker_id", "_wanted")
+    # Rows and queries of a leaf are both cut into parts, and every part of one meets every part of the other.
+    leaf = ["_tree", "_leaf"]
+
+    def parts_of(rows_, name):
+        return rows_.groupBy(*leaf).agg(F.ceil(F.count("*") / PART).cast("int").alias(name))  # trees x leaves rows
+
+    parts = parts_of(filed, "_parts").join(F.broadcast(parts_of(asked, "_asking")), leaf)
+
+    def dealt(rows_, ident, own, other, own_name, other_name):
+        out = rows_.join(F.broadcast(parts), leaf).withColumn(own_name, F.pmod(F.xxhash64(ident), F.col(own)).cast("int"))
+        return out.withColumn(other_name, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_parts", "_asking")
+
+    index = dealt(filed, "_row", "_parts", "_asking", "_part", "_turn").join(rows.select("_row", "_id", "embedding"), "_row")
+    asked = dealt(asked, "_asker", "_asking", "_parts", "_turn", "_part").join(
+        rows.select(F.col("_row").alias("_asker"), F.col("_id").alias("_asker_id"), F.col("embedding").alias("_wanted")), "_asker")
 
     out_names = ["_asker", "query_id", "_row", "vec_id", "score"]
 
@@ -178,7 +184,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, trees: int =
         kinds = (np.int64, np.int64, np.int64, np.int64, np.float64)
         return pa.table({n: np.concatenate(p) if p else np.zeros(0, t) for n, p, t in zip(out_names, parts_, kinds, strict=True)})
 
-    key = ["_tree", "_leaf", "_part"]
+    key = [*leaf, "_part", "_turn"]
     found = index.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(
         meet, "_asker long, query_id long, _row long, vec_id long, score double")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
