@@ -46,17 +46,22 @@ def chain_masks() -> list[int]:
     return out
 
 
+def shingles(words: list[bytes], shingle: int):
+    """The shingles in parts, which bounds memory; a text shorter than one is one."""
+    for at in range(0, max(1, len(words) - shingle + 1), 1 << 16) if words else ():
+        part = words[at:at + (1 << 16) + shingle - 1]
+        if len(words) < shingle:
+            yield [b" ".join(words)]
+        else:
+            yield list(map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False)))
+
+
 def fingerprint(words: list[bytes], shingle: int) -> int:
     """A bit is 1 when set in over half of the shingles' hashes."""
     if not words:
         return 0
     ones, total = np.zeros(64, np.int64), max(1, len(words) - shingle + 1)
-    for at in range(0, total, 1 << 16):
-        part = words[at:at + (1 << 16) + shingle - 1]
-        if len(words) < shingle:
-            made = [b" ".join(words)]
-        else:
-            made = list(map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False)))
+    for made in shingles(words, shingle):
         h = np.array([xxhash.xxh64_intdigest(s, SEED) for s in made], "<u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > total, bitorder="little").tobytes(), "little")
@@ -165,7 +170,12 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
     marked = stored(fingerprints(docs.select("doc_id", mark.alias("_mark"), "text"), shingle), "fingerprints")
     named = _linked(marked, F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_mark").alias("m")))
-    kept = named.groupBy("root").agg(F.min("_first").alias("k")).select(F.col("k.d").alias("_d"), F.col("k.m").alias("_m"))
+    return _rows_of(docs, mark, named.groupBy("root").agg(F.min("_first").alias("k")))
+
+
+def _rows_of(docs: DataFrame, mark, kept: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``k`` (a struct of n, id and mark)."""
+    kept = kept.select(F.col("k.d").alias("_d"), F.col("k.m").alias("_m"))
     names = [f"k{i}" for i in range(len(docs.columns))]
     rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, names, strict=True)],
                        F.col("doc_id").alias("_id"), mark.alias("_mark"))
