@@ -1,15 +1,14 @@
 """A hidden Markov language model over the corpus, and the exact likelihood of every text under it.
 
-Latent states follow one another and emit symbols: frequent words have one each, the other words share
-hashed symbols, those seen once in training sharing their own. Within a shared symbol a word has its smoothed
-share of the counts. What a state gives to words seen once is also what it holds back for unknown words, which
-are one event, as they are for the base. Baum-Welch counts are gathered on all training texts by task and added
-up in Spark; training cuts texts into blocks of BLOCK tokens, scoring runs the scaled forward recursion over
-the whole text.
+Latent states follow one another and emit words: every word seen in training has an expected count of its own
+in every state, kept as a table by word, however many words there are. What a state gives to words seen once is
+also what it holds back for unknown words, which are one event, as they are for the base. Baum-Welch counts are
+gathered on all training texts by chunk and added up by word in Spark; training cuts texts into blocks of BLOCK
+tokens, scoring runs the scaled forward recursion over the whole text.
 
-Counts of words meet by word, not by text: each task turns its texts into numbers of a dictionary of its own
-and sends that dictionary's words once per chunk of texts; their counts and symbols come back to the chunk.
-Broadcast are only the model (states x symbols, of a fixed size) and the list of frequent words.
+Words meet by word, not by text: each task turns its texts into numbers of a dictionary of its own and sends
+that dictionary's words once per chunk of texts. In every round their counts come back to the chunk by word, and
+the chunk's expected counts leave by word. The driver holds starts, follows and two sums per state.
 
 A-Z is lower-cased; words are runs without 0x20 and 0x09-0x0D; every text has one more token, its end, so
 null and empty texts are one token. Repeated rows are scored each. Without training texts, every word is
@@ -27,10 +26,11 @@ from pyspark.sql import functions as F
 
 from anontext.llm.common import small_batches, stored, text_bytes
 
-STATES, FREQUENT, SHARED, ONCE = 8, 4096, 1024, 256
+STATES = 8
 ROUNDS = 4
 BLOCK = 512
 CHUNK_BYTES = 16 << 20
+PRIOR = 20  # tokens of the base that each state has besides its own
 END = b""  # no word is empty
 
 
@@ -110,7 +110,7 @@ class Model:
         counts = counts.copy()
         counts[:, self.unknown] = 0
         total = counts.sum(axis=1, keepdims=True)
-        p = (counts + 20 * self.base) / (total + 20)
+        p = (counts + PRIOR * self.base) / (total + PRIOR)
         p[:, self.unknown] = 0
         p /= np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
         new = np.clip(p[:, self.once].sum(axis=1, keepdims=True), self.base[self.unknown], 0.5)
@@ -118,6 +118,13 @@ class Model:
         p[:, self.unknown] = new[:, 0]
         return p
 
+    @classmethod
+    def of(cls, start: np.ndarray, follow: np.ndarray, emit: np.ndarray) -> Model:
+        """A model of one chunk's words."""
+        out = object.__new__(cls)
+        out.start, out.follow, out.emit, out.k = start, follow, emit, len(start)
+        return out
+
     def learn(self, start, follow, emit) -> Model:
         out = object.__new__(Model)
         out.base, out.once, out.unknown, out.k = self.base, self.once, self.unknown, self.k
@@ -162,7 +169,7 @@ class Model:
         starts += alpha[0][first].sum(axis=0)
         keep = np.arange(t_all)[:, None] < size
         flat, weight = symbols[keep], alpha[keep]
-        emits = np.stack([np.bincount(flat, weight[:, j], minlength=len(self.base)) for j in range(self.k)])
+        emits = np.stack([np.bincount(flat, weight[:, j], minlength=self.emit.shape[1]) for j in range(self.k)])
         return starts, follows * follow, emits
 
     def likelihood(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -194,123 +201,142 @@ def _plain(ids: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(ids), kind)
 
 
+class Chain:
+    """Starts, follows and what turns a word's counts into its emissions; the counts themselves are a table."""
+
+    def __init__(self, states: int, norm: float, once: float):
+        self.norm, self.once = norm, once  # of the base: its divisor, and the share of words seen once
+        self.start = np.full(states, 1 / states)
+        self.follow = np.full((states, states), 0.1 / max(1, states - 1))
+        np.fill_diagonal(self.follow, 0.9)
+        self.follow /= self.follow.sum(axis=1, keepdims=True)
+
+    def hold_back(self, total: np.ndarray, once: np.ndarray) -> Chain:
+        """From each state's count of all words and of words seen once."""
+        unknown = 0.5 / self.norm
+        whole = total + PRIOR * (1 - unknown)
+        self.new = np.clip((once + PRIOR * self.once) / whole, unknown, 0.5)
+        self.factor = (1 - self.new) / whole
+        return self
+
+    def emissions(self, c: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        p = (counts + PRIOR * (c + 0.5) / self.norm) * self.factor[:, None]
+        p[:, c == 0] = self.new[:, None]
+        return p
+
+
 def encoded(docs: DataFrame, train: Column):
-    """Texts as symbols with their base score and shares within symbols; and the base of every symbol."""
+    """Texts as numbers, each chunk's words with their training counts, and the number of training tokens and words."""
     both = stored(numbered(docs, train), "lm-numbers")
-    spark = docs.sparkSession
     # A word has a row per chunk, so no word's rows outweigh a partition; one of them leads.
     by_word = Window.partitionBy("_word")
     words = both.where("_word IS NOT NULL").select("_chunk", "_word", "_local", "_seen")
     words = words.withColumn("_c", F.sum("_seen").over(by_word)).withColumn(
         "_lead", F.row_number().over(by_word.orderBy("_chunk")) == 1).drop("_seen")
     words = stored(words, "lm-words")
-    total = words.where("_lead AND _c > 0").agg(F.sum("_c"), F.count("*")).first()
-    n, v = int(total[0] or 0), int(total[1])
-    norm = n + 0.5 * (v + 1)
-    top = words.where("_lead AND _c > 1").orderBy(F.desc("_c"), "_word").limit(FREQUENT).select("_word").collect()
-    named = spark.createDataFrame([(bytes(r["_word"]), i) for i, r in enumerate(top)], "_word binary, _own int")
-    # Symbols: frequent words, then shared ones, then those of words seen once, then the unknown.
-    size = FREQUENT + SHARED + ONCE + 1
-    unknown = size - 1
-    draw = F.xxhash64("_word")
-    symbol = F.when(F.col("_c") == 0, F.lit(unknown)).when(F.col("_own").isNotNull(), F.col("_own")).when(
-        F.col("_c") == 1, FREQUENT + SHARED + F.pmod(draw, F.lit(ONCE))).otherwise(FREQUENT + F.pmod(draw, F.lit(SHARED)))
-    words = words.join(F.broadcast(named), "_word", "left").withColumn("_symbol", symbol.cast("int"))
-    mass = words.where("_lead AND _c > 0").groupBy("_symbol").agg(F.sum((F.col("_c") + 0.5) / norm)).collect()  # <= size rows
-    base = np.zeros(size)
-    for s, m in mass:
-        base[s] = m
-    base[unknown] = 0.5 / norm
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    with np.errstate(divide="ignore"):
-        log_base = np.log10(base)
-    texts = both.where("_word IS NULL").select("doc_id", "_train", "_chunk", "_ids", "_n")
-    own = words.select("_chunk", "_local", "_c", "_symbol")
-
-    def code(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("_local").to_numpy())
-        c = right.column("_c").to_numpy()[order]
-        s = right.column("_symbol").to_numpy()[order].astype(np.int16)
-        log_p = np.log10((c + 0.5) / norm)
-        within = log_p - log_base[s]
-        within[s == unknown] = 0.0
-        pack = zstandard.ZstdCompressor(level=1).compress
-        ids = [_plain(x, np.int32) for x in left.column("_ids").to_pylist()]
-        return pa.table({
-            "doc_id": left.column("doc_id"), "_train": left.column("_train"), "n_tokens": left.column("_n"),
-            "n_known": pa.array([int((c[i] > 0).sum()) for i in ids], pa.int64()),
-            "base_score": pa.array([float(log_p[i].sum()) for i in ids], pa.float64()),
-            "_within": pa.array([float(within[i].sum()) for i in ids], pa.float64()),
-            "_symbols": pa.array([pack(s[i].tobytes()) for i in ids], pa.binary())})
-
-    out = texts.groupBy("_chunk").cogroup(own.groupBy("_chunk")).applyInArrow(
-        code, f"doc_id {kind}, _train boolean, n_tokens long, n_known long, base_score double, _within double, _symbols binary")
-    return stored(out, "lm-symbols"), base, unknown, n
-
-
-def baum_welch(texts: DataFrame, model: Model) -> Model:
-    """One round: every task's expected counts, added up by Spark."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        m = shared.value
-        sums = [np.zeros(m.k), np.zeros((m.k, m.k)), np.zeros((m.k, len(m.base)))]
-        for batch in batches:
-            blocks, first, held = [], [], 0
-
-            def take():
-                order = np.argsort([-len(b) for b in blocks], kind="stable")
-                got = m.expect([blocks[i] for i in order], np.array(first)[order])
-                for s, g in zip(sums, got, strict=True):
-                    s += g
-
-            for raw in batch.column("_symbols").to_pylist():
-                s = _plain(raw, np.int16)
-                for at in range(0, len(s), BLOCK):
-                    blocks.append(s[at:at + BLOCK])
-                    first.append(at == 0)
-                    held += len(blocks[-1])
-                if held > 300_000:
-                    take()
-                    blocks, first, held = [], [], 0
-            if blocks:
+    total = words.where("_lead AND _c > 0").agg(F.sum("_c"), F.count("*"), F.count(F.when(F.col("_c") == 1, 1))).first()
+    return both.where("_word IS NULL").select("doc_id", "_train", "_chunk", "_ids", "_n"), words, int(total[0] or 0), int(total[1]), int(total[2])
+
+
+def first_counts(words: DataFrame, states: int, norm: float, seed: int = 5) -> DataFrame:
+    """The words with a drawn count in every state: their base times a gamma of shape 2 and mean 1."""
+    def uniform(*of):
+        return (F.pmod(F.xxhash64("_word", *map(F.lit, of)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+
+    base = F.when(F.col("_c") > 0, (F.col("_c") + 0.5) / norm).otherwise(0.0)
+    return words.withColumns({f"n{k}": (base * -0.5 * (F.log(uniform(seed, k, 0)) + F.log(uniform(seed, k, 1)))).cast("float")
+                              for k in range(states)})
+
+
+def _sums(counts: DataFrame, states: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each state, the count of all words and of those seen once."""
+    named = [F.sum(F.col(f"n{k}").cast("double")) for k in range(states)]
+    once = [F.sum(F.when(F.col("_c") == 1, F.col(f"n{k}").cast("double"))) for k in range(states)]
+    got = np.array([x or 0.0 for x in counts.agg(*named, *once).first()])
+    return got[:states], got[states:]
+
+
+def _in_order(right: pa.Table, states: int):
+    """A chunk's words by their local numbers: row order, training counts, and counts by state."""
+    order = np.argsort(right.column("_local").to_numpy())
+    counts = np.stack([right.column(f"n{k}").to_numpy()[order] for k in range(states)]).astype(np.float64)
+    return order, right.column("_c").to_numpy()[order], counts
+
+
+def baum_welch(texts: DataFrame, words: DataFrame, own: DataFrame, chain: Chain, states: int) -> tuple[DataFrame, Chain]:
+    """One round: every chunk's expected counts, added up by word; ``own`` are the words with their counts."""
+    fields = ["_kind", "_word", "_c", *(f"n{k}" for k in range(states))]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        order, c, counts = _in_order(right, states)
+        m = Model.of(chain.start, chain.follow, chain.emissions(c, counts))
+        sums = [np.zeros(states), np.zeros((states, states)), np.zeros(counts.shape)]
+        blocks, first, held = [], [], 0
+
+        def take():
+            order = np.argsort([-len(b) for b in blocks], kind="stable")
+            got = m.expect([blocks[i] for i in order], np.array(first)[order])
+            for s, g in zip(sums, got, strict=True):
+                s += g
+
+        for raw in left.column("_ids").to_pylist():
+            s = _plain(raw, np.int32)
+            for at in range(0, len(s), BLOCK):
+                blocks.append(s[at:at + BLOCK])
+                first.append(at == 0)
+                held += len(blocks[-1])
+            if held > 300_000:
                 take()
-        for kind, s in enumerate(sums):
-            flat = np.atleast_2d(s)
-            i, j = np.nonzero(flat)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(i), kind, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)),
-                 pa.array(flat[i, j])], names=["_kind", "_i", "_j", "_x"])
-
-    counts = texts.where("_train").select("_symbols").mapInArrow(run, "_kind int, _i int, _j int, _x double")
-    got = counts.groupBy("_kind", "_i", "_j").agg(F.sum("_x").alias("_x")).toPandas()  # states x symbols at most
-    sums = [np.zeros((1, model.k)), np.zeros((model.k, model.k)), np.zeros((model.k, len(model.base)))]
-    for kind, part in got.groupby("_kind"):
-        sums[kind][part["_i"].to_numpy(), part["_j"].to_numpy()] = part["_x"].to_numpy()
-    return model.learn(sums[0][0], sums[1], sums[2])
+                blocks, first, held = [], [], 0
+        if blocks:
+            take()
+        some = np.flatnonzero(sums[2].any(axis=0))
+        flat = np.concatenate([sums[0][:, None], sums[1].T, sums[2][:, some]], axis=1)  # a column of starts, one of follows per state
+        kind = np.concatenate([np.arange(states + 1), np.full(len(some), -1)]).astype(np.int32)
+        named = pa.concat_arrays([pa.nulls(states + 1, pa.binary()),
+                                  right.column("_word").combine_chunks().take(pa.array(order[some])).cast(pa.binary())])
+        return pa.table([pa.array(kind), named, pa.array(np.concatenate([np.zeros(states + 1, np.int64), c[some]])),
+                         *(pa.array(flat[k]) for k in range(states))], names=fields)
+
+    got = texts.where("_train").groupBy("_chunk").cogroup(own.groupBy("_chunk")).applyInArrow(
+        run, "_kind int, _word binary, _c long, " + ", ".join(f"n{k} double" for k in range(states)))
+    got = got.groupBy("_kind", "_word").agg(F.max("_c").alias("_c"), *[F.sum(f"n{k}").alias(f"n{k}") for k in range(states)])
+    got = stored(got, "lm-counts")
+    rest = np.zeros((states + 1, states))
+    for r in got.where("_kind >= 0").collect():  # one row per state, and one
+        rest[r["_kind"]] = [r[f"n{k}"] for k in range(states)]
+    counts = got.where("_kind < 0").select("_word", "_c", *[F.col(f"n{k}").cast("float").alias(f"n{k}") for k in range(states)])
+    after = Chain(states, chain.norm, chain.once).hold_back(*_sums(counts, states))
+    after.start = (rest[0] + 1) / (rest[0] + 1).sum()
+    after.follow = (rest[1:] + 1) / (rest[1:] + 1).sum(axis=1, keepdims=True)
+    back = words.join(counts.drop("_c"), "_word", "left").select("_chunk", "_word", "_local", "_c", *[
+        F.coalesce(f"n{k}", F.lit(0.0).cast("float")).alias(f"n{k}") for k in range(states)])
+    return back, after
 
 
 def score_texts(docs: DataFrame, train: Column, rounds: int = ROUNDS, states: int = STATES) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, _train for every row."""
-    texts, base, unknown, n = encoded(docs, train)
-    kept = ["doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score"]
-    if not n:
-        return texts.select(*kept, F.col("base_score").alias("score"), "_train")
-    model = Model(base, slice(FREQUENT + SHARED, FREQUENT + SHARED + ONCE), unknown, states)
-    for _ in range(rounds):
-        model = baum_welch(texts, model)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    texts, words, n, v, once = encoded(docs, train)
+    norm = n + 0.5 * (v + 1)
+    own, chain = first_counts(words, states, norm), None
+    if n:
+        chain = Chain(states, norm, once * 1.5 / norm).hold_back(*_sums(own.where("_lead"), states))
+        for _ in range(rounds):
+            own, chain = baum_welch(texts, words, own, chain, states)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "_train"]
 
-    def run(batches):
-        m = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = m.likelihood([_plain(x, np.int16).astype(np.int64) for x in batch.column("_symbols").to_pylist()])
-            score = own + batch.column("_within").to_numpy()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:5]), pa.array(score), batch.column("_train")], names=names)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        _, c, counts = _in_order(right, states)
+        log_p = np.log10((c + 0.5) / norm)
+        ids = [_plain(x, np.int32) for x in left.column("_ids").to_pylist()]
+        base = np.array([float(log_p[i].sum()) for i in ids])
+        score = base if chain is None else Model.of(chain.start, chain.follow, chain.emissions(c, counts)).likelihood(ids)
+        return pa.table({
+            "doc_id": left.column("doc_id"), "n_tokens": left.column("_n"),
+            "n_known": pa.array([int((c[i] > 0).sum()) for i in ids], pa.int64()),
+            "train_tokens": pa.array([n] * len(ids), pa.int64()), "base_score": pa.array(base, pa.float64()),
+            "score": pa.array(score, pa.float64()), "_train": left.column("_train")})
 
-    return texts.select(*kept, "_within", "_symbols", "_train").mapInArrow(
+    own = own.select("_chunk", "_local", "_c", *[f"n{k}" for k in range(states)])
+    return texts.groupBy("_chunk").cogroup(own.groupBy("_chunk")).applyInArrow(
         run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, _train boolean")

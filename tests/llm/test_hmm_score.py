@@ -98,3 +98,36 @@ def test_frames(make, words, monkeypatch):
     assert hmm_score.score_texts(make([]), F.lit(True)).count() == 0
     none = hmm_score.score_texts(make(["a b", ""]), F.lit(False)).collect()
     assert all(r.score == r.base_score and r.n_known == 0 for r in none)
+
+
+def test_every_word_keeps_counts_of_its_own(make, spark, words, monkeypatch):
+    """Rare words far beyond any list of frequent ones tell the topic, as in dense training on all words."""
+    monkeypatch.setattr(hmm_score, "CHUNK_BYTES", 3000)
+    r = np.random.default_rng(7)
+    vocab = [f"w{i}" for i in range(6000)]
+    texts = [" ".join(vocab[3000 * int(half) + i] for half in r.random(3) < 0.5 for i in r.integers(0, 3000, 60)) for _ in range(150)]
+    docs = make(texts)
+    got = {x.doc_id: x.score for x in hmm_score.score_texts(docs, F.lit(True), rounds=2, states=2).collect()}
+    # The same by one dense matrix of all words.
+    count = collections.Counter(w for t in texts for w in [*t.encode().split(), b""])
+    names = sorted(count)
+    number = {w: i for i, w in enumerate(names)}
+    n, v = sum(count.values()), len(names)
+    assert v > 5377
+    frame = spark.createDataFrame([(w, count[w], True) for w in names], "_word binary, _c long, _lead boolean")
+    norm = n + 0.5 * (v + 1)
+    drawn = {bytes(x["_word"]): (x.n0, x.n1) for x in hmm_score.first_counts(frame, 2, norm).collect()}
+    c = np.array([count[w] for w in names])
+    dense = np.array([drawn[w] for w in names]).T
+    chain = hmm_score.Chain(2, norm, (c == 1).sum() * 1.5 / norm)
+    ids = [np.array([number[w] for w in [*t.encode().split(), b""]]) for t in texts]
+    for _ in range(2):
+        chain.hold_back(dense.sum(axis=1), dense[:, c == 1].sum(axis=1))
+        m = hmm_score.Model.of(chain.start, chain.follow, chain.emissions(c, dense))
+        assert np.allclose(m.emit.sum(axis=1) + chain.new, 1)
+        order = sorted(range(len(ids)), key=lambda i: -len(ids[i]))
+        starts, follows, dense = m.expect([ids[i] for i in order], np.ones(len(ids), bool))
+        chain.start, chain.follow = (starts + 1) / (starts + 1).sum(), (follows + 1) / (follows + 1).sum(axis=1, keepdims=True)
+    chain.hold_back(dense.sum(axis=1), dense[:, c == 1].sum(axis=1))
+    want = hmm_score.Model.of(chain.start, chain.follow, chain.emissions(c, dense)).likelihood(ids)
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want.tolist(), rel=1e-5)
