@@ -2,9 +2,10 @@
 
 Each word enters as the embedding of its hash and the mean embedding of its hashed character n-grams; two
 gated recurrent layers read a window of words in both directions, attention pools their states, and a
-logistic unit scores the window. Every document is scored over all its overlapping windows, and the highest
-counts. Training is in numpy: of a toxic document the window that scores highest is taken for toxic, of a
-clean one the windows that score highest and others.
+logistic unit scores the window. Every document is scored over all its overlapping windows of WINDOW words, one
+from each word on, and the highest counts. Training is in numpy: of a toxic document a window that scores highest is
+taken for toxic, of a clean one windows that score highest and others. The others are drawn from all windows, the
+highest is looked for every MINE words from a drawn one on.
 
 The sample to learn from is bounded (``max_toxic``, ``max_clean`` rows, ``max_bytes`` each), picked by hash of
 the id; the model has a fixed size. Scoring reads whole texts in one narrow stage. Null and empty texts have
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 
 from anontext.llm.common import from_texts, text_bytes, worker_cache
 
-WINDOW, STRIDE = 40, 32
+WINDOW, STRIDE = 40, 1
+SLIDE = 2048  # neighbouring windows read at a time
+MINE = 20  # words between the windows that training looks for the highest among
 WORDS, GRAMS, DIM, HIDDEN, ATTEND = 1 << 14, 1 << 15, 12, 12, 8
 CACHE_WORDS = 300_000
 PORTION = 4096  # words taken at a time, which bounds memory
@@ -151,6 +154,67 @@ class Network:
             out[at:at + batch] = _sigmoid(self.pool(self.states(rows, part), part)[3].astype(np.float64))
         return out
 
+    def slide(self, rows: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Scores of all windows, one from each word on, of ``numbers``, which has WINDOW words at least.
+
+        The same as ``score`` on ``window_table``: neighbouring windows read the same input sums one step apart,
+        so a step's inputs of all windows are one slice.
+        """
+        p, h = self.p, HIDDEN
+        signs = np.repeat(np.array([-1, 1], np.float32), [2 * h, h])[:, None]  # of gates, for exp
+        turned = {k: np.ascontiguousarray(p[f"h{k}"].T) * signs for k in "fb"}
+        att, out = p["att"].T.copy(), p["out"]
+        logits = np.empty(len(numbers) - WINDOW + 1, np.float64)
+        for at in range(0, len(logits), SLIDE):
+            n = min(SLIDE, len(logits) - at)
+            x = np.ascontiguousarray(rows[numbers[at:at + n + WINDOW - 1]].T)
+            x *= np.concatenate([signs, signs])
+            kept = np.empty((WINDOW, h, n), np.float32)
+            ask, told = np.empty((2, WINDOW, n), np.float32)
+            sums, gate, new = np.empty((3 * h, n), np.float32), np.empty((2 * h, n), np.float32), np.empty((h, n), np.float32)
+            for k, ts, low in (("f", range(WINDOW), 0), ("b", range(WINDOW - 1, -1, -1), 3 * h)):
+                state, other = np.zeros((2, h, n), np.float32)
+                for t in ts:
+                    np.matmul(turned[k], state, out=sums)
+                    np.add(sums[:2 * h], x[low:low + 2 * h, t:t + n], out=gate)
+                    np.exp(np.minimum(gate, 80, out=gate), out=gate)
+                    gate += 1
+                    np.reciprocal(gate, out=gate)
+                    np.multiply(gate[h:], sums[2 * h:], out=new)
+                    new += x[low + 2 * h:low + 3 * h, t:t + n]
+                    np.tanh(new, out=new)
+                    now = kept[t] if k == "f" else other
+                    np.subtract(state, new, out=now)
+                    now *= gate[:h]
+                    now += new
+                    state, other = now, state
+                    if k == "b":
+                        seen = att[:, :h] @ kept[t]
+                        seen += att[:, h:] @ state
+                        np.tanh(seen, out=seen)
+                        ask[t] = p["ask"] @ seen
+                        told[t] = out[:h] @ kept[t] + out[h:] @ state
+            ask -= ask.max(axis=0)
+            np.exp(ask, out=ask)
+            logits[at:at + n] = (ask * told).sum(axis=0) / ask.sum(axis=0) + p["bias"][0]
+        return _sigmoid(logits)
+
+    def score_windows(self, rows: np.ndarray, docs: list[np.ndarray]) -> list[np.ndarray]:
+        """Scores of every window of each document, given as numbers of rows."""
+        out: list = [None] * len(docs)
+        short = [i for i, d in enumerate(docs) if len(d) <= WINDOW]
+        if short:
+            for i, s in zip(short, self.score(rows, np.concatenate([window_table(docs[i]) for i in short])), strict=True):
+                out[i] = np.array([s])
+        long = [i for i, d in enumerate(docs) if len(d) > WINDOW]
+        if long:
+            # In one run; windows across two documents are left unread.
+            scores, at = self.slide(rows, np.concatenate([docs[i] for i in long])), 0
+            for i in long:
+                out[i] = scores[at:at + len(docs[i]) - WINDOW + 1]
+                at += len(docs[i])
+        return out
+
     def gradients(self, found, idx: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         p, h = self.p, HIDDEN
         x = self.embed(found)
@@ -196,16 +260,8 @@ class Network:
         return g
 
 
-def windows(n: int) -> list[tuple[int, int]]:
-    """All overlapping windows over n words: from, to; one empty window without words."""
-    if n <= WINDOW:
-        return [(0, n)]
-    starts = [*range(0, n - WINDOW, STRIDE), n - WINDOW]
-    return [(s, s + WINDOW) for s in starts]
-
-
 def window_table(numbers: np.ndarray) -> np.ndarray:
-    """Word numbers of every window of one document, -1 where it has no word."""
+    """Word numbers of every window of one document (one from each word on), -1 where it has no word."""
     n = len(numbers)
     if n <= WINDOW:
         out = np.full((1, WINDOW), -1, np.int32)
@@ -220,16 +276,17 @@ def train(texts: list[bytes], toxic: list[int], steps: int = STEPS, seed: int =
     net = Network(seed)
     rng = np.random.default_rng(seed)
     vocab: dict[bytes, int] = {}
-    tables = [window_table(np.array([vocab.setdefault(w, len(vocab)) for w in words_of(t)], np.int32)) for t in texts]
+    numbers = [np.array([vocab.setdefault(w, len(vocab)) for w in words_of(t)], np.int32) for t in texts]
     names = list(vocab)
     if not names:
         return net
     word, grams, start = features(names)
     ends = np.append(start[1:], len(grams))
-    all_rows = np.concatenate(tables)
-    owner = np.repeat(np.arange(len(tables)), [len(t) for t in tables])
-    first = np.searchsorted(owner, np.arange(len(tables)))
-    count = np.bincount(owner, minlength=len(tables))
+    # Every document filled up to a window; a window is known by where it begins.
+    filled = [np.pad(n, (0, max(0, WINDOW - len(n))), constant_values=-1) for n in numbers]
+    first = np.concatenate([[0], np.cumsum([len(f) for f in filled])[:-1]])
+    count = np.array([len(f) - WINDOW + 1 for f in filled])
+    joined = np.concatenate(filled)
     y = np.array(toxic)
     pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -239,9 +296,12 @@ def train(texts: list[bytes], toxic: list[int], steps: int = STEPS, seed: int =
     best = None
     for step in range(steps):
         if step and step % refresh == 0:
-            score = net.score(net.project(net.embed((word, grams, start))), all_rows)
-            order = np.lexsort((-score, owner))
-            best = order[first]
+            starts = [np.arange(min(rng.integers(MINE), n - 1), n, MINE) for n in count]
+            owner = np.repeat(np.arange(len(starts)), [len(s) for s in starts])
+            begin = np.repeat(first, [len(s) for s in starts]) + np.concatenate(starts)
+            rows = net.project(net.embed((word, grams, start)))
+            order = np.lexsort((-net.score(rows, joined[begin[:, None] + np.arange(WINDOW)]), owner))
+            best = begin[order[np.searchsorted(owner, np.arange(len(starts)))]]
         half = BATCH // 2
         p_docs, n_docs = rng.choice(pos, half), rng.choice(neg, half)
         any_window = lambda d: first[d] + (rng.random(len(d)) * count[d]).astype(np.int64)
@@ -249,7 +309,7 @@ def train(texts: list[bytes], toxic: list[int], steps: int = STEPS, seed: int =
             pick = np.concatenate([any_window(p_docs), any_window(n_docs)])
         else:
             pick = np.concatenate([best[p_docs], best[n_docs[:half // 2]], any_window(n_docs[half // 2:])])
-        idx = all_rows[pick]
+        idx = joined[pick[:, None] + np.arange(WINDOW)]
         used, local = np.unique(idx, return_inverse=True)
         local = local.reshape(idx.shape)
         if used[0] < 0:
@@ -303,11 +363,9 @@ class Scorer:
                 if self.n + len(new) > CACHE_WORDS:
                     self.number, self.n, new = {}, 0, list(wanted)
                 self._learn(new)
-            tables = [window_table(np.fromiter(map(self.number.__getitem__, w), np.int32, len(w))) for w in part]
-            count = np.array([len(t) for t in tables])
+            docs = [np.fromiter(map(self.number.__getitem__, w), np.int32, len(w)) for w in part]
             rows = self.rows if self.rows is not None else np.zeros((1, 6 * HIDDEN), np.float32)
-            score = self.net.score(rows, np.concatenate(tables))
-            out.append(np.maximum.reduceat(score, np.concatenate([[0], np.cumsum(count)[:-1]])))
+            out.append(np.array([s.max() for s in self.net.score_windows(rows, docs)]))
         return np.concatenate(out) if out else np.zeros(0)
 
 

@@ -76,3 +76,20 @@ def test_frames(make, spark, words, monkeypatch):
     assert toxicity.fit(docs, labels.where("toxic = 1")) == 1.0
     assert toxicity.fit(docs, labels.where("false")) == 0.0
     assert {r.score for r in toxicity.score(docs, 0.0).collect()} == {0.0}
+
+
+def test_every_window_is_scored_and_learned_from(words):
+    """A window from each word on, as one by one: a phrase cut by no window that holds it whole."""
+    net = toxicity.Network(seed=4)
+    texts = [words(n, n) for n in (0, 1, 39, 40, 41, 100, 700)]
+    scorer = toxicity.Scorer(net)
+    got = scorer([" ".join(t).encode() for t in texts])
+    for t, s in zip(texts, got, strict=True):
+        own = [w.encode() for w in t]
+        each = []
+        for at in range(max(1, len(own) - toxicity.WINDOW + 1)):
+            part = own[at:at + toxicity.WINDOW]
+            rows = net.project(net.embed(toxicity.features(part))) if part else np.zeros((1, 6 * toxicity.HIDDEN), np.float32)
+            each.append(net.score(rows, np.array([[*range(len(part))] + [-1] * (toxicity.WINDOW - len(part))]))[0])
+        assert s == pytest.approx(max(each), abs=1e-5)
+    assert len(toxicity.window_table(np.arange(100, dtype=np.int32))) == 61
