@@ -22,10 +22,10 @@ _UNIT = ("%|percent|per cent|percentage points?|basis points?|bps|thousand|milli
 
 # Placeholder and pattern of each class, in the order they are applied. A pattern stands between
 # characters that are no letters, digits or underscores. Only single characters repeat without bound:
-# a repeated group would recurse as deep as a junk line is long.
+# a repeated group would recurse as deep as a junk line is long. A domain has 127 labels at most.
 CLASSES = (
     ("link_x", "(?i:https?://|ftp://|www\\.)[^ \\t\\r\\n<>\"]*[^ \\t\\r\\n<>\".,;:!?)'\\]]"
-     "|[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\\.[A-Za-z]{2,10}){1,3}|[A-Za-z0-9-]{1,63}\\.(?:com|org|net|gov|edu)"),
+     "|[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+){0,125}\\.[A-Za-z][A-Za-z0-9-]*[A-Za-z0-9]|[A-Za-z0-9-]{1,63}\\.(?:com|org|net|gov|edu)"),
     ("time_x", "[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?: ?[AaPp]\\.?[Mm]\\.?)?|[0-9]{1,2} ?[AaPp]\\.?[Mm]\\.?"),
     ("date_x", "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
                "(?:T[0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\\.[0-9]{1,9})?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?"
@@ -65,7 +65,7 @@ def mask_firm(text: Column, name: Column, ticker: Column) -> Column:
     """The article's own firm becomes Company_1 and its ticker, however spelled, ticker_x."""
     words = core_words(name)
     pattern = F.concat(F.lit(f"(?iu){_BEFORE}"), F.array_join(words, r"[^\p{L}\p{N}_]+"),
-                       F.lit(f"(?:,? (?:{_FORM})\\.?){{0,4}}{_AFTER}"))
+                       F.lit(f"(?:,? (?:{_FORM}){_AFTER}(?:\\.{_AFTER})?)*+{_AFTER}"))  # possessive, so no recursion
     named = F.when(words.isNull(), text).otherwise(F.regexp_replace(text, pattern, F.lit("Company_1")))
     parts = F.filter(F.split(ticker, "[^A-Za-z0-9]+"), lambda p: p != "")
     letters = F.array_join(parts, "")

@@ -102,3 +102,23 @@ def test_empty_dictionary(spark):
     for limits in ({}, {"max_surfaces": -1}):
         masked = mask_entities(texts, dictionary, "text", "comnam", "masked", **limits)
         assert [r.masked for r in masked.collect()] == ["Company_1 and steel"]
+
+
+@pytest.mark.parametrize("mail", ["john.smith@us.berkshirehathaway.com", "bob@mail.3m.com", "jane@mail.example-bank.com",
+                                  "a@b.c.d.e.f.co.uk", "x@firm.photography", "x@firm.internationalbank", "x@y.xn--p1ai"])
+def test_whole_mail_addresses(spark, mail):
+    df = spark.createDataFrame([(f"ask {mail}, ({mail}) or {mail}. Then 100@5.25...",)], "t string")
+    assert df.select(mask_patterns(F.col("t")).alias("m")).first().m == "ask link_x, (link_x) or link_x. Then number_x@number_x..."
+
+
+@pytest.mark.parametrize("text, masked", [
+    ("Blue Bolt Technologies Holdings Group Co. Ltd., Inc. rose", "Company_1 rose"),
+    ("Blue Bolt Inc.x and Blue Bolt S.A. and Blue Bolt Incas", "Company_1.x and Company_1 and Company_1 Incas")])
+def test_all_legal_forms_go(spark, text, masked):
+    df = spark.createDataFrame([(text, "Blue Bolt Inc", "BLBO")], "t string, n string, k string")
+    assert df.select(mask_article(F.col("t"), F.col("n"), F.col("k")).alias("m")).first().m == masked
+
+
+def test_long_mail_junk_is_no_danger(spark):
+    df = spark.createDataFrame([("a@" + "b." * 100_000 + " " + "a@" + "b-" * 100_000 + " end 7",)], "t string")
+    assert df.select(mask_patterns(F.col("t")).alias("m")).first().m.endswith(" end number_x")
