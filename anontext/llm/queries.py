@@ -4,7 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from anontext.llm import balanced_shards, best_fit, chat_rotation, fingerprint_dedup, forest_search, hmm_score, piece_codec, span_dedup, stable_dedup, toxicity
+from anontext.llm import (
+    balanced_shards,
+    best_fit,
+    chat_rotation,
+    code_vectors,
+    exact_dedup,
+    fingerprint_dedup,
+    forest_search,
+    hmm_score,
+    piece_codec,
+    span_dedup,
+    stable_dedup,
+    toxicity,
+)
 from anontext.llm.common import held_out, table
 
 
@@ -60,6 +73,16 @@ def op10_best_fit(spark, sf_dir):
     return best_fit.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op11_equal_average(spark, sf_dir):
+    coded = code_vectors.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", code_vectors.hex_code().alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+def op13_heavy_split(spark, sf_dir):
+    marked = exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
+    return marked.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_toxicity": op2_toxicity,
@@ -71,9 +94,13 @@ QUERIES = {
     "op8_span_dedup": op8_span_dedup,
     "op9_stable_dedup": op9_stable_dedup,
     "op10_best_fit": op10_best_fit,
+    "op11_equal_average": op11_equal_average,
+    "op13_heavy_split": op13_heavy_split,
 }
 
 SQL: dict[str, str] = {
     "op3_chat_rotation": chat_rotation.SQL,
     "op8_span_dedup": span_dedup.SQL,
+    "op11_equal_average": code_vectors.SQL,
+    "op13_heavy_split": exact_dedup.SQL,
 }
