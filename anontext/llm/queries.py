@@ -12,6 +12,7 @@ from anontext.llm import (
     exact_dedup,
     fingerprint_dedup,
     forest_search,
+    hard_negatives,
     hmm_score,
     piece_codec,
     span_dedup,
@@ -78,6 +79,11 @@ def op11_equal_average(spark, sf_dir):
     return coded.select("vec_id", code_vectors.hex_code().alias("code"), "error", "label_error", "codebooks_sha256")
 
 
+def op12_hyperplane_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def op13_heavy_split(spark, sf_dir):
     marked = exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
     return marked.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -95,6 +101,7 @@ QUERIES = {
     "op9_stable_dedup": op9_stable_dedup,
     "op10_best_fit": op10_best_fit,
     "op11_equal_average": op11_equal_average,
+    "op12_hyperplane_negatives": op12_hyperplane_negatives,
     "op13_heavy_split": op13_heavy_split,
 }
 
@@ -102,5 +109,6 @@ SQL: dict[str, str] = {
     "op3_chat_rotation": chat_rotation.SQL,
     "op8_span_dedup": span_dedup.SQL,
     "op11_equal_average": code_vectors.SQL,
+    "op12_hyperplane_negatives": hard_negatives.SQL,
     "op13_heavy_split": exact_dedup.SQL,
 }
