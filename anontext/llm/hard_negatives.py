@@ -263,9 +263,15 @@ class Search:
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
         self.rows = stored(rows.mapInArrow(file, f"{kinds}, _leaf int"), "negatives-rows")
         own = self.rows.where("_asks").drop("_asks")
-        self.blocks = max(1, -(-own.count() // BLOCK))
-        own = own.repartitionByRange(self.blocks, "_leaf", "_row").withColumn("_block", F.spark_partition_id())
-        self.anchors = stored(own, "negatives-anchors")
+        # Leaf after leaf, and by hash within a leaf; a row for each leaf (at most FANOUT ** DEEPEST) travels.
+        before, offsets = 0, []
+        for r in own.groupBy("_leaf").count().orderBy("_leaf").collect():
+            offsets.append((r["_leaf"], r["count"], before))
+            before += r["count"]
+        offsets = F.broadcast(self.spark.createDataFrame(offsets, "_leaf int, _n long, _before long"))
+        place = F.col("_before") + F.pmod(F.xxhash64("_row"), F.col("_n"))
+        own = own.join(offsets, "_leaf").withColumn("_block", F.floor(place / BLOCK).cast("int")).drop("_n", "_before")
+        self.anchors, self.blocks = stored(own, "negatives-anchors"), max(1, -(-before // BLOCK))
         tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.tasks, self.lanes = max(1, tasks), max(1, min(LANES, -(-2 * tasks // self.blocks)))
 
