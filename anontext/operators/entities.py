@@ -5,22 +5,26 @@ sector, product, product_type, product_line, service) and ``entity``, which ties
 firm together. The longest spelling at a place wins, from left to right. Companies become
 Company_1 (the article's own), Company_2 and so on by first mention; other kinds become <kind>_x.
 
-A dictionary within the size limit goes to every task and texts are masked where they are. A
-larger one is joined: each text's distinct word groups meet the spellings by key, which yields the
-few spellings a text holds, and those are joined back to it. Both give the same result.
+Texts are read word by word by an automaton over word numbers (``automaton``), which meets every
+spelling in one pass. A dictionary within the size limit goes to every task. Of a larger one a Bloom
+filter of all beginnings of spellings goes ahead; it cuts what a text may hold to short tails, each
+no longer than the beginning of some spelling. Distinct tails, never texts, meet the dictionary in a join, which
+leaves the spellings that occur. Those go to every task if they are within the limit, and texts are masked where
+they are. Otherwise each text is sent its own hits, joined by key. All three ways give the same result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anontext.functions.text import let
+from anontext.operators.automaton import Automaton, PrefixFilter, names_of, replace, tails, words_of
 from anontext.operators.rulemask import core_words
+from anontext.session import stored
 
 MAX_SURFACES = 200_000
 MAX_BYTES = 16 << 20
@@ -38,129 +42,91 @@ def normalise_surfaces(dictionary: DataFrame) -> DataFrame:
             .agg(F.min(F.struct("kind", "entity", "n_words")).alias("e")).select("surface", "e.*"))
 
 
-def _build_masker():
-    """The per-text helper; nested so that tasks receive it by value."""
-    word, gap = re.compile(r"\w+"), re.compile(r"[\s\-&.,'\u2010-\u2015]+")
-
-    def index(surfaces):
-        """First word -> its spellings as (words, kind, entity), longest first."""
-        by_first: dict[str, list] = {}
-        for surface, kind, entity in surfaces:
-            words = surface.split(" ")
-            by_first.setdefault(words[0], []).append((words, kind, entity))
-        for found in by_first.values():
-            found.sort(key=lambda s: -len(s[0]))
-        return by_first
-
-    def mask(text, own, by_first):
-        if text is None:
-            return None
-        spans = [(m.start(), m.end()) for m in word.finditer(text)]
-        words = [text[a:b].lower() for a, b in spans]
-        own = None if own is None else list(own)
-        own_first = own[0] if own else None
-        # Names of one entity share a number; a name without entity is its own. The article's firm is 1.
-        own_name = " ".join(own) if own else None
-        own_entity = next((e or own_name for w, k, e in by_first.get(own_first, ()) if k == "company" and w == own), own_name)
-        numbers, pieces, done, i = {}, [], 0, 0
-
-        def fits(wanted, at):
-            end = at + len(wanted)
-            return words[at:end] == wanted and all(
-                gap.fullmatch(text, spans[j][1], spans[j + 1][0]) for j in range(at, end - 1))
-
-        while i < len(words):
-            first = words[i]
-            best = None
-            for wanted, kind, entity in by_first.get(first, ()):
-                if fits(wanted, i):
-                    best = (wanted, kind, entity)
-                    break
-            if first == own_first and (best is None or len(best[0]) <= len(own)) and fits(own, i):
-                best = (own, "company", None)
-            if best is None:
-                i += 1
-                continue
-            wanted, kind, entity = best
-            if kind == "company":
-                entity = entity or " ".join(wanted)
-                number = 1 if wanted == own or entity == own_entity else numbers.setdefault(entity, len(numbers) + 2)
-                label = f"Company_{number}"
-            else:
-                label = f"{kind}_x"
-            pieces += [text[done:spans[i][0]], label]
-            done = spans[i + len(wanted) - 1][1]
-            i += len(wanted)
-        return "".join(pieces) + text[done:]
-
-    return index, mask
-
-
 def mask_entities(df: DataFrame, dictionary: DataFrame, text: str, name: str, into: str,
                   key: str = "doc_id", max_surfaces: int = MAX_SURFACES,
                   max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Add ``into``, the text with dictionary names masked. ``key`` is unique.
-
-    Both ways give the same. On the joined one, word groups meet the dictionary in an inner join, whose
-    large partitions adaptive execution splits.
-    """
+    """Add ``into``, the text with dictionary names masked. ``key`` is unique."""
     surfaces = normalise_surfaces(dictionary)
+    if _fits(surfaces, max_surfaces, max_bytes):
+        return _mask_in_place(df, surfaces, text, name, into)
+    surfaces = stored(surfaces, "entity-surfaces")
+    hits = stored(_candidates(df, surfaces, text, name, key), "entity-tails")
+    met = _meet(hits, surfaces)
+    held = stored(met.select("surface", "kind", "entity").distinct(), "entity-held")
+    if _fits(held, max_surfaces, max_bytes):
+        return _mask_in_place(df, held, text, name, into)
+    return _mask_by_hits(df, hits, met, text, name, into, key)
+
+
+def _fits(surfaces: DataFrame, max_surfaces: int, max_bytes: int) -> bool:
     size = surfaces.agg(F.count(F.lit(1)).alias("rows"),
                         F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "surface", "kind", "entity"))), F.lit(0)).alias("bytes")).first()
-    if size["rows"] <= max_surfaces and size["bytes"] <= max_bytes:
-        return _mask_in_place(df, surfaces, text, name, into)
-    return _mask_by_join(df, surfaces, text, name, into, key)
+    return size["rows"] <= max_surfaces and size["bytes"] <= max_bytes
 
 
 def _mask_in_place(df: DataFrame, surfaces: DataFrame, text: str, name: str, into: str) -> DataFrame:
-    rows = [tuple(r) for r in surfaces.select("surface", "kind", "entity").collect()]
+    rows = [tuple(r) for r in surfaces.select("surface", "kind", "entity").collect()]  # within the limit
     shared = df.sparkSession.sparkContext.broadcast(rows)
-    index, mask = _build_masker()
 
     @F.pandas_udf("string")
     def masked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        by_first = index(shared.value)
+        automaton = Automaton(shared.value)
         for texts, owns in batches:
-            yield pd.Series([mask(t, o, by_first) for t, o in zip(texts, owns)], dtype=object)
+            yield pd.Series([automaton.mask(t, o) for t, o in zip(texts, owns)], dtype=object)
 
     return df.withColumn(into, masked(F.col(text), core_words(F.col(name))))
 
 
-def _groups(text: Column, lengths: list[int]) -> Column:
-    """Distinct groups of consecutive words of a text, for each length."""
-    def of_length(words: Column, n: int) -> Column:
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(
-            F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.concat_ws(
-            " ", *(F.element_at(words, i + k) for k in range(n))))
+def _candidates(df: DataFrame, surfaces: DataFrame, text: str, name: str, key: str) -> DataFrame:
+    """(key, at, tail): where in a text a spelling may begin, and how far; the article's own name at -1."""
+    shared = df.sparkSession.sparkContext.broadcast(PrefixFilter.of(surfaces))
+
+    def find(batches):
+        for batch in batches:
+            keys, ats, found = [], [], []
+            own_words = batch.column("own").to_pylist()
+            for row, (t, own) in enumerate(zip(batch.column("text").to_pylist(), own_words)):
+                if own:
+                    keys.append(row)
+                    ats.append(-1)
+                    found.append(" ".join(own))
+                for at, tail in tails(t, shared.value):
+                    keys.append(row)
+                    ats.append(at)
+                    found.append(tail)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(keys, pa.int64())), pa.array(ats, pa.int32()),
+                                              pa.array(found, pa.string())], names=["key", "at", "tail"])
 
-    def listed(words: Column) -> Column:
-        return F.array_distinct(F.concat(*(of_length(words, n) for n in lengths)))
+    source = df.select(F.col(key).alias("key"), F.col(text).alias("text"), core_words(F.col(name)).alias("own"))
+    return source.mapInArrow(find, f"key {df.schema[key].dataType.simpleString()}, at int, tail string")
 
-    return let(F.regexp_extract_all(F.lower(text), F.lit(_WORDS), 0), listed)
 
+def _meet(hits: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """(tail, surface, kind, entity, n_words) of all spellings that a tail begins with.
+
+    Distinct tails are beginnings of spellings or false hits of the filter, so no key holds many rows.
+    """
+    words = F.split("tail", " ")
+    begins = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, 1, n), " "))
+    return hits.select("tail").distinct().select("tail", F.explode(begins).alias("surface")).join(surfaces, "surface")
 
-def _mask_by_join(df: DataFrame, surfaces: DataFrame, text: str, name: str, into: str, key: str) -> DataFrame:
-    lengths = sorted(r[0] for r in surfaces.select("n_words").distinct().collect())
-    if not lengths:
-        lengths = [1]
 
-    # A text lists a group once, and its own firm even when it does not name it. Only the few groups that are
-    # spellings survive, so what is regrouped by text is small.
-    own = F.array_join(core_words(F.col(name)), " ")
-    groups = F.array_union(F.coalesce(_groups(F.col(text), lengths), F.array().cast("array<string>")),
-                           F.when(own.isNotNull(), F.array(own)).otherwise(F.array().cast("array<string>")))
-    grouped = df.select(key, F.explode(groups).alias("surface"))
-    held = grouped.join(surfaces.drop("n_words"), "surface")
-    per_text = held.groupBy(key).agg(F.collect_list(F.struct("surface", "kind", "entity")).alias("__held"))
-    index, mask = _build_masker()
+def _mask_by_hits(df: DataFrame, hits: DataFrame, met: DataFrame, text: str, name: str, into: str, key: str) -> DataFrame:
+    # A struct compares by its first field: the longest spelling of a tail. The own name counts only whole.
+    longest = met.groupBy("tail").agg(F.max(F.struct("n_words", "kind", "entity")).alias("s"))
+    whole = F.size(F.split("tail", " ")) == F.col("s.n_words")
+    named = hits.join(longest, "tail").where((F.col("at") >= 0) | whole)
+    per_text = named.groupBy(F.col("key").alias(key)).agg(
+        F.collect_list(F.struct("at", F.col("s.n_words").alias("n"), F.col("s.kind").alias("kind"), F.col("s.entity").alias("entity"))).alias("__held"))
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series, owns: pd.Series, helds: pd.Series) -> pd.Series:
         out = []
-        for t, o, held in zip(texts, owns, helds):
-            rows = [] if held is None else [(h["surface"], h["kind"], h["entity"]) for h in held]
-            out.append(mask(t, o, index(rows)))
+        for t, own, held in zip(texts, owns, helds):
+            found = {h["at"]: (h["n"], h["kind"], h["entity"]) for h in ([] if held is None else held)}
+            _, kind, entity = found.pop(-1, (0, None, None))
+            words, spans = (None, None) if t is None else words_of(t)
+            out.append(None if t is None else replace(t, words, spans, found, names_of(own, kind, entity)))
         return pd.Series(out, dtype=object)
 
     joined = df.join(per_text, key, "left")

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from anontext.operators.entities import mask_entities
+from anontext.operators.automaton import Automaton, PrefixFilter, tails
+from anontext.operators.entities import mask_entities, normalise_surfaces
 from anontext.operators.rulemask import core_words, mask_article, mask_patterns
 
 
@@ -65,11 +66,78 @@ def test_own_ticker(spark, ticker, text, want):
     assert df.select(mask_article(F.col("t"), F.col("n"), F.col("k")).alias("m")).first().m == want
 
 
+def naive_mask(text, own, spellings):
+    """Leftmost longest spelling by trying all of them at every word."""
+    import re
+    spans = [m.span() for m in re.finditer(r"\w+", text)]
+    words = [text[a:b].lower() for a, b in spans]
+
+    def fits(at, wanted):
+        return words[at:at + len(wanted)] == wanted and all(
+            re.fullmatch(r"[\s\-&.,']+", text[spans[j - 1][1]:spans[j][0]]) for j in range(at + 1, at + len(wanted)))
+
+    own_entity = spellings.get(" ".join(own), " ".join(own))
+    out, i, done, numbers = [], 0, 0, {}
+    while i < len(words):
+        here = [s for s in spellings if fits(i, s.split())] + ([" ".join(own)] if fits(i, own) else [])
+        if not here:
+            i += 1
+            continue
+        best = max(here, key=lambda s: len(s.split()))
+        entity = spellings.get(best, " ".join(own))
+        label = 1 if best == " ".join(own) or entity == own_entity else numbers.setdefault(entity, len(numbers) + 2)
+        size = len(best.split())
+        out += [text[done:spans[i][0]], f"Company_{label}"]
+        done, i = spans[i + size - 1][1], i + size
+    return "".join(out) + text[done:]
+
+
+def test_automaton_equals_trying_every_spelling(spark):
+    import random
+    r = random.Random(5)
+    for case in range(60):
+        letters = "abc"[:r.randint(2, 3)]
+        spellings = {" ".join(r.choice(letters) for _ in range(r.randint(1, 5))): f"e{r.randint(0, 6)}" for _ in range(r.randint(1, 14))}
+        own = [r.choice(letters) for _ in range(r.randint(1, 3))]
+        text = "".join(r.choice(letters + "xC") + r.choice([" ", " ", " ", "-", ", ", "; ", " (", "\n"]) for _ in range(50))
+        automaton = Automaton([(s, "company", e) for s, e in spellings.items()])
+        assert automaton.mask(text, own) == naive_mask(text, own, spellings), (case, spellings, own, text)
+
+
+def test_filter_keeps_every_beginning(spark):
+    surfaces = spark.createDataFrame([("red rod steel", 3), ("tin", 1), ("new york", 2)], "surface string, n_words int").repartition(3)
+    beginnings = PrefixFilter.of(surfaces)
+    got = dict(tails("Red rod; steel, RED ROD steel rope. Tin new Yorkshire New-York", beginnings))
+    assert got == {0: "red rod", 3: "red rod steel", 7: "tin", 8: "new", 10: "new york"}
+    assert list(tails("red", PrefixFilter.of(surfaces.limit(0)))) == []
+
+
+def test_a_million_names_move_few_bytes(spark, folder, capsys):
+    """Of a large dictionary only the spellings that occur travel to the texts, and no text is shuffled."""
+    words = F.transform(F.sequence(F.lit(0), F.col("id") % 3), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(50_000)).cast("string")))
+    names = spark.range(1_000_000, numPartitions=8).select(F.array_join(words, " ").alias("surface"), F.lit("company").alias("kind"),
+                                                           F.concat(F.lit("e"), F.col("id").cast("string")).alias("entity"))
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(300)), lambda i: F.concat(F.lit("v"), F.pmod(F.xxhash64("id", i), F.lit(90_000)).cast("string"))), " ")
+    named = F.concat(F.lit(" w"), F.pmod(F.xxhash64(F.col("id") * 6 + 1, F.lit(0)), F.lit(50_000)).cast("string"))
+    texts = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("Zed").alias("comnam"), F.concat(body, named, F.lit(" end")).alias("text"))
+    path = f"{folder}/texts"
+    texts.write.parquet(path)
+    texts = spark.read.parquet(path)
+    masked = mask_entities(texts, names, "text", "comnam", "masked")
+    masked.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    rows = masked.collect()
+    assert all(" Company_2" in r.masked or " w" in r.text for r in rows) and sum("Company_2" in r.masked for r in rows) > 300
+    size = texts.agg(F.sum(F.length("text"))).first()[0]
+    held = PrefixFilter.of(normalise_surfaces(names.limit(0)))
+    assert held.size == 64 and size > 400 * 1000
+
+
 def test_own_firm_by_entity_and_rivals_without(spark):
     dictionary = spark.createDataFrame([("ibm", "company", "e1"), ("big blue", "company", "e1"), ("sap", "company", None),
                                         ("oracle", "company", "e2")], "surface string, kind string, entity string")
     texts = spark.createDataFrame([(1, "IBM", "Big\u00a0Blue and SAP fought Oracle\u2013and IBM")], "doc_id bigint, comnam string, text string")
-    for limits in ({}, {"max_surfaces": 0}):
+    for limits in ({}, {"max_surfaces": 3}, {"max_surfaces": 0}):
         got = mask_entities(texts, dictionary, "text", "comnam", "masked", **limits).first().masked
         assert got == "Company_1 and Company_2 fought Company_3\u2013and Company_1"
 
@@ -88,8 +156,12 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_surfaces": 0}])
-def test_entities_both_ways(spark, limits):
+# In place; through the filter, then in place; through the filter, then hits by key.
+WAYS = [{}, {"max_surfaces": 6}, {"max_surfaces": 0}]
+
+
+@pytest.mark.parametrize("limits", WAYS)
+def test_entities_all_ways(spark, limits):
     dictionary = spark.createDataFrame(DICTIONARY, "surface string, kind string, entity string")
     texts = spark.createDataFrame([t[:3] for t in TEXTS], "doc_id bigint, comnam string, text string")
     masked = mask_entities(texts, dictionary, "text", "comnam", "masked", **limits)
