@@ -5,7 +5,7 @@ from __future__ import annotations
 from anontext.operators import templates
 from anontext.operators.budget import EMPTY_ANSWER
 from workload import fixtures as fx
-from workload.queries import SPELLINGS
+from workload.queries import SPELLINGS, WRITTEN
 
 
 def _quote(text: str) -> str:
@@ -68,6 +68,7 @@ def _sentiment(pattern: str) -> str:
 
 # --- names ---
 
+# The legal forms that a cleaned name loses.
 FORMS = ("group|holdings|holding|ltd|corp|inc|co|llc|plc|gmbh|ag|s.a.|s.a|bv|nv|sa|spa|pte|limited|"
          "incorporated|company|corporation|lp|llp|technologies|tech")
 
@@ -256,19 +257,34 @@ _M = ("(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?
       "Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\\.?")
 _D = "[0-9]{1,2}(?:st|nd|rd|th)?"
 _T = "[A-Z]{1,5}(?:\\.[A-Z])?"
+# Exchanges, units and number words, as in the masking rules.
+_EXCHANGES = "NYSE|NASDAQ|Nasdaq|AMEX|ARCA|OTC|OTCMKTS|LSE|TSX|TSXV|ASX|HKEX|HKG|ETR|EPA|TYO"
+_MONEY = "(?:US[$]|C[$]|A[$]|USD|EUR|GBP|[$€£¥])"
+_UNIT = ("(?i:percent|per cent|percentage points?|basis points?|bps|thousand|million|billion|trillion|mn|bn|k|m|b|"
+         "dollars?|cents?|euros?|USD|EUR|GBP|shares?|units?|km|kg|tons?|tonnes?|barrels?|miles?|years?|months?|weeks?|days?|hours?|minutes?)")
+_SMALL = ("(?:zero|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|"
+          "nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety)")
+_LARGE = f"(?:hundred|thousand|million|billion|trillion|dozen)s?(?: and (?:one|{_SMALL}))?"
+_NTH = ("(?:third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|eleventh|twelfth|thirteenth|fourteenth|fifteenth|sixteenth|seventeenth|"
+        "eighteenth|nineteenth|twentieth|thirtieth|fortieth|fiftieth|sixtieth|seventieth|eightieth|ninetieth|hundredth|thousandth|"
+        "millionth|billionth)s?")
+_TAIL = f"(?:[ -]{_UNIT})*"
+_FIGURE = "[0-9]+(?:[.,]+[0-9]+)*[\\p{L}\\p{N}_]*(?: ?%)?"
+_NEXT = f"(?:[ -](?:{_LARGE}|one|{_SMALL}|firsts?|seconds?|{_NTH}|half|halves|quarters?))"
+_WORDS = (f"(?i:(?:{_SMALL}{_NEXT}*|one{_NEXT}+|one[ -]{_UNIT}|(?:an? )?{_LARGE}{_NEXT}*|{_NTH}){_TAIL})")
 _PATTERNS = (
     ("link_x", "(?i:https?://|ftp://|www\\.)[^ \\t\\r\\n<>\"]*[^ \\t\\r\\n<>\".,;:!?)''\\]]"
-     "|[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\\.[A-Za-z]{2,10}){1,3}|[A-Za-z0-9-]{1,63}\\.(?:com|org|net|gov|edu)"),
-    ("time_x", "[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?: ?[AaPp]\\.?[Mm]\\.?)?|[0-9]{1,2} ?[AaPp]\\.?[Mm]\\.?"),
+     "|[A-Za-z0-9][A-Za-z0-9._%+''-]{0,63}@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z][A-Za-z0-9-]*[A-Za-z0-9]"
+     "|[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.(?:[a-z][a-z]+|[A-Z][A-Z]+)"),
+    ("time_x", "[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?: ?[AaPp]\\.?[Mm]\\.?)?|[0-9]{1,2} ?[AaPp]\\.?[Mm]\\.?|(?i:noon|midnight)"),
     ("date_x", "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?:T[0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\\.[0-9]{1,9})?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|"
-     f"{_M} {_D}(?:,? [0-9]{{4}})?|{_D} {_M}(?:,? [0-9]{{4}})?|{_M} [0-9]{{4}}"
-     "|(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day|Q[1-4](?: ?[0-9]{4})?|[1-4]Q ?(?:[0-9]{4}|[0-9]{2})"
-  "|(?:January|February|March|April|June|July|August|September|October|November|December)"),
+     f"[0-9]{{1,2}}\\.[0-9]{{1,2}}\\.(?:[0-9]{{4}}|[0-9]{{2}})|{_M} {_D}(?:,? [0-9]{{4}})?|{_D} {_M}(?:,? [0-9]{{4}})?|{_M} [0-9]{{4}}"
+     "|(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day|Q[1-4] ?[0-9]{4}|Q[1-4] ?[''’][0-9]{2}|Q[1-4][0-9]{2}|Q[1-4]|[1-4]Q ?(?:[0-9]{4}|[''’]?[0-9]{2})"
+     "|(?:January|February|March|April|May|June|July|August|September|October|November|December)"),
+    ("number_x", f"{_MONEY} ?{_FIGURE}{_TAIL}|[0-9]+[.,]+{_FIGURE}{_TAIL}|[0-9]+[\\p{{L}}\\p{{N}}_]*(?: ?%|[ -]{_UNIT}){_TAIL}"),
     ("year_x", "(?:FY ?)?(?:19|20)[0-9]{2}[sE]?|FY ?[0-9]{2}"),
-    ("ticker_x", f"SYMBOL(?:: ?| ){_T}|[$>] ?{_T}"),
-    ("number_x", "[0-9]{1,9}(?:st|nd|rd|th)|(?:[$€£] ?)?[0-9](?:[0-9.,]*[0-9])?(?: ?(?:%|percent|per cent|percentage points?|basis points?|bps|"
-     "thousand|million|billion|trillion|mn|bn|[kKmMbB]|dollars?|cents?|euros?|USD|EUR|GBP|shares?|units?|"
-     "km|kg|tons?|tonnes?|barrels?|miles?|years?|months?|weeks?|days?|hours?|minutes?)){0,3}"),
+    ("ticker_x", f"(?:{_EXCHANGES})(?: [A-Z]+)?: ?{_T}|SYMBOL(?:: ?| ){_T}|[$>] ?{_T}"),
+    ("number_x", f"{_FIGURE}|{_WORDS}"),
 )
 
 
@@ -282,7 +298,7 @@ def _mask_patterns(text: str, source: str, keys: str) -> str:
 
 _CORE = "regexp_replace(lower(comnam), ' (?:inc|corp [(]new[)]|holdings ltd|co|technologies plc)$', '')"
 _OWN = _mask("body", "Company_1", f"concat('(?i:', replace({_CORE}, ' ', '[^\\p{{L}}\\p{{N}}_]+'), "
-             f"'(?:,? (?:{FORMS.replace('.', chr(92) + '.')})\\.?){{0,4}})')")
+             f"'(?:,? (?:{FORMS.replace('.', chr(92) + '.')})\\.?)*)')")
 _OWN_TICKER = f"""regexp_replace(regexp_replace(t,
   concat('(?:SYMBOL(?:: ?| )|[$>] ?)', ticker, '{_R}'), 'ticker_x\\1', 'g'),
   concat('{_L}', ticker, '{_R}'), '\\1ticker_x\\2', 'g')"""
@@ -293,6 +309,33 @@ def _rule_mask(body: str) -> str:
     return f"SELECT doc_id, t AS masked FROM ({_mask_patterns(_OWN_TICKER, f'({own})', 'doc_id')})"
 
 
+def _lettered(text: str, source: str) -> str:
+    """Numbers in order of first mention, by cutting texts at marks and numbering distinct values."""
+    left = "(^|[^\\p{L}\\p{N}_])"
+    query = f"SELECT doc_id, [{{'t': {text}, 'n': 0}}] AS cut FROM {source}"
+    for placeholder, pattern in _PATTERNS:
+        whole = f"{left}(?:{pattern}){_R}"
+        if placeholder != "number_x":
+            masked = "c.t"
+            for _ in range(2):
+                masked = f"regexp_replace({masked}, '{whole}', '\\1{placeholder}\\2', 'g')"
+            query = f"SELECT doc_id, [{{'t': CASE WHEN c.n = 1 THEN c.t ELSE {masked} END, 'n': c.n}} FOR c IN cut] AS cut FROM ({query})"
+            continue
+        # Marked and cut twice, as a match hides its neighbour.
+        for _ in range(2):
+            marked = f"regexp_replace(c.t, '{left}({pattern}){_R}', '\\1⟦\\2⟧\\3', 'g')"
+            query = f"""SELECT doc_id, flatten([CASE WHEN c.n = 1 THEN [c] ELSE flatten([
+              CASE WHEN i = 1 THEN [{{'t': p, 'n': 0}}] ELSE [{{'t': split_part(p, '⟧', 1), 'n': 1}}, {{'t': split_part(p, '⟧', 2), 'n': 0}}] END
+              FOR p, i IN string_split({marked}, '⟦')]) END FOR c IN cut]) AS cut FROM ({query})"""
+    return f"""WITH cuts AS ({query}),
+      pieces AS (SELECT doc_id, unnest(range(1, len(cut) + 1)) AS i, unnest(cut) AS c FROM cuts),
+      valued AS (SELECT doc_id, i, c.t AS t, c.n AS n, lower(replace(replace(c.t, ' ', ''), ',', '')) AS v FROM pieces),
+      firsts AS (SELECT doc_id, v, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) - 1 AS k FROM valued WHERE n = 1 GROUP BY doc_id, v)
+      SELECT doc_id, string_agg(CASE WHEN n = 0 THEN t ELSE concat('number_', CASE WHEN k >= 702 THEN chr(97 + ((k - 702) // 676)::INTEGER) ELSE '' END,
+        CASE WHEN k >= 26 THEN chr(97 + (((k - 26) // 26) % 26)::INTEGER) ELSE '' END, chr(97 + (k % 26)::INTEGER)) END, '' ORDER BY i) AS masked
+      FROM valued LEFT JOIN firsts USING (doc_id, v) GROUP BY doc_id"""
+
+
 def _request(extra: str) -> str:
     return (f"to_json(struct_pack(model := m, messages := [struct_pack(role := 'system', content := 'Guess.'), "
             f"struct_pack(role := 'user', content := body)], top_p := 1, frequency_penalty := 0, "
@@ -397,6 +440,10 @@ SQL = {
       CASE WHEN lang = 'fr' THEN 'no French' END AS message FROM documents""",
     "error_table": ERRORS,
     "rule_mask": _with(ARTICLES, body=_rule_mask(SPELLINGS)),
+    "rule_mask_lettered": _with(("articles", fx.ARTICLES), ("spelled", f"SELECT doc_id, {WRITTEN} AS body FROM articles"),
+                                ("masked", _lettered("body", "spelled")), body="SELECT doc_id, masked FROM masked"),
+    "rule_mask_words": _with(ARTICLES, body=f"""SELECT doc_id, t AS masked FROM ({_mask_patterns(
+        'body', f"(SELECT doc_id, {WRITTEN} AS body FROM articles)", 'doc_id')})"""),
     "rule_mask_texts": f"""SELECT origin, doc_id, turn, t AS masked FROM ({_mask_patterns('text', """(
       SELECT 'documents' AS origin, doc_id, 0::BIGINT AS turn, text FROM documents UNION ALL
       SELECT 'conversations', conv_id, turn, text FROM conversations)""", 'origin, doc_id, turn')})""",
@@ -404,6 +451,7 @@ SQL = {
       'masking_step_0' AS neutered_at_step, 0 AS iort_guess_correct_neutered FROM ({_rule_mask('body')})"""),
     "entity_mask": ENTITY_MASK,
     "entity_mask_joined": ENTITY_MASK,
+    "entity_mask_large": ENTITY_MASK,
     "robustness_by_model": _with(ARTICLES, ("robust", ROBUST), body="""SELECT model, count(*) AS texts,
       round(100 * avg(cast(right_ AS INTEGER)), 3) AS identification_rate FROM robust GROUP BY model"""),
     "robustness_wide": _with(ARTICLES, ("robust", ROBUST), ("guessed_", f"""

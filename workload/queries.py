@@ -340,6 +340,17 @@ SPELLINGS = """concat(body, ' SYMBOL:', ticker, ' SYMBOL: ', ticker, ' SYMBOL ',
   ' at example.com at 2024-01-05T10:00:00Z or 2024-01-05T10:00:00.5+01:00 and 1,,2..3 m m m m.')"""
 
 
+# Values in digits and words, some of them twice, and what must not be taken for a value.
+_WORDS = ("two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty "
+          "thirty forty fifty sixty seventy eighty ninety").split()
+_WORD = "CASE doc_id % 26 " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(_WORDS)) + " END"
+WRITTEN = f"""concat(substr(body, 1, 400), ' It sold ', {_WORD}, ' million units, or ', {_WORD}, ' Percent, in the ', {_WORD}, '-', 'first year; ',
+  cast(doc_id % 9 + 1 AS {{STR}}), ',000 shares, then ', cast(doc_id % 9 + 1 AS {{STR}}), '000 Shares and ', cast(doc_id AS {{STR}}), 'x, 3.5x, 4x4 or $2000 in 2000. ',
+  'One third of a hundred and one, no one of the first, one year, two and three, hundreds of them, a second look at noon, sixteen sixty six. ',
+  'NYSE: AAPL and NASDAQ:BRK.B rose in May and Q3''23 to 05.01.2024 at ftp.apple.com, apple.co.uk or o''brien@sap.de; US$7, EUR ', cast(doc_id % 5 AS {{STR}}),
+  '.25 bn and 10-billion-dollars. ', substr(body, 401))"""
+
+
 def _spelled(spark, sf_dir):
     return _spread_articles(spark, sf_dir).withColumn("body", _sql(SPELLINGS))
 
@@ -349,6 +360,18 @@ def rule_mask(spark, sf_dir):
         F.col("body"), F.col("comnam"), F.col("ticker")).alias("masked"))
 
 
+def rule_mask_words(spark, sf_dir):
+    """Numbers in words, values whole, hosts and tickers behind their exchange."""
+    texts = _spread_articles(spark, sf_dir)
+    return texts.select("doc_id", mask_patterns(_sql(WRITTEN)).alias("masked"))
+
+
+def rule_mask_lettered(spark, sf_dir):
+    """Each text's numbers told apart by letters, in order of first mention."""
+    texts = _spread_articles(spark, sf_dir)
+    return texts.select("doc_id", mask_patterns(_sql(WRITTEN), lettered=True).alias("masked"))
+
+
 def rule_mask_texts(spark, sf_dir):
     """The pattern classes over all documents and conversations as they are."""
     from_tables = fx.tables(spark, sf_dir, "documents", "conversations")
@@ -370,12 +393,16 @@ def ladder_with_rules(spark, sf_dir):
     return ladder_results(ladder).select("doc_id", "neutered_text", "neutered_at_step", "iort_guess_correct_neutered")
 
 
-def _entity_mask(**limits):
+def _entity_mask(more=False, **limits):
     def query(spark, sf_dir):
         part = fx.tables(spark, sf_dir, "part")["part"]
         dictionary = part.select(F.col("p_name").alias("surface"), F.lit("company").alias("kind"),
                                  F.col("p_name").alias("entity")).unionByName(
             part.select(F.col("p_type").alias("surface"), F.lit("industry").alias("kind"), F.lit("").alias("entity")))
+        if more:  # a spelling for every order line, which no text holds
+            lines = fx.tables(spark, sf_dir, "lineitem")["lineitem"]
+            name = F.concat_ws(" ", F.lit("unheard"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+            dictionary = dictionary.unionByName(lines.select(name.alias("surface"), F.lit("company").alias("kind"), F.lit("").alias("entity")))
         texts = _spread_articles(spark, sf_dir).join(fx.rivals(spark, sf_dir), "doc_id").withColumn(
             "text", _sql("concat(body, ' Its rival ', rival, ' lost to ', upper(rival), ' Inc in ', lower(industry), '.')"))
         return mask_entities(texts, dictionary, "text", "comnam", "masked", **limits).select("doc_id", "masked")
@@ -572,9 +599,12 @@ QUERIES = {
     "token_sort": sorted_tokens,
     "rule_mask": rule_mask,
     "rule_mask_texts": rule_mask_texts,
+    "rule_mask_words": rule_mask_words,
+    "rule_mask_lettered": rule_mask_lettered,
     "ladder_with_rules": ladder_with_rules,
     "entity_mask": _entity_mask(),
     "entity_mask_joined": _entity_mask(max_surfaces=0),
+    "entity_mask_large": _entity_mask(more=True, max_surfaces=5_000),
     "robustness_by_model": robustness_by_model,
     "robustness_wide": robustness_wide,
     "token_budget": token_budget,
