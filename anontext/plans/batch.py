@@ -27,11 +27,11 @@ def run_batch(spark: SparkSession, source: str, config: RunConfig, rewriter=None
     """``source`` is parquet, or CSV when ``csv_into`` names where to load it first.
 
     ``sample`` takes that many articles, the same ones for the same seed; without it all are run.
-    The work is split by Spark, and each run is its own folder, so nothing is found by file name.
+    While texts wait for recorded answers the rate is null. The work is split by Spark, and each run is its own folder, so nothing is found by file name.
     """
     articles = (ingest_csv(spark, source, csv_into, key) if csv_into
                 else read_articles(spark, source))
     chosen = articles if sample is None else stable_sample(articles, sample, seed=seed)
     output = run(chosen, config, rewriter, guesser, scorer)
-    return BatchReport(profile(articles), output, step_summary(output.results),
-                       identification_rate(output.results))
+    return BatchReport(profile(articles), output, step_summary(output.results, output.waiting),
+                       identification_rate(output.results, waiting=output.waiting))

@@ -1,29 +1,31 @@
 """The ladder: rewrite, guess, audit; texts still identified go on to the next step.
 
-Every step is one map-only job. It reads the still-identified half of the step before it, adds
-one attempt per text and writes both halves apart, so no row is read twice, no step shuffles and
-the plan never grows. Since a responder may answer differently each time, its answers count only
-once they are written. A recorded answer that is missing may still arrive: the ladder stops before a
-step whose answers are not all there, and names that step as pending.
+Articles are laid out by document once. Every step is one map-only job over the texts that the step before left
+identified: it adds one attempt per text and appends it, so no text is shuffled and the plan never grows. All columns of the
+input but the body ride along for prompts and responders; the body is joined back, bucket by bucket, at the end. Since
+a responder may answer differently each time, its answers count only once they are written.
+
+A recorded answer that is missing may still arrive. A text that lacks one waits at its step, and all others go
+on. Resuming the run takes a turn: waiting texts are asked about again, with what was already answered
+for them, and those that find their answers go on from there.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from anontext.functions.extract import guess_fields, normalise_answer
 from anontext.functions.identify import identification_flags, parse_iso_date
 from anontext.functions.names import name_similarity
 from anontext.operators.responders import MISSING, OK, Step, is_recorded
 from anontext.operators.templates import compile_prompt
-from anontext.schema import ARTICLES, STEP_FILE, STEP_TABLE, RunConfig
-from anontext.session import scratch_path, settings
+from anontext.plans.tables import IDENTIFIED, PASSED, WAITING, Commit, RunTables, fingerprint
+from anontext.schema import ARTICLES, STEP_TABLE, RunConfig, require_unique
+from anontext.session import scratch_path
 
 # Names of steps in the results, and the marks of texts that never pass and of
 # runs that rewrite nothing.
@@ -51,47 +53,67 @@ class StepCount:
     step: Step
     rows: int
     identified: int
+    waiting: int = 0
 
 
 @dataclass(frozen=True)
 class LadderRun:
-    """Where a run's step tables lie and what each step counted."""
+    """A run's tables and what each step counted."""
     spark: SparkSession
     config: RunConfig
-    root: str
-    counts: list[StepCount]
-    pending: Step | None = None
-    missing: int = 0
+    tables: RunTables
+    commits: list[Commit]
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        if not paths:
-            return self.spark.createDataFrame([], STEP_TABLE)
-        return self.spark.read.schema(STEP_TABLE).option("basePath", self.root).parquet(*paths)
+    @property
+    def _last_turn(self) -> int:
+        return max((c.turn for c in self.commits), default=0)
 
     @property
-    def attempts(self) -> DataFrame:
-        """One row per text and step it went through."""
-        run_id = F.lit(self.config.run_id).alias("run_id")
-        carried = [c for c in ARTICLES.names if c != "doc_id"]
-        rows = self._read([_step_path(self.root, c.step.step_no) for c in self.counts if c.rows])
-        return rows.drop(*carried).select(run_id, "*")
+    def counts(self) -> list[StepCount]:
+        """Per step, over all turns: texts that were decided, how many stayed identified, how many wait now."""
+        out = []
+        for step in plan_steps(self.config):
+            own = [c for c in self.commits if c.step_no == step.step_no]
+            if own:
+                out.append(StepCount(step, sum(c.rows - c.waiting for c in own), sum(c.identified for c in own),
+                                     sum(c.waiting for c in own if c.turn == self._last_turn)))
+        return out
 
     @property
-    def finished(self) -> DataFrame:
-        """The last attempt of every text: passed at some step, or left over after the last.
+    def pending(self) -> Step | None:
+        """The first step at which texts wait for an answer."""
+        return next((c.step for c in self.counts if c.waiting), None)
+
+    @property
+    def missing(self) -> int:
+        """How many texts wait."""
+        return sum(c.waiting for c in self.counts)
 
-        While a step is pending, only the texts that have passed.
-        """
-        done = [f"{_step_path(self.root, c.step.step_no)}/identified=0"
-                for c in self.counts if c.rows > c.identified]
-        last = self.counts[-1] if self.counts else None
-        if last is not None and last.identified and self.pending is None:
-            done.append(f"{_step_path(self.root, last.step.step_no)}/identified=1")
-        return self._read(done)
+    def _attempts(self, commits: list[Commit], *states: int) -> DataFrame:
+        rows = self.tables.attempts(commits, *states)
+        return self.spark.createDataFrame([], STEP_TABLE) if rows is None else rows
 
+    @property
+    def attempts(self) -> DataFrame:
+        """One row per text and step it went through."""
+        rows = self._attempts(self.commits, PASSED, IDENTIFIED)
+        carried = self.tables.articles.drop("doc_id").columns
+        return rows.drop("asked_text", *carried).select(F.lit(self.config.run_id).alias("run_id"), "*")
 
-def _step_path(root: str, step_no: int) -> str:
-    return f"{root}/step_no={step_no}"
+    @property
+    def waiting(self) -> DataFrame:
+        """Texts that wait for an answer, with the step at which they do."""
+        return self._attempts([c for c in self.commits if c.turn == self._last_turn], WAITING)
+
+    @property
+    def finished(self) -> DataFrame:
+        """The last attempt of every text that has passed, or is left over after the last step; with its article."""
+        steps = plan_steps(self.config)
+        rows = self._attempts(self.commits, PASSED, IDENTIFIED)
+        done = rows.where((F.col("identified") == PASSED) | (F.col("step_no") == len(steps) - 1))
+        article = self.tables.articles
+        carried = [c for c in article.columns if c != "doc_id"]
+        return article.join(done.drop("asked_text", *carried), "doc_id")
 
 
 @dataclass(frozen=True)
@@ -129,120 +151,102 @@ class AuditColumns:
             ])
 
 
-def attempt_step(texts: DataFrame, step: Step, config: RunConfig, rewriter, guesser,
-                 audit: AuditColumns) -> DataFrame:
-    """One pass over texts with columns of ``ARTICLES`` plus ``current_text``."""
-    prompt = compile_prompt(step.template, texts.columns)
+def attempt_step(texts: DataFrame, step: Step, config: RunConfig, rewriter, guesser, audit: AuditColumns,
+                 rewritten: bool = False) -> DataFrame:
+    """One pass over texts: article columns plus ``current_text``, and ``__rewrite`` where it is there already."""
+    carried = [c for c in texts.columns if c not in ("body", "current_text", "__rewrite")]
+    asked = texts
+    if not rewritten:
+        asked = rewriter.score(texts, compile_prompt(step.template, texts.columns), F.col("current_text"), "__rewrite", step)
     open_rewrite = F.lit(is_recorded(rewriter)) & (F.col("__rewrite.status") == MISSING)
     open_guess = (F.lit(is_recorded(guesser)) & (F.col("__guess.status") == MISSING)
                   & F.col("__rewrite.text").isNotNull())
-    asked = rewriter.score(texts, prompt, F.col("current_text"), "__rewrite", step)
-    guess_prompt = compile_prompt(config.guess_prompt, texts.columns)
-    asked = guesser.score(asked, guess_prompt, F.col("__rewrite.text"), "__guess", step)
+    asked = guesser.score(asked, compile_prompt(config.guess_prompt, texts.columns), F.col("__rewrite.text"), "__guess", step)
+    waits = open_rewrite | open_guess
+    *attempt, identified = audit.attempt
     return (asked.withColumn("__fields", audit.fields)
             .select("*", audit.similarity.alias("name_similarity"), audit.date.alias("date_guess"))
-            .select(*ARTICLES.names, F.lit(step.round).alias("round"), F.lit(step.kind).alias("kind"),
-                    *audit.attempt, (open_rewrite | open_guess).alias("__open")))
+            .select(*(F.col(f"`{c}`") for c in carried), F.lit(step.step_no).alias("step_no"), F.lit(step.round).alias("round"),
+                    F.lit(step.kind).alias("kind"), *attempt, F.when(waits, F.col("current_text")).alias("asked_text"),
+                    F.when(waits, F.lit(WAITING)).otherwise(identified).alias("identified")))
 
 
 def run_ladder(articles: DataFrame, config: RunConfig, rewriter, guesser) -> LadderRun:
     """Run the steps until none is left or no text is still identified.
 
-    ``rewriter`` is one responder, or a dict with one for ``mask`` and one for ``para``. Step
-    tables go to the output path, or to the shared scratch folder when they need not be kept.
+    ``rewriter`` is one responder, or a dict with one for ``mask`` and one for ``para``. Tables go below the output
+    path, or to the shared scratch folder when they need not be kept. A null or repeated key stops the run.
     """
     spark = articles.sparkSession
     keep = bool(config.output_path) and config.keep_attempts
     root = (f"{config.output_path.rstrip('/')}/steps/run_id={config.run_id}" if keep
-            else scratch_path(spark, config.run_id))
-    steps = plan_steps(config)
-    audit = AuditColumns.of(config)
-    counts: list[StepCount] = []
-    token = uuid.uuid4().hex
-    if keep:
-        digest = _digest(articles, config)
-        if config.resume:
-            token, counts = _counts_so_far(spark, root, steps, token, digest)
-        if not counts:
-            # Notes of an earlier run carry another token and are not trusted.
-            _note(spark, f"{_notes_path(root)}/start", token=token, digest=digest)
-    pending, missing = None, 0
-    # Both folders stay open in a task, which spares the sort that writing by folder else needs.
-    with settings(spark, spark__sql__maxConcurrentOutputFileWriters="4"):
-        for step in steps[len(counts):]:
-            if not counts:
-                texts = articles.select(*ARTICLES.names).withColumn("current_text", F.col("body"))
-                texts = texts.repartition(config.partitions) if config.partitions else texts
-            elif counts[-1].identified == 0:
-                break
-            else:
-                path = f"{_step_path(root, counts[-1].step.step_no)}/identified=1"
-                before = spark.read.schema(STEP_FILE).parquet(path)
-                texts = before.select(*ARTICLES.names, F.col("text").alias("current_text"))
-            chosen = rewriter[step.kind] if isinstance(rewriter, dict) else rewriter
-            attempt = attempt_step(texts, step, config, chosen, guesser, audit)
-            count, missing = _write_step(attempt, root, step)
-            if missing:
-                pending = step
-                break
-            if counts and count.rows != counts[-1].identified:
-                raise RuntimeError(f"step {step.step_no} gave {count.rows} rows for {counts[-1].identified} texts")
-            counts.append(count)
-            if keep:
-                _note(spark, f"{_notes_path(root)}/note={step.step_no}", token=token, rows=count.rows, still=count.identified)
-    return LadderRun(spark, config, root, counts, pending, missing)
-
-
-def _write_step(attempt: DataFrame, root: str, step: Step) -> tuple[StepCount, int]:
-    """Write one step; its counts, and how many texts still wait for an answer."""
-    seen = Observation()
-    counted = attempt.observe(seen, F.count(F.lit(1)).alias("rows"),
-                              F.coalesce(F.sum("identified"), F.lit(0)).alias("identified"),
-                              F.count_if("__open").alias("missing")).drop("__open")
-    counted.write.mode("overwrite").partitionBy("identified").parquet(_step_path(root, step.step_no))
-    return StepCount(step, int(seen.get["rows"]), int(seen.get["identified"])), int(seen.get["missing"])
-
-
-def _digest(articles: DataFrame, config: RunConfig) -> str:
+            else scratch_path(spark, f"run-{config.run_id}"))
+    tables = RunTables(spark, root, keep)
+
+    def digest_now() -> str:
+        told = articles.agg(F.count(F.lit(1)), fingerprint(articles)).first()
+        return _digest(config, told[0], told[1])
+
+    if not (keep and config.resume and tables.take_up(digest_now)):
+        if keep:
+            tables.skip_entries()  # those of an earlier run carry another token and are not trusted
+        buckets = config.partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        tables.begin(articles, buckets, lambda n, s: _digest(config, n, s))
+    require_unique(tables.articles)
+    steps, audit = plan_steps(config), AuditColumns.of(config)
+    # A turn that was broken off is finished; after a finished one, waiting texts get another.
+    turn = max((c.turn for c in tables.commits), default=0)
+    if not _take_turn(tables, turn, steps, config, rewriter, guesser, audit) and any(
+            c.waiting for c in tables.commits if c.turn == turn):
+        _take_turn(tables, turn + 1, steps, config, rewriter, guesser, audit)
+    return LadderRun(spark, config, tables, list(tables.commits))
+
+
+def _take_turn(tables: RunTables, turn: int, steps: list[Step], config: RunConfig, rewriter, guesser,
+               audit: AuditColumns) -> bool:
+    """All steps of one turn that are not done yet; whether there was any."""
+    done = {c.step_no: c for c in tables.commits if c.turn == turn}
+    waited = {c.step_no: c for c in tables.commits if c.turn == turn - 1 and c.waiting}
+    worked = False
+    for step in steps:
+        if step.step_no in done:
+            continue
+        before = done.get(step.step_no - 1)
+        parts = []  # (texts, whether they are rewritten)
+        if turn == 0 and step.step_no == 0:
+            parts.append((tables.articles.withColumn("current_text", F.col("body")), False))
+        elif before is not None and before.identified:
+            texts = tables.attempts([before], IDENTIFIED)
+            parts.append((_as_texts(texts, F.col("text")), False))
+        if step.step_no in waited:
+            texts = tables.attempts([waited[step.step_no]], WAITING)
+            parts += [(_as_texts(texts.where(F.col("text_status") == MISSING), F.col("asked_text")), False),
+                      (_as_texts(texts.where(F.col("text_status") != MISSING), F.col("asked_text"), F.struct(
+                          F.col("text"), F.col("text_status").alias("status"), F.col("text_message").alias("message"))), True)]
+        if not parts:
+            continue
+        chosen = rewriter[step.kind] if isinstance(rewriter, dict) else rewriter
+        attempt = None
+        for texts, rewritten in parts:
+            made = attempt_step(texts, step, config, chosen, guesser, audit, rewritten)
+            attempt = made if attempt is None else attempt.unionByName(made)
+        expected = (before.identified if before else 0) + (waited[step.step_no].waiting if step.step_no in waited else 0)
+        done[step.step_no] = tables.commit(attempt, turn, step.step_no, expected if turn or step.step_no else None)
+        worked = True
+    return worked
+
+
+def _as_texts(attempts: DataFrame, text: Column, rewrite: Column | None = None) -> DataFrame:
+    """Article columns of attempts, and the text to go on with."""
+    added = {"current_text": text} | ({} if rewrite is None else {"__rewrite": rewrite})
+    own = {"doc_id", *(f.name for f in STEP_TABLE if f.name not in ARTICLES.names)} - {"doc_id"}
+    return attempts.select(*(F.col(f"`{c}`") for c in attempts.columns if c not in own), *(c.alias(n) for n, c in added.items()))
+
+
+def _digest(config: RunConfig, rows: int, total) -> str:
     """Of what decides a run's steps: its configuration, without where and how it is kept, and its articles."""
     told = {k: repr(v) for k, v in vars(config).items() if k not in ("output_path", "resume", "keep_attempts", "partitions")}
-    texts = articles.agg(F.count(F.lit(1)).alias("n"),
-                         F.sum(F.xxhash64(*ARTICLES.names).cast("decimal(38,0)")).alias("s")).first()
-    return hashlib.sha256(repr((sorted(told.items()), texts["n"], str(texts["s"]))).encode()).hexdigest()
-
-
-def _note(spark: SparkSession, path: str, **values) -> None:
-    """A one-row note, written after the data it speaks of; a resumed run trusts only these."""
-    row = spark.range(1).select(*(F.lit(v).alias(k) for k, v in values.items()))
-    row.coalesce(1).write.mode("overwrite").parquet(path)
-
-
-def _notes_path(root: str) -> str:
-    return root.replace("/steps/run_id=", "/step_counts/run_id=")
-
-
-def _read_note(spark: SparkSession, path: str):
-    try:
-        return spark.read.parquet(path).first()
-    except AnalysisException:  # no note: not begun, or not finished
-        return None
-
-
-def _counts_so_far(spark: SparkSession, root: str, steps: list[Step], token: str,
-                   digest: str) -> tuple[str, list[StepCount]]:
-    """The token of the run to resume and its finished steps; a new token when there is none."""
-    start = _read_note(spark, f"{_notes_path(root)}/start")
-    if start is None:
-        return token, []
-    if start["digest"] != digest:
-        raise ValueError("the run to resume had another configuration or other articles")
-    counts: list[StepCount] = []
-    for step in steps:
-        note = _read_note(spark, f"{_notes_path(root)}/note={step.step_no}")
-        if note is None or note["token"] != start["token"]:
-            break
-        counts.append(StepCount(step, int(note["rows"]), int(note["still"])))
-    return start["token"], counts
+    return hashlib.sha256(repr((sorted(told.items()), rows, str(total))).encode()).hexdigest()
 
 
 def step_name() -> Column:
@@ -257,8 +261,9 @@ def ladder_results(run: LadderRun) -> DataFrame:
             "name_guess_correct": "name_guess_correct_neutered",
             "date_guess_correct": "date_guess_correct_neutered",
             "identified": "iort_guess_correct_neutered"}
+    article = run.tables.articles.columns
     return run.finished.select(
-        F.lit(run.config.run_id).alias("run_id"), *ARTICLES.names,
+        F.lit(run.config.run_id).alias("run_id"), *(F.col(f"`{c}`") for c in article),
         F.col("text").alias("neutered_text"),
         F.when(never, NEVER_ROUND).otherwise(F.col("round")).alias("neutered_at_round"),
         F.when(never, NEVER).otherwise(step_name()).alias("neutered_at_step"),
@@ -274,7 +279,7 @@ def ladder_results(run: LadderRun) -> DataFrame:
 def untouched_results(articles: DataFrame, config: RunConfig) -> DataFrame:
     """Results of a run that rewrites nothing: no guesses, so no audit columns."""
     return articles.select(
-        F.lit(config.run_id).alias("run_id"), *ARTICLES.names,
+        F.lit(config.run_id).alias("run_id"), *(F.col(f"`{c}`") for c in articles.columns),
         F.col("body").alias("neutered_text"),
         F.lit(UNTOUCHED_ROUND).alias("neutered_at_round"),
         F.lit(UNTOUCHED).alias("neutered_at_step"),

@@ -27,15 +27,18 @@ def percent(flag: Column) -> Column:
     return F.round(100 * F.avg(flag), 3)
 
 
-def identification_rate(results: DataFrame, flag: str = "iort_guess_correct_neutered") -> DataFrame:
-    """The share of texts still identified; null for runs that were never audited."""
-    column = F.col(flag) if flag in results.columns else F.lit(None).cast("int")
+def identification_rate(results: DataFrame, flag: str = "iort_guess_correct_neutered", waiting: int = 0) -> DataFrame:
+    """The share of texts still identified; null for runs that were never audited, and while texts wait for answers."""
+    column = F.col(flag) if flag in results.columns and not waiting else F.lit(None).cast("int")
     return results.agg(percent(column).alias("identification_rate"))
 
 
-def step_summary(results: DataFrame) -> DataFrame:
-    """Number of texts by the step they passed at, most first."""
-    return (results.groupBy("neutered_at_step").agg(F.count(F.lit(1)).alias("texts"))
+def step_summary(results: DataFrame, waiting: int = 0) -> DataFrame:
+    """Number of texts by the step they passed at, most first; texts that wait for answers are counted as such."""
+    counts = results.groupBy("neutered_at_step").agg(F.count(F.lit(1)).alias("texts"))
+    if waiting:
+        counts = counts.unionByName(results.sparkSession.createDataFrame([("waiting", waiting)], counts.schema))
+    return (counts
             .orderBy(F.desc("texts"), "neutered_at_step"))
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anontext.operators.responders import OK, SKIPPED
+from anontext.operators.responders import MISSING, OK, SKIPPED
 from anontext.plans.ladder import LadderRun, ladder_results, run_ladder, untouched_results
 from anontext.plans.sentiment import NEUTERED, RAW, add_sentiment
 from anontext.schema import RunConfig
@@ -15,16 +15,21 @@ from anontext.session import scratch_path
 from anontext.sources.results import write_stage
 
 NEUTERED_RESPONSE = "sentiment_neut_response"
+WAITS = "waiting"
 ERRORS = "run_id string, doc_id long, step_no int, stage string, status string, message string"
 
 
 @dataclass(frozen=True)
 class RunOutput:
-    """Stored results, the attempts behind them (None when nothing was rewritten) and errors."""
+    """Stored results, the attempts behind them (None when nothing was rewritten or kept) and errors.
+
+    ``waiting`` texts lack a recorded answer; while there are any, results are partial.
+    """
     results: DataFrame
     attempts: DataFrame | None
     errors: DataFrame
     ladder: LadderRun | None
+    waiting: int = 0
 
 
 def run(articles: DataFrame, config: RunConfig, rewriter=None, guesser=None,
@@ -41,10 +46,19 @@ def run(articles: DataFrame, config: RunConfig, rewriter=None, guesser=None,
         results = ladder_results(ladder)
     else:
         results = untouched_results(articles, config)
-    results = _with_sentiment(results, config, scorer, root)
-    results = write_stage(results, root, config.run_id, "final")
+    if ladder is not None and ladder.missing:
+        # Nothing is final while texts wait: neither a rate nor a sentiment would hold.
+        results = write_stage(results, root, config.run_id, "partial")
+    else:
+        results = _with_sentiment(results, config, scorer, root)
+        results = write_stage(results, root, config.run_id, "final")
     attempts = ladder.attempts if ladder else None
-    return RunOutput(results, attempts, error_table(config.run_id, attempts, results, config), ladder)
+    errors = error_table(config.run_id, attempts, results, config, ladder.waiting if ladder and ladder.missing else None)
+    if ladder is not None and not config.keep_attempts:
+        errors = write_stage(errors, root, config.run_id, "errors")
+        ladder.tables.discard()
+        attempts = None
+    return RunOutput(results, attempts, errors, ladder, ladder.missing if ladder else 0)
 
 
 def _with_sentiment(results: DataFrame, config: RunConfig, scorer, root: str) -> DataFrame:
@@ -64,10 +78,11 @@ def _with_sentiment(results: DataFrame, config: RunConfig, scorer, root: str) ->
 
 
 def error_table(run_id: str, attempts: DataFrame | None, results: DataFrame,
-                config: RunConfig) -> DataFrame:
+                config: RunConfig, waiting: DataFrame | None = None) -> DataFrame:
     """One row per answer that did not come back well: run, text, step, stage, status, message.
 
-    Attempts are scanned once; each row carries its two answers and only the bad ones survive.
+    Attempts are scanned once; each row carries its two answers and only the bad ones survive. A text that waits is listed
+    with the answer it waits for.
     """
     def bad(df: DataFrame, step, answers: dict[str, tuple[str, str]]) -> DataFrame:
         listed = F.array(*(F.struct(F.lit(stage).alias("stage"), F.col(status).alias("status"),
@@ -86,6 +101,10 @@ def error_table(run_id: str, attempts: DataFrame | None, results: DataFrame,
               if f"{c}_status" in results.columns}
     if scored:
         parts.append(bad(results, F.lit(None), scored))
+    if waiting is not None:
+        stage = F.when(F.col("text_status") == MISSING, F.lit("rewrite")).otherwise(F.lit("guess"))
+        parts.append(waiting.select(F.lit(run_id).alias("run_id"), "doc_id", "step_no", stage.alias("stage"),
+                                    F.lit(WAITS).alias("status"), F.lit(None).cast("string").alias("message")))
     if not parts:
         return results.sparkSession.createDataFrame([], ERRORS)
     table = parts[0]

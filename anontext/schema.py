@@ -42,12 +42,10 @@ ATTEMPT = T.StructType([
     T.StructField("date_guess_correct", T.IntegerType()),
 ])
 
-# The file of one step: the article rides along so that no step ever has to join it back.
-STEP_FILE = T.StructType(ARTICLES.fields + ATTEMPT.fields)
-STEP_TABLE = T.StructType(STEP_FILE.fields + [
-    T.StructField("step_no", T.IntegerType()),
-    T.StructField("identified", T.IntegerType()),
-])
+# One step's table: keys and prompt columns of the article, not its body. ``asked_text`` is kept of texts that wait,
+# and ``identified`` is 0 for passed, 1 for still identified, 2 for waiting.
+STEP_TABLE = T.StructType([f for f in ARTICLES.fields if f.name != "body"] + [T.StructField("step_no", T.IntegerType())]
+                          + ATTEMPT.fields + [T.StructField("asked_text", T.StringType()), T.StructField("identified", T.IntegerType())])
 
 # Formats tried in turn when dates arrive as mixed text. Those with an offset are turned to
 # UTC; all others are taken as they stand.

@@ -26,7 +26,7 @@ EXPORT_NAMES = {
     "magnitude": "Magnitude",
 }
 
-STAGES = ("neutered", "sent_neut", "final")
+STAGES = ("neutered", "sent_neut", "partial", "final", "errors")
 
 
 def stage_path(root: str, run_id: str, stage: str) -> str:

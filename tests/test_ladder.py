@@ -108,16 +108,136 @@ def test_content_replay_runs_no_job_of_its_own(articles, spark, folder):
     assert os.listdir(folder) == []
 
 
-def test_a_missing_answer_is_waited_for(articles, folder):
+def test_a_missing_answer_holds_only_its_own_text(articles, folder):
     config = RunConfig(run_id="w", output_path=folder, resume=True, max_rounds=0)
-    half = _recorded(articles, [0], wrong=(3,)).filter("doc_id <> 5")
+    half = _recorded(articles, [0], wrong=(3, 4)).filter("doc_id <> 5")
     waiting = run_ladder(articles, config, REWRITER, ReplayResponder(half))
-    assert waiting.pending.step_no == 0 and waiting.missing == 1 and ladder_results(waiting).count() == 0
-    waiting = run_ladder(articles, config, REWRITER, ReplayResponder(_recorded(articles, [0], wrong=(3,))))
-    assert waiting.pending.step_no == 1 and [c.rows for c in waiting.counts] == [N]
-    assert [r.doc_id for r in ladder_results(waiting).collect()] == [3]  # none counts as passed, or as never passing
+    # 3 and 4 have passed, 5 waits at step 0, the others went on and wait at step 1
+    assert waiting.pending.step_no == 0 and waiting.missing == N - 2
+    assert [(c.rows, c.identified, c.waiting) for c in waiting.counts] == [(N - 1, N - 3, 1), (0, 0, N - 3)]
+    assert sorted(r.doc_id for r in ladder_results(waiting).collect()) == [3, 4]  # none else counts as passed, or as never passing
+    assert {(r.doc_id, r.step_no) for r in waiting.waiting.collect()} == {(5, 0)} | {(i, 1) for i in range(N) if i not in (3, 4, 5)}
+    later = run_ladder(articles, config, REWRITER, ReplayResponder(_recorded(articles, [1], wrong=(7,)).filter("doc_id <> 8")))
+    assert {(r.doc_id, r.step_no) for r in later.waiting.collect()} == {(5, 0), (8, 1)}
+    assert {r.doc_id: r.neutered_at_step for r in ladder_results(later).collect()}[7] == "paraphrasing_step_0"
     done = run_ladder(articles, config, REWRITER, ReplayResponder(_recorded(articles, [0, 1], wrong=(3,))))
-    assert done.pending is None and ladder_results(done).count() == N
+    assert done.pending is None and done.missing == 0 and ladder_results(done).count() == N
+    assert done.attempts.groupBy("doc_id", "step_no").count().filter("count > 1").count() == 0
+    assert {r.doc_id: r.neutered_at_step for r in ladder_results(done).collect()}[5] == "never_neutered"
+
+
+def test_a_text_that_waits_for_its_guess_is_not_rewritten_again(articles, spark, folder):
+    import os
+    calls, out = f"{folder}/calls", f"{folder}/out"
+    os.mkdir(calls)
+    config = RunConfig(run_id="g", output_path=out, resume=True, max_rounds=0, paraphrase=False)
+    none = _recorded(articles, [0]).filter("doc_id < 0")
+    first = run_ladder(articles, config, _counting(spark, calls), ReplayResponder(none))
+    assert first.missing == N and len(os.listdir(calls)) == N
+    done = run_ladder(articles, config, _counting(spark, calls), ReplayResponder(_recorded(articles, [0], wrong=(2,))))
+    rows = {r.doc_id: r for r in ladder_results(done).collect()}
+    assert len(rows) == N and len(os.listdir(calls)) == N and rows[2].neutered_text == "True text 2"
+
+
+def test_waiting_for_rewrites(articles, folder):
+    rewrites = articles.select("doc_id", F.lit(0).alias("step_no"), F.concat(F.lit("new "), "body").alias("response"), F.lit(None).cast("string").alias("error"))
+    config = RunConfig(run_id="rw", output_path=folder, resume=True, max_rounds=0, paraphrase=False)
+    first = run_ladder(articles, config, ReplayResponder(rewrites.filter("doc_id % 2 = 0")), GUESSER)
+    assert first.missing == N // 2 and {r.text_status for r in first.waiting.collect()} == {"missing"}
+    done = run_ladder(articles, config, ReplayResponder(rewrites), GUESSER)
+    assert {r.doc_id: r.neutered_text for r in ladder_results(done).collect()} == {i: f"new text {i}" for i in range(N)}
+
+
+def test_a_paused_run_claims_nothing(articles, folder):
+    out = run(articles, RunConfig(run_id="p", output_path=folder, max_rounds=0), REWRITER,
+              ReplayResponder(_recorded(articles, [0], wrong=(3,))), SCORER)
+    import os
+    assert out.waiting == N - 1 and not os.path.exists(f"{folder}/final") and os.path.exists(f"{folder}/partial")
+    assert [r.doc_id for r in out.results.collect()] == [3] and "direction" not in out.results.columns
+    assert metrics.identification_rate(out.results, waiting=out.waiting).first()[0] is None
+    assert [tuple(r) for r in metrics.step_summary(out.results, waiting=out.waiting).collect()] == [("waiting", N - 1), ("masking_step_0", 1)]
+    waits = out.errors.filter("status = 'waiting'").collect()
+    assert len(waits) == N - 1 and {(r.stage, r.step_no) for r in waits} == {("guess", 1)}
+
+
+def test_without_keeping_attempts_no_step_folder_is_left(articles, folder):
+    import os
+    silent = ExpressionResponder(lambda call: (F.lit(None).cast("string"), F.lit("timeout")))
+    out = run(articles, RunConfig(run_id="k", output_path=folder, keep_attempts=False, max_rounds=0), REWRITER, silent, SCORER)
+    assert not os.path.exists(out.ladder.tables.root) and not os.path.exists(f"{folder}/steps")
+    assert out.results.count() == N and out.attempts is None and out.errors.count() == N
+    assert sorted(os.listdir(folder)) == ["errors", "final", "neutered"]
+
+
+def test_a_broken_commit_is_never_read(articles, folder):
+    import os
+
+    def breaks_late(call):
+        if call.step.step_no == 1:
+            return F.when(F.col("doc_id") == N - 1, F.raise_error(F.lit("lost")).cast("string")).otherwise(call.user)
+        return REWRITER.build(call)
+
+    config = RunConfig(run_id="b", output_path=folder, resume=True, max_rounds=1)
+    with pytest.raises(Exception, match="lost"):
+        run_ladder(articles.repartition(6), config, ExpressionResponder(breaks_late, policy_for("ollama")), GUESSER)
+    # Pretend that the broken step had left files behind, and an entry that never got its row.
+    root = f"{folder}/steps/run_id=b"
+    table = next(d for d in os.listdir(root) if d.startswith("attempts_"))
+    good = next(d for d in os.listdir(f"{root}/{table}") if d.startswith("write="))
+    import shutil
+    shutil.copytree(f"{root}/{table}/{good}", f"{root}/{table}/write=turn0-step1-deadbeef")
+    os.makedirs(f"{root}/log/entry=99/_temporary")
+    done = run_ladder(articles, config, REWRITER, GUESSER)
+    _, fresh = _results(articles, max_rounds=1)
+    assert {r.doc_id: r.neutered_text for r in ladder_results(done).collect()} == {i: r.neutered_text for i, r in fresh.items()}
+
+
+def test_another_session_takes_up_the_tables(articles, spark, folder):
+    """Nothing of the first session's catalog is needed: the log says what lies where."""
+    config = RunConfig(run_id="s", output_path=folder, resume=True, max_rounds=0)
+    run_ladder(articles, config, REWRITER, ReplayResponder(_recorded(articles, [0], wrong=(3,))))
+    import os
+    # At another place the catalog knows nothing of the tables, as in a new session.
+    os.rename(folder, folder + "-moved")
+    again = run_ladder(articles, RunConfig(run_id="s", output_path=folder + "-moved", resume=True, max_rounds=0), REWRITER,
+                       ReplayResponder(_recorded(articles, [0, 1], wrong=(3,))))
+    assert again.pending is None and ladder_results(again).count() == N
+
+
+def test_recordings_meet_texts_without_an_exchange(articles, spark, folder):
+    from anontext.plans.ladder import AuditColumns, attempt_step
+    from anontext.plans.tables import RunTables
+    from anontext.sources.recordings import store_recordings
+    config = RunConfig()
+    tables = RunTables(spark, f"{folder}/run", False)
+    tables.begin(articles, 4, lambda n, s: "")
+    answers = store_recordings(_recorded(articles, [0, 1]), f"{folder}/answers", "guesses", 4)
+    texts = tables.articles.withColumn("current_text", F.col("body"))
+    from anontext.session import settings
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        plan = attempt_step(texts, plan_steps(config)[0], config, ReplayResponder(answers), ReplayResponder(answers), AuditColumns.of(config))
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+        ladder = run_ladder(articles, RunConfig(max_rounds=0, partitions=4), ReplayResponder(answers), ReplayResponder(answers))
+        results = ladder_results(ladder)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in results and results.count("body") >= 1
+    assert "body" not in ladder.attempts.columns and ladder_results(ladder).count() == N
+
+
+def test_other_columns_ride_along(articles, spark):
+    wide = articles.withColumn("desk", F.concat(F.lit("desk "), F.col("doc_id"))).withColumn("tags", F.array(F.col("doc_id"), F.lit(None)))
+    template = {"template": ["at ", {"column": "desk", "prefix": "<", "suffix": ">"}]}
+    echo = ExpressionResponder(lambda call: F.concat(call.system, F.lit(" "), F.col("desk")), policy_for("ollama"))
+    ladder = run_ladder(wide, RunConfig(max_rounds=1, mask_template=template), {"mask": echo, "para": REWRITER}, GUESSER)
+    rows = {r.doc_id: r for r in ladder_results(ladder).collect()}
+    assert rows[0].neutered_text == "at <desk 0> desk 0" and rows[5].desk == "desk 5" and rows[5].tags == [5, None]
+    assert "desk" not in ladder.attempts.columns
+    raw = run(wide, RunConfig(masking=False, paraphrase=False, perform_sentiment=False))
+    assert raw.results.filter("doc_id = 2").first().desk == "desk 2"
+
+
+def test_keys_are_checked(articles):
+    with pytest.raises(ValueError, match="unique"):
+        run_ladder(articles.unionByName(articles), RunConfig(max_rounds=0), REWRITER, GUESSER)
 
 
 def test_repeated_recordings_give_one_row(articles):
@@ -170,6 +290,7 @@ def test_no_step_shuffles(articles, spark):
     config = RunConfig()
     texts = articles.withColumn("current_text", F.col("body"))
     plan = attempt_step(texts, plan_steps(config)[0], config, REWRITER, GUESSER, AuditColumns.of(config))
+    assert "body" not in plan.columns
     shown = plan._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in shown and "Python" not in shown
 
