@@ -24,7 +24,7 @@ from anontext.functions.names import name_similarity
 from anontext.operators.responders import MISSING, OK, Step, is_recorded
 from anontext.operators.templates import compile_prompt
 from anontext.plans.tables import IDENTIFIED, PASSED, WAITING, Commit, RunTables, fingerprint
-from anontext.schema import ARTICLES, STEP_TABLE, RunConfig, require_unique
+from anontext.schema import ARTICLES, RESERVED, STEP_TABLE, RunConfig, require_unique
 from anontext.session import scratch_path
 
 # Names of steps in the results, and the marks of texts that never pass and of
@@ -178,6 +178,8 @@ def run_ladder(articles: DataFrame, config: RunConfig, rewriter, guesser) -> Lad
     path, or to the shared scratch folder when they need not be kept. A null or repeated key stops the run.
     """
     spark = articles.sparkSession
+    if clash := [c for c in articles.columns if c.lower() in RESERVED and c not in ARTICLES.names or c.startswith("__")]:
+        raise ValueError(f"columns {clash} have names that runs use; conform_articles renames them")
     keep = bool(config.output_path) and config.keep_attempts
     root = (f"{config.output_path.rstrip('/')}/steps/run_id={config.run_id}" if keep
             else scratch_path(spark, f"run-{config.run_id}"))

@@ -70,8 +70,33 @@ def parse_mixed_date(text: Column, formats: tuple[str, ...] = DATE_FORMATS) -> C
     return F.to_timestamp_ntz(F.lit("1970-01-01")) + F.make_dt_interval(secs=seconds)
 
 
+# Names that runs give to columns of their own.
+RESERVED = frozenset({f.name for f in STEP_TABLE} | {f.name for f in ARTICLES} | {
+    "current_text", "write", "run_id", "neutered_text", "neutered_at_round", "neutered_at_step", "ticker_guess_neutered",
+    "name_guess_neutered", "date_guess_neutered", "industry_guess_neutered", "name_similarity_neutered",
+    "name_guess_correct_neutered", "date_guess_correct_neutered", "iort_guess_correct_neutered", "direction", "magnitude",
+    "direction_neut", "magnitude_neut", "sentiment_neut_response", "sentiment_neut_response_status", "sentiment_neut_response_message"})
+
+
+def other_columns(columns: list[str], used: set[str]) -> dict[str, str]:
+    """The user's other columns and their names in a run: a name that runs use gets ``_input`` behind it."""
+    out: dict[str, str] = {}
+    taken = {c.lower() for c in columns} | RESERVED
+    for c in columns:
+        if c in used:
+            continue
+        name = c
+        if c.lower() in RESERVED or c.startswith("__"):
+            name = f"{c.lstrip('_')}_input"
+            while name.lower() in taken:
+                name += "_"
+            taken.add(name.lower())
+        out[c] = name
+    return out
+
+
 def conform_articles(df: DataFrame, key: str = "doc_id", strict_dates: bool = True) -> DataFrame:
-    """Check the input contract and bring a frame to the ``ARTICLES`` schema.
+    """Check the input contract: the ``ARTICLES`` columns first, then all others (see ``other_columns``).
 
     Columns may carry the source names or the names used here. ``key`` is the unique row key. A
     date that is text is parsed; one that fits no format stops the job, or becomes null when
@@ -95,8 +120,9 @@ def conform_articles(df: DataFrame, key: str = "doc_id", strict_dates: bool = Tr
         date = parsed
     text = {c: F.col(f"`{present[c]}`").cast("string").alias(c)
             for c in ("body", "comnam", "ticker", "industry")}
+    others = other_columns(df.columns, {key, *present.values()})
     return df.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), *text.values(),
-                     date.cast("timestamp_ntz").alias("pub_date"))
+                     date.cast("timestamp_ntz").alias("pub_date"), *(F.col(f"`{c}`").alias(n) for c, n in others.items()))
 
 
 def require_unique(df: DataFrame, key: str = "doc_id") -> DataFrame:

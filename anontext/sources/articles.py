@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anontext.schema import ARTICLES, SOURCE_COLUMNS, conform_articles, require_unique
+from anontext.schema import SOURCE_COLUMNS, conform_articles, require_unique
 
 # Cell texts that the usual CSV round trip turns into missing values.
 NULL_CELLS = (
@@ -14,6 +14,16 @@ NULL_CELLS = (
 )
 
 
+def _reader(spark: SparkSession):
+    return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+
+
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """The column names of a CSV path."""
+    return _reader(spark).csv(path).columns
+
+
 def read_csv(spark: SparkSession, path: str | list[str], null_cells: bool = True) -> DataFrame:
     """CSV with a header as text columns; quoted cells may hold line breaks.
 
@@ -22,8 +32,7 @@ def read_csv(spark: SparkSession, path: str | list[str], null_cells: bool = True
 
     An unnamed first column, left by writers that store their row numbers, is called ``row``.
     """
-    reader = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+    reader = _reader(spark)
     raw = reader.csv(path)
     if "_c0" not in raw.columns:  # a header with an unnamed column cannot be held against other files
         raw = reader.option("enforceSchema", False).csv(path)
@@ -45,13 +54,14 @@ def ingest_csv(spark: SparkSession, path: str | list[str], out: str, key: str |
     raw = read_csv(spark, path)
     if key is None:
         raw, key = raw.withColumn("doc_id", F.monotonically_increasing_id()), "doc_id"
+    raw = raw if key == "row" else raw.drop("row")
     conform_articles(raw, key, strict_dates).write.mode("overwrite").parquet(out)
     return read_articles(spark, out)
 
 
 def read_articles(spark: SparkSession, path: str, validate: bool = True) -> DataFrame:
-    """Articles in parquet, with the key checked."""
-    articles = spark.read.schema(ARTICLES).parquet(path)
+    """Articles in parquet with all their columns, the key checked."""
+    articles = conform_articles(spark.read.parquet(path))
     return require_unique(articles) if validate else articles
 
 

@@ -103,3 +103,80 @@ def test_sample_is_exact_and_stable(spark, n):
 def test_sample_larger_than_the_table(spark):
     with pytest.raises(ValueError):
         stable_sample(spark.range(3), 4, key="id")
+
+
+def test_text_cap_can_be_passed_on_or_left_out(spark):
+    asked = ExpressionResponder(lambda call: F.concat(F.lit("re "), call.user))
+    answers, big = score_batch(_batch(spark), asked, F.lit("s"), text_tokens=None)
+    assert {r.name: r.response for r in answers.collect()}["a"] == "re huge" and big.count() == 0
+    answers, big = score_batch(_batch(spark), asked, F.lit("s"), text_tokens=1)
+    assert {r.name for r in answers.collect()} == {"c"} and big.count() == 5
+
+
+@pytest.mark.parametrize("radix", [2, 16, 4096])
+def test_nth_integer(spark, monkeypatch, radix):
+    import random
+    from anontext.operators import sampling
+    monkeypatch.setattr(sampling, "RADIX", radix)
+    r = random.Random(radix)
+    values = [r.choice([-5, 0, 3, 2 ** 62, -2 ** 62, r.randint(-50, 50)]) for _ in range(120)]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    for n in (1, 2, 60, 119, 120):
+        want = sorted(values)[n - 1]
+        got = sampling.nth_integer(df, F.col("v"), n, min(values), max(values))
+        assert got == (want, sum(v < want for v in values), values.count(want))
+    assert sampling.nth_integer(df, F.col("v"), 121, min(values), max(values)) is None
+
+
+def test_half_of_all_rows_without_a_sort(spark, capsys):
+    df = spark.range(100_000).withColumnRenamed("id", "doc_id")
+    half = stable_sample(df, 50_000, seed=3)
+    half.explain()
+    assert "Sort" not in capsys.readouterr().out and half.count() == 50_000
+    assert [r.doc_id for r in first_rows(df, 3, "doc_id").collect()] == [0, 1, 2]
+    nulls = spark.createDataFrame([(1,), (None,), (2,)], "i int")
+    assert sorted(r.i for r in first_rows(nulls, 5, "i").collect()) == [1, 2]
+    assert first_rows(nulls.limit(0), 5, "i").count() == 0
+    names = spark.createDataFrame([("b",), ("a",), ("c",)], "n string")
+    assert sorted(r.n for r in first_rows(names, 2, "n").collect()) == ["a", "b"]
+
+
+def _most_in_a_span(rows, span):
+    """Largest sum of any span, both ends included, per client."""
+    most = {}
+    for client in {r.client for r in rows}:
+        own = sorted((r.release, r.tokens) for r in rows if r.client == client and r.release is not None)
+        for i, (t, _) in enumerate(own):
+            most[client] = max(most.get(client, 0), sum(k for u, k in own[i:] if u <= t + span))
+    return most
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+@pytest.mark.parametrize("arrivals", [False, True])
+def test_no_span_of_a_plan_holds_the_limit(spark, partitions, arrivals):
+    import random
+    from anontext.operators.budget import send_plan
+    r = random.Random(partitions)
+    rows = [(i, "hot" if r.random() < 0.6 else r.choice("ab"), r.choice([0, 1, 5, 30, r.randint(1, 90)]), r.randint(0, 40_000)) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_no int, client string, tokens int, came int").repartition(partitions)
+    plan = send_plan(df, arrival="came" if arrivals else None, span_us=1000, limit=100).collect()
+    assert len(plan) == 400
+    assert max(_most_in_a_span(plan, 1000).values()) < 100
+    for client in ("hot", "a", "b"):
+        own = sorted((p for p in plan if p.client == client), key=lambda p: p.row_no)
+        largest, ran, idle = max(p.tokens for p in own), 0, -10 ** 18
+        for p in own:  # the closed form, step by step
+            at = ran * 1001 // max(1, 99 - largest)
+            idle = max(idle, (p.came if arrivals else 0) - at)
+            assert p.release == at + idle and p.release >= (p.came if arrivals else 0)
+            ran += p.tokens
+
+
+def test_plan_of_odd_requests(spark):
+    from anontext.operators.budget import send_plan
+    rows = [(1, None, 5), (2, None, None), (3, None, 100), (4, "a", 99), (5, "a", 0), (6, "a", 99), (7, "b", -0)]
+    df = spark.createDataFrame(rows, "row_no int, client string, tokens int")
+    got = {r.row_no: r.release for r in send_plan(df, span_us=1000, limit=100).collect()}
+    assert got[1] == 0 and got[2] is None and got[3] is None and got[4] == 0 and got[6] - got[4] > 1000 and got[7] == 0
+    assert send_plan(df.limit(0)).count() == 0
+    assert send_plan(df, limit=10 ** 18).filter("release > 0").count() <= 5
