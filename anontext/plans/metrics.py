@@ -22,6 +22,29 @@ def profile(articles: DataFrame, approximate: bool = False) -> DataFrame:
         F.min("pub_date").alias("earliest"), F.max("pub_date").alias("latest"))
 
 
+# Sketches of 2^14 registers: a standard error of 0.8 %, so 2.5 % is exceeded once in some hundred counts.
+SKETCH_BITS = 14
+MEASURES = {"firms": "comnam", "tickers": "ticker", "industries": "industry"}
+
+
+def profile_sketch(articles: DataFrame) -> DataFrame:
+    """One row that profiles of several inputs are merged from: a sketch of each column's values, and the date range.
+
+    A few kilobytes, to be stored with a run; ``merge_profiles`` gives what ``profile`` would over all their rows.
+    """
+    return articles.agg(
+        *(F.hll_sketch_agg(F.col(c), F.lit(SKETCH_BITS)).alias(f"{m}_sketch") for m, c in MEASURES.items()),
+        F.min("pub_date").alias("earliest"), F.max("pub_date").alias("latest"), F.count(F.lit(1)).alias("texts"))
+
+
+def merge_profiles(sketches: DataFrame, *by: str) -> DataFrame:
+    """Distinct firms, tickers and industries (estimated), dates and texts, over all rows or by columns."""
+    merged = sketches.groupBy(*by).agg(
+        *(F.hll_sketch_estimate(F.hll_union_agg(F.col(f"{m}_sketch"))).alias(m) for m in MEASURES),
+        F.min("earliest").alias("earliest"), F.max("latest").alias("latest"), F.coalesce(F.sum("texts"), F.lit(0)).alias("texts"))
+    return merged
+
+
 def percent(flag: Column) -> Column:
     """Share of ones in percent, three decimals; null over no rows."""
     return F.round(100 * F.avg(flag), 3)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from anontext.functions.dates import parse_mixed_date
 from anontext.functions.identify import DATE_TOLERANCE_DAYS, NAME_THRESHOLD
 from anontext.operators import templates
 
@@ -47,29 +48,6 @@ ATTEMPT = T.StructType([
 STEP_TABLE = T.StructType([f for f in ARTICLES.fields if f.name != "body"] + [T.StructField("step_no", T.IntegerType())]
                           + ATTEMPT.fields + [T.StructField("asked_text", T.StringType()), T.StructField("identified", T.IntegerType())])
 
-# Formats tried in turn when dates arrive as mixed text. Those with an offset are turned to
-# UTC; all others are taken as they stand.
-DATE_FORMATS = (
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd", "yyyyMMdd", "yyyyMMdd HH:mm:ss", "M/d/yyyy HH:mm:ss", "M/d/yyyy HH:mm",
-    "M/d/yyyy h:mm a", "M/d/yyyy", "MM/dd/yy", "MMMM d, yyyy", "MMM d, yyyy", "MMM d yyyy", "MMMM d, yyyy HH:mm",
-    "d MMMM yyyy", "d MMM yyyy", "d-MMM-yyyy",
-)
-OFFSET_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX", "yyyy-MM-dd HH:mm:ss[.SSSSSS]XXX", "yyyy-MM-dd'T'HH:mmXXX")
-WEEKDAY = r"^(?i:(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?),? "
-
-
-def parse_mixed_date(text: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    """Text in any of the formats to TIMESTAMP_NTZ; null when none fits."""
-    bare = F.regexp_replace(F.trim(text), WEEKDAY, "")
-    # Read as if in UTC and counted in microseconds, so that the session's own clock changes play no part.
-    as_utc = F.concat(bare, F.lit(" Z"))
-    read = F.coalesce(*(F.try_to_timestamp(as_utc, F.lit(f"{f} X")) for f in formats),
-                      *(F.try_to_timestamp(bare, F.lit(f)) for f in OFFSET_FORMATS))
-    seconds = (F.unix_micros(read).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
-    return F.to_timestamp_ntz(F.lit("1970-01-01")) + F.make_dt_interval(secs=seconds)
-
-
 # Names that runs give to columns of their own.
 RESERVED = frozenset({f.name for f in STEP_TABLE} | {f.name for f in ARTICLES} | {
     "current_text", "write", "run_id", "neutered_text", "neutered_at_round", "neutered_at_step", "ticker_guess_neutered",

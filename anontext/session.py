@@ -32,10 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local master may fall back to a folder of this machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named, local = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master.startswith("local")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anontext.schema import SOURCE_COLUMNS, conform_articles, require_unique
+from anontext.sources.splitcsv import read_csv_split
 
 # Cell texts that the usual CSV round trip turns into missing values.
 NULL_CELLS = (
@@ -24,9 +27,19 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return _reader(spark).csv(path).columns
 
 
-def read_csv(spark: SparkSession, path: str | list[str], null_cells: bool = True) -> DataFrame:
+def by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """Paths put together by their header, so that a plan grows with the number of headers, not of paths."""
+    out: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        out.setdefault(tuple(header_of(spark, path)), []).append(path)
+    return list(out.values())
+
+
+def read_csv(spark: SparkSession, path: str | list[str], null_cells: bool = True, split: bool = False) -> DataFrame:
     """CSV with a header as text columns; quoted cells may hold line breaks.
 
+    ``split`` reads one big file by many tasks (see ``splitcsv``); otherwise a file is read by one.
+
     All files of one call have the same header; one with other columns, or in another order, stops the job
     (``combine_csv`` joins such files by column name).
 
@@ -34,7 +47,10 @@ def read_csv(spark: SparkSession, path: str | list[str], null_cells: bool = True
     """
     reader = _reader(spark)
     raw = reader.csv(path)
-    if "_c0" not in raw.columns:  # a header with an unnamed column cannot be held against other files
+    if split:
+        raw = read_csv_split(spark, path, raw.columns)
+        raw = raw.select(*(F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`")).alias(c) for c in raw.columns))
+    elif "_c0" not in raw.columns:  # a header with an unnamed column cannot be held against other files
         raw = reader.option("enforceSchema", False).csv(path)
     if raw.columns[0] in ("_c0", "Unnamed: 0"):
         raw = raw.withColumnRenamed(raw.columns[0], "row")
@@ -45,13 +61,15 @@ def read_csv(spark: SparkSession, path: str | list[str], null_cells: bool = True
 
 
 def ingest_csv(spark: SparkSession, path: str | list[str], out: str, key: str | None = None,
-               strict_dates: bool = True) -> DataFrame:
+               strict_dates: bool = True, split: bool = False) -> DataFrame:
     """Load article CSV files once into parquet with a unique ``doc_id`` and read that back.
 
-    Without a key column rows get ids while they are written, so ids stay put afterwards. CSV
-    with line breaks in cells cannot be split, so many moderate files load better than one big one.
+    Paths may have their columns in different orders, or some that others lack; they meet by name. Without a key column rows get
+    ids while they are written, so ids stay put afterwards. ``split`` lets many tasks read one big file.
     """
-    raw = read_csv(spark, path)
+    groups = [path] if isinstance(path, str) else by_header(spark, path)
+    frames = [read_csv(spark, same, split=split) for same in groups]
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     if key is None:
         raw, key = raw.withColumn("doc_id", F.monotonically_increasing_id()), "doc_id"
     raw = raw if key == "row" else raw.drop("row")

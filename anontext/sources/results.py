@@ -10,7 +10,7 @@ from pyspark.sql.utils import AnalysisException
 
 from anontext.schema import SOURCE_COLUMNS
 from anontext.session import settings
-from anontext.sources.articles import header_of, read_csv, write_csv
+from anontext.sources.articles import by_header, read_csv, write_csv
 
 # Names of result columns in exported files.
 EXPORT_NAMES = {
@@ -70,10 +70,7 @@ def combine_csv(spark: SparkSession, paths: list[str]) -> DataFrame | None:
 
     Paths of one header are read together, so the plan grows with the number of headers, not of paths.
     """
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        by_header.setdefault(tuple(header_of(spark, path)), []).append(path)
-    frames = [read_csv(spark, same).drop("row") for same in by_header.values()]
+    frames = [read_csv(spark, same).drop("row") for same in by_header(spark, paths)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
 
 

@@ -60,7 +60,18 @@ def test_repeated_keys_are_refused(spark):
     ("1/5/2024 3:30 PM", dt.datetime(2024, 1, 5, 15, 30)), ("Jan 5 2024", dt.datetime(2024, 1, 5)),
     ("2024.01.05", dt.datetime(2024, 1, 5)), ("20240105 10:00:00", dt.datetime(2024, 1, 5, 10)),
     ("Friday, January 5, 2024", dt.datetime(2024, 1, 5)), ("January 5, 2024 10:00", dt.datetime(2024, 1, 5, 10)),
-    ("01/05/24", dt.datetime(2024, 1, 5)), ("whenever", None), (None, None)])
+    ("01/05/24", dt.datetime(2024, 1, 5)), ("whenever", None), (None, None), ("", None), ("  ", None),
+    ("Fri, 05 Jan 2024 10:00:00 GMT", dt.datetime(2024, 1, 5, 10)), ("2024-01-05T10:00:00+0100", dt.datetime(2024, 1, 5, 9)),
+    ("2024-01-05T10:00:00.123456789", dt.datetime(2024, 1, 5, 10, 0, 0, 123456)), ("20240105T100000Z", dt.datetime(2024, 1, 5, 10)),
+    ("20240105T1030", dt.datetime(2024, 1, 5, 10, 30)), ("January 5, 2024 3:30 PM", dt.datetime(2024, 1, 5, 15, 30)),
+    ("5 January 2024 10:00", dt.datetime(2024, 1, 5, 10)), ("2024/01/05 10:00:00", dt.datetime(2024, 1, 5, 10)), ("Jan. 5, 2024", dt.datetime(2024, 1, 5)),
+    ("Sept 5, 2024", dt.datetime(2024, 9, 5)), ("2024-1-5", dt.datetime(2024, 1, 5)), ("5-Jan-24", dt.datetime(2024, 1, 5)),
+    ("5th of January 2024", dt.datetime(2024, 1, 5)), ("Friday 5 Jan. 2024, 12:05 a.m.", dt.datetime(2024, 1, 5, 0, 5)), ("Jan 5 2024 12 PM", dt.datetime(2024, 1, 5, 12)),
+    ("2024-01-05 10:00-05:30", dt.datetime(2024, 1, 5, 15, 30)), ("2024-01-05 10:00 +02", dt.datetime(2024, 1, 5, 8)), ("January 2024", dt.datetime(2024, 1, 1)),
+    ("2024 January 5", dt.datetime(2024, 1, 5)), ("31/12/1999", dt.datetime(1999, 12, 31)), ("1/2/69", dt.datetime(1969, 1, 2)), ("1/2/68", dt.datetime(2068, 1, 2)),
+    ("January 5, 2024 at 10:00 UTC", dt.datetime(2024, 1, 5, 10)), ("2024-01-05 24:00", None), ("2024-02-30", None), ("13/13/2024", None),
+    ("2024-01-05 15:30 PM", None), ("Jan 5", None), ("2024", None), ("5 Jan Feb 2024", None), ("2024-01-05 or so", None), ("2024-01-05Z", None),
+    ("100/1/2024", None), ("20240105123", None), ("1" * 50, None), ("maybe 5, 2024", None), ("Ma 5, 2024", None), ("2024-01-05 10:00 EST", None)])
 def test_mixed_dates(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(parse_mixed_date(F.col("t")).alias("d")).first().d == want

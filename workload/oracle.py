@@ -5,7 +5,7 @@ from __future__ import annotations
 from anontext.operators import templates
 from anontext.operators.budget import EMPTY_ANSWER
 from workload import fixtures as fx
-from workload.queries import SPELLINGS, WRITTEN
+from workload.queries import PLAN_LIMIT, PLAN_SPAN, SPELLED_DATES, SPELLINGS, WRITTEN
 
 
 def _quote(text: str) -> str:
@@ -486,6 +486,20 @@ SQL = {
         RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS rolling FROM instant)
       SELECT client, ts, requests, cast(tokens AS BIGINT) AS tokens, cast(rolling AS BIGINT) AS rolling_tokens,
         CASE WHEN rolling >= 100 THEN 1 ELSE 0 END AS over_budget FROM rolled""",
+    "rolling_tokens_default": """
+      WITH log AS (SELECT user_id AS client, ts, cast(floor(value * 2000000) AS BIGINT) AS tokens FROM events),
+      instant AS (SELECT client, ts, count(*) AS requests, sum(tokens) AS tokens FROM log GROUP BY client, ts),
+      rolled AS (SELECT *, sum(tokens) OVER (PARTITION BY client ORDER BY ts
+        RANGE BETWEEN INTERVAL 1 MINUTE PRECEDING AND CURRENT ROW) AS rolling FROM instant)
+      SELECT client, ts, requests, cast(tokens AS BIGINT) AS tokens, cast(rolling AS BIGINT) AS rolling_tokens,
+        CASE WHEN rolling >= 10000000 THEN 1 ELSE 0 END AS over_budget FROM rolled""",
+    "send_plan": f"""
+      WITH log AS (SELECT event_id, user_id AS client, cast(floor(value * 20) AS INTEGER) AS tokens, epoch_us(ts) AS came FROM events),
+      sized AS (SELECT *, CASE WHEN tokens < {PLAN_LIMIT} THEN tokens END AS fit FROM log),
+      ran AS (SELECT *, (sum(coalesce(fit, 0)) OVER (PARTITION BY client ORDER BY event_id) - coalesce(fit, 0))::HUGEINT
+        * {PLAN_SPAN + 1} // greatest(1, {PLAN_LIMIT - 1} - coalesce(max(fit) OVER (PARTITION BY client), 0)) AS lapsed FROM sized)
+      SELECT event_id, client, tokens, came, CASE WHEN fit IS NOT NULL THEN (lapsed + max(CASE WHEN fit IS NOT NULL THEN came - lapsed END)
+        OVER (PARTITION BY client ORDER BY event_id))::BIGINT END AS release FROM ran""",
     "request_payload": _with(ARTICLES, ("named", """SELECT *, CASE WHEN doc_id % 2 = 0
       THEN 'gpt-5-nano-2025-08-07' ELSE 'gpt-4o-mini' END AS m FROM articles"""), body=f"""
       SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {_request('max_completion_tokens := 16384')}
@@ -496,7 +510,11 @@ SQL = {
       options := struct_pack(temperature := 0, top_p := 1, presence_penalty := 0, frequency_penalty := 0,
         max_tokens := 16384, reset := true)))::varchar AS request FROM articles"""),
     "csv_round_trip": _with(ARTICLES, body="SELECT doc_id, body, comnam, ticker, industry, pub_date FROM articles"),
-    "mixed_dates": _with(ARTICLES, body="SELECT doc_id, pub_date FROM articles"),
+    "csv_one_big_file": _with(ARTICLES, body="SELECT doc_id, body, comnam, ticker, industry, pub_date FROM articles"),
+    "csv_reordered": _with(ARTICLES, body="""SELECT doc_id, body, comnam, ticker, industry, pub_date,
+      CASE WHEN doc_id % 2 = 1 THEN 'late' END AS desk FROM articles"""),
+    "mixed_dates": _with(ARTICLES, body=f"""SELECT doc_id, pub_date + to_microseconds(CASE doc_id % {len(SPELLED_DATES)} {
+        ' '.join(f'WHEN {i} THEN {us}' for i, (_, us) in enumerate(SPELLED_DATES))} END) AS pub_date FROM articles"""),
     "batch_job": _with(*_finished("mp", 8), body="""
       SELECT 'firms' AS fact, cast(count(DISTINCT comnam) AS DOUBLE) AS value FROM done
       UNION ALL SELECT 'industries', count(DISTINCT industry) FROM done
@@ -510,6 +528,20 @@ SQL = {
       FROM articles"""),
     "wrapped_responder": """SELECT doc_id, regexp_replace(replace(replace(replace(replace(
       text, chr(10), ''), chr(39), ''), '*', ''), chr(92), ''), '\\s+$', '') AS text FROM documents""",
+    "stable_sample_half": """SELECT doc_id, text FROM documents
+      QUALIFY row_number() OVER (ORDER BY md5(concat('7:', doc_id))) <= (SELECT count(*) // 2 FROM documents)""",
+    "profile_runs": _with(ARTICLES, body="""SELECT (doc_id % 4)::INTEGER AS run, count(*) AS texts, min(pub_date) AS earliest, max(pub_date) AS latest,
+      true AS firms_near, true AS tickers_near, true AS industries_near FROM articles GROUP BY 1
+      UNION ALL SELECT -1, count(*), min(pub_date), max(pub_date), true, true, true FROM articles"""),
+    "paused_run": _with(*_finished("mp", 8), body="""SELECT 'identification_rate' AS fact, NULL::DOUBLE AS value
+      UNION ALL SELECT neutered_at_step, count(*)::DOUBLE FROM done WHERE s <= 3 GROUP BY 1
+      UNION ALL SELECT 'waiting', count(*)::DOUBLE FROM done WHERE s > 3
+      UNION ALL SELECT 'waiting guess 4', count(*)::DOUBLE FROM done WHERE s > 3"""),
+    "ladder_late_answers": _ladder("mp"),
+    "extra_columns": _with(*_finished("m", 8), body="""SELECT done.doc_id, lang, source AS desk, n_chars AS round_input, neutered_at_step,
+      concat('Mask for desk ', CASE WHEN source IS NULL THEN 'nan' WHEN source = '' THEN 'N/A' ELSE source END, ', in ',
+        CASE WHEN lang IS NULL THEN 'nan' WHEN lang = '' THEN 'N/A' ELSE lang END, '. ', s) AS neutered_text
+      FROM done JOIN documents USING (doc_id)"""),
     "stable_sample": _with(ARTICLES, body="""SELECT doc_id, comnam, body FROM articles
       ORDER BY md5(concat('7:', doc_id)) LIMIT 50"""),
 }

@@ -14,7 +14,7 @@ from anontext.functions.names import (clean_name, name_similarity, plain_name_si
                                       similarity_by_pair, token_sorted)
 from anontext.functions.text import clean_characters, estimated_tokens, word_count
 from anontext.operators import templates
-from anontext.operators.budget import rolling_tokens, route_by_size, score_batch
+from anontext.operators.budget import rolling_tokens, route_by_size, score_batch, send_plan
 from anontext.operators.entities import mask_entities
 from anontext.operators.requests import build_requests, hosted_request
 from anontext.operators.responders import (ROBUSTNESS, CallableResponder, ContentReplayResponder,
@@ -29,8 +29,9 @@ from anontext.plans.offline import guess_requests, sentiment_requests
 from anontext.plans.pipeline import run
 from anontext.plans.robustness import audit_models, guess_with_models, rate_by_model, wide_guesses
 from anontext.schema import RunConfig, conform_articles
-from anontext.session import scratch_path
-from anontext.sources.articles import ingest_csv, read_csv, write_csv
+from anontext.session import scratch_path, settings
+from anontext.sources.articles import ingest_csv, write_csv
+from anontext.sources.recordings import store_recordings
 from anontext.sources.results import combine_csv, combine_runs, write_guesses
 from workload import fixtures as fx
 
@@ -269,7 +270,10 @@ def _recordings(spark, sf_dir, last_step=None):
 
 
 def _replayed(spark, sf_dir, last_step=None):
+    """Recordings kept by document, as a run keeps its texts."""
     rewrites, guesses = _recordings(spark, sf_dir, last_step)
+    root = scratch_path(spark, "recordings")
+    rewrites, guesses = store_recordings(rewrites, root, "rewrites"), store_recordings(guesses, root, "guesses")
     return run_ladder(_spread_articles(spark, sf_dir), RunConfig(run_id="replayed"),
                       ReplayResponder(rewrites, policy=policy_for("ollama")), ReplayResponder(guesses))
 
@@ -285,12 +289,46 @@ def ladder_replay_paused(spark, sf_dir):
     return ladder_results(ladder).select("doc_id", "neutered_text", "neutered_at_step", F.lit(ladder.pending.step_no).alias("pending"))
 
 
+def paused_run(spark, sf_dir):
+    """What a run says whose answers end at step 3: no rate, and every waiting text in the summary and the errors."""
+    _, guesses = _recordings(spark, sf_dir, last_step=3)
+    out = run(_spread_articles(spark, sf_dir), RunConfig(run_id="paused"), scripted_rewriter(), ReplayResponder(guesses), scripted_scorer())
+    rate = metrics.identification_rate(out.results, waiting=out.waiting)
+    return rate.select(F.lit("identification_rate").alias("fact"), F.col("identification_rate").alias("value")).unionByName(
+        metrics.step_summary(out.results, out.waiting).select(F.col("neutered_at_step").alias("fact"), F.col("texts").cast("double").alias("value"))
+    ).unionByName(out.errors.groupBy(F.concat_ws(" ", "status", "stage", "step_no").alias("fact")).agg(F.count(F.lit(1)).cast("double").alias("value")))
+
+
+def ladder_late_answers(spark, sf_dir):
+    """A third of the guesses of every step come late: the others go on, and the late ones follow on resuming."""
+    _, guesses = _recordings(spark, sf_dir)
+    config = RunConfig(run_id="late", output_path=scratch_path(spark, "late"), resume=True)
+    texts = _spread_articles(spark, sf_dir)
+    in_time = ReplayResponder(guesses.filter((F.col("doc_id") + F.col("step_no")) % 3 != 0))
+    first = run_ladder(texts, config, scripted_rewriter(), in_time)
+    if not first.missing:
+        raise RuntimeError("no answer was late")
+    done = run_ladder(texts, config, scripted_rewriter(), ReplayResponder(guesses))
+    return ladder_results(done).drop("run_id", "body", "text_status", "guess_status")
+
+
+def extra_columns(spark, sf_dir):
+    """The user's own columns in prompts and results, one of them with a name that runs use."""
+    docs = fx.tables(spark, sf_dir, "documents")["documents"]
+    wide = _spread_articles(spark, sf_dir).join(docs.select("doc_id", "lang", F.col("source").alias("Desk Name"), F.col("n_chars").alias("round")), "doc_id")
+    template = {"template": ["Mask for ", {"column": "Desk Name", "prefix": "desk ", "suffix": ", "}, {"column": "lang", "prefix": "in ", "suffix": "."}]}
+    config = RunConfig(run_id="extra", paraphrase=False, mask_template=template, mask_template_iter=template)
+    told = ExpressionResponder(lambda call: F.concat(call.system, F.lit(f" {call.step.round}")), policy_for("ollama"))
+    ladder = run_ladder(conform_articles(wide), config, told, scripted_guesser())
+    return ladder_results(ladder).select("doc_id", "lang", F.col("Desk Name").alias("desk"), "round_input", "neutered_text", "neutered_at_step")
+
+
 def sentiment_replay(spark, sf_dir):
     """Recorded sentiment that differs between the neutered and the raw text."""
     both = _articles(spark, sf_dir).select("doc_id", F.explode(F.array(F.lit("neutered"), F.lit("raw"))).alias("target"))
     n = F.when(F.col("target") == "raw", F.col("doc_id") % 3).otherwise(F.col("doc_id") % 5).cast("string")
     answers = both.select("doc_id", "target", F.concat(F.lit("Direction Estimate: "), n, F.lit(", Magnitude Estimate: 0."), n).alias("response"))
-    out = run(_spread_articles(spark, sf_dir), RunConfig(run_id="recorded", max_rounds=0), scripted_rewriter(), scripted_guesser(),
+    out = run(_spread_articles(spark, sf_dir), RunConfig(run_id="recorded"), scripted_rewriter(), scripted_guesser(),
               ReplayResponder(answers, keys=("doc_id",), error=None))
     return out.results.select("doc_id", "direction_neut", "magnitude_neut", "direction", "magnitude")
 
@@ -486,6 +524,24 @@ def token_use(spark, sf_dir):
     return rolling_tokens(log, span_us=3_600_000_000, bucket_us=14_400_000_000, limit=100)
 
 
+def token_use_by_default(spark, sf_dir):
+    """A minute and ten million tokens, over a log that comes to more."""
+    log = fx.tables(spark, sf_dir, "events")["events"].select(
+        F.col("user_id").alias("client"), "ts", F.floor(F.col("value") * 2_000_000).cast("bigint").alias("tokens"))
+    return rolling_tokens(log)
+
+
+PLAN_SPAN, PLAN_LIMIT = 3_600_000_000, 5_000
+
+
+def planned_sends(spark, sf_dir):
+    """When to send every request of the log, so that no hour holds too many tokens of a client."""
+    log = fx.tables(spark, sf_dir, "events")["events"].select(
+        "event_id", F.col("user_id").alias("client"), F.floor(F.col("value") * 20).cast("int").alias("tokens"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("came"))
+    return send_plan(log, order="event_id", arrival="came", span_us=PLAN_SPAN, limit=PLAN_LIMIT)
+
+
 def request_payload(spark, sf_dir):
     texts = _articles(spark, sf_dir)
     model = F.when(F.col("doc_id") % 2 == 0, "gpt-5-nano-2025-08-07").otherwise("gpt-4o-mini")
@@ -506,16 +562,44 @@ def csv_round_trip(spark, sf_dir):
     return ingest_csv(spark, f"{path}/in", f"{path}/articles", key="doc_id")
 
 
+# A format of the day, and microseconds since its midnight that the written text stands for.
+SPELLED_DATES = (
+    ("yyyy-MM-dd", 0), ("yyyy/MM/dd", 0), ("MM/dd/yyyy", 0), ("d MMM yyyy", 0), ("MMMM d, yyyy", 0), ("yyyy-MM-dd HH:mm:ss", 0),
+    ("EEE, dd MMM yyyy '10:00:00 GMT'", 36_000_000_000), ("yyyy-MM-dd'T10:00:00+0100'", 32_400_000_000),
+    ("yyyy-MM-dd'T10:00:00.123456789'", 36_000_123_456), ("yyyyMMdd'T100000Z'", 36_000_000_000),
+    ("MMMM d, yyyy '3:30 PM'", 55_800_000_000), ("d MMMM yyyy '10:00'", 36_000_000_000), ("yyyy/MM/dd '10:00:00'", 36_000_000_000),
+    ("MMM. d, yyyy", 0), ("yyyy-M-d", 0), ("d-MMM-yy", 0), ("EEEE, MMMM d, yyyy", 0), ("M/d/yy", 0), ("yyyyMMdd", 0), ("yyyy.MM.dd", 0),
+    ("yyyy-MM-dd '10:00-05:30'", 55_800_000_000), ("d'th of 'MMMM yyyy", 0), ("M/d/yyyy '12:15 a.m.'", 900_000_000), ("yyyy MMMM dd", 0))
+
+
 def mixed_dates(spark, sf_dir):
-    """Dates written in six ways, read back to one type."""
-    day = F.col("pub_date")
-    n = F.col("doc_id") % 6
-    formats = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "d MMM yyyy", "MMMM d, yyyy", "yyyy-MM-dd HH:mm:ss")
-    written = F.coalesce(*(F.when(n == i, F.date_format(day, f)) for i, f in enumerate(formats)))
-    texts = _articles(spark, sf_dir).withColumn("pub_date", written)
+    """Dates written in every way that is read, back to one type."""
+    n = F.col("doc_id") % len(SPELLED_DATES)
+    written = F.coalesce(*(F.when(n == i, F.date_format("pub_date", f)) for i, (f, _) in enumerate(SPELLED_DATES)))
+    texts = _articles(spark, sf_dir).withColumn("pub_date", F.regexp_replace(written, "Sep(?![a-z])", "Sept"))
     return conform_articles(texts).select("doc_id", "pub_date")
 
 
+def csv_one_big_file(spark, sf_dir):
+    """One CSV file with line breaks in its cells, read by many tasks."""
+    path = scratch_path(spark, "csv")
+    write_csv(_articles(spark, sf_dir).coalesce(1), f"{path}/in")
+    with settings(spark, spark__sql__files__maxPartitionBytes="256k", spark__sql__files__openCostInBytes="0"):
+        tasks = spark.read.option("lineSep", "\n").text(f"{path}/in").select(F.spark_partition_id()).distinct().count()
+        if tasks < 2:
+            raise RuntimeError("one task read it all")
+        return ingest_csv(spark, f"{path}/in", f"{path}/articles", key="doc_id", split=True)
+
+
+def csv_reordered(spark, sf_dir):
+    """Files of two column orders, one with a column of its own, loaded by name."""
+    path = scratch_path(spark, "csv")
+    texts = _articles(spark, sf_dir)
+    write_csv(texts.filter("doc_id % 2 = 0"), f"{path}/a")
+    write_csv(texts.filter("doc_id % 2 = 1").select("ticker", "pub_date", F.lit("late").alias("desk"), "body", "industry", "doc_id", "comnam"), f"{path}/b")
+    return ingest_csv(spark, [f"{path}/a", f"{path}/b"], f"{path}/articles", key="doc_id")
+
+
 def combined_csv(spark, sf_dir):
     """Result files with different headers, joined by column name."""
     path = scratch_path(spark, "chunks")
@@ -560,6 +644,27 @@ def random_sample(spark, sf_dir):
     return stable_sample(_articles(spark, sf_dir), 50, seed=7).select("doc_id", "comnam", "body")
 
 
+def random_half(spark, sf_dir):
+    """Half of all rows, chosen by counting hashes."""
+    docs = fx.tables(spark, sf_dir, "documents")["documents"]
+    return stable_sample(docs, docs.count() // 2, seed=7).select("doc_id", "text")
+
+
+def profile_runs(spark, sf_dir):
+    """Profiles stored by run and merged over runs: is each within its error of the exact one."""
+    texts, path = _articles(spark, sf_dir).withColumn("run_id", F.col("doc_id") % 4), scratch_path(spark, "profiles")
+    for r in range(4):
+        metrics.profile_sketch(texts.filter(F.col("run_id") == r)).write.parquet(f"{path}/run_id={r}")
+    stored = spark.read.parquet(path)
+    exact = texts.groupBy("run_id").agg(*(F.count_distinct(c).alias(f"{m}_exact") for m, c in metrics.MEASURES.items()))
+    exact = exact.select(F.col("run_id").cast("int").alias("run"), *(f"{m}_exact" for m in metrics.MEASURES)).unionByName(
+        texts.agg(*(F.count_distinct(c).alias(f"{m}_exact") for m, c in metrics.MEASURES.items())).withColumn("run", F.lit(-1)))
+    merged = metrics.merge_profiles(stored.withColumn("run", F.col("run_id").cast("int")), "run").unionByName(
+        metrics.merge_profiles(stored).withColumn("run", F.lit(-1)))
+    near = [(F.abs(F.col(m) - F.col(f"{m}_exact")) <= 0.025 * F.col(f"{m}_exact")).alias(f"{m}_near") for m in metrics.MEASURES]
+    return merged.join(exact, "run").select("run", "texts", "earliest", "latest", *near)
+
+
 QUERIES = {
     "profile": profile,
     "clean_chars": clean_chars,
@@ -593,6 +698,9 @@ QUERIES = {
     "error_table": errors,
     "ladder_replay": ladder_replay,
     "ladder_replay_paused": ladder_replay_paused,
+    "paused_run": paused_run,
+    "ladder_late_answers": ladder_late_answers,
+    "extra_columns": extra_columns,
     "sentiment_replay": sentiment_replay,
     "sentiment_requests": offline_sentiment,
     "row_prompts": row_prompts,
@@ -613,11 +721,17 @@ QUERIES = {
     "batch_exploded": batch_exploded,
     "batch_header": batch_header,
     "rolling_tokens": token_use,
+    "rolling_tokens_default": token_use_by_default,
+    "send_plan": planned_sends,
     "request_payload": request_payload,
     "request_payload_local": request_payload_local,
     "csv_round_trip": csv_round_trip,
+    "csv_one_big_file": csv_one_big_file,
+    "csv_reordered": csv_reordered,
     "mixed_dates": mixed_dates,
     "stable_sample": random_sample,
+    "stable_sample_half": random_half,
+    "profile_runs": profile_runs,
     "batch_job": batch_job,
     "offline_requests": offline_requests,
     "wrapped_responder": wrapped_responder,
