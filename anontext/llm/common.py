@@ -53,7 +53,7 @@ def worker_cache(name: str, make, of=None):
 
 
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()),
-         "array<bigint>": pa.list_(pa.int64())}
+         "array<bigint>": pa.list_(pa.int64()), "binary": pa.binary()}
 
 
 def from_texts(df: DataFrame, keep: list[str], outputs: dict[str, str], start, text: str = "text") -> DataFrame:

@@ -5,8 +5,8 @@ import pytest
 import __spark_entry__
 import corpus_pipeline
 from anontext.llm import best_fit, fingerprint_dedup, span_dedup, toxicity
-from tests.llm.test_fingerprint_dedup import brute as fingerprint
 from tests.llm.test_fingerprint_dedup import groups
+from tests.llm.test_similar_dedup import jaccard
 from tests.llm.test_span_dedup import brute as repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -49,8 +49,7 @@ def test_stages(spark, tables, monkeypatch):
 
     single = second(spark, clean, path).cache()
     assert single.columns == COLUMNS
-    fps = {i: fingerprint(t) for i, t in kept.items()}
-    root = groups(list(fps), lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 2)
+    root = groups(list(kept), lambda a, b: jaccard(kept[a], kept[b]) >= 0.8)
     left = {r.doc_id: r.text for r in single.collect()}
     assert set(left) == set(root.values()) and all(kept[i] == t for i, t in left.items())
 
