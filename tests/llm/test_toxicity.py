@@ -93,3 +93,11 @@ def test_every_window_is_scored_and_learned_from(words):
             each.append(net.score(rows, np.array([[*range(len(part))] + [-1] * (toxicity.WINDOW - len(part))]))[0])
         assert s == pytest.approx(max(each), abs=1e-5)
     assert len(toxicity.window_table(np.arange(100, dtype=np.int32))) == 61
+
+
+def test_sample_does_not_depend_on_partitions(spark):
+    rows = [(i % 30, f"text {i} of many") for i in range(90)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [toxicity.sample(docs.repartition(n), labels).to_dict("list") for n in (1, 2, 5)]
+    assert got[0] == got[1] == got[2] and got[0]["doc_id"] == list(range(30))
