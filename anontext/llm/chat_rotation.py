@@ -7,7 +7,8 @@ Only what the assistant says, with its end mark, is to be learned: ``learn_from`
 
 Turns are ordered by turn (nulls first), role, text. Null and blank roles are the participant ``unknown``;
 a null text is empty; a null conv_id is a conversation of its own. Repeated rows are rendered each. Marks
-that occur in a text are broken up by a space. A conversation with system turns alone has no participant and
+that occur in a text or a name are broken up by a space, and control characters in a name, line breaks among
+them, become one, so that neither can forge a turn. A conversation with system turns alone has no participant and
 gives no rows. Other columns are dropped. DataFrame functions only.
 """
 
@@ -41,7 +42,8 @@ def rotate(turns: DataFrame) -> DataFrame:
     role = F.when(F.col("speaker") == SYSTEM, F.lit(SYSTEM)).when(
         F.col("speaker") == F.col("perspective"), F.lit("assistant")).otherwise(F.lit("user"))
     wide = wide.withColumn("role", role)
-    head = F.when(F.col("role") == "user", F.concat(F.lit(f"{START}user name="), "speaker", F.lit("\n"))).otherwise(
+    name = F.replace(F.regexp_replace("speaker", r"[\x00-\x1F\x7F]+", " "), F.lit("<|im_"), F.lit("<| im_"))
+    head = F.when(F.col("role") == "user", F.concat(F.lit(f"{START}user name="), name, F.lit("\n"))).otherwise(
         F.concat(F.lit(START), "role", F.lit("\n")))
     wide = wide.withColumn("_head", F.length(head)).withColumn("segment", F.concat(head, "_text", F.lit(f"{END}\n")))
     wide = wide.withColumn("_size", F.length("segment").cast("long"))
@@ -71,7 +73,8 @@ sides AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <
 w AS (SELECT t.*, perspective, CASE WHEN speaker = '{SYSTEM}' THEN '{SYSTEM}' WHEN speaker = perspective
              THEN 'assistant' ELSE 'user' END AS role
       FROM t JOIN sides ON t.conv_id IS NOT DISTINCT FROM sides.conv_id),
-h AS (SELECT *, '{START}' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM w),
+h AS (SELECT *, '{START}' || role || CASE WHEN role = 'user' THEN ' name=' || array_to_string(string_split(
+             regexp_replace(speaker, '[\\x00-\\x1F\\x7F]+', ' ', 'g'), '<|im_'), '<| im_') ELSE '' END || chr(10) AS head FROM w),
 s AS (SELECT *, head || body || '{END}' || chr(10) AS segment FROM h),
 p AS (SELECT *, row_number() OVER o - 1 AS position,
              coalesce(sum(length(segment)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
