@@ -11,8 +11,8 @@ part of the rows meets every part of the queries, so no group outgrows its bound
 are merged by row. The forest has a fixed largest size, whatever the table: at most DEEPEST levels, so that what
 groups send on grows in step with the queries.
 
-Vectors that are null, empty, zero or hold null or non-finite parts take no part, nor do those whose length is
-not the sample's most frequent. Repeated rows are rows of their own; a query leaves out its own row alone. Rows
+Vectors that are null, empty, zero or hold null or non-finite parts take no part. Vectors of each length have a forest
+of their own, and meet those of their length alone. Repeated rows are rows of their own; a query leaves out its own row alone. Rows
 with null ids are no queries, and rank behind others on ties. Without usable vectors, the result is empty.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,7 @@ from anontext.llm.stable_dedup import packed, usable
 
 TREES, SHARE, NEAREST = 16, 1.2, 20
 SAMPLE, LEAF, DEEPEST, PART = 20_000, 200, 5, 16_384
+LAST_ID = (1 << 63) - 1
 
 
 class Forest:
@@ -106,19 +108,22 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, trees: int =
             sample_rows: int = SAMPLE, seed: int = 3) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest that the forest finds for each query."""
     spark = vectors.sparkSession
-    last = (1 << 63) - 1
     good = vectors.where(usable("embedding")).select(
-        F.coalesce(F.col("vec_id").cast("long"), F.lit(last)).alias("_id"), F.col("embedding").cast("array<float>").alias("embedding"),
+        F.coalesce(F.col("vec_id").cast("long"), F.lit(LAST_ID)).alias("_id"), F.col("embedding").cast("array<float>").alias("embedding"),
         (F.coalesce(is_query, F.lit(False)) & F.col("vec_id").isNotNull()).alias("_query"))
     rows = stored(good.withColumn("_row", F.monotonically_increasing_id()), "forest-rows")
-    dims = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    dims = rows.groupBy(F.size("embedding").alias("d")).count().orderBy("d").collect()  # a row a length
+    got = [_of_length(rows.where(F.size("embedding") == d["d"]), d["count"], k, trees, share, sample_rows, seed) for d in dims]
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if dims is None:
-        return empty
-    rows = rows.where(F.size("embedding") == dims["d"])
+    return reduce(DataFrame.unionByName, got, empty).withColumn("vec_id", F.when(F.col("vec_id") != LAST_ID, F.col("vec_id")))
+
+
+def _of_length(rows: DataFrame, count: int, k: int, trees: int, share: float, sample_rows: int, seed: int) -> DataFrame:
+    """``nearest`` among vectors of one length."""
+    spark = rows.sparkSession
     norm = rows.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).first()[0]
     some = rows.orderBy(F.xxhash64("_id"), "_row").limit(sample_rows).select("embedding").toPandas()
-    depth = min(DEEPEST, max(0, int(math.log2(max(1, dims["count"] / LEAF)))))
+    depth = min(DEEPEST, max(0, int(math.log2(max(1, count / LEAF)))))
     forest = Forest(_matrix(packed(some["embedding"])), norm, depth, trees, seed)
     shared = spark.sparkContext.broadcast(forest)  # at most trees x 2**DEEPEST splits
     visits = max(trees, math.ceil(share * (1 << depth)))
@@ -211,8 +216,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, trees: int =
         frame = frame.assign(rank=rank.astype("int32"))[rank <= k]
         return frame[["query_id", "rank", "vec_id", "score"]]
 
-    got = found.mapInPandas(merge, "query_id long, rank int, vec_id long, score double")
-    return got.withColumn("vec_id", F.when(F.col("vec_id") != last, F.col("vec_id")))
+    return found.mapInPandas(merge, "query_id long, rank int, vec_id long, score double")
 
 
 def recall(found: DataFrame, vectors: DataFrame, k: int = NEAREST, queries: int = 200) -> float:

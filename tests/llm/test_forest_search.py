@@ -51,6 +51,16 @@ def test_odd_vectors_ties_and_few_candidates(spark):
     assert nearest(df.where("vec_id = 4"), F.lit(True)).count() == 0
 
 
+def test_every_length_is_searched(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, [float(v) for v in r.standard_normal(3 if i % 3 else 5)], 0) for i in range(90)]
+    found = nearest(spark.createDataFrame(rows, KIND).repartition(3), F.col("vec_id") % 10 == 0, k=4).collect()
+    assert sorted({f.query_id for f in found}) == list(range(0, 90, 10)) and len(found) == 36
+    x = {i: np.array(v, np.float32).astype(float) for i, v, _ in rows}
+    for f in found:
+        assert len(x[f.query_id]) == len(x[f.vec_id]) and f.score == pytest.approx(float(x[f.query_id] @ x[f.vec_id]), abs=1e-12)
+
+
 def test_walk_reaches_every_leaf_and_starts_at_home():
     x = np.random.default_rng(3).standard_normal((200, 5))
     forest = Forest(x, 0.0, 3, trees=2)
