@@ -63,6 +63,9 @@ def main() -> None:
         "robustness_by_model": lambda: force(q.QUERIES["robustness_by_model"](spark, SF_DIR)),
         "batch_by_name": lambda: force(q.QUERIES["batch_by_name"](spark, SF_DIR)),
         "replay_by_content": lambda: force(q.QUERIES["replay_by_content"](spark, SF_DIR)),
+        **{name: lambda name=name: force(q.QUERIES[name](spark, SF_DIR)) for name in (
+            "ladder_replay", "callable_responder", "stable_sample_half", "combine_runs", "entity_mask_large", "rule_mask_lettered",
+            "send_plan", "csv_one_big_file", "mixed_dates")},
     }
     seconds = {}
     for name, job in timed.items():
