@@ -23,7 +23,7 @@ from anontext.functions.identify import identification_flags, parse_iso_date
 from anontext.functions.names import name_similarity
 from anontext.operators.responders import MISSING, OK, Step, is_recorded
 from anontext.operators.templates import compile_prompt
-from anontext.plans.tables import IDENTIFIED, PASSED, WAITING, Commit, RunTables, fingerprint
+from anontext.plans.tables import IDENTIFIED, PASSED, WAITING, Commit, RunTables, buckets_for, fingerprint
 from anontext.schema import ARTICLES, RESERVED, STEP_TABLE, RunConfig, require_unique
 from anontext.session import scratch_path
 
@@ -192,8 +192,7 @@ def run_ladder(articles: DataFrame, config: RunConfig, rewriter, guesser) -> Lad
     if not (keep and config.resume and tables.take_up(digest_now)):
         if keep:
             tables.skip_entries()  # those of an earlier run carry another token and are not trusted
-        buckets = config.partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        tables.begin(articles, buckets, lambda n, s: _digest(config, n, s))
+        tables.begin(articles, config.partitions or buckets_for(articles), lambda n, s: _digest(config, n, s))
     require_unique(tables.articles)
     steps, audit = plan_steps(config), AuditColumns.of(config)
     # A turn that was broken off is finished; after a finished one, waiting texts get another.

@@ -166,6 +166,13 @@ class RunTables:
         self.spark.sql(f"DROP DATABASE IF EXISTS {self.database} CASCADE")
 
 
+def buckets_for(articles: DataFrame, rows_each: int = 2_000) -> int:
+    """As many buckets as a shuffle has partitions, but no more than the rows (or the cores) can use."""
+    spark = articles.sparkSession
+    wanted = max(spark.sparkContext.defaultParallelism, -(-articles.count() // rows_each))
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted))
+
+
 def fingerprint(articles: DataFrame):
     """Sum of row hashes, whatever the order; maps cannot be hashed and are left out."""
     hashed = [F.col(f"`{f.name}`") for f in articles.schema if "map<" not in f.dataType.simpleString()]

@@ -141,8 +141,8 @@ class RunConfig:
     # Keep the step tables of a finished run, and take up a broken-off run where it stopped.
     keep_attempts: bool = True
     resume: bool = False
-    # Spread the articles over this many tasks before the first step; for inputs of few files
-    # with slow responders. Left out, tasks follow the files and nothing is shuffled.
+    # Buckets that articles and attempts are laid out in, and so the tasks of a step. Left out, as many as a shuffle
+    # has partitions, but no more than the rows can use.
     partitions: int | None = None
 
     def __post_init__(self):

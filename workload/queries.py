@@ -272,9 +272,9 @@ def _recordings(spark, sf_dir, last_step=None):
 def _replayed(spark, sf_dir, last_step=None):
     """Recordings kept by document, as a run keeps its texts."""
     rewrites, guesses = _recordings(spark, sf_dir, last_step)
-    root = scratch_path(spark, "recordings")
-    rewrites, guesses = store_recordings(rewrites, root, "rewrites"), store_recordings(guesses, root, "guesses")
-    return run_ladder(_spread_articles(spark, sf_dir), RunConfig(run_id="replayed"),
+    root, n = scratch_path(spark, "recordings"), spark.sparkContext.defaultParallelism
+    rewrites, guesses = store_recordings(rewrites, root, "rewrites", n), store_recordings(guesses, root, "guesses", n)
+    return run_ladder(_spread_articles(spark, sf_dir), RunConfig(run_id="replayed", partitions=n),
                       ReplayResponder(rewrites, policy=policy_for("ollama")), ReplayResponder(guesses))
 
 
