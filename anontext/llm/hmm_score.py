@@ -3,8 +3,8 @@
 Latent states follow one another and emit words: every word seen in training has an expected count of its own
 in every state, kept as a table by word, however many words there are. What a state gives to words seen once is
 also what it holds back for unknown words, which are one event, as they are for the base. Baum-Welch counts are
-gathered on all training texts by chunk and added up by word in Spark; training cuts texts into blocks of BLOCK
-tokens, scoring runs the scaled forward recursion over the whole text.
+gathered on all training texts by chunk and added up by word in Spark. Training and scoring both take every text
+as one sequence, however long; training keeps forward states at a few edges and goes back stretch by stretch.
 
 Words meet by word, not by text: each task turns its texts into numbers of a dictionary of its own and sends
 that dictionary's words once per chunk of texts. In every round their counts come back to the chunk by word, and
@@ -28,7 +28,7 @@ from anontext.llm.common import small_batches, stored, text_bytes
 
 STATES = 8
 ROUNDS = 4
-BLOCK = 512
+HELD = 1_000_000  # tokens whose states a task holds at a time
 CHUNK_BYTES = 16 << 20
 PRIOR = 20  # tokens of the base that each state has besides its own
 END = b""  # no word is empty
@@ -133,44 +133,61 @@ class Model:
         out.emit = out._held_back(emit)
         return out
 
-    def expect(self, blocks: list[np.ndarray], first: np.ndarray):
-        """Expected starts, follows and emissions of blocks, which follow one another in length, longest first."""
-        size = np.array([len(b) for b in blocks])
-        t_all, n = int(size[0]), len(blocks)
-        symbols = np.zeros((t_all, n), np.int64)
-        for i, b in enumerate(blocks):
-            symbols[:len(b), i] = b
+    def expect(self, texts: list[np.ndarray], held: int = HELD):
+        """Expected starts, follows and emissions of whole sequences, longest first, each of at least one symbol.
+
+        All sequences step together. Time is cut into stretches of about ``held`` live tokens; a first pass keeps the forward states
+        at the edges of stretches only, then each stretch, the last one first, is run forward again and backward.
+        """
+        size = np.array([len(x) for x in texts])
+        flat, begin = np.concatenate(texts), np.concatenate([[0], np.cumsum(size)[:-1]])
+        t_all = int(size[0])
         live = np.searchsorted(-size, -np.arange(1, t_all + 1), side="right")
+        done = np.concatenate([[0], np.cumsum(live)])  # tokens before each step, in order of steps
+        edges = [0]
+        while edges[-1] < t_all:
+            edges.append(max(edges[-1] + 1, int(np.searchsorted(done, done[edges[-1]] + held, side="right")) - 1))
         emit, follow = np.ascontiguousarray(self.emit.T), self.follow
-        share = np.linalg.matrix_power(follow, 64)[0]
-        alpha = np.zeros((t_all, n, self.k))
-        scale = np.ones((t_all, n))
-        a = np.where(first[:, None], self.start, share) * emit[symbols[0]]
-        for t in range(t_all):
+
+        def forward(t, a, out=None, scale=None):
             m = live[t]
-            if t:
-                a = (a[:m] @ follow) * emit[symbols[t, :m]]
-            scale[t, :m] = a.sum(axis=1)
-            a = a / scale[t, :m, None]
-            alpha[t, :m] = a
-        starts, follows = np.zeros(self.k), np.zeros((self.k, self.k))
+            a = (a[:m] @ follow if t else self.start) * emit[flat[begin[:m] + t]]
+            s = a.sum(axis=1)
+            a = a / s[:, None]
+            if out is not None:
+                out[:], scale[:] = a, s
+            return a
+
+        kept, a = [None], None  # the state that each stretch goes on from
+        for lo, hi in zip(edges[:-2], edges[1:-1], strict=True):
+            for t in range(lo, hi):
+                a = forward(t, a)
+            kept.append(a)
+        follows, emits = np.zeros((self.k, self.k)), np.zeros(self.emit.shape)
         b = np.ones((live[-1], self.k))
-        for t in range(t_all - 1, 0, -1):
-            m = live[t]
-            if len(b) < m:
-                b = np.concatenate([b, np.ones((m - len(b), self.k))])
-            e = emit[symbols[t, :m]] * b / scale[t, :m, None]
-            follows += alpha[t - 1, :m].T @ e
-            alpha[t, :m] *= b
-            b = e @ follow.T
-        if len(b) < n:
-            b = np.concatenate([b, np.ones((n - len(b), self.k))])
-        alpha[0] *= b
-        starts += alpha[0][first].sum(axis=0)
-        keep = np.arange(t_all)[:, None] < size
-        flat, weight = symbols[keep], alpha[keep]
-        emits = np.stack([np.bincount(flat, weight[:, j], minlength=self.emit.shape[1]) for j in range(self.k)])
-        return starts, follows * follow, emits
+        after = None  # the first step of the stretch behind: its emissions, backward chances and scale in one
+        for at in range(len(edges) - 2, -1, -1):
+            lo, hi = edges[at], edges[at + 1]
+            first = done[lo]
+            alpha, scale = np.empty((done[hi] - first, self.k)), np.empty(done[hi] - first)
+            symbols = np.empty(len(alpha), flat.dtype)
+            a = kept.pop()
+            for t in range(lo, hi):
+                own = slice(done[t] - first, done[t + 1] - first)
+                symbols[own] = flat[begin[:live[t]] + t]
+                a = forward(t, a, alpha[own], scale[own])
+            for t in range(hi - 1, lo - 1, -1):
+                m, own = live[t], slice(done[t] - first, done[t + 1] - first)
+                if after is not None:
+                    follows += alpha[own][:len(after)].T @ after
+                    b = after @ follow.T
+                if len(b) < m:
+                    b = np.concatenate([b, np.ones((m - len(b), self.k))])
+                after = emit[symbols[own]] * b / scale[own, None]
+                alpha[own] *= b
+            for j in range(self.k):
+                emits[j] += np.bincount(symbols, alpha[:, j], minlength=emits.shape[1])
+        return alpha[:live[0]].sum(axis=0), follows * follow, emits
 
     def likelihood(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 of the probability of each whole sequence of symbols, which has at least one."""
@@ -270,26 +287,8 @@ def baum_welch(texts: DataFrame, words: DataFrame, own: DataFrame, chain: Chain,
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         order, c, counts = _in_order(right, states)
         m = Model.of(chain.start, chain.follow, chain.emissions(c, counts))
-        sums = [np.zeros(states), np.zeros((states, states)), np.zeros(counts.shape)]
-        blocks, first, held = [], [], 0
-
-        def take():
-            order = np.argsort([-len(b) for b in blocks], kind="stable")
-            got = m.expect([blocks[i] for i in order], np.array(first)[order])
-            for s, g in zip(sums, got, strict=True):
-                s += g
-
-        for raw in left.column("_ids").to_pylist():
-            s = _plain(raw, np.int32)
-            for at in range(0, len(s), BLOCK):
-                blocks.append(s[at:at + BLOCK])
-                first.append(at == 0)
-                held += len(blocks[-1])
-            if held > 300_000:
-                take()
-                blocks, first, held = [], [], 0
-        if blocks:
-            take()
+        ids = sorted((_plain(raw, np.int32) for raw in left.column("_ids").to_pylist()), key=len, reverse=True)
+        sums = m.expect(ids) if ids else (np.zeros(states), np.zeros((states, states)), np.zeros(counts.shape))
         some = np.flatnonzero(sums[2].any(axis=0))
         flat = np.concatenate([sums[0][:, None], sums[1].T, sums[2][:, some]], axis=1)  # a column of starts, one of follows per state
         kind = np.concatenate([np.arange(states + 1), np.full(len(some), -1)]).astype(np.int32)

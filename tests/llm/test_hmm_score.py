@@ -42,11 +42,12 @@ def test_probabilities_sum_to_one_and_likelihood_equals_all_paths():
     assert sum(10 ** x for x in m.likelihood([np.array(s) for s in itertools.product(range(9), repeat=2)])) == pytest.approx(1)
 
 
-def test_expected_counts_equal_all_paths():
+@pytest.mark.parametrize("held", [1, 3, 6, 100])  # of 14 tokens
+def test_expected_counts_equal_all_paths(held):
     m = small(3)
     r = np.random.default_rng(4)
     blocks = [r.integers(0, 9, n) for n in (5, 4, 4, 1)]
-    starts, follows, emits = m.expect(blocks, np.ones(4, bool))
+    starts, follows, emits = m.expect(blocks, held)
     want = [np.zeros(m.k), np.zeros((m.k, m.k)), np.zeros((m.k, 9))]
     for s in blocks:
         whole = by_paths(m, s)
@@ -63,13 +64,26 @@ def test_expected_counts_equal_all_paths():
         assert np.allclose(got, w)
 
 
+def test_long_texts_are_one_sequence():
+    """A text of many stretches gives the counts that it gives in one; every transition in it counts."""
+    m = small(9)
+    r = np.random.default_rng(10)
+    texts = [r.integers(0, 9, n) for n in (6000, 700, 513, 512, 3)]
+    want = m.expect(texts, 1 << 30)
+    for got, w in zip(m.expect(texts, 1000), want, strict=True):
+        assert np.allclose(got, w, rtol=1e-9)
+    assert want[0].sum() == pytest.approx(len(texts))
+    assert want[1].sum() == pytest.approx(sum(len(t) - 1 for t in texts))
+    assert want[2].sum() == pytest.approx(sum(len(t) for t in texts))
+
+
 def test_training_raises_the_likelihood():
     r = np.random.default_rng(5)
     texts = [np.repeat(r.integers(0, 2, 6), 5) * 3 + r.integers(0, 3, 30) for _ in range(40)]
     m = small(6)
     before = m.likelihood(texts).sum()
     for _ in range(5):
-        m = m.learn(*m.expect(texts, np.ones(len(texts), bool)))
+        m = m.learn(*m.expect(texts))
     assert m.likelihood(texts).sum() > before + 10
 
 
@@ -126,7 +140,7 @@ def test_every_word_keeps_counts_of_its_own(make, spark, words, monkeypatch):
         m = hmm_score.Model.of(chain.start, chain.follow, chain.emissions(c, dense))
         assert np.allclose(m.emit.sum(axis=1) + chain.new, 1)
         order = sorted(range(len(ids)), key=lambda i: -len(ids[i]))
-        starts, follows, dense = m.expect([ids[i] for i in order], np.ones(len(ids), bool))
+        starts, follows, dense = m.expect([ids[i] for i in order])
         chain.start, chain.follow = (starts + 1) / (starts + 1).sum(), (follows + 1) / (follows + 1).sum(axis=1, keepdims=True)
     chain.hold_back(dense.sum(axis=1), dense[:, c == 1].sum(axis=1))
     want = hmm_score.Model.of(chain.start, chain.follow, chain.emissions(c, dense)).likelihood(ids)
