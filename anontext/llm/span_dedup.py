@@ -12,7 +12,7 @@ holds the segments of a few anchors with at most HOT occurrences each. Segments
 taken window by window and spread by the windows' own digest and a salt, so a passage found in a third of all
 documents is judged by many tasks, each keeping one row at a time.
 
-Windows are judged on the input. "Earlier" is by doc_id (nulls last), then a hash of the text, then start;
+Windows are judged on the input. "Earlier" is by doc_id (nulls last), then a 64-bit hash of the text, then start;
 rows with equal id and text are one document and get the same result. Null texts have no words. Documents
 shorter than a window lose nothing. An empty table gives an empty result.
 """
@@ -242,7 +242,7 @@ def repeated_windows(docs: DataFrame, dealt: DataFrame, window: int = WINDOW) ->
                 at = to
 
     # Scanned twice, to count and to look up, which is cheaper than keeping a row for every seventh word.
-    found = docs.select("_d", "_h", "_bytes").mapInArrow(scan, "_d long, _h int, _from int, _n int, _anchor long")
+    found = docs.select("_d", "_h", "_bytes").mapInArrow(scan, "_d long, _h long, _from int, _n int, _anchor long")
     # Stored, so that both sides of the join are dealt for it alone and Spark can split a common anchor's rows.
     often = stored(found.groupBy("_anchor").agg(F.count("*").alias("_count")).where("_count > 1").select(
         "_anchor", (F.col("_count") > HOT).alias("_hot")), "spans-often")
@@ -275,13 +275,13 @@ def repeated_windows(docs: DataFrame, dealt: DataFrame, window: int = WINDOW) ->
                 yield batch_of(rows)
 
     names = ["_d", "_h", "_from", "_n", "_hot", "_route", "_piece"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(r, type=k) for r, k in zip(rows, kinds, strict=True)], names=names)
 
     # Every column goes along, so that the plan has one exchange of texts, here and where spans are removed.
-    items = dealt.join(marks, ["_d", "_h"]).mapInArrow(cut, "_d long, _h int, _from int, _n int, _hot boolean, _route long, _piece binary")
+    items = dealt.join(marks, ["_d", "_h"]).mapInArrow(cut, "_d long, _h long, _from int, _n int, _hot boolean, _route long, _piece binary")
     items = items.repartition(n, "_route").sortWithinPartitions("_route", "_piece", "_d", "_h", "_from")
 
     out_names = ["_d", "_h", "_from", "_n", "_first"]
@@ -297,7 +297,7 @@ def repeated_windows(docs: DataFrame, dealt: DataFrame, window: int = WINDOW) ->
         def flush():
             nonlocal rows
             made = pa.RecordBatch.from_arrays(
-                [pa.array(r, type=k) for r, k in zip(rows, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
+                [pa.array(r, type=k) for r, k in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
                 names=out_names)
             rows = [[] for _ in range(5)]
             return made
@@ -342,7 +342,7 @@ def repeated_windows(docs: DataFrame, dealt: DataFrame, window: int = WINDOW) ->
         settle()
         yield flush()
 
-    weighed = items.mapInArrow(weigh, "_d long, _h int, _from int, _n int, _first binary")
+    weighed = items.mapInArrow(weigh, "_d long, _h long, _from int, _n int, _first binary")
     # The first of a hot window in each salt: at most SALTS rows a window, of which one is the first of all.
     alone = F.col("_first").isNull()
     own = ["_first", *(F.when(alone, F.col(c)) for c in ("_d", "_h", "_from"))]
@@ -353,7 +353,7 @@ def repeated_windows(docs: DataFrame, dealt: DataFrame, window: int = WINDOW) ->
 def place() -> list:
     """A document's place in the corpus order (_d, _h) and its bytes."""
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    return [ident.alias("_d"), F.hash(F.coalesce("text", F.lit("")), F.lit(1)).alias("_h"), text_bytes().alias("_bytes")]
+    return [ident.alias("_d"), F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)).alias("_h"), text_bytes().alias("_bytes")]
 
 
 def covered(count: int, spans: list[tuple[int, int]], window: int) -> np.ndarray:

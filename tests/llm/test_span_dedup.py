@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from anontext.llm import span_dedup as sd
 
@@ -99,3 +100,14 @@ def test_nulls_repeated_rows_and_empty(make, words):
     assert sorted(g[3] for g in got if g[1] == 5) in ([0, 0, 40], [0, 40, 40])  # rows equal in id and text agree
     assert sd.remove_repeats(make([]), ["doc_id"], OUT).count() == 0
     assert np.array_equal(sd.covered(25, [(0, 1), (3, 2)], 20), [True] * 24 + [False])
+
+
+def test_rows_without_id_are_told_apart_by_64_bits(spark):
+    """Two texts that share a 32-bit hash, both without id: the passage of one is not cut from the other."""
+    texts = spark.range(200_000).select(F.concat_ws(" ", *[F.concat(F.lit(chr(97 + j)), F.col("id")) for j in range(25)]).alias("text"))
+    pair = texts.groupBy(F.hash("text", F.lit(1))).agg(F.collect_list("text").alias("texts")).where(F.size("texts") > 1).limit(1)
+    one, two = pair.first().texts[:2]
+    docs = spark.createDataFrame([(1, one + " tail"), (None, one), (None, two)], "doc_id long, text string")
+    got = {r.kept: (r.n_words, r.n_removed) for r in
+           sd.remove_repeats(docs, ["doc_id"], {"n_words": "long", "n_removed": "long", "kept": "string"}).collect()}
+    assert got == {one + " tail": (26, 0), "": (25, 25), two: (25, 0)}
