@@ -33,6 +33,7 @@ from anontext.llm.common import small_batches, stored, text_bytes, worker_cache
 CAPACITY = 2048
 END_ID = 0
 CACHE_WORDS = 400_000
+RUN = 1 << 16  # sequences that one row of a plan opens at a time
 
 
 def byte_letters() -> dict[int, str]:
@@ -201,6 +202,17 @@ def sweep(left: dict[int, int], capacity: int) -> tuple[list[tuple], dict[int, l
     return opened, rounds
 
 
+def opening(plan: DataFrame, run: int = RUN) -> DataFrame:
+    """A row for each ``_seq`` from ``_from`` up to ``_to``, made from the plan's rows without a join.
+
+    Ranges are cut into runs first and these are dealt to all tasks, so no task makes more than its share.
+    """
+    n = max(1, int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    runs = plan.withColumn("_run", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1, F.lit(run).cast("long"))))
+    last = F.least(F.col("_run") + run, F.col("_to")) - 1
+    return runs.repartition(n, "_run").withColumn("_seq", F.explode(F.sequence(F.col("_run"), last))).drop("_run")
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to capacity."""
     spark = items.sparkSession
@@ -227,10 +239,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         plan.append((at, at + n, size, first, each, pieces_))
         at += n
     columns = "_from long, _to long, _size long, _first long, _each long, _pieces long"
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = spark.range(0, at, 1, parts).withColumnRenamed("id", "_seq").join(
-        F.broadcast(spark.createDataFrame(plan, columns)), (F.col("_seq") >= F.col("_from")) & (F.col("_seq") < F.col("_to")))
-    state = stored(filled(rows, F.lit(capacity).cast("long"), F.col("_seq")), "pack-round")
+    state = stored(filled(opening(spark.createDataFrame(plan, columns)), F.lit(capacity).cast("long"), F.col("_seq")), "pack-round")
     placed = [state]
     for k in sorted(rounds):
         plan = spark.createDataFrame([(g, f, f + n, s, p, e, m) for g, f, n, s, p, e, m in rounds[k]], f"_g long, {columns}")

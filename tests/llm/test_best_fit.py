@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from anontext.llm.best_fit import WordIds, pack, pack_documents, sweep
+from anontext.llm.best_fit import WordIds, opening, pack, pack_documents, sweep
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -90,3 +90,10 @@ def test_edge_tables(make):
     assert {r.length for r in pack_documents(make([(None, None), (1, ""), (1, "")]), PATH).collect()} == {1}
     full = pack_documents(make(["a " * 7]), PATH, 8).collect()
     assert [(r.length, r.offset) for r in full] == [(8, 0)]
+
+
+def test_opening_makes_each_sequence_once_without_a_join(spark):
+    plan = spark.createDataFrame([(0, 1, 9), (1, 1001, 8), (1001, 1008, 7)], "_from long, _to long, _size long")
+    made = opening(plan, 10)
+    assert sorted((r._seq, r._size) for r in made.collect()) == [(0, 9), *((i, 8) for i in range(1, 1001)), *((i, 7) for i in range(1001, 1008))]
+    assert "Join" not in made._jdf.queryExecution().toString()
