@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anontext.llm.common import stored
-from anontext.llm.stable_dedup import packed, usable
+from anontext.llm.stable_dedup import dense, precision, usable
 
 TREES, SHARE, NEAREST = 16, 1.2, 20
 SAMPLE, LEAF, DEEPEST, PART = 20_000, 200, 5, 16_384
@@ -91,10 +91,6 @@ class Forest:
         return out
 
 
-def _matrix(raw) -> np.ndarray:
-    return np.stack([np.frombuffer(r, "<f4") for r in raw]).astype(np.float64)
-
-
 def best(score: np.ndarray, ident: np.ndarray, k: int) -> np.ndarray:
     """Places of the k largest, ties to the smaller id."""
     if len(score) > 4 * k:
@@ -109,7 +105,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, trees: int =
     """query_id, rank, vec_id, score: the k nearest that the forest finds for each query."""
     spark = vectors.sparkSession
     good = vectors.where(usable("embedding")).select(
-        F.coalesce(F.col("vec_id").cast("long"), F.lit(LAST_ID)).alias("_id"), F.col("embedding").cast("array<float>").alias("embedding"),
+        F.coalesce(F.col("vec_id").cast("long"), F.lit(LAST_ID)).alias("_id"), F.col("embedding").cast(precision(vectors)).alias("embedding"),
         (F.coalesce(is_query, F.lit(False)) & F.col("vec_id").isNotNull()).alias("_query"))
     rows = stored(good.withColumn("_row", F.monotonically_increasing_id()), "forest-rows")
     dims = rows.groupBy(F.size("embedding").alias("d")).count().orderBy("d").collect()  # a row a length
@@ -124,7 +120,7 @@ def _of_length(rows: DataFrame, count: int, k: int, trees: int, share: float, sa
     norm = rows.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).first()[0]
     some = rows.orderBy(F.xxhash64("_id"), "_row").limit(sample_rows).select("embedding").toPandas()
     depth = min(DEEPEST, max(0, int(math.log2(max(1, count / LEAF)))))
-    forest = Forest(_matrix(packed(some["embedding"])), norm, depth, trees, seed)
+    forest = Forest(dense(some["embedding"]), norm, depth, trees, seed)
     shared = spark.sparkContext.broadcast(forest)  # at most trees x 2**DEEPEST splits
     visits = max(trees, math.ceil(share * (1 << depth)))
 
@@ -132,8 +128,7 @@ def _of_length(rows: DataFrame, count: int, k: int, trees: int, share: float, sa
         for frame in frames:
             if not len(frame):
                 continue
-            raw = packed(frame["embedding"])
-            at = shared.value.leaves(_matrix(raw))
+            at = shared.value.leaves(dense(frame["embedding"]))
             yield pd.DataFrame({"_tree": np.tile(np.arange(trees, dtype=np.int32), len(frame)), "_leaf": at.ravel(),
                                 "_row": np.repeat(frame["_row"].to_numpy(), trees)})
 
@@ -142,7 +137,7 @@ def _of_length(rows: DataFrame, count: int, k: int, trees: int, share: float, sa
         for frame in frames:
             for at in range(0, len(frame), 256):
                 own = frame.iloc[at:at + 256]
-                seen = shared.value.walk(_matrix(packed(own["embedding"])), visits)
+                seen = shared.value.walk(dense(own["embedding"]), visits)
                 n = [len(s) for s in seen]
                 flat = np.array([x for s in seen for x in s], np.int32).reshape(-1, 2)
                 yield pd.DataFrame({"_tree": flat[:, 0], "_leaf": flat[:, 1], "_asker": np.repeat(own["_row"].to_numpy(), n)})
@@ -169,12 +164,12 @@ def _of_length(rows: DataFrame, count: int, k: int, trees: int, share: float, sa
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         parts_: list[list] = [[] for _ in out_names]
         if left.num_rows and right.num_rows:
-            def dense(table, name):
+            def matrix(table, name):
                 column = table.column(name).combine_chunks()
                 return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
-            x, row, ident = dense(left, "embedding"), left.column("_row").to_numpy(), left.column("_id").to_numpy()
+            x, row, ident = matrix(left, "embedding"), left.column("_row").to_numpy(), left.column("_id").to_numpy()
             asker, asker_id = right.column("_asker").to_numpy(), right.column("_asker_id").to_numpy()
-            q = dense(right, "_wanted")
+            q = matrix(right, "_wanted")
             for at in range(0, len(q), 512):
                 near = q[at:at + 512] @ x.T
                 near[asker[at:at + 512, None] == row[None, :]] = -np.inf

@@ -15,6 +15,7 @@ carried. Other columns are dropped; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,20 +42,30 @@ def plan(rows: int, cosine: float, step: float, miss: float) -> tuple[int, int]:
     return k, math.ceil(math.log(miss) / math.log(1 - p))
 
 
+@lru_cache(maxsize=4)
+def projections(dim: int, k: int, tables: int, step: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Directions, shifts and the multipliers that make one number of a bucket's steps."""
+    rng = np.random.default_rng([seed, dim])
+    lines = rng.standard_normal((dim, tables * k))
+    return lines, rng.uniform(0, step, tables * k), rng.integers(1, 1 << 62, k, dtype=np.int64) | 1
+
+
 def table_keys(unit: np.ndarray, k: int, tables: int, step: float, seed: int) -> np.ndarray:
     """Bucket of every unit vector in every table."""
-    rng = np.random.default_rng([seed, unit.shape[1]])
-    lines = rng.standard_normal((unit.shape[1], tables * k))
-    shift = rng.uniform(0, step, tables * k)
-    mix = rng.integers(1, 1 << 62, k, dtype=np.int64) | 1
+    lines, shift, mix = projections(unit.shape[1], k, tables, step, seed)
     cells = np.floor((unit @ lines + shift) / step).astype(np.int64).reshape(len(unit), tables, k)
     with np.errstate(over="ignore"):
         return (cells * mix).sum(axis=2)
 
 
-def _unit(raw) -> tuple[np.ndarray, np.ndarray]:
-    x = np.stack([np.frombuffer(r, "<f4") for r in raw]).astype(np.float64)
-    return x, np.sqrt((x * x).sum(axis=1))
+def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and their norms; scaled by a power of two, which changes no cosine, where squares leave the range."""
+    with np.errstate(over="ignore", under="ignore"):
+        norm = np.sqrt((x * x).sum(axis=1))
+        if not ((norm > 1e-140) & (norm < 1e140)).all():
+            x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+            norm = np.sqrt((x * x).sum(axis=1))
+    return x, norm
 
 
 def usable(vector: str):
@@ -64,8 +75,15 @@ def usable(vector: str):
     return F.coalesce(v.isNotNull() & fine & F.exists(v, lambda e: e != 0), F.lit(False))
 
 
-def packed(frame: pd.Series) -> list[bytes]:
-    return [np.asarray(v, "<f4").tobytes() for v in frame]
+def precision(vectors: DataFrame, name: str = "embedding") -> str:
+    """The type that holds a vector column's values: float where they are floats, else double."""
+    kind = vectors.schema[name].dataType.elementType.simpleString()
+    return "array<float>" if kind == "float" else "array<double>"
+
+
+def dense(column: pd.Series) -> np.ndarray:
+    """A column of vectors of one length as a matrix of doubles."""
+    return np.stack([np.asarray(v, np.float64) for v in column])
 
 
 def link_vectors(vectors: DataFrame, cosine: float = COSINE, step: float = STEP, miss: float = 1e-4,
@@ -74,7 +92,7 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, step: float = STEP,
     spark = vectors.sparkSession
     fine = usable("embedding") & F.col("label").isNotNull()
     key = F.when(fine, F.md5(F.concat_ws("|", F.col("label").cast("string"), F.col("embedding").cast("string"))))
-    rows = stored(vectors.select("vec_id", F.when(fine, F.col("embedding").cast("array<float>")).alias("embedding"),
+    rows = stored(vectors.select("vec_id", F.when(fine, F.col("embedding").cast(precision(vectors))).alias("embedding"),
                                  "label", key.alias("_key")), "vectors")
     nodes = rows.where("_key IS NOT NULL").groupBy("_key").agg(
         F.min("vec_id").alias("_first"), F.count("*").alias("_copies"), F.first("embedding").alias("embedding"),
@@ -85,8 +103,7 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, step: float = STEP,
     def hashed(frames):
         for frame in frames:
             for _, part in frame.groupby("_dim"):
-                raw = packed(part["embedding"])
-                x, norm = _unit(raw)
+                x, norm = _unit(dense(part["embedding"]))
                 keys = table_keys(x / norm[:, None], k, tables, step, seed)
                 n = len(part)
                 yield pd.DataFrame({
@@ -136,29 +153,40 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, step: float = STEP,
                 continue
             part = frame.iloc[lo:hi]
             node, copies, own = part["_node"].to_numpy(), part["_copies"].to_numpy(), part["_own"].to_numpy()
-            x, norm = _unit(packed(part["embedding"]))
-            near = (x @ x.T) / norm[:, None] / norm[None, :] >= cosine
-            np.fill_diagonal(near, False)
+            x, norm = _unit(dense(part["embedding"]))
+            near = np.triu((x @ x.T) / norm[:, None] / norm[None, :] >= cosine, 1)
             if part["_lo"].iloc[0] != part["_hi"].iloc[0]:
                 near &= own[:, None] != own[None, :]
-            some = np.flatnonzero(near.any(axis=1))
-            if not len(some):
+            # From here on pairs, which every earlier table thins out: a pair counts in the first that it meets in.
+            left, right = np.nonzero(near)
+            if not len(left):
+                continue
+            some, place = np.unique(np.concatenate([left, right]), return_inverse=True)
+            left, right = place[:len(left)], place[len(left):]
+            table = int(part["_table"].iloc[0])
+            if table:
+                keys = np.ascontiguousarray(table_keys(x[some] / norm[some, None], k, tables, step, seed).T)
+                for t in range(table):
+                    apart = keys[t][left] != keys[t][right]
+                    left, right = left[apart], right[apart]
+            if not len(left):
                 continue
-            near, table = near[np.ix_(some, some)], int(part["_table"].iloc[0])
-            keys = table_keys(x[some] / norm[some, None], k, tables, step, seed)
-            for t in range(table):
-                near &= keys[:, t][:, None] != keys[:, t][None, :]
             root = np.arange(len(some))
             while True:
-                low = np.where(near, root[None, :], len(some)).min(axis=1)
-                low = np.minimum(low, root)
+                low = root.copy()
+                np.minimum.at(low, left, root[right])
+                np.minimum.at(low, right, root[left])
                 low = low[low]
                 if (low == root).all():
                     break
                 root = low
-            nodes_.append(node[some])
-            links_.append(near.astype(np.int64) @ copies[some])
-            roots_.append(node[some][root])
+            links = np.zeros(len(some), np.int64)
+            np.add.at(links, left, copies[some[right]])
+            np.add.at(links, right, copies[some[left]])
+            linked = np.flatnonzero(links)
+            nodes_.append(node[some[linked]])
+            links_.append(links[linked])
+            roots_.append(node[some[root[linked]]])
         if nodes_:
             yield pd.DataFrame({"_node": np.concatenate(nodes_), "_links": np.concatenate(links_),
                                 "_root": np.concatenate(roots_)})

@@ -67,3 +67,17 @@ def test_walk_reaches_every_leaf_and_starts_at_home():
     for q, seen in zip(range(20), forest.walk(x[:20], 16), strict=True):
         assert len(set(seen)) == 16 and all(7 <= leaf < 15 for _, leaf in seen)
     random.seed(1)
+
+
+def test_doubles_are_scored_as_doubles(spark):
+    r = np.random.default_rng(8)
+    x = 1 + 1e-10 * r.standard_normal((60, 8))  # one vector to floats
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in forest_search.nearest(df, F.col("vec_id") % 20 == 0, k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(row.query_id, []).append(row.vec_id)
+        assert row.score == pytest.approx(float(x[row.query_id] @ x[row.vec_id]), rel=1e-15)
+    for q in (0, 20, 40):
+        score = (x * x[q]).sum(axis=1)
+        score[q] = -np.inf
+        assert got[q] == [int(i) for i in np.lexsort((np.arange(60), -score))[:5]]

@@ -57,3 +57,18 @@ def test_plan_keeps_the_promised_chance():
     for rows in (0, 1, 10_000, 10 ** 9):
         k, tables = plan(rows, 0.93, 1.5, 1e-4)
         assert (1 - collision((2 - 2 * 0.93) ** 0.5, 1.5) ** k) ** tables <= 1e-4
+
+
+def test_doubles_are_compared_as_doubles(spark):
+    """Angles a hair beside the threshold, which floats would blur, and lengths whose squares leave the range."""
+    r = np.random.default_rng(3)
+    rows, want = [], {}
+    for label in range(40):
+        cosine = 0.93 + (1e-10 if label % 2 else -1e-10)
+        turn = r.uniform(0, 6)
+        size = (1.0, 1e-200, 1e200)[label % 3]
+        for angle in (turn, turn + np.arccos(cosine)):
+            want[len(rows)] = (label % 2, len(rows) // 2 * 2 if label % 2 else len(rows))
+            rows.append((len(rows), [size * float(np.cos(angle)), size * float(np.sin(angle))], label))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {x.vec_id: (x.n_links, x.component_id) for x in link_vectors(df).collect()} == want
