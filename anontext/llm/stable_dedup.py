@@ -148,22 +148,27 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, step: float = STEP,
 
     def found(frame, bounds):
         nodes_, links_, roots_ = [], [], []
+        ends = np.concatenate([[0], np.cumsum(frame["embedding"].map(len).to_numpy())])
+        values = np.concatenate(frame["embedding"].tolist()).astype(np.float64)  # groups are many and small: slices only
+        node_, copies_, own_, low_, high_, table_ = (frame[c].to_numpy() for c in ("_node", "_copies", "_own", "_lo", "_hi", "_table"))
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             if hi - lo < 2:
                 continue
-            part = frame.iloc[lo:hi]
-            node, copies, own = part["_node"].to_numpy(), part["_copies"].to_numpy(), part["_own"].to_numpy()
-            x, norm = _unit(dense(part["embedding"]))
-            near = np.triu((x @ x.T) / norm[:, None] / norm[None, :] >= cosine, 1)
-            if part["_lo"].iloc[0] != part["_hi"].iloc[0]:
-                near &= own[:, None] != own[None, :]
+            node, copies, own = node_[lo:hi], copies_[lo:hi], own_[lo:hi]
+            x, norm = _unit(values[ends[lo]:ends[hi]].reshape(hi - lo, -1))
+            near = (x @ x.T) / norm[:, None] / norm >= cosine
+            if np.count_nonzero(near) - np.count_nonzero(near.diagonal()) == 0:
+                continue
+            near = np.triu(near, 1)
+            if low_[lo] != high_[lo]:
+                near &= own[:, None] != own
             # From here on pairs, which every earlier table thins out: a pair counts in the first that it meets in.
             left, right = np.nonzero(near)
             if not len(left):
                 continue
             some, place = np.unique(np.concatenate([left, right]), return_inverse=True)
             left, right = place[:len(left)], place[len(left):]
-            table = int(part["_table"].iloc[0])
+            table = int(table_[lo])
             if table:
                 keys = np.ascontiguousarray(table_keys(x[some] / norm[some, None], k, tables, step, seed).T)
                 for t in range(table):
