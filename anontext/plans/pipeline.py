@@ -64,13 +64,19 @@ def run(articles: DataFrame, config: RunConfig, rewriter=None, guesser=None,
 def _with_sentiment(results: DataFrame, config: RunConfig, scorer, root: str) -> DataFrame:
     if not config.perform_sentiment:
         return results
-    if config.rewrites:
-        results = write_stage(results, root, config.run_id, "neutered")
+    # Stages are kept for the user; a run without an output path has none to keep. Texts are read from the run's tables,
+    # where they lie by document, so that recorded answers travel to them and not they to the answers.
+    kept = bool(config.output_path)
+    if config.rewrites and kept:
+        write_stage(results, root, config.run_id, "neutered")
     if config.rewrites and config.sentiment_on_neutered:
-        results = add_sentiment(results, scorer, config.sentiment_prompt, "neutered_text",
+        texts = results
+        results = add_sentiment(texts, scorer, config.sentiment_prompt, "neutered_text",
                                 NEUTERED_RESPONSE, "direction_neut", "magnitude_neut", NEUTERED)
-        if config.keep_attempts:
-            results = write_stage(results, root, config.run_id, "sent_neut")
+        if config.keep_attempts and kept:
+            scored = write_stage(results, root, config.run_id, "sent_neut")
+            added = [c for c in scored.columns if c not in texts.columns]
+            results = texts.join(scored.select("doc_id", *added), "doc_id", "left").select(*results.columns)
     if config.sentiment_on_raw:
         results = add_sentiment(results, scorer, config.sentiment_prompt, "body",
                                 config.extraction_name, "direction", "magnitude", RAW)

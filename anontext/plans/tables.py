@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
-from anontext.session import settings
+from anontext.session import COMPRESSION, settings
 
 LOG = ("entry int, kind string, token string, digest string, buckets int, columns string, "
        "turn int, step_no int, write string, rows long, identified long, waiting long")
@@ -71,11 +71,16 @@ class RunTables:
         return self.spark.table(self._name("articles"))
 
     def attempts(self, commits: list[Commit], *states: int) -> DataFrame | None:
-        """Rows of these writes in these states; one scan, whatever the number of writes."""
+        """Rows of these writes in these states; one scan, whatever the number of writes.
+
+        The folder of a write tells its step, so that a filter on ``step_no`` opens no other files.
+        """
         if not commits:
             return None
         rows = self.spark.table(self._name("attempts"))
-        return rows.where(F.col("write").isin(*(c.write for c in commits)) & F.col("identified").isin(*states)).drop("write")
+        step = F.coalesce(*(F.when(F.col("write") == c.write, F.lit(c.step_no)) for c in commits))
+        chosen = rows.where(F.col("write").isin(*(c.write for c in commits)) & F.col("identified").isin(*states))
+        return chosen.withColumn("step_no", step).drop("write")
 
     # --- a new run ---
 
@@ -85,12 +90,13 @@ class RunTables:
         seen = Observation()
         watched = articles.repartition(buckets, "doc_id").observe(
             seen, F.count(F.lit(1)).alias("n"), fingerprint(articles).alias("s"))
-        self._save(watched, "articles")
+        with settings(self.spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+            self._save(watched, "articles")
         # The log names a run only after its articles are all there.
         self._log("start", digest=digest_of(int(seen.get["n"]), seen.get["s"]), columns=columns_of(self.articles.schema))
 
     def _save(self, df: DataFrame, table: str, *folders: str) -> None:
-        writer = df.write.format("parquet").mode("append").bucketBy(self.buckets, "doc_id")
+        writer = df.write.format("parquet").mode("append").option("compression", COMPRESSION).bucketBy(self.buckets, "doc_id")
         (writer.partitionBy(*folders) if folders else writer).saveAsTable(self._name(table))
 
     # --- steps ---

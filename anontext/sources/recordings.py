@@ -9,19 +9,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from anontext.plans.tables import open_database
-from anontext.session import settings
+from anontext.session import COMPRESSION, settings
 
 
-def store_recordings(answers: DataFrame, root: str, name: str, buckets: int | None = None) -> DataFrame:
+def store_recordings(answers: DataFrame, root: str, name: str, buckets: int | None = None, laid_out: bool = False) -> DataFrame:
     """Write answers below ``root`` as table ``name`` and read them back; ``root`` holds such tables only.
 
-    ``buckets`` is the number of partitions of the run, by default ``spark.sql.shuffle.partitions``.
+    ``buckets`` is the number of partitions of the run, by default ``spark.sql.shuffle.partitions``. ``laid_out`` says that
+    answers come from the attempts of a run of as many partitions: each task then has one bucket, and no answer is shuffled.
+    Any other answers are stored rightly too, but in a file per task and bucket.
     """
     spark = answers.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{open_database(spark, root.rstrip('/'))}.{name}"
     folders = [c for c in ("step_no", "target") if c in answers.columns]
-    writer = answers.repartition(buckets, "doc_id").write.format("parquet").mode("overwrite").bucketBy(buckets, "doc_id")
-    with settings(spark, spark__sql__maxConcurrentOutputFileWriters="64"):
+    dealt = answers if laid_out else answers.repartition(buckets, "doc_id")
+    writer = dealt.write.format("parquet").mode("overwrite").option("compression", COMPRESSION).bucketBy(buckets, "doc_id")
+    with settings(spark, spark__sql__maxConcurrentOutputFileWriters="64", spark__sql__sources__bucketing__autoBucketedScan__enabled="false",
+                  spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
         (writer.partitionBy(*folders) if folders else writer).saveAsTable(table)
     return spark.table(table)

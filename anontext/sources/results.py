@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from anontext.schema import SOURCE_COLUMNS
-from anontext.session import settings
+from anontext.session import COMPRESSION, settings
 from anontext.sources.articles import by_header, read_csv, write_csv
 
 # Names of result columns in exported files.
@@ -38,7 +38,7 @@ def stage_path(root: str, run_id: str, stage: str) -> str:
 def write_stage(df: DataFrame, root: str, run_id: str, stage: str) -> DataFrame:
     """Store one stage of a run's results, replacing only that run, and read it back."""
     path = stage_path(root, run_id, stage)
-    df.drop("run_id").write.mode("overwrite").parquet(path)
+    df.drop("run_id").write.mode("overwrite").option("compression", COMPRESSION).parquet(path)
     return df.sparkSession.read.schema(df.drop("run_id").schema).parquet(path).withColumn(
         "run_id", F.lit(run_id))
 

@@ -370,3 +370,36 @@ def test_config_is_checked():
     for bad in ({"max_rounds": -1}, {"run_id": "a/b"}):
         with pytest.raises(ValueError):
             RunConfig(**bad)
+
+
+def test_a_filter_on_the_step_opens_its_folders_alone(articles):
+    ladder, results = _results(articles, max_rounds=1)
+    files = ladder.attempts.filter("step_no = 1").inputFiles()
+    assert files and all("step1" in f and f.endswith(".zstd.parquet") for f in files)
+    # Results open what has passed and the last step, not what went on.
+    went_on = [f for f in ladder.finished.inputFiles() if "identified=1" in f and "step3" not in f]
+    assert not went_on and len(results) == N
+
+
+def test_answers_of_a_run_are_stored_without_a_shuffle(articles, folder):
+    import os
+    from anontext.sources.recordings import store_recordings
+    ladder = run_ladder(articles, RunConfig(max_rounds=0, partitions=4), REWRITER, GUESSER)
+    answers = ladder.attempts.select("doc_id", "step_no", F.col("text").alias("response"))
+    stored = store_recordings(answers, folder, "answers", 4, laid_out=True)
+    assert sorted(stored.select("doc_id", "step_no", "response").collect()) == sorted(answers.collect())
+    per_step = [len([f for f in os.listdir(f"{folder}/answers/{d}") if f.endswith(".parquet")])
+                for d in os.listdir(f"{folder}/answers") if d.startswith("step_no=")]
+    assert per_step and max(per_step) <= 4  # one file a bucket: no task held rows of another's
+
+
+def test_a_run_without_a_path_writes_its_texts_once_more_only(articles, monkeypatch, folder):
+    from anontext.plans import pipeline
+    stages, write = [], pipeline.write_stage
+    monkeypatch.setattr(pipeline, "write_stage", lambda df, root, run_id, stage: stages.append(stage) or write(df, root, run_id, stage))
+    plain = run(articles, RunConfig(max_rounds=0), REWRITER, GUESSER, SCORER)
+    assert stages == ["final"]
+    kept = run(articles, RunConfig(max_rounds=0, output_path=folder), REWRITER, GUESSER, SCORER)
+    assert stages[1:] == ["neutered", "sent_neut", "final"] and kept.results.columns == plain.results.columns
+    same = [c for c in kept.results.columns if c != "run_id"]
+    assert sorted(map(str, kept.results.select(same).collect())) == sorted(map(str, plain.results.select(same).collect()))

@@ -28,6 +28,7 @@ from anontext.plans.ladder import ladder_results, plan_steps, run_ladder
 from anontext.plans.offline import guess_requests, sentiment_requests
 from anontext.plans.pipeline import run
 from anontext.plans.robustness import audit_models, guess_with_models, rate_by_model, wide_guesses
+from anontext.plans.tables import buckets_for
 from anontext.schema import RunConfig, conform_articles
 from anontext.session import scratch_path, settings
 from anontext.sources.articles import ingest_csv, write_csv
@@ -150,7 +151,7 @@ def scripted_scorer():
 
 
 def scripted_ladder(spark, sf_dir, **options):
-    texts = _spread_articles(spark, sf_dir)
+    texts = _articles(spark, sf_dir)  # a run deals them out itself
     return run_ladder(texts, RunConfig(run_id="scripted", **options), scripted_rewriter(),
                       scripted_guesser())
 
@@ -192,7 +193,7 @@ def wide_attempts(spark, sf_dir):
 
 def sentiment_both(spark, sf_dir):
     config = RunConfig(run_id="scripted")
-    out = run(_spread_articles(spark, sf_dir), config, scripted_rewriter(), scripted_guesser(),
+    out = run(_articles(spark, sf_dir), config, scripted_rewriter(), scripted_guesser(),
               scripted_scorer())
     return out.results.select("doc_id", "iort_guess_correct_neutered", "direction_neut",
                               "magnitude_neut", "direction", "magnitude")
@@ -258,12 +259,12 @@ def callable_responder(spark, sf_dir):
                          F.col("answer.status").alias("status"), F.col("answer.message").alias("message"))
 
 
-def _recordings(spark, sf_dir, last_step=None):
-    """The scripted ladder's own rewrites and guesses as recordings, each of them twice."""
-    attempts = scripted_ladder(spark, sf_dir).attempts
+def _recordings(spark, sf_dir, last_step=None, partitions=None):
+    """The scripted ladder's own rewrites and guesses as recordings, each of them twice; of two steps a round, no more are run."""
+    attempts = scripted_ladder(spark, sf_dir, partitions=partitions, **({} if last_step is None else {"max_rounds": last_step // 2})).attempts
     if last_step is not None:
         attempts = attempts.filter(F.col("step_no") <= last_step)
-    twice = attempts.unionByName(attempts)
+    twice = attempts.withColumn("__copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("__copy")
     none = F.lit(None).cast("string").alias("error")
     return (twice.select("doc_id", "step_no", F.col("text").alias("response"), none),
             twice.select("doc_id", "step_no", F.col("guess_response").alias("response"), none))
@@ -271,10 +272,12 @@ def _recordings(spark, sf_dir, last_step=None):
 
 def _replayed(spark, sf_dir, last_step=None):
     """Recordings kept by document, as a run keeps its texts."""
-    rewrites, guesses = _recordings(spark, sf_dir, last_step)
-    root, n = scratch_path(spark, "recordings"), spark.sparkContext.defaultParallelism
-    rewrites, guesses = store_recordings(rewrites, root, "rewrites", n), store_recordings(guesses, root, "guesses", n)
-    return run_ladder(_spread_articles(spark, sf_dir), RunConfig(run_id="replayed", partitions=n),
+    texts, root = _articles(spark, sf_dir), scratch_path(spark, "recordings")
+    n = buckets_for(texts)
+    rewrites, guesses = _recordings(spark, sf_dir, last_step, n)
+    rewrites = store_recordings(rewrites, root, "rewrites", n, laid_out=True)
+    guesses = store_recordings(guesses, root, "guesses", n, laid_out=True)
+    return run_ladder(texts, RunConfig(run_id="replayed", partitions=n),
                       ReplayResponder(rewrites, policy=policy_for("ollama")), ReplayResponder(guesses))
 
 
@@ -292,7 +295,7 @@ def ladder_replay_paused(spark, sf_dir):
 def paused_run(spark, sf_dir):
     """What a run says whose answers end at step 3: no rate, and every waiting text in the summary and the errors."""
     _, guesses = _recordings(spark, sf_dir, last_step=3)
-    out = run(_spread_articles(spark, sf_dir), RunConfig(run_id="paused"), scripted_rewriter(), ReplayResponder(guesses), scripted_scorer())
+    out = run(_articles(spark, sf_dir), RunConfig(run_id="paused"), scripted_rewriter(), ReplayResponder(guesses), scripted_scorer())
     rate = metrics.identification_rate(out.results, waiting=out.waiting)
     return rate.select(F.lit("identification_rate").alias("fact"), F.col("identification_rate").alias("value")).unionByName(
         metrics.step_summary(out.results, out.waiting).select(F.col("neutered_at_step").alias("fact"), F.col("texts").cast("double").alias("value"))
@@ -303,7 +306,7 @@ def ladder_late_answers(spark, sf_dir):
     """A third of the guesses of every step come late: the others go on, and the late ones follow on resuming."""
     _, guesses = _recordings(spark, sf_dir)
     config = RunConfig(run_id="late", output_path=scratch_path(spark, "late"), resume=True)
-    texts = _spread_articles(spark, sf_dir)
+    texts = _articles(spark, sf_dir)
     in_time = ReplayResponder(guesses.filter((F.col("doc_id") + F.col("step_no")) % 3 != 0))
     first = run_ladder(texts, config, scripted_rewriter(), in_time)
     if not first.missing:
@@ -328,7 +331,7 @@ def sentiment_replay(spark, sf_dir):
     both = _articles(spark, sf_dir).select("doc_id", F.explode(F.array(F.lit("neutered"), F.lit("raw"))).alias("target"))
     n = F.when(F.col("target") == "raw", F.col("doc_id") % 3).otherwise(F.col("doc_id") % 5).cast("string")
     answers = both.select("doc_id", "target", F.concat(F.lit("Direction Estimate: "), n, F.lit(", Magnitude Estimate: 0."), n).alias("response"))
-    out = run(_spread_articles(spark, sf_dir), RunConfig(run_id="recorded"), scripted_rewriter(), scripted_guesser(),
+    out = run(_articles(spark, sf_dir), RunConfig(run_id="recorded"), scripted_rewriter(), scripted_guesser(),
               ReplayResponder(answers, keys=("doc_id",), error=None))
     return out.results.select("doc_id", "direction_neut", "magnitude_neut", "direction", "magnitude")
 
@@ -342,7 +345,7 @@ def offline_sentiment(spark, sf_dir):
 def row_prompts(spark, sf_dir):
     """A rewriter that answers with a digest of the prompt it was given: the template of every step and row."""
     digest = ExpressionResponder(lambda call: F.md5(call.system))
-    ladder = run_ladder(_spread_articles(spark, sf_dir), RunConfig(run_id="prompts"), digest, scripted_guesser())
+    ladder = run_ladder(_articles(spark, sf_dir), RunConfig(run_id="prompts"), digest, scripted_guesser())
     return ladder.attempts.select("doc_id", "step_no", "text")
 
 
