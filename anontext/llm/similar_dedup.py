@@ -1,7 +1,8 @@
 """Near-duplicates by the similarity of their sets of word shingles: Jaccard of at least 0.8 on five words.
 
-The fingerprints of op6 tell copies within two bits, while a pair at 0.8 differs in ten of 64, which no chain of
-segments finds without comparing everything. So pairs are proposed by equal bands of minima: of BANDS bands of
+Pairs are proposed twice. First by the method of op6: fingerprints of three-word shingles, filed by chains of ring segments,
+which finds copies within two bits; they are decided like all others. A pair at 0.8 differs in ten bits of 64, which no chain of
+segments finds without comparing everything. So those not linked by then are proposed by equal bands of minima: of BANDS bands of
 ROWS minimal shingle hashes each, a pair at 0.8 shares none with chance (1 - 0.8**4)**24 = 3e-6, a closer pair
 less. A pair whose minima agree in fewer than LEAST of their lowest bytes goes no further: one at 0.8 agrees in 77 of
 96, give or take four, and in so few with chance 2e-6. Only the texts of the pairs left travel, each once to a pair, and
@@ -22,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anontext.llm.common import components, from_texts, small_batches, stored, text_bytes, worker_cache
-from anontext.llm.fingerprint_dedup import SEED, shingles
+from anontext.llm.fingerprint_dedup import SEED, fingerprint, links as near_prints, shingles
 
 SHINGLE, SIMILARITY = 5, 0.8
+PRINT_SHINGLE = 3  # of the fingerprints, as in op6
 BANDS, ROWS = 24, 4
 CENTRES = 2
 LEAST = 58  # of BANDS * ROWS minima
@@ -54,16 +56,18 @@ def sketch(text: bytes, shingle: int = SHINGLE) -> tuple[int, int, list[int], by
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The columns of ``docs`` without the text, and ``_fp``, ``_n``, ``_bands``, ``_low``."""
+    """The columns of ``docs`` without the text, and ``_fp``, ``_n``, ``_bands``, ``_low`` and the fingerprint ``_print``."""
     def start():
         worker_cache("sketches", dict)
 
         def work(texts):
             made = [sketch(t, shingle) for t in texts]
-            return {"_fp": [m[0] for m in made], "_n": [m[1] for m in made], "_bands": [m[2] for m in made], "_low": [m[3] for m in made]}
+            prints = np.array([fingerprint(t.lower().split(), PRINT_SHINGLE) for t in texts], "<u8").view("<i8")
+            return {"_fp": [m[0] for m in made], "_n": [m[1] for m in made], "_bands": [m[2] for m in made], "_low": [m[3] for m in made],
+                    "_print": prints}
         return work
 
-    outputs = {"_fp": "long", "_n": "long", "_bands": "array<bigint>", "_low": "binary"}
+    outputs = {"_fp": "long", "_n": "long", "_bands": "array<bigint>", "_low": "binary", "_print": "long"}
     return from_texts(docs, [c for c in docs.columns if c != "text"], outputs, start)
 
 
@@ -114,15 +118,29 @@ def alike(pairs: DataFrame, texts_of, shingle: int, similarity: float) -> DataFr
     return pairs.join(second, "b").join(first, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def printed_pairs(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of distinct texts whose fingerprints lie within two bits: stars over the groups, never all pairs."""
+    texts = distinct.where("_n > 0").select("_fp", "_print")
+    first = stored(texts.groupBy("_print").agg(F.min("_fp").alias("_c")), "similar-prints")
+    same = texts.join(first, "_print").where("_fp <> _c").select("_fp", "_c")
+    near = near_prints(first.select(F.col("_print").alias("_fp")))
+    near = near.join(first.select(F.col("_print").alias("a"), F.col("_c").alias("_fp")), "a").join(
+        first.select(F.col("_print").alias("b"), "_c"), "b").select("_fp", "_c")
+    return same.unionByName(near).select(F.least("_fp", "_c").alias("a"), F.greatest("_fp", "_c").alias("b")).distinct()
+
+
 def similar_links(distinct: DataFrame, texts_of, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, root) of the groups linked among distinct texts (``_fp``, ``_n``, ``_bands``, ``_low``); texts in no pair are left out."""
+    """(id, root) of the groups linked among distinct texts, as ``sketches`` gives them; texts in no pair are left out."""
     filed = distinct.select("_fp", "_n", F.posexplode("_bands").alias("_band", "_file"))
     shared = filed.groupBy("_band", "_file").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     filed = stored(filed.join(shared, ["_band", "_file"]), "similar-files")
     fits = F.least("_n", "_m") >= F.lit(similarity) * F.greatest("_n", "_m") - 1e-9
-    done = links = roots = None
+    done = stored(printed_pairs(distinct), "similar-pairs")
+    close = stored(likely(done, distinct), "similar-close")
+    links = stored(alike(close, texts_of, shingle, similarity), "similar-links")
+    roots = components(links, "similar")
     for turn in range(CENTRES + 1):
-        named = filed.withColumn("_root", F.col("_fp")) if roots is None else filed.join(
+        named = filed.join(
             roots.withColumnRenamed("id", "_fp").withColumnRenamed("root", "_root"), "_fp", "left").withColumn(
             "_root", F.coalesce("_root", "_fp"))
         open_files = named.groupBy("_band", "_file").agg(
@@ -136,13 +154,10 @@ def similar_links(distinct: DataFrame, texts_of, shingle: int = SHINGLE, similar
             other = named.select("_band", "_file", F.col("_fp").alias("_c"), F.col("_n").alias("_m"), F.col("_root").alias("_other"))
             pairs = named.drop("_s").join(other, ["_band", "_file"]).where("_root < _other")
         pairs = pairs.where(fits).select(F.least("_fp", "_c").alias("a"), F.greatest("_fp", "_c").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "similar-pairs")
+        pairs = stored(pairs.join(done, ["a", "b"], "left_anti"), "similar-pairs")
         close = stored(likely(pairs, distinct), "similar-close")
         found = stored(alike(close, texts_of, shingle, similarity), "similar-links")
-        done = pairs if done is None else done.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
+        done, links = done.unionByName(pairs), links.unionByName(found)
         roots = components(links, "similar")
     return roots
 
@@ -153,7 +168,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
     marked = stored(sketches(docs.select("doc_id", mark.alias("_mark"), "text"), shingle), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_mark").alias("m"))
     distinct = stored(marked.groupBy("_fp").agg(F.min(first).alias("_first"), F.first("_n").alias("_n"),
-                                                F.first("_bands").alias("_bands"), F.first("_low").alias("_low")), "sketches-distinct")
+                                                F.first("_bands").alias("_bands"), F.first("_low").alias("_low"),
+                                                F.first("_print").alias("_print")), "sketches-distinct")
     own = distinct.select("_fp", F.col("_first.d").alias("_d"), F.col("_first.m").alias("_m"))
 
     def texts_of(ids: DataFrame) -> DataFrame:

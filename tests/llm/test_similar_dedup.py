@@ -66,3 +66,22 @@ def test_nulls_repeats_and_empty_tables(make):
     assert sorted(((r.doc_id, r.text) for r in sd.keep_one(make(rows)).collect()), key=str) == sorted(
         [(4, "a b c"), (2, None), (None, "q r s t")], key=str)
     assert sd.keep_one(make([])).count() == 0
+
+
+def test_copies_are_proposed_by_fingerprints_and_decided_on_texts(make, words, monkeypatch):
+    long = words(3000, 5)
+    texts = corpus(words, 3) + [" ".join([*long[:i * 300], f"zz{i}", *long[i * 300:]]) for i in range(8)]
+    fps = [fingerprint((t or "").encode().lower().split(), 3) for t in texts]
+    marked = sd.sketches(make(texts).select("doc_id", "text")).cache()
+    assert [r._print % (1 << 64) for r in marked.orderBy("doc_id").collect()] == fps
+    distinct = marked.drop("doc_id").dropDuplicates(["_fp"])
+    ids = {r._fp: r.doc_id for r in marked.collect()}
+    pairs = [(ids[r.a], ids[r.b]) for r in sd.printed_pairs(distinct).collect()]
+    want = groups([i for i in set(ids.values()) if texts[i] and texts[i].split()], lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
+    got = groups(want, lambda a, b: (a, b) in pairs or (b, a) in pairs)
+    assert len(pairs) >= 3 and got == want
+    seen = []
+    near = sd.near_prints
+    monkeypatch.setattr(sd, "near_prints", lambda fps: seen.append(1) or near(fps))
+    root = groups(range(len(texts)), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    assert sorted(r.doc_id for r in sd.keep_one(make(texts)).collect()) == sorted(set(root.values())) and seen
