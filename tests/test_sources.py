@@ -164,3 +164,12 @@ def test_shared_folder_comes_from_the_session(spark):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(_Session("yarn", None))
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_a_larger_input_gives_more_csv_files_not_larger_ones(spark, monkeypatch):
+    from workload import queries
+    sizes, write = [], queries.write_csv
+    monkeypatch.setattr(queries, "FILE_ROWS", 60)
+    monkeypatch.setattr(queries, "write_csv", lambda df, path: sizes.append(df.rdd.getNumPartitions()) or write(df, path))
+    rows = queries.csv_one_big_file(spark, "/root/testdata/sf0.001")
+    assert sizes == [-(-rows.count() // 60)] and sizes[0] > 1

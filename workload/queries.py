@@ -583,10 +583,14 @@ def mixed_dates(spark, sf_dir):
     return conform_articles(texts).select("doc_id", "pub_date")
 
 
+FILE_ROWS = 20_000  # a file is written by one task, so a larger input gives more files, not larger ones
+
+
 def csv_one_big_file(spark, sf_dir):
-    """One CSV file with line breaks in its cells, read by many tasks."""
-    path = scratch_path(spark, "csv")
-    write_csv(_articles(spark, sf_dir).coalesce(1), f"{path}/in")
+    """One CSV file (one for each FILE_ROWS articles) with line breaks in its cells, read by many tasks."""
+    path, texts = scratch_path(spark, "csv"), _articles(spark, sf_dir)
+    files = -(-texts.count() // FILE_ROWS)
+    write_csv(texts.repartition(files, "doc_id") if files > 1 else texts.coalesce(1), f"{path}/in")
     with settings(spark, spark__sql__files__maxPartitionBytes="256k", spark__sql__files__openCostInBytes="0"):
         tasks = spark.read.option("lineSep", "\n").text(f"{path}/in").select(F.spark_partition_id()).distinct().count()
         if tasks < 2:
