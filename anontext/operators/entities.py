@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from anontext.operators.automaton import Automaton, PrefixFilter, names_of, replace, tails, words_of
 from anontext.operators.rulemask import core_words
-from anontext.session import stored
+from anontext.session import small_batches, stored
 
 MAX_SURFACES = 200_000
 MAX_BYTES = 16 << 20
@@ -46,6 +46,7 @@ def mask_entities(df: DataFrame, dictionary: DataFrame, text: str, name: str, in
                   key: str = "doc_id", max_surfaces: int = MAX_SURFACES,
                   max_bytes: int = MAX_BYTES) -> DataFrame:
     """Add ``into``, the text with dictionary names masked. ``key`` is unique."""
+    small_batches(df.sparkSession)
     surfaces = normalise_surfaces(dictionary)
     if _fits(surfaces, max_surfaces, max_bytes):
         return _mask_in_place(df, surfaces, text, name, into)
