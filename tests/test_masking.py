@@ -235,3 +235,30 @@ def test_all_legal_forms_go(spark, text, masked):
 def test_long_mail_junk_is_no_danger(spark):
     df = spark.createDataFrame([("a@" + "b." * 100_000 + " " + "a@" + "b-" * 100_000 + " end 7",)], "t string")
     assert df.select(mask_patterns(F.col("t")).alias("m")).first().m.endswith(" end number_x")
+
+
+def test_texts_travel_to_python_in_small_batches(spark):
+    from anontext.operators.entities import mask_entities
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, str(64 << 20))
+        df = spark.createDataFrame([(1, "Blue Bolt rose", "Blue Bolt")], "doc_id long, text string, comnam string")
+        names = spark.createDataFrame([("blue bolt", "company", "b")], "surface string, kind string, entity string")
+        assert mask_entities(df, names, "text", "comnam", "masked").first().masked == "Company_1 rose"
+        assert int(spark.conf.get(name)) <= 8 << 20
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_first_characters_rule_no_match_out(spark):
+    from anontext.operators import rulemask
+    text = ("Https://a.b/c WWW.x.org ftp://q f.o'b@sap.de -a.co.uk 10:30 pm Noon 2024-01-05T10:00:00Z 5 May Sept. 3, 2020 Q3'23 3Q 2020 Tuesday "
+            "US$7 C$ 8 EUR 9.50 bn £3 12% 4 shares FY20 1999s 2023E NYSE: AB SYMBOL:ZZ $ Q >QQ EPA: X TYO:Y Twenty one one hundred an ODD dozen "
+            "third Zero eleven 1,,2..3 x4 4x a million half billionth hundredths")
+    df, plain = spark.createDataFrame([(text,), (text.upper(),), (text.lower(),), (None,)], "t string"), F.col("t")
+    for i, (_, pattern) in enumerate(rulemask.CLASSES):
+        whole = f"{rulemask._BEFORE}(?:{pattern}){rulemask._AFTER}"
+        begin = f"(?={rulemask._FIRST[i]})"
+        row = df.select(F.regexp_extract_all(plain, F.lit(whole), 0).alias("a"), F.regexp_extract_all(plain, F.lit(begin + whole), 0).alias("b")).collect()
+        assert row[0].a and all(r.a == r.b for r in row)
