@@ -28,6 +28,7 @@ SLIDE = 2048  # neighbouring windows read at a time
 MINE = 20  # words between the windows that training looks for the highest among
 WORDS, GRAMS, DIM, HIDDEN, ATTEND = 1 << 14, 1 << 15, 12, 12, 8
 CACHE_WORDS = 300_000
+LOOKED = 4096  # windows that training looks for the highest among at a time
 PORTION = 4096  # words taken at a time, which bounds memory
 STEPS, BATCH, RATE = 700, 64, 0.01
 STRIP = b".,;:!?\"'()[]*|-"
@@ -294,13 +295,30 @@ def train(texts: list[bytes], toxic: list[int], steps: int = STEPS, seed: int =
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     refresh = max(1, steps // 7)
     best = None
+
+    def gathered(begin):
+        """Of windows: the features of the words in them, and each window's words as numbers among these (-1: no word)."""
+        idx = joined[begin[:, None] + np.arange(WINDOW)]
+        used, local = np.unique(idx, return_inverse=True)
+        local = local.reshape(idx.shape)
+        if used[0] < 0:
+            used, local = used[1:], local - 1
+        size = ends[used] - start[used]
+        at = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(used) else size
+        return (word[used], grams[np.repeat(start[used] - at, size) + np.arange(size.sum())], at), local
+
+    def looked_at(begin):
+        """Scores of windows, of whose words only a portion's are held as input sums."""
+        found, local = gathered(begin)
+        return net.score(net.project(net.embed(found)), local)
+
     for step in range(steps):
         if step and step % refresh == 0:
             starts = [np.arange(min(rng.integers(MINE), n - 1), n, MINE) for n in count]
             owner = np.repeat(np.arange(len(starts)), [len(s) for s in starts])
             begin = np.repeat(first, [len(s) for s in starts]) + np.concatenate(starts)
-            rows = net.project(net.embed((word, grams, start)))
-            order = np.lexsort((-net.score(rows, joined[begin[:, None] + np.arange(WINDOW)]), owner))
+            told = np.concatenate([looked_at(begin[at:at + LOOKED]) for at in range(0, len(begin), LOOKED)])
+            order = np.lexsort((-told, owner))
             best = begin[order[np.searchsorted(owner, np.arange(len(starts)))]]
         half = BATCH // 2
         p_docs, n_docs = rng.choice(pos, half), rng.choice(neg, half)
@@ -309,17 +327,10 @@ def train(texts: list[bytes], toxic: list[int], steps: int = STEPS, seed: int =
             pick = np.concatenate([any_window(p_docs), any_window(n_docs)])
         else:
             pick = np.concatenate([best[p_docs], best[n_docs[:half // 2]], any_window(n_docs[half // 2:])])
-        idx = joined[pick[:, None] + np.arange(WINDOW)]
-        used, local = np.unique(idx, return_inverse=True)
-        local = local.reshape(idx.shape)
-        if used[0] < 0:
-            used, local = used[1:], local - 1
-        if not len(used):
+        found, local = gathered(pick)
+        if not len(found[0]):
             continue
-        size = ends[used] - start[used]
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-        own = grams[np.repeat(start[used] - begin, size) + np.arange(size.sum())]
-        g = net.gradients((word[used], own, begin), local, np.repeat([1.0, 0.0], half))
+        g = net.gradients(found, local, np.repeat([1.0, 0.0], half))
         rate = RATE * min(1, (step + 1) / 50) * (1 - 0.9 * step / steps)
         for k, x in net.p.items():
             if isinstance(g[k], tuple):

@@ -101,3 +101,16 @@ def test_sample_does_not_depend_on_partitions(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [toxicity.sample(docs.repartition(n), labels).to_dict("list") for n in (1, 2, 5)]
     assert got[0] == got[1] == got[2] and got[0]["doc_id"] == list(range(30))
+
+
+def test_training_holds_input_sums_of_few_words_at_a_time(words, monkeypatch):
+    """Of a vocabulary, only the words of a portion of windows are projected at once; the model is the same."""
+    data = [(" ".join([f"{w}{i}" for w in words(60, i)] + ["scum"] * (i % 2)), i % 2) for i in range(150)]
+    texts, y = [t.encode() for t, _ in data] + [b"", b" "], [y for _, y in data] + [0, 0]
+    whole = toxicity.train(texts, y, steps=14)
+    most, project = [], toxicity.Network.project
+    monkeypatch.setattr(toxicity, "LOOKED", 25)
+    monkeypatch.setattr(toxicity.Network, "project", lambda net, x: most.append(len(x)) or project(net, x))
+    parts = toxicity.train(texts, y, steps=14)
+    assert max(most) <= max(25, toxicity.BATCH) * toxicity.WINDOW < len({w for t in texts for w in toxicity.words_of(t)})
+    assert all(np.allclose(parts.p[k], v, atol=1e-5) for k, v in whole.p.items())
