@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from anontext.functions.extract import guess_fields, normalise_answer
 from anontext.functions.identify import identification_flags, parse_iso_date
 from anontext.functions.names import name_similarity
+from anontext.functions.text import let
 from anontext.operators.responders import MISSING, OK, Step, is_recorded
 from anontext.operators.templates import compile_prompt
 from anontext.plans.tables import IDENTIFIED, PASSED, WAITING, Commit, RunTables, buckets_for, fingerprint
@@ -118,11 +119,12 @@ class LadderRun:
 
 @dataclass(frozen=True)
 class AuditColumns:
-    """Expressions that are the same at every step, built once."""
+    """Expressions that are the same at every step, built once; ``again`` are those of a text that was asked about before."""
     fields: Column
     similarity: Column
     date: Column
     attempt: list[Column]
+    again: tuple[Column, Column, Column]
 
     @staticmethod
     def of(config: RunConfig) -> AuditColumns:
@@ -133,11 +135,17 @@ class AuditColumns:
         if config.strict:
             answered = (F.col("__rewrite.status") == OK) & (F.col("__guess.status") == OK)
             identified = F.when(answered, identified).otherwise(F.lit(1))
+        told, similar, day = F.col("__before"), name_similarity(
+            F.col("comnam"), fields["name"], config.similarity_method, config.escape_dots), parse_iso_date(fields["date"])
         return AuditColumns(
             fields=guess_fields(normalise_answer(F.col("__guess.text"))),
-            similarity=name_similarity(F.col("comnam"), fields["name"], config.similarity_method,
-                                       config.escape_dots),
-            date=parse_iso_date(fields["date"]),
+            similarity=similar,
+            date=day,
+            # Bound by let, since the optimiser evaluates what stands several times in a branch as often.
+            again=(F.when(F.col("__guess.text") == told["answer"], told["fields"]).otherwise(
+                       let(normalise_answer(F.col("__guess.text")), guess_fields)),
+                   F.when(fields["name"] == told["fields"]["name"], told["similarity"]).otherwise(similar),
+                   F.when(fields["date"] == told["fields"]["date"], told["date"]).otherwise(day)),
             attempt=[
                 F.col("__rewrite.text").alias("text"), F.col("__rewrite.status").alias("text_status"),
                 F.col("__rewrite.message").alias("text_message"),
@@ -153,8 +161,10 @@ class AuditColumns:
 
 def attempt_step(texts: DataFrame, step: Step, config: RunConfig, rewriter, guesser, audit: AuditColumns,
                  rewritten: bool = False) -> DataFrame:
-    """One pass over texts: article columns plus ``current_text``, and ``__rewrite`` where it is there already."""
-    carried = [c for c in texts.columns if c not in ("body", "current_text", "__rewrite")]
+    """One pass over texts: article columns plus ``current_text``, ``__rewrite`` where it is there already, and
+    ``__before`` where there was a step before: its answer and what was read from it."""
+    carried = [c for c in texts.columns if c not in ("body", "current_text", "__rewrite", "__before")]
+    fields, similarity, date = audit.again if "__before" in texts.columns else (audit.fields, audit.similarity, audit.date)
     asked = texts
     if not rewritten:
         asked = rewriter.score(texts, compile_prompt(step.template, texts.columns), F.col("current_text"), "__rewrite", step)
@@ -164,8 +174,8 @@ def attempt_step(texts: DataFrame, step: Step, config: RunConfig, rewriter, gues
     asked = guesser.score(asked, compile_prompt(config.guess_prompt, texts.columns), F.col("__rewrite.text"), "__guess", step)
     waits = open_rewrite | open_guess
     *attempt, identified = audit.attempt
-    return (asked.withColumn("__fields", audit.fields)
-            .select("*", audit.similarity.alias("name_similarity"), audit.date.alias("date_guess"))
+    return (asked.withColumn("__fields", fields)
+            .select("*", similarity.alias("name_similarity"), date.alias("date_guess"))
             .select(*(F.col(f"`{c}`") for c in carried), F.lit(step.step_no).alias("step_no"), F.lit(step.round).alias("round"),
                     F.lit(step.kind).alias("kind"), *attempt, F.when(waits, F.col("current_text")).alias("asked_text"),
                     F.when(waits, F.lit(WAITING)).otherwise(identified).alias("identified")))
@@ -218,7 +228,7 @@ def _take_turn(tables: RunTables, turn: int, steps: list[Step], config: RunConfi
             parts.append((tables.articles.withColumn("current_text", F.col("body")), False))
         elif before is not None and before.identified:
             texts = tables.attempts([before], IDENTIFIED)
-            parts.append((_as_texts(texts, F.col("text")), False))
+            parts.append((_as_texts(texts, F.col("text"), before=_answer_before()), False))
         if step.step_no in waited:
             texts = tables.attempts([waited[step.step_no]], WAITING)
             parts += [(_as_texts(texts.where(F.col("text_status") == MISSING), F.col("asked_text")), False),
@@ -237,9 +247,18 @@ def _take_turn(tables: RunTables, turn: int, steps: list[Step], config: RunConfi
     return worked
 
 
-def _as_texts(attempts: DataFrame, text: Column, rewrite: Column | None = None) -> DataFrame:
+def _answer_before() -> Column:
+    """An attempt's answer, and what was read from it."""
+    fields = F.struct(F.col("ticker_guess").alias("ticker"), F.col("name_guess").alias("name"),
+                      F.col("date_guess_raw").alias("date"), F.col("industry_guess").alias("industry"))
+    return F.struct(F.col("guess_response").alias("answer"), fields.alias("fields"),
+                    F.col("name_similarity").alias("similarity"), F.col("date_guess").alias("date"))
+
+
+def _as_texts(attempts: DataFrame, text: Column, rewrite: Column | None = None, before: Column | None = None) -> DataFrame:
     """Article columns of attempts, and the text to go on with."""
-    added = {"current_text": text} | ({} if rewrite is None else {"__rewrite": rewrite})
+    added = {"current_text": text, "__rewrite": rewrite, "__before": before}
+    added = {n: c for n, c in added.items() if c is not None}
     own = {"doc_id", *(f.name for f in STEP_TABLE if f.name not in ARTICLES.names)} - {"doc_id"}
     return attempts.select(*(F.col(f"`{c}`") for c in attempts.columns if c not in own), *(c.alias(n) for n, c in added.items()))
 

@@ -5,9 +5,11 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from anontext.functions.extract import extract_guess
+from anontext.functions.identify import check_identified
 from anontext.operators.responders import CallableResponder, ExpressionResponder, ReplayResponder, policy_for
 from anontext.plans import metrics
-from anontext.plans.ladder import ladder_results, plan_steps, run_ladder
+from anontext.plans.ladder import AuditColumns, attempt_step, ladder_results, plan_steps, run_ladder
 from anontext.plans.pipeline import run
 from anontext.schema import RunConfig
 
@@ -403,3 +405,40 @@ def test_a_run_without_a_path_writes_its_texts_once_more_only(articles, monkeypa
     assert stages[1:] == ["neutered", "sent_neut", "final"] and kept.results.columns == plain.results.columns
     same = [c for c in kept.results.columns if c != "run_id"]
     assert sorted(map(str, kept.results.select(same).collect())) == sorted(map(str, plain.results.select(same).collect()))
+
+
+def test_an_answer_that_stays_is_not_read_again(articles):
+    """What was found in the same answer, for the same name or date a step before, is taken over; others are read."""
+    config = RunConfig()
+    said = F.element_at(F.array(*(F.lit(x) for x in (
+        "Name Estimate: Blue Bolt 0, Date Estimate: 2001-02-03", "Name Estimate: Found, Date Estimate: 2001-02-03",
+        "Name Estimate: Found, Date Estimate: 1999-01-01"))), (F.col("doc_id") + 1).cast("int"))
+    found = F.struct(F.lit("T").alias("ticker"), F.lit("Found").alias("name"), F.lit("2001-02-03").alias("date"), F.lit("I").alias("industry"))
+    before = F.struct(F.lit("Name Estimate: Found, Date Estimate: 1999-01-01").alias("answer"), found.alias("fields"),
+                      F.lit(33).alias("similarity"), F.lit("1950-01-01").cast("timestamp_ntz").alias("date"))
+    texts = articles.where("doc_id < 3").withColumns({"current_text": F.col("body"), "__before": before})
+    made = attempt_step(texts, plan_steps(config)[1], config, REWRITER, ExpressionResponder(lambda call: said), AuditColumns.of(config))
+    got = made.orderBy("doc_id").collect()
+    assert "__before" not in made.columns
+    assert [(r.ticker_guess, r.name_guess, r.date_guess_raw, r.industry_guess) for r in got] == [
+        ("NA", "Blue Bolt 0", "2001-02-03", "NA"), ("NA", "Found", "2001-02-03", "NA"), ("T", "Found", "2001-02-03", "I")]
+    assert [r.name_similarity for r in got] == [100, 33, 33]
+    assert {r.date_guess for r in got} == {dt.datetime(1950, 1, 1)}
+
+
+def test_answers_that_change_between_steps_are_read_anew(articles):
+    """Names and dates that change from step to step, missing answers among them, give what one reading of each gives."""
+    answers = ["Name Estimate: Red Rock, Date Estimate: 2001-02-03", None, "nothing", "Name Estimate: Red Rock", "Name Estimate: blue bolt"]
+
+    def told(call):
+        some = F.array(*(F.lit(a).cast("string") for a in answers))
+        return F.element_at(some, ((F.col("doc_id") + call.step.step_no * 3) % 5 + 1).cast("int"))
+    ladder = run_ladder(articles, RunConfig(max_rounds=3, tolerance_days=0, threshold=101), REWRITER, ExpressionResponder(told))
+    rows = ladder.attempts.collect()
+    again = ladder.attempts.select("doc_id", "step_no", "guess_response").join(articles, "doc_id")
+    plain = check_identified(extract_guess(again, "guess_response", ("t", "n", "d", "i")), name_guess="n", date_guess="d", parsed_date="p",
+                             tolerance_days=0, threshold=101)
+    want = {(r.doc_id, r.step_no): (r.t, r.n, r.d, r.i, r.name_similarity, r.p, r.iort_guess_correct) for r in plain.collect()}
+    assert len(rows) > N and len({r.step_no for r in rows}) > 1
+    assert {(r.doc_id, r.step_no): (r.ticker_guess, r.name_guess, r.date_guess_raw, r.industry_guess, r.name_similarity, r.date_guess,
+                                    r.identified) for r in rows} == want
