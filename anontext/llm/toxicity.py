@@ -155,6 +155,7 @@ class Network:
             out[at:at + batch] = _sigmoid(self.pool(self.states(rows, part), part)[3].astype(np.float64))
         return out
 
+    @np.errstate(over="ignore")  # an infinite exponential makes a gate of 0 and a tanh of 1
     def slide(self, rows: np.ndarray, numbers: np.ndarray) -> np.ndarray:
         """Scores of all windows, one from each word on, of ``numbers``, which has WINDOW words at least.
 
@@ -162,39 +163,49 @@ class Network:
         so a step's inputs of all windows are one slice.
         """
         p, h = self.p, HIDDEN
-        signs = np.repeat(np.array([-1, 1], np.float32), [2 * h, h])[:, None]  # of gates, for exp
-        turned = {k: np.ascontiguousarray(p[f"h{k}"].T) * signs for k in "fb"}
-        att, out = p["att"].T.copy(), p["out"]
+        # Gates are 1 / (1 + exp(-x)) and tanh is 1 - 2 / (1 + exp(2x)): one exponential each, of sums that come scaled.
+        scale = np.repeat(np.array([-1, 2], np.float32), [2 * h, h])[:, None]
+        turned = {k: np.ascontiguousarray(p[f"h{k}"].T) * scale for k in "fb"}
+        # What attention asks of a state and what the state tells, in one product.
+        seen = {k: np.concatenate([2 * p["att"][cut].T, p["out"][None, cut]]) for k, cut in (("f", slice(h)), ("b", slice(h, None)))}
+        asked = -2 * p["ask"]  # without what is the same for every word
         logits = np.empty(len(numbers) - WINDOW + 1, np.float64)
         for at in range(0, len(logits), SLIDE):
             n = min(SLIDE, len(logits) - at)
             x = np.ascontiguousarray(rows[numbers[at:at + n + WINDOW - 1]].T)
-            x *= np.concatenate([signs, signs])
-            kept = np.empty((WINDOW, h, n), np.float32)
+            x *= np.concatenate([scale, scale])
+            kept, other = np.empty((WINDOW, ATTEND + 1, n), np.float32), np.empty((ATTEND + 1, n), np.float32)
             ask, told = np.empty((2, WINDOW, n), np.float32)
-            sums, gate, new = np.empty((3 * h, n), np.float32), np.empty((2 * h, n), np.float32), np.empty((h, n), np.float32)
+            sums, new = np.empty((3 * h, n), np.float32), np.empty((h, n), np.float32)
+            gate, own = sums[:2 * h], sums[2 * h:]
             for k, ts, low in (("f", range(WINDOW), 0), ("b", range(WINDOW - 1, -1, -1), 3 * h)):
-                state, other = np.zeros((2, h, n), np.float32)
+                state = np.zeros((h, n), np.float32)
                 for t in ts:
                     np.matmul(turned[k], state, out=sums)
-                    np.add(sums[:2 * h], x[low:low + 2 * h, t:t + n], out=gate)
-                    np.exp(np.minimum(gate, 80, out=gate), out=gate)
+                    gate += x[low:low + 2 * h, t:t + n]
+                    np.exp(gate, out=gate)
                     gate += 1
                     np.reciprocal(gate, out=gate)
-                    np.multiply(gate[h:], sums[2 * h:], out=new)
+                    np.multiply(gate[h:], own, out=new)
                     new += x[low + 2 * h:low + 3 * h, t:t + n]
-                    np.tanh(new, out=new)
-                    now = kept[t] if k == "f" else other
-                    np.subtract(state, new, out=now)
-                    now *= gate[:h]
-                    now += new
-                    state, other = now, state
-                    if k == "b":
-                        seen = att[:, :h] @ kept[t]
-                        seen += att[:, h:] @ state
-                        np.tanh(seen, out=seen)
-                        ask[t] = p["ask"] @ seen
-                        told[t] = out[:h] @ kept[t] + out[h:] @ state
+                    np.exp(new, out=new)
+                    new += 1
+                    np.divide(-2, new, out=new)
+                    new += 1
+                    state -= new
+                    state *= gate[:h]
+                    state += new
+                    if k == "f":
+                        np.matmul(seen[k], state, out=kept[t])
+                        continue
+                    np.matmul(seen[k], state, out=other)
+                    other += kept[t]
+                    told[t] = other[ATTEND]
+                    looks = other[:ATTEND]
+                    np.exp(looks, out=looks)
+                    looks += 1
+                    np.reciprocal(looks, out=looks)
+                    np.matmul(asked, looks, out=ask[t])
             ask -= ask.max(axis=0)
             np.exp(ask, out=ask)
             logits[at:at + n] = (ask * told).sum(axis=0) / ask.sum(axis=0) + p["bias"][0]

@@ -114,3 +114,18 @@ def test_training_holds_input_sums_of_few_words_at_a_time(words, monkeypatch):
     parts = toxicity.train(texts, y, steps=14)
     assert max(most) <= max(25, toxicity.BATCH) * toxicity.WINDOW < len({w for t in texts for w in toxicity.words_of(t)})
     assert all(np.allclose(parts.p[k], v, atol=1e-5) for k, v in whole.p.items())
+
+
+def test_sliding_takes_one_exponential_and_no_other_function(monkeypatch):
+    """A step's gates and tanh by one exponential each, also where it overflows; scores stay those of single windows."""
+    net = toxicity.Network(seed=6)
+    rows = np.concatenate([np.random.default_rng(7).standard_normal((90, 6 * toxicity.HIDDEN)) * 60, np.zeros((1, 6 * toxicity.HIDDEN))])
+    rows, numbers = rows.astype(np.float32), np.arange(90, dtype=np.int32)
+    want = net.score(rows, toxicity.window_table(numbers))
+    taken, exp = [], np.exp
+    monkeypatch.setattr(np, "tanh", lambda *a, **k: pytest.fail("tanh is taken"))
+    monkeypatch.setattr(np, "exp", lambda x, *a, **k: taken.append(np.size(x)) or exp(x, *a, **k))
+    got = net.slide(rows, numbers)
+    assert np.isfinite(got).all() and got == pytest.approx(want, abs=1e-5)
+    steps = len(got) * toxicity.WINDOW
+    assert sum(taken) <= steps * (6 * toxicity.HIDDEN + toxicity.ATTEND + 1) + len(got)
