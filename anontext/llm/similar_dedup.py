@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from anontext.llm.common import components, from_texts, small_batches, stored, text_bytes, worker_cache
@@ -30,19 +30,25 @@ PRINT_SHINGLE = 3  # of the fingerprints, as in op6
 BANDS, ROWS = 24, 4
 CENTRES = 2
 LEAST = 58  # of BANDS * ROWS minima
+PRUNED = 2  # times that texts with too few shared shingles are put aside
 _R = np.random.default_rng(SEED)
 _MULTIPLY = _R.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _R.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 
+def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """Of the different shingles."""
+    parts = [np.array([xxhash.xxh64_intdigest(s, SEED) for s in made], np.uint64) for made in shingles(words, shingle)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
 def sketch(text: bytes, shingle: int = SHINGLE) -> tuple[int, int, list[int], bytes]:
     """A hash of the words, the number of different shingles, a hash of each band of minima, and each minimum's lowest byte."""
     words = text.lower().split()
     own = int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), SEED)).view(np.int64))
-    parts = [np.array([xxhash.xxh64_intdigest(s, SEED) for s in made], np.uint64) for made in shingles(words, shingle)]
-    if not parts:
+    h = _hashes(words, shingle)
+    if not len(h):
         return own, 0, [], b""
-    h = np.unique(np.concatenate(parts))
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, len(h), 4096):
@@ -129,6 +135,41 @@ def printed_pairs(distinct: DataFrame) -> DataFrame:
     return same.unionByName(near).select(F.least("_fp", "_c").alias("a"), F.greatest("_fp", "_c").alias("b")).distinct()
 
 
+def rare_pairs(members: DataFrame, texts_of, shingle: int, similarity: float) -> DataFrame:
+    """Pairs of members (_fp, _n, _root) of different roots, all that are similar among them, by the rarest shingles they share.
+
+    Only shingles that stand under two roots link a text with one of another root. Similar texts of n and m shingles share
+    similarity / (1 + similarity) * (n + m) of these at least. Of the first one they share, rarest first, both have so many
+    left from there on; pairs without such a shingle are not similar. Texts with fewer than similarity * n go first.
+    """
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                h = _hashes(batch.column("_text")[i].as_py().lower().split(), shingle).view(np.int64)
+                same = pa.array(np.zeros(len(h), np.int64))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1).take(same) for c in ("_fp", "_n", "_root")), pa.array(h)],
+                                                 names=["_fp", "_n", "_root", "_s"])
+
+    small_batches(members.sparkSession)
+    texts = members.join(texts_of(members.select("_fp")), "_fp").select("_fp", "_n", "_root", "_text")
+    made = texts.mapInArrow(run, "_fp long, _n long, _root long, _s long")
+    least = F.ceil(F.lit(similarity) * F.col("_n") - 1e-6)
+    for turn in range(PRUNED):
+        made = stored(made, "similar-shingles")
+        across = made.groupBy("_s").agg(F.count("*").alias("_c"), F.min("_root").alias("lo"), F.max("_root").alias("hi")).where("lo <> hi")
+        made = made.join(across.select("_s", "_c"), "_s")
+        counted = made.withColumn("_k", F.count("*").over(Window.partitionBy("_fp"))).where(F.col("_k") >= least)
+        made = counted.select("_fp", "_n", "_root", "_s")
+    # What is left of a text from each shared shingle on, the rarest first.
+    place = F.row_number().over(Window.partitionBy("_fp").orderBy("_c", "_s"))
+    first = counted.withColumn("_rest", F.col("_k") - place + 1).where(F.col("_rest") >= least).select("_fp", "_n", "_root", "_s", "_rest")
+    first = stored(first, "similar-rarest")
+    other = first.select("_s", F.col("_fp").alias("_c"), F.col("_n").alias("_m"), F.col("_root").alias("_other"), F.col("_rest").alias("_left"))
+    wanted = F.lit(similarity / (1 + similarity)) * (F.col("_n") + F.col("_m")) - 1e-6
+    return first.join(other, (first["_s"] == other["_s"]) & (F.col("_root") < F.col("_other")) & (F.least("_rest", "_left") >= wanted)).select(
+        "_fp", "_n", "_c", "_m")
+
+
 def similar_links(distinct: DataFrame, texts_of, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(id, root) of the groups linked among distinct texts, as ``sketches`` gives them; texts in no pair are left out."""
     filed = distinct.select("_fp", "_n", F.posexplode("_bands").alias("_band", "_file"))
@@ -151,8 +192,8 @@ def similar_links(distinct: DataFrame, texts_of, shingle: int = SHINGLE, similar
         if turn < CENTRES:
             pairs = named.select("_fp", "_n", "_root", "_s.*").where(F.col("_root") != F.col("_other"))
         else:
-            other = named.select("_band", "_file", F.col("_fp").alias("_c"), F.col("_n").alias("_m"), F.col("_root").alias("_other"))
-            pairs = named.drop("_s").join(other, ["_band", "_file"]).where("_root < _other")
+            members = stored(named.select("_fp", "_n", "_root").distinct(), "similar-open")
+            pairs = rare_pairs(members, texts_of, shingle, similarity)
         pairs = pairs.where(fits).select(F.least("_fp", "_c").alias("a"), F.greatest("_fp", "_c").alias("b")).distinct()
         pairs = stored(pairs.join(done, ["a", "b"], "left_anti"), "similar-pairs")
         close = stored(likely(pairs, distinct), "similar-close")

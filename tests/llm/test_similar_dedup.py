@@ -85,3 +85,38 @@ def test_copies_are_proposed_by_fingerprints_and_decided_on_texts(make, words, m
     monkeypatch.setattr(sd, "near_prints", lambda fps: seen.append(1) or near(fps))
     root = groups(range(len(texts)), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
     assert sorted(r.doc_id for r in sd.keep_one(make(texts)).collect()) == sorted(set(root.values())) and seen
+
+
+def test_copies_that_cannot_be_similar_are_not_paired(spark, make, words, monkeypatch):
+    """Far copies of one text share bands, but not enough shingles: they meet no more than a few times a text; near ones all meet."""
+    from corpus_pipeline import drop_near_duplicates
+
+    monkeypatch.setattr(sd, "CENTRES", 0)
+    r, base, texts = random.Random(4), words(200, 77), []
+    for i in range(60):
+        own = base[:]
+        for at in r.sample(range(200), 7):  # 35 of 196 shingles: 0.70 at most between the text and a copy
+            own[at] = f"zz{i}x{at}"
+        texts.append(" ".join(own))
+    own[own.index(next(w for w in own if not w.startswith("zz")))] = "yy"
+    texts.append(" ".join(own))  # of the last copy
+    seen, likely = [], sd.likely
+    monkeypatch.setattr(sd, "likely", lambda pairs, d: seen.append(pairs.count()) or likely(pairs, d))
+    root = groups(range(len(texts)), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    assert len(set(root.values())) == 60
+    assert sorted(x.doc_id for x in drop_near_duplicates(spark, make(texts), None).collect()) == sorted(set(root.values()))
+    assert 1 <= sum(seen) <= len(texts)
+
+
+def test_rarest_shared_shingles_lose_no_similar_pair(spark, words):
+    """Against all pairs, with texts of one root and of many, and a passage in very many texts."""
+    for seed in (5, 6):
+        texts = sorted({t.lower() for t in corpus(words, seed) if t and t.split()})
+        texts += [" ".join(words(30, 8) + words(40, 900 + i)) for i in range(20)]
+        made = [sd._hashes(t.encode().lower().split(), 5) for t in texts]
+        root = [i if i % 3 else i // 9 for i in range(len(texts))]
+        members = spark.createDataFrame([(i, len(h), root[i]) for i, h in enumerate(made)], "_fp long, _n long, _root long")
+        held = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "_fp long, _text binary")
+        got = {tuple(sorted((x._fp, x._c))) for x in sd.rare_pairs(members, lambda ids: held.join(ids, "_fp"), 5, 0.8).collect()}
+        want = {(a, b) for b in range(len(texts)) for a in range(b) if root[a] != root[b] and jaccard(texts[a], texts[b]) >= 0.8}
+        assert want and want <= got and all(root[a] != root[b] for a, b in got)
