@@ -7,8 +7,8 @@ gathered on all training texts by chunk and added up by word in Spark. Training
 as one sequence, however long; training keeps forward states at a few edges and goes back stretch by stretch.
 
 Words meet by word, not by text: each task turns its texts into numbers of a dictionary of its own and sends
-that dictionary's words once per chunk of texts. In every round their counts come back to the chunk by word, and
-the chunk's expected counts leave by word. The driver holds starts, follows and two sums per state.
+that dictionary's words once per chunk of texts. In every round the counts of those seen in training come back to the chunk by
+word, and the chunk's expected counts leave by word; the counts of two rounds are kept. The driver holds starts, follows and two sums per state.
 
 A-Z is lower-cased; words are runs without 0x20 and 0x09-0x0D; every text has one more token, its end, so
 null and empty texts are one token. Repeated rows are scored each. Without training texts, every word is
@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from anontext.llm.common import small_batches, stored, text_bytes
+from anontext.llm.common import scratch_path, settings, small_batches, stored, text_bytes
 
 STATES = 8
 ROUNDS = 4
@@ -273,38 +273,56 @@ def _sums(counts: DataFrame, states: int) -> tuple[np.ndarray, np.ndarray]:
     return got[:states], got[states:]
 
 
-def _in_order(right: pa.Table, states: int):
-    """A chunk's words by their local numbers: row order, training counts, and counts by state."""
-    order = np.argsort(right.column("_local").to_numpy())
-    counts = np.stack([right.column(f"n{k}").to_numpy()[order] for k in range(states)]).astype(np.float64)
-    return order, right.column("_c").to_numpy()[order], counts
+def _in_order(right: pa.Table, ids: list[np.ndarray], states: int):
+    """A chunk's words by their local numbers: row, training count, and counts by state; words without a row are unknown."""
+    local = right.column("_local").to_numpy()
+    size = 1 + max([int(local.max(initial=-1)), *(int(i.max()) for i in ids)])
+    row, c, counts = np.full(size, -1), np.zeros(size, np.int64), np.zeros((states, size))
+    row[local] = np.arange(len(local))
+    c[local] = right.column("_c").to_numpy()
+    for k in range(states):
+        counts[k, local] = right.column(f"n{k}").to_numpy()
+    return row, c, counts
 
 
-def baum_welch(texts: DataFrame, words: DataFrame, own: DataFrame, chain: Chain, states: int) -> tuple[DataFrame, Chain]:
-    """One round: every chunk's expected counts, added up by word; ``own`` are the words with their counts."""
+def _written(counts: DataFrame, path: str) -> DataFrame:
+    """Written in the place of the table that lay there."""
+    spark = counts.sparkSession
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        counts.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.schema(counts.schema).parquet(path)
+
+
+def baum_welch(texts: DataFrame, words: DataFrame, own: DataFrame, chain: Chain, states: int, path: str) -> tuple[DataFrame, Chain]:
+    """One round: every chunk's expected counts, added up by word; ``own`` are the words with their counts.
+
+    ``words`` are those seen in training. The counts go to ``path``; ``own`` must not be read from there.
+    """
     fields = ["_kind", "_word", "_c", *(f"n{k}" for k in range(states))]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        order, c, counts = _in_order(right, states)
-        m = Model.of(chain.start, chain.follow, chain.emissions(c, counts))
         ids = sorted((_plain(raw, np.int32) for raw in left.column("_ids").to_pylist()), key=len, reverse=True)
+        row, c, counts = _in_order(right, ids, states)
+        m = Model.of(chain.start, chain.follow, chain.emissions(c, counts))
         sums = m.expect(ids) if ids else (np.zeros(states), np.zeros((states, states)), np.zeros(counts.shape))
         some = np.flatnonzero(sums[2].any(axis=0))
         flat = np.concatenate([sums[0][:, None], sums[1].T, sums[2][:, some]], axis=1)  # a column of starts, one of follows per state
         kind = np.concatenate([np.arange(states + 1), np.full(len(some), -1)]).astype(np.int32)
         named = pa.concat_arrays([pa.nulls(states + 1, pa.binary()),
-                                  right.column("_word").combine_chunks().take(pa.array(order[some])).cast(pa.binary())])
+                                  right.column("_word").combine_chunks().take(pa.array(row[some])).cast(pa.binary())])
         return pa.table([pa.array(kind), named, pa.array(np.concatenate([np.zeros(states + 1, np.int64), c[some]])),
                          *(pa.array(flat[k]) for k in range(states))], names=fields)
 
     got = texts.where("_train").groupBy("_chunk").cogroup(own.groupBy("_chunk")).applyInArrow(
         run, "_kind int, _word binary, _c long, " + ", ".join(f"n{k} double" for k in range(states)))
     got = got.groupBy("_kind", "_word").agg(F.max("_c").alias("_c"), *[F.sum(f"n{k}").alias(f"n{k}") for k in range(states)])
-    got = stored(got, "lm-counts")
+    # Sums of words are kept as floats; those of starts and follows, a row for each state and one, as they are.
+    got = _written(got.select("_kind", "_word", "_c", *[F.col(f"n{k}").cast("float").alias(f"n{k}") for k in range(states)], *[
+        F.when(F.col("_kind") >= 0, F.col(f"n{k}")).alias(f"d{k}") for k in range(states)]), path)
     rest = np.zeros((states + 1, states))
-    for r in got.where("_kind >= 0").collect():  # one row per state, and one
-        rest[r["_kind"]] = [r[f"n{k}"] for k in range(states)]
-    counts = got.where("_kind < 0").select("_word", "_c", *[F.col(f"n{k}").cast("float").alias(f"n{k}") for k in range(states)])
+    for r in got.where("_kind >= 0").collect():
+        rest[r["_kind"]] = [r[f"d{k}"] for k in range(states)]
+    counts = got.where("_kind < 0").select("_word", "_c", *[f"n{k}" for k in range(states)])
     after = Chain(states, chain.norm, chain.once).hold_back(*_sums(counts, states))
     after.start = (rest[0] + 1) / (rest[0] + 1).sum()
     after.follow = (rest[1:] + 1) / (rest[1:] + 1).sum(axis=1, keepdims=True)
@@ -317,17 +335,20 @@ def score_texts(docs: DataFrame, train: Column, rounds: int = ROUNDS, states: in
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, _train for every row."""
     texts, words, n, v, once = encoded(docs, train)
     norm = n + 0.5 * (v + 1)
-    own, chain = first_counts(words, states, norm), None
+    known = words.where("_c > 0")  # the others have no counts to send
+    own, chain = first_counts(known, states, norm), None
     if n:
         chain = Chain(states, norm, once * 1.5 / norm).hold_back(*_sums(own.where("_lead"), states))
-        for _ in range(rounds):
-            own, chain = baum_welch(texts, words, own, chain, states)
+        # A round reads the counts of the one before, and takes the place of those before that.
+        paths = [scratch_path(docs.sparkSession, "lm-counts") for _ in range(2)]
+        for turn in range(rounds):
+            own, chain = baum_welch(texts, known, own, chain, states, paths[turn % 2])
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, c, counts = _in_order(right, states)
-        log_p = np.log10((c + 0.5) / norm)
         ids = [_plain(x, np.int32) for x in left.column("_ids").to_pylist()]
+        _, c, counts = _in_order(right, ids, states)
+        log_p = np.log10((c + 0.5) / norm)
         base = np.array([float(log_p[i].sum()) for i in ids])
         score = base if chain is None else Model.of(chain.start, chain.follow, chain.emissions(c, counts)).likelihood(ids)
         return pa.table({

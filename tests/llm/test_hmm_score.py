@@ -145,3 +145,24 @@ def test_every_word_keeps_counts_of_its_own(make, spark, words, monkeypatch):
     chain.hold_back(dense.sum(axis=1), dense[:, c == 1].sum(axis=1))
     want = hmm_score.Model.of(chain.start, chain.follow, chain.emissions(c, dense)).likelihood(ids)
     assert [got[i] for i in range(len(texts))] == pytest.approx(want.tolist(), rel=1e-5)
+
+
+def test_rounds_keep_two_tables_and_send_no_unknown_words(make, words, monkeypatch):
+    import os
+
+    monkeypatch.setattr(hmm_score, "CHUNK_BYTES", 700)
+    docs = make([" ".join(words(30, i % 7) + [f"only{i}"]) for i in range(40)])
+    sent, paths, inner = [], [], hmm_score.baum_welch
+
+    def round_of(texts, known, own, chain, states, path):
+        sent.append(own.where("_c = 0").count())
+        out = inner(texts, known, own, chain, states, path)
+        paths.append(path)
+        counts = [x for x in os.listdir(os.path.dirname(path)) if f"{os.path.dirname(path)}/{x}" in paths]
+        assert len(counts) == min(len(paths), 2)
+        return out
+
+    monkeypatch.setattr(hmm_score, "baum_welch", round_of)
+    got = hmm_score.score_texts(docs, F.col("doc_id") % 4 != 1, rounds=4).collect()
+    assert len(got) == 40 and sent == [0] * 4 and len(paths) == 4
+    assert all(r.n_tokens - r.n_known == (r.doc_id % 4 == 1) and r.score < 0 for r in got)
