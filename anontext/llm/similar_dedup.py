@@ -9,8 +9,8 @@ less. A pair whose minima agree in fewer than LEAST of their lowest bytes goes n
 every such pair is decided on the shingles of the whole texts themselves.
 
 Texts of equal words (case aside) are put together first. Within a band's bucket the members meet its centre
-first, for a few centres; pairs not linked by then are all decided, so a bucket costs the square of its size only
-where its texts are alike in a band and still not linked. Sizes that rule out the similarity are not compared.
+first, for a few centres; texts that share a bucket with one not linked by then are paired by the rarest shingles they
+share, which is exact. Sizes that rule out the similarity are not compared.
 Null texts count as empty; empty texts are alike, and like nothing else.
 """
 
