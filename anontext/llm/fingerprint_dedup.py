@@ -56,15 +56,23 @@ def shingles(words: list[bytes], shingle: int):
             yield list(map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False)))
 
 
+def hashed(words: list[bytes], shingle: int) -> np.ndarray:
+    """Of all shingles, in order."""
+    parts = [np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in made), "<u8", len(made)) for made in shingles(words, shingle)]
+    return np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.zeros(0, "<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """A bit is 1 when set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[at:at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little")
+
+
 def fingerprint(words: list[bytes], shingle: int) -> int:
     """A bit is 1 when set in over half of the shingles' hashes."""
-    if not words:
-        return 0
-    ones, total = np.zeros(64, np.int64), max(1, len(words) - shingle + 1)
-    for made in shingles(words, shingle):
-        h = np.array([xxhash.xxh64_intdigest(s, SEED) for s in made], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > total, bitorder="little").tobytes(), "little")
+    return majority(hashed(words, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", lower: bool = True) -> DataFrame:

@@ -10,7 +10,7 @@ every such pair is decided on the shingles of the whole texts themselves.
 
 Texts of equal words (case aside) are put together first. Within a band's bucket the members meet its centre
 first, for a few centres; texts that share a bucket with one not linked by then are paired by the rarest shingles they
-share, which is exact. Sizes that rule out the similarity are not compared.
+share, which is exact; marks of all that each shares tell most of those apart that are not similar. Sizes that rule out the similarity are not compared.
 Null texts count as empty; empty texts are alike, and like nothing else.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from anontext.llm.common import components, from_texts, small_batches, stored, text_bytes, worker_cache
-from anontext.llm.fingerprint_dedup import SEED, fingerprint, links as near_prints, shingles
+from anontext.llm.fingerprint_dedup import SEED, hashed, majority, links as near_prints, shingles
 
 SHINGLE, SIMILARITY = 5, 0.8
 PRINT_SHINGLE = 3  # of the fingerprints, as in op6
@@ -31,9 +31,9 @@ BANDS, ROWS = 24, 4
 CENTRES = 2
 LEAST = 58  # of BANDS * ROWS minima
 PRUNED = 2  # times that texts with too few shared shingles are put aside
-_R = np.random.default_rng(SEED)
-_MULTIPLY = _R.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _R.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+BITS = 16  # longs that a text's shared shingles are marked in
+PART = 1024  # shingles whose minima are taken at a time
+_MULTIPLY = np.random.default_rng(SEED).integers(0, 1 << 31, (BANDS * ROWS, 1), np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
@@ -42,23 +42,32 @@ def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def sketch(text: bytes, shingle: int = SHINGLE) -> tuple[int, int, list[int], bytes]:
-    """A hash of the words, the number of different shingles, a hash of each band of minima, and each minimum's lowest byte."""
+def _widened(h: np.ndarray, short: int, shingle: int) -> np.ndarray:
+    """Hashes of the different shingles of ``shingle`` words from those of ``short`` words in order, which cover them."""
+    at = [*range(0, shingle - short, short), shingle - short]
+    n = len(h) - at[-1]
+    mixed = np.zeros(n, np.uint64)
+    for k in at:
+        mixed = (mixed ^ h[k:k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed)
+
+
+def sketch(text: bytes, shingle: int = SHINGLE) -> tuple[int, int, list[int], bytes, int]:
+    """A hash of the words, the number of different shingles, a hash of each band of minima, each minimum's lowest byte, and the fingerprint."""
     words = text.lower().split()
     own = int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), SEED)).view(np.int64))
-    h = _hashes(words, shingle)
-    if not len(h):
-        return own, 0, [], b""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(h), 4096):
-            part = h[at:at + 4096]
-            for i in range(BANDS * ROWS):
-                mixed = (part + _ADD[i]) * _MULTIPLY[i]
-                mixed = (mixed ^ (mixed >> np.uint64(32))) * _MULTIPLY[-1 - i]
-                low[i] = min(low[i], mixed.min())
+    if not words:
+        return own, 0, [], b"", 0
+    short = hashed(words, PRINT_SHINGLE)
+    h = _widened(short, PRINT_SHINGLE, shingle) if len(words) >= shingle >= PRINT_SHINGLE else _hashes(words, shingle)
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    high = (h >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(high), PART):
+        # The hashes are as good as drawn, so an odd factor for each minimum orders them anew.
+        np.minimum(low, (high[at:at + PART] * _MULTIPLY).min(axis=1), out=low)
     bands = [xxhash.xxh64_intdigest(low[b * ROWS:(b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
-    return own, len(h), np.array(bands, np.uint64).view(np.int64).tolist(), low.astype(np.uint8).tobytes()
+    return own, len(h), np.array(bands, np.uint64).view(np.int64).tolist(), low.astype(np.uint8).tobytes(), majority(short)
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -68,7 +77,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
         def work(texts):
             made = [sketch(t, shingle) for t in texts]
-            prints = np.array([fingerprint(t.lower().split(), PRINT_SHINGLE) for t in texts], "<u8").view("<i8")
+            prints = np.array([m[4] for m in made], "<u8").view("<i8")
             return {"_fp": [m[0] for m in made], "_n": [m[1] for m in made], "_bands": [m[2] for m in made], "_low": [m[3] for m in made],
                     "_print": prints}
         return work
@@ -141,6 +150,8 @@ def rare_pairs(members: DataFrame, texts_of, shingle: int, similarity: float) ->
     Only shingles that stand under two roots link a text with one of another root. Similar texts of n and m shingles share
     similarity / (1 + similarity) * (n + m) of these at least. Of the first one they share, rarest first, both have so many
     left from there on; pairs without such a shingle are not similar. Texts with fewer than similarity * n go first.
+    A mark that one text has and the other has not stands for a shingle at least that they do not share, so pairs of a
+    text with the many copies of another are ruled out where they meet.
     """
     def run(batches):
         for batch in batches:
@@ -162,12 +173,17 @@ def rare_pairs(members: DataFrame, texts_of, shingle: int, similarity: float) ->
         made = counted.select("_fp", "_n", "_root", "_s")
     # What is left of a text from each shared shingle on, the rarest first.
     place = F.row_number().over(Window.partitionBy("_fp").orderBy("_c", "_s"))
-    first = counted.withColumn("_rest", F.col("_k") - place + 1).where(F.col("_rest") >= least).select("_fp", "_n", "_root", "_s", "_rest")
-    first = stored(first, "similar-rarest")
-    other = first.select("_s", F.col("_fp").alias("_c"), F.col("_n").alias("_m"), F.col("_root").alias("_other"), F.col("_rest").alias("_left"))
+    mark, cell = F.expr("shiftleft(1L, cast(_s & 63 AS INT))"), F.expr(f"pmod(shiftright(_s, 6), {BITS})")
+    marks = {f"x{i}": F.coalesce(F.bit_or(F.when(cell == i, mark)).over(Window.partitionBy("_fp")), F.lit(0)) for i in range(BITS)}
+    first = counted.withColumns({"_rest": F.col("_k") - place + 1, **marks}).where(F.col("_rest") >= least)
+    first = stored(first.select("_fp", "_n", "_root", "_s", "_rest", "_k", *marks), "similar-rarest")
+    other = first.select("_s", F.col("_fp").alias("_c"), F.col("_n").alias("_m"), F.col("_root").alias("_other"), F.col("_rest").alias("_left"),
+                         F.col("_k").alias("_l"), *[F.col(x).alias(f"y{x}") for x in marks])
     wanted = F.lit(similarity / (1 + similarity)) * (F.col("_n") + F.col("_m")) - 1e-6
-    return first.join(other, (first["_s"] == other["_s"]) & (F.col("_root") < F.col("_other")) & (F.least("_rest", "_left") >= wanted)).select(
-        "_fp", "_n", "_c", "_m")
+    mine = F.col("_k") - sum(F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(f"y{x}"))) for x in marks)
+    theirs = F.col("_l") - sum(F.bit_count(F.col(f"y{x}").bitwiseAND(F.bitwise_not(x))) for x in marks)
+    return first.join(other, (first["_s"] == other["_s"]) & (F.col("_root") < F.col("_other")) & (F.least("_rest", "_left") >= wanted) & (
+        F.least(mine, theirs) >= wanted)).select("_fp", "_n", "_c", "_m")
 
 
 def similar_links(distinct: DataFrame, texts_of, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -178,8 +194,7 @@ def similar_links(distinct: DataFrame, texts_of, shingle: int = SHINGLE, similar
     fits = F.least("_n", "_m") >= F.lit(similarity) * F.greatest("_n", "_m") - 1e-9
     done = stored(printed_pairs(distinct), "similar-pairs")
     close = stored(likely(done, distinct), "similar-close")
-    links = stored(alike(close, texts_of, shingle, similarity), "similar-links")
-    roots = components(links, "similar")
+    roots = components(stored(alike(close, texts_of, shingle, similarity), "similar-links"), "similar")
     for turn in range(CENTRES + 1):
         named = filed.join(
             roots.withColumnRenamed("id", "_fp").withColumnRenamed("root", "_root"), "_fp", "left").withColumn(
@@ -198,8 +213,9 @@ def similar_links(distinct: DataFrame, texts_of, shingle: int = SHINGLE, similar
         pairs = stored(pairs.join(done, ["a", "b"], "left_anti"), "similar-pairs")
         close = stored(likely(pairs, distinct), "similar-close")
         found = stored(alike(close, texts_of, shingle, similarity), "similar-links")
-        done, links = done.unionByName(pairs), links.unionByName(found)
-        roots = components(links, "similar")
+        done = done.unionByName(pairs)
+        # Groups are known already: each goes on as a star.
+        roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(found), "similar")
     return roots
 
 

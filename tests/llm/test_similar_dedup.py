@@ -120,3 +120,33 @@ def test_rarest_shared_shingles_lose_no_similar_pair(spark, words):
         got = {tuple(sorted((x._fp, x._c))) for x in sd.rare_pairs(members, lambda ids: held.join(ids, "_fp"), 5, 0.8).collect()}
         want = {(a, b) for b in range(len(texts)) for a in range(b) if root[a] != root[b] and jaccard(texts[a], texts[b]) >= 0.8}
         assert want and want <= got and all(root[a] != root[b] for a, b in got)
+
+
+def test_texts_beside_a_large_group_of_copies_meet_few_of_it(spark, words):
+    """Copies of one text: those far off it are compared with the few of the group that they may be similar to."""
+    r, base, texts = random.Random(8), words(150, 70), []
+    for i in range(80):
+        own = base[:]
+        for at in r.sample(range(0, 150, 6), 1 + i % 2 if i < 60 else 3):  # 5 of 146 shingles each
+            own[at] = f"zz{i}x{at}"
+        texts.append(" ".join(own))
+    made = [sd._hashes(t.encode().split(), 5) for t in texts]
+    root = [0 if i < 60 else i for i in range(80)]
+    members = spark.createDataFrame([(i, len(h), root[i]) for i, h in enumerate(made)], "_fp long, _n long, _root long")
+    held = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "_fp long, _text binary")
+    got = [tuple(sorted((x._fp, x._c))) for x in sd.rare_pairs(members, lambda ids: held.join(ids, "_fp"), 5, 0.8).collect()]
+    want = {(a, b) for b in range(80) for a in range(b) if root[a] != root[b] and jaccard(texts[a], texts[b]) >= 0.8}
+    assert want and want <= set(got) and len(set(got)) < 2 * len(want)
+
+
+def test_sketch_hashes_each_shingle_once(words, monkeypatch):
+    """Minima and fingerprint come from one hash of each three words."""
+    taken, digest = [], sd.xxhash.xxh64_intdigest
+    monkeypatch.setattr(sd.xxhash, "xxh64_intdigest", lambda *a: taken.append(1) or digest(*a))
+    for n in (1, 4, 5, 300, 3000):
+        own = [w.encode() for w in words(n, n)] + [b"a", b"b"] * (n // 100)
+        taken.clear()
+        got = sd.sketch(b" ".join(own))
+        assert len(taken) <= len(own) + sd.BANDS + 2
+        assert got[1] == len(sd._hashes(own, 5)) == len({tuple(own[i:i + 5]) for i in range(max(1, len(own) - 4))})
+        assert got[4] == fingerprint(own, 3)
