@@ -8,6 +8,8 @@ a responder may answer differently each time, its answers count only once they a
 A recorded answer that is missing may still arrive. A text that lacks one waits at its step, and all others go
 on. Resuming the run takes a turn: waiting texts are asked about again, with what was already answered
 for them, and those that find their answers go on from there.
+
+In a packed run (see ``tables``) the body travels with the texts of a step, as what they are told by.
 """
 
 from __future__ import annotations
@@ -104,7 +106,7 @@ class LadderRun:
     @property
     def waiting(self) -> DataFrame:
         """Texts that wait for an answer, with the step at which they do."""
-        return self._attempts([c for c in self.commits if c.turn == self._last_turn], WAITING)
+        return self._attempts([c for c in self.commits if c.turn == self._last_turn], WAITING).drop("body")
 
     @property
     def finished(self) -> DataFrame:
@@ -112,6 +114,8 @@ class LadderRun:
         steps = plan_steps(self.config)
         rows = self._attempts(self.commits, PASSED, IDENTIFIED)
         done = rows.where((F.col("identified") == PASSED) | (F.col("step_no") == len(steps) - 1))
+        if self.tables.packed:
+            return done.drop("asked_text")
         article = self.tables.articles
         carried = [c for c in article.columns if c != "doc_id"]
         return article.join(done.drop("asked_text", *carried), "doc_id")
@@ -160,10 +164,11 @@ class AuditColumns:
 
 
 def attempt_step(texts: DataFrame, step: Step, config: RunConfig, rewriter, guesser, audit: AuditColumns,
-                 rewritten: bool = False) -> DataFrame:
+                 rewritten: bool = False, with_body: bool = False) -> DataFrame:
     """One pass over texts: article columns plus ``current_text``, ``__rewrite`` where it is there already, and
-    ``__before`` where there was a step before: its answer and what was read from it."""
-    carried = [c for c in texts.columns if c not in ("body", "current_text", "__rewrite", "__before")]
+    ``__before`` where there was a step before: its answer and what was read from it. The body goes, unless ``with_body``."""
+    left = ("current_text", "__rewrite", "__before") if with_body else ("body", "current_text", "__rewrite", "__before")
+    carried = [c for c in texts.columns if c not in left]
     fields, similarity, date = audit.again if "__before" in texts.columns else (audit.fields, audit.similarity, audit.date)
     asked = texts
     if not rewritten:
@@ -230,16 +235,19 @@ def _take_turn(tables: RunTables, turn: int, steps: list[Step], config: RunConfi
             texts = tables.attempts([before], IDENTIFIED)
             parts.append((_as_texts(texts, F.col("text"), before=_answer_before()), False))
         if step.step_no in waited:
-            texts = tables.attempts([waited[step.step_no]], WAITING)
-            parts += [(_as_texts(texts.where(F.col("text_status") == MISSING), F.col("asked_text")), False),
-                      (_as_texts(texts.where(F.col("text_status") != MISSING), F.col("asked_text"), F.struct(
-                          F.col("text"), F.col("text_status").alias("status"), F.col("text_message").alias("message"))), True)]
+            texts, status = tables.attempts([waited[step.step_no]], WAITING), F.col("text_status")
+            unwritten = tables.stored_attempts([waited[step.step_no]], WAITING).where(status == MISSING).count()
+            if unwritten:
+                parts.append((_as_texts(texts.where(status == MISSING), F.col("asked_text")), False))
+            if unwritten < waited[step.step_no].waiting:
+                parts.append((_as_texts(texts.where(status != MISSING), F.col("asked_text"), F.struct(
+                    F.col("text"), status.alias("status"), F.col("text_message").alias("message"))), True))
         if not parts:
             continue
         chosen = rewriter[step.kind] if isinstance(rewriter, dict) else rewriter
         attempt = None
         for texts, rewritten in parts:
-            made = attempt_step(texts, step, config, chosen, guesser, audit, rewritten)
+            made = attempt_step(texts, step, config, chosen, guesser, audit, rewritten, tables.packed)
             attempt = made if attempt is None else attempt.unionByName(made)
         expected = (before.identified if before else 0) + (waited[step.step_no].waiting if step.step_no in waited else 0)
         done[step.step_no] = tables.commit(attempt, turn, step.step_no, expected if turn or step.step_no else None)

@@ -4,6 +4,9 @@ Articles and attempts are two tables of a database of their own, both bucketed b
 recordings kept the same way (``sources.recordings``) and results meet without an exchange of texts. Each step appends
 one write, a folder of the attempts table. A write counts once the log names it: what a broken-off step has
 left behind is never read. Only kept runs have a log; another session takes up their tables from it.
+
+A run of many bytes is packed: its attempts tell their texts by what they share with the article's body, which they meet
+bucket by bucket, and leave the article's columns out. A small one keeps its texts whole, so that a step is read alone.
 """
 
 from __future__ import annotations
@@ -17,12 +20,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
+from anontext.functions.packing import pack, unpack
 from anontext.session import COMPRESSION, settings
 
 LOG = ("entry int, kind string, token string, digest string, buckets int, columns string, "
-       "turn int, step_no int, write string, rows long, identified long, waiting long")
+       "turn int, step_no int, write string, rows long, identified long, waiting long, packed boolean")
 PASSED, IDENTIFIED, WAITING = 0, 1, 2
 
+# Bytes of bodies from which a run's texts are packed.
+PACK_FROM = 64 << 20
+# Columns of an attempt that hold texts.
+TEXTS = ("text", "asked_text")
+
 
 @dataclass(frozen=True)
 class Commit:
@@ -60,7 +69,7 @@ class RunTables:
     def __init__(self, spark: SparkSession, root: str, kept: bool):
         self.spark, self.root, self.kept = spark, root.rstrip("/"), kept
         self.database = open_database(spark, self.root)
-        self.token, self.buckets, self.entry = "", 0, 0
+        self.token, self.buckets, self.entry, self.packed = "", 0, 0, False
         self.commits: list[Commit] = []
 
     def _name(self, table: str) -> str:
@@ -73,8 +82,17 @@ class RunTables:
     def attempts(self, commits: list[Commit], *states: int) -> DataFrame | None:
         """Rows of these writes in these states; one scan, whatever the number of writes.
 
-        The folder of a write tells its step, so that a filter on ``step_no`` opens no other files.
+        The folder of a write tells its step, so that a filter on ``step_no`` opens no files of other steps. Rows of a packed
+        run have met their articles, the body among them.
         """
+        rows = self.stored_attempts(commits, *states)
+        if rows is None or not self.packed:
+            return rows
+        whole = {c: unpack(F.col(c), F.col("body")) for c in TEXTS}
+        return self.articles.join(rows.hint("merge"), "doc_id").withColumns(whole)
+
+    def stored_attempts(self, commits: list[Commit], *states: int) -> DataFrame | None:
+        """As ``attempts``, but as they lie there."""
         if not commits:
             return None
         rows = self.spark.table(self._name("attempts"))
@@ -85,29 +103,38 @@ class RunTables:
     # --- a new run ---
 
     def begin(self, articles: DataFrame, buckets: int, digest_of) -> None:
-        """Lay the articles out by document, in one shuffle, the only one a run has."""
+        """Lay the articles out by document, in one shuffle, the only one a run has, and in order, so that packed texts meet them unsorted."""
         self.token, self.buckets, self.commits = uuid.uuid4().hex[:12], buckets, []
         seen = Observation()
         watched = articles.repartition(buckets, "doc_id").observe(
-            seen, F.count(F.lit(1)).alias("n"), fingerprint(articles).alias("s"))
+            seen, F.count(F.lit(1)).alias("n"), fingerprint(articles).alias("s"), F.sum(F.octet_length("body")).alias("bytes"))
         with settings(self.spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
-            self._save(watched, "articles")
+            self._save(watched, "articles", in_order=True)
+        self.packed = (seen.get["bytes"] or 0) >= PACK_FROM
         # The log names a run only after its articles are all there.
-        self._log("start", digest=digest_of(int(seen.get["n"]), seen.get["s"]), columns=columns_of(self.articles.schema))
+        self._log("start", digest=digest_of(int(seen.get["n"]), seen.get["s"]), columns=columns_of(self.articles.schema),
+                  packed=self.packed)
 
-    def _save(self, df: DataFrame, table: str, *folders: str) -> None:
+    def _save(self, df: DataFrame, table: str, *folders: str, in_order: bool = False) -> None:
         writer = df.write.format("parquet").mode("append").option("compression", COMPRESSION).bucketBy(self.buckets, "doc_id")
+        writer = writer.sortBy("doc_id") if in_order else writer
         (writer.partitionBy(*folders) if folders else writer).saveAsTable(self._name(table))
 
     # --- steps ---
 
     def commit(self, attempt: DataFrame, turn: int, step_no: int, expected: int | None = None) -> Commit:
-        """Append one step's attempts, whose column ``identified`` is their state, and let them count if all are there."""
+        """Append one step's attempts, whose column ``identified`` is their state, and let them count if all are there.
+
+        Those of a packed run come with the body.
+        """
+        if self.packed:
+            attempt = attempt.withColumns({c: pack(F.col(c), F.col("body")) for c in TEXTS}).drop(
+                *(c for c in self.articles.columns if c != "doc_id"))
         seen, write = Observation(), f"turn{turn}-step{step_no}-{uuid.uuid4().hex[:8]}"
         counted = attempt.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("identified") == IDENTIFIED).alias("identified"),
                                   F.count_if(F.col("identified") == WAITING).alias("waiting"))
         with settings(self.spark, spark__sql__sources__bucketing__autoBucketedScan__enabled="false",
-                      spark__sql__maxConcurrentOutputFileWriters="8"):
+                      spark__sql__legacy__bucketedTableScan__outputOrdering="true", spark__sql__maxConcurrentOutputFileWriters="8"):
             self._save(counted.withColumn("write", F.lit(write)), "attempts", "write", "identified")
         done = Commit(turn, step_no, write, *(int(seen.get[c]) for c in ("rows", "identified", "waiting")))
         if expected is not None and done.rows != expected:
@@ -146,9 +173,9 @@ class RunTables:
             return False
         if start["digest"] != digest_now():
             raise ValueError("the run to resume had another configuration or other articles")
-        self.token, self.buckets = start["token"], start["buckets"]
+        self.token, self.buckets, self.packed = start["token"], start["buckets"], bool(start["packed"])
         steps = [e for e in entries if e["kind"] == "step" and e["token"] == self.token]
-        self._attach("articles", start["columns"])
+        self._attach("articles", start["columns"], in_order=self.packed)
         if steps:
             self._attach("attempts", steps[0]["columns"], "write", "identified")
         self.commits = [Commit(e["turn"], e["step_no"], e["write"], e["rows"], e["identified"], e["waiting"]) for e in steps]
@@ -158,12 +185,13 @@ class RunTables:
         """Number new entries after those of earlier runs of the same name."""
         self.entry = max((e["entry"] for e in self.entries()), default=0)
 
-    def _attach(self, table: str, columns: str, *folders: str) -> None:
+    def _attach(self, table: str, columns: str, *folders: str, in_order: bool = False) -> None:
         """A table that another session has written."""
         parts = f" PARTITIONED BY ({', '.join(folders)})" if folders else ""
+        order = " SORTED BY (doc_id)" if in_order else ""
         path = f"{self.root}/{table}_{self.token}"
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name(table)} ({columns}) USING parquet{parts} "
-                       f"CLUSTERED BY (doc_id) INTO {self.buckets} BUCKETS LOCATION '{_quoted(path)}'")
+                       f"CLUSTERED BY (doc_id){order} INTO {self.buckets} BUCKETS LOCATION '{_quoted(path)}'")
         if folders:
             self.spark.sql(f"MSCK REPAIR TABLE {self._name(table)}")
 
