@@ -122,8 +122,13 @@ def _run(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _run(spark, ARTICLES, **tables(spark, sf_dir, "documents", "part", "orders"))
-    return made.withColumn("pub_date", F.col("pub_date").cast("timestamp_ntz"))
+    """``ARTICLES``; keys alone meet parts and orders, and texts meet what was found once, by document."""
+    found = tables(spark, sf_dir, "documents", "part", "orders")
+    docs = found["documents"]
+    found["documents"] = docs.select("doc_id").distinct().withColumn("text", F.lit(""))
+    made = _run(spark, ARTICLES, **found).join(docs.select("doc_id", "text"), "doc_id")
+    return made.select("doc_id", "comnam", "ticker", "industry", F.col("pub_date").cast("timestamp_ntz").alias("pub_date"),
+                       F.concat("body", "text").alias("body"))
 
 
 def rivals(spark: SparkSession, sf_dir: str) -> DataFrame:
