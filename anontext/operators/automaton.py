@@ -25,6 +25,19 @@ def words_of(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     return [text[a:b].lower() for a, b in spans], spans
 
 
+def distinct_words(batches: Iterable[pa.RecordBatch], held: int) -> Iterator[list[str]]:
+    """The words of columns ``text`` and ``own`` (a text's words as ``words_of`` has them), each once for every ``held`` or so."""
+    seen: set[str] = set()
+    for batch in batches:
+        for text, own in zip(batch.column("text").to_pylist(), batch.column("own").to_pylist()):
+            seen.update(w.lower() for w in set(_WORD.findall(text or "")))
+            seen.update(w for w in own or () if w is not None)
+            if len(seen) > held:
+                yield list(seen)
+                seen.clear()
+    yield list(seen)
+
+
 def joined(text: str, spans: list[tuple[int, int]], at: int) -> bool:
     """Whether only gap characters stand between a word and the one before it."""
     return _GAP.fullmatch(text, spans[at - 1][1], spans[at][0]) is not None

@@ -11,6 +11,9 @@ filter of all beginnings of spellings goes ahead; it cuts what a text may hold t
 no longer than the beginning of some spelling. Distinct tails, never texts, meet the dictionary in a join, which
 leaves the spellings that occur. Those go to every task if they are within the limit, and texts are masked where
 they are. Otherwise each text is sent its own hits, joined by key. All three ways give the same result.
+
+A filter of bounded size tells nothing once a dictionary is far beyond it. Of such a dictionary the spellings go first
+whose words no text holds: the distinct words of all texts meet those at one place of the spellings after another.
 """
 
 from __future__ import annotations
@@ -22,24 +25,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anontext.operators.automaton import Automaton, PrefixFilter, names_of, replace, tails, words_of
+from anontext.operators.automaton import Automaton, PrefixFilter, distinct_words, names_of, replace, tails, words_of
 from anontext.operators.rulemask import core_words
 from anontext.session import small_batches, stored
 
 MAX_SURFACES = 200_000
 MAX_BYTES = 16 << 20
+# Places of a spelling whose words are looked for in the texts; of longer spellings the rest is left to the filter.
+PLACES = 3
+# Distinct words that a task holds before it hands them on.
+WORDS_HELD = 100_000
 
 _WORDS = r"[\p{L}\p{N}_]+"
 
 
 def normalise_surfaces(dictionary: DataFrame) -> DataFrame:
     """Spellings as lower-case words with one space between; one row each, the first kind kept."""
+    return _merged(_plain(dictionary))
+
+
+def _plain(dictionary: DataFrame) -> DataFrame:
     words = F.regexp_extract_all(F.lower("surface"), F.lit(_WORDS), 0)
-    plain = dictionary.select(F.array_join(words, " ").alias("surface"), "kind",
-                              F.col("entity").cast("string").alias("entity"),
-                              F.size(words).alias("n_words"))
-    return (plain.filter("n_words > 0").groupBy("surface")
-            .agg(F.min(F.struct("kind", "entity", "n_words")).alias("e")).select("surface", "e.*"))
+    return dictionary.select(F.array_join(words, " ").alias("surface"), "kind",
+                             F.col("entity").cast("string").alias("entity"),
+                             F.size(words).alias("n_words"))
+
+
+def _merged(plain: DataFrame) -> DataFrame:
+    # Filtered no sooner, as a filter below would have every spelling's words looked for twice.
+    return plain.filter("n_words > 0").groupBy("surface").agg(F.min(F.struct("kind", "entity", "n_words")).alias("e")).select("surface", "e.*")
 
 
 def mask_entities(df: DataFrame, dictionary: DataFrame, text: str, name: str, into: str,
@@ -47,7 +61,10 @@ def mask_entities(df: DataFrame, dictionary: DataFrame, text: str, name: str, in
                   max_bytes: int = MAX_BYTES) -> DataFrame:
     """Add ``into``, the text with dictionary names masked. ``key`` is unique."""
     small_batches(df.sparkSession)
-    surfaces = normalise_surfaces(dictionary)
+    plain = _plain(dictionary)
+    if _overfills(plain):
+        plain = _said(plain, df, text, name, lambda left: _fits(_merged(left), max_surfaces, max_bytes))
+    surfaces = _merged(plain)
     if _fits(surfaces, max_surfaces, max_bytes):
         return _mask_in_place(df, surfaces, text, name, into)
     surfaces = stored(surfaces, "entity-surfaces")
@@ -65,6 +82,33 @@ def _fits(surfaces: DataFrame, max_surfaces: int, max_bytes: int) -> bool:
     return size["rows"] <= max_surfaces and size["bytes"] <= max_bytes
 
 
+def _overfills(plain: DataFrame) -> bool:
+    """Whether the beginnings of all spellings are more than the filter can tell apart."""
+    told = plain.agg(F.approx_count_distinct("surface").alias("spellings"), F.avg("n_words").alias("words")).first()
+    return PrefixFilter.BITS * told["spellings"] * (told["words"] or 0) > PrefixFilter.MOST
+
+
+def _said(plain: DataFrame, df: DataFrame, text: str, name: str, enough) -> DataFrame:
+    """The spellings whose words at the first places all occur in some text or own name; ``enough`` tells when to stop looking.
+
+    No other spelling can be found in a text. Only distinct words meet, so no key holds many rows.
+    """
+    def collected(batches):
+        for words in distinct_words(batches, WORDS_HELD):
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
+
+    source = df.select(F.col(text).alias("text"), core_words(F.col(name)).alias("own"))
+    heard = stored(source.mapInArrow(collected, "word string").distinct(), "entity-words")
+    for place in range(PLACES):
+        word = F.get(F.split("surface", " "), F.lit(place))
+        there = stored(plain.select(word.alias("word")).where("word IS NOT NULL").distinct().join(heard, "word", "left_semi"), "entity-said-words")
+        left = plain.withColumn("word", word).join(there, "word", "left_semi").drop("word")
+        plain = stored(left.unionByName(plain.where(word.isNull())) if place else left, "entity-said")
+        if enough(plain):
+            break
+    return plain
+
+
 def _mask_in_place(df: DataFrame, surfaces: DataFrame, text: str, name: str, into: str) -> DataFrame:
     rows = [tuple(r) for r in surfaces.select("surface", "kind", "entity").collect()]  # within the limit
     shared = df.sparkSession.sparkContext.broadcast(rows)

@@ -262,3 +262,31 @@ def test_first_characters_rule_no_match_out(spark):
         begin = f"(?={rulemask._FIRST[i]})"
         row = df.select(F.regexp_extract_all(plain, F.lit(whole), 0).alias("a"), F.regexp_extract_all(plain, F.lit(begin + whole), 0).alias("b")).collect()
         assert row[0].a and all(r.a == r.b for r in row)
+
+
+@pytest.mark.parametrize("limits", WAYS)
+def test_spellings_that_no_text_can_hold_go_before_the_filter(spark, monkeypatch, limits):
+    """A dictionary beyond the filter: only spellings whose words occur reach it, at whichever place the others differ."""
+    from anontext.operators import entities
+    monkeypatch.setattr(PrefixFilter, "MOST", 1 << 10)
+    strange = [(f"unheard {i} red", "name", None) for i in range(400)] + [(f"Tin unheard{i}", "name", None) for i in range(400)]
+    strange += [(f"red rod unheard{i} steel", "name", None) for i in range(400)] + [("Blue Bolt", "company", "own"), ("nobody's", "name", None)]
+    dictionary = spark.createDataFrame(DICTIONARY + strange, "surface string, kind string, entity string")
+    texts = spark.createDataFrame([t[:3] for t in TEXTS], "doc_id bigint, comnam string, text string")
+    asked, fits = [], entities._fits
+    monkeypatch.setattr(entities, "_fits", lambda surfaces, *rest: asked.append(surfaces.count()) or fits(surfaces, *rest))
+    masked = mask_entities(texts, dictionary, "text", "comnam", "masked", **limits)
+    assert {r.doc_id: r.masked for r in masked.collect()} == {t[0]: t[3] for t in TEXTS}
+    # Place by place: what begins with a word of the texts, then what goes on with one, and so on.
+    known = len(DICTIONARY) + 1
+    assert asked[:2] == [known + 800, known + 800] if not limits else asked[:3] == [known + 800, known + 400, known]
+
+
+def test_words_are_handed_on_in_portions():
+    import pyarrow as pa
+    from anontext.operators.automaton import distinct_words
+    batch = pa.RecordBatch.from_arrays([pa.array(["Red rod RED", None, "Tin-tin É_1", ""]), pa.array([["own"], None, ["rod"], []], pa.list_(pa.string()))],
+                                       names=["text", "own"])
+    assert sorted(w for words in distinct_words([batch], 100) for w in words) == ["own", "red", "rod", "tin", "é_1"]
+    portions = [sorted(words) for words in distinct_words([batch], 2)]
+    assert portions == [["own", "red", "rod"], ["rod", "tin", "é_1"], []]
