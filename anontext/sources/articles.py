@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anontext.schema import SOURCE_COLUMNS, conform_articles, require_unique
+from anontext.session import COMPRESSION
 from anontext.sources.splitcsv import read_csv_split
 
 # Cell texts that the usual CSV round trip turns into missing values.
@@ -73,7 +74,7 @@ def ingest_csv(spark: SparkSession, path: str | list[str], out: str, key: str |
     if key is None:
         raw, key = raw.withColumn("doc_id", F.monotonically_increasing_id()), "doc_id"
     raw = raw if key == "row" else raw.drop("row")
-    conform_articles(raw, key, strict_dates).write.mode("overwrite").parquet(out)
+    conform_articles(raw, key, strict_dates).write.mode("overwrite").option("compression", COMPRESSION).parquet(out)
     return read_articles(spark, out)
 
 

@@ -173,3 +173,13 @@ def test_a_larger_input_gives_more_csv_files_not_larger_ones(spark, monkeypatch)
     monkeypatch.setattr(queries, "write_csv", lambda df, path: sizes.append(df.rdd.getNumPartitions()) or write(df, path))
     rows = queries.csv_one_big_file(spark, "/root/testdata/sf0.001")
     assert sizes == [-(-rows.count() // 60)] and sizes[0] > 1
+
+
+def test_loaded_articles_are_stored_as_the_tables_of_runs_are(spark, folder):
+    import os
+    from anontext.sources.articles import ingest_csv
+    rows = spark.createDataFrame([(1, "a b", "Blue Bolt", "BB", "Retail", "2024-01-05")], "doc_id long, body string, comnam string, ticker string, industry string, pub_date string")
+    write_csv(rows, f"{folder}/in")
+    assert ingest_csv(spark, f"{folder}/in", f"{folder}/out", key="doc_id").first().body == "a b"
+    files = [f for f in os.listdir(f"{folder}/out") if f.endswith(".parquet")]
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
