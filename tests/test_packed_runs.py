@@ -160,3 +160,17 @@ def test_a_ladder_from_packed_recordings(articles, packing, folder):
                        ReplayResponder(texts, policy=policy_for("ollama")), ReplayResponder(guesses))
     assert again.missing == 0
     assert _rows(ladder_results(again).drop("run_id")) == _rows(ladder_results(told).where("body is not null").drop("run_id"))
+
+
+def test_waiting_texts_are_met_once_for_what_they_wait_for(articles, packing, folder, monkeypatch):
+    """Where all texts that wait have their rewrites, their bodies are not read once more for those that lack one."""
+    from anontext.plans import ladder as ladders
+    guesses = articles.select("doc_id", F.lit(0).alias("step_no"), F.concat(F.lit("Name Estimate: "), "comnam").alias("response"),
+                              F.lit(None).cast("string").alias("error"))
+    config = RunConfig(run_id="late", output_path=folder, resume=True, max_rounds=0, paraphrase=False)
+    script = ExpressionResponder(_prefixing, policy_for("ollama"))
+    assert run_ladder(articles, config, script, ReplayResponder(guesses.where("doc_id % 3 > 0"))).missing == 13  # 27 has no body, so nothing is asked about it
+    steps, attempt = [], ladders.attempt_step
+    monkeypatch.setattr(ladders, "attempt_step", lambda *a: steps.append(a[6]) or attempt(*a))
+    done = run_ladder(articles, config, script, ReplayResponder(guesses))
+    assert steps == [True] and done.missing == 0 and ladder_results(done).count() == N
